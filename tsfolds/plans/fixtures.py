@@ -272,6 +272,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_views(body: str, *names: str) -> str:
-    """Prefix ``body`` with the named fixture views as CTEs."""
+    """Prefix ``body`` with the named fixture views as CTEs; a body starting
+    with a comma continues the CTE list."""
     ctes = ",\n".join(f"{n} as ({SQL[n]})" for n in names)
     return f"with {ctes}\n{body}"
