@@ -57,11 +57,13 @@ def yeo_johnson(x, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def corr_pop(x, y) -> Column:
-    """Pearson correlation as an aggregate / window expression that is NULL
-    (not an error) when either side is constant."""
+def corr_pop(x, y, w=None) -> Column:
+    """Pearson correlation as an aggregate (or, with a window spec ``w``, a
+    window) expression that is NULL (not an error) when either side is
+    constant."""
     x, y = col(x), col(y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    ov = (lambda e: e.over(w)) if w is not None else (lambda e: e)
+    return F.try_divide(ov(F.covar_pop(x, y)), ov(F.stddev_pop(x)) * ov(F.stddev_pop(y)))
 
 
 def ols_weights(xs: Sequence[float]) -> list[float]:

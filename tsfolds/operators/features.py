@@ -345,10 +345,8 @@ def pair_panel(df: DataFrame, col="spot", ticker="ticker", order_by="date", pair
     date alone, so a busy date is never one group."""
     pairs = pairs if pairs is not None else symbol_pairs(df, ticker)
     x = df.select(F.col(ticker).alias("a"), F.col(order_by).alias("date"), F.col(col).alias("x_a"))
-    y = df.select(F.col(ticker).alias("b"), F.col(order_by).alias("_d2"), F.col(col).alias("x_b"))
-    return x.join(pairs, "a").join(y, (F.col("b") == y["b"]) & (F.col("date") == F.col("_d2"))).select(
-        "date", "a", y["b"].alias("b"), "x_a", "x_b"
-    )
+    y = df.select(F.col(ticker).alias("b"), F.col(order_by).alias("date"), F.col(col).alias("x_b"))
+    return x.join(pairs, "a").join(y, ["b", "date"]).select("date", "a", "b", "x_a", "x_b")
 
 
 def rolling_corr(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker", order_by="date", pairs: DataFrame | None = None) -> DataFrame:
@@ -357,7 +355,7 @@ def rolling_corr(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker",
     p = pair_panel(df, col, ticker, order_by, pairs)
     return blocked.rolling(
         p, ["a", "b"], "date", B,
-        lambda w: {"corr": corr_pop("x_a", "x_b").over(w.rowsBetween(-B, 0))},
+        lambda w: {"corr": corr_pop("x_a", "x_b", w.rowsBetween(-B, 0))},
     )
 
 

@@ -142,8 +142,10 @@ _COMBINE = {
     "count": _add,
     "max": lambda a, b: F.greatest(a, b),
     "min": lambda a, b: F.least(a, b),
+    "last": lambda a, b: F.coalesce(b, a),
 }
-_AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+_AGG = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+_CARRY = {"sum": "sum", "count": "sum", "max": "max", "min": "min", "last": "last"}
 
 
 def running(
@@ -155,7 +157,7 @@ def running(
     with_step: str | None = None,
 ) -> DataFrame:
     """Add cumulative aggregates ``{name: (kind, column)}``, kind in
-    sum/count/max/min, over ``partitionBy(by).orderBy(order)`` from the first
+    sum/count/max/min/last (last non-NULL value), over ``partitionBy(by).orderBy(order)`` from the first
     row to the current one, computed per time block plus a carry-over."""
     by = list(by)
     width = block_width(df, block)
@@ -173,7 +175,7 @@ def running(
     wb = Window.partitionBy(*by).orderBy("_blk")
     carry_exprs = []
     for k, (kind, _) in aggs.items():
-        carry_exprs.append(_AGG["max" if kind == "max" else "min" if kind == "min" else "sum"](F.col("_in_" + k)).over(wb.rowsBetween(_U, -1)).alias("_c_" + k))
+        carry_exprs.append(_AGG[_CARRY[kind]](F.col("_in_" + k)).over(wb.rowsBetween(_U, -1)).alias("_c_" + k))
     blocks = base.where(F.col("_rn") == F.col("_n")).select(
         *keys,
         *carry_exprs,
