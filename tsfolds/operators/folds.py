@@ -201,8 +201,8 @@ def train_test(df: DataFrame, chunk: str = "chunk", k: int | None = None) -> Dat
     fold 0..k-2.  Adds ``fold`` and ``role``.  The output has each row once
     per fold it belongs to (the expanding window is the operator)."""
     k = k if k is not None else n_chunks(df, chunk)
-    tr = df.withColumn("fold", F.explode(F.sequence(F.col(chunk), F.lit(k - 2)))).withColumn("role", F.lit("train"))
-    tr = tr.where(F.col("fold") >= F.col(chunk))
+    tr = df.where(F.col(chunk) <= k - 2)
+    tr = tr.withColumn("fold", F.explode(F.sequence(F.col(chunk), F.lit(k - 2)))).withColumn("role", F.lit("train"))
     te = df.where(F.col(chunk) >= 1).withColumn("fold", F.col(chunk) - 1).withColumn("role", F.lit("test"))
     return tr.unionByName(te)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tsfolds.functions import logistic, safe_div, safe_ln, yeo_johnson
 from tsfolds.plans import blocked
+from tsfolds.session import cut
 
 # Fixed values of the reference's trading environment.
 RATE = 0.01  # yearly interest on cash
@@ -192,10 +193,10 @@ def truncate_runs(df: DataFrame, value: str = "market_value", initial: float = 1
 def ledger(orders: DataFrame, prices: DataFrame, b0: float = 1000.0, rate: float = RATE, cost: float = COST,
            lam: float = 0.9, run: str = "run_id") -> DataFrame:
     """The render ledger per (run, date): market value, balance, paid
-    slippage, score, gross leverage, long and short weight."""
-    g = positions(grid(orders, prices, run))
-    c = cash(g, b0, rate, cost, run)
-    val = valuation(g, c, run)
+    slippage, score, gross leverage, long and short weight.  The grid and the
+    valuation are checkpointed: each later stage starts from a short lineage."""
+    g = cut(positions(grid(orders, prices, run)))
+    val = cut(valuation(g, cash(g, b0, rate, cost, run), run))
     x = excess_return(val, "market_value", rate, run)
     x = expanding_vol(x, "excess_ret", run)
     x = risk_adjusted_score(x, "excess_ret", "ret_vol", lam)

@@ -49,3 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tsfolds-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut(df):
+    """Materialise ``df`` in the shared checkpoint folder and continue from
+    there: ends a deep lineage (and the plan that grows with it)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
