@@ -149,7 +149,8 @@ def _mean_abs_moves(arr: Column, B: int) -> tuple[Column, Column]:
     up = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.greatest(F.element_at(arr, i) - F.element_at(arr, i - 1), F.lit(0.0)))
     dn = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.greatest(F.element_at(arr, i - 1) - F.element_at(arr, i), F.lit(0.0)))
     n = F.size(arr) - 1
-    return up / n, dn / n
+    ok = F.size(arr) > 1
+    return F.when(ok, safe_div(up, n)), F.when(ok, safe_div(dn, n))
 
 
 def rsi_from_array(arr: Column, B: int) -> Column:
@@ -176,9 +177,9 @@ def _std_pop_of_lag_diffs(arr: Column, L: int) -> Column:
     idx = F.sequence(F.lit(L + 1), F.size(arr))
     d = F.transform(idx, lambda i: F.element_at(arr, i) - F.element_at(arr, i - L))
     n = F.size(d)
-    mean = F.aggregate(d, F.lit(0.0), lambda a, v: a + v) / n
+    mean = safe_div(F.aggregate(d, F.lit(0.0), lambda a, v: a + v), n)
     ss = F.aggregate(d, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.sqrt(ss / n)
+    return F.when(F.size(arr) > L, F.sqrt(safe_div(ss, n)))
 
 
 def hurst_from_array(arr: Column, B: int) -> Column:

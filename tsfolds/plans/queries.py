@@ -46,4 +46,4 @@ def r6(expr: str, alias: str) -> str:
 
 # Import the query modules so that they register themselves.
 def load() -> None:
-    from tsfolds.plans import q_clean, q_core, q_features, q_folds, q_jobs, q_portfolio  # noqa: F401
+    from tsfolds.plans import q_clean, q_core, q_features, q_folds, q_jobs, q_misc, q_portfolio  # noqa: F401
