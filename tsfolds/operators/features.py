@@ -158,15 +158,29 @@ def rsi_from_array(arr: Column, B: int) -> Column:
     return F.when(l == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + g / l))
 
 
+def _rsi_stages(col: str, B: int):
+    """Stage 1: first difference; stage 2: mean gain / loss over B rows."""
+    dx = F.col("_dx")
+    gain = F.when(dx.isNull(), F.lit(None)).when(dx > 0, dx).otherwise(F.lit(0.0))
+    loss = F.when(dx.isNull(), F.lit(None)).when(dx < 0, -dx).otherwise(F.lit(0.0))
+    return [
+        lambda w: {"_dx": F.col(col) - F.lag(col).over(w)},
+        lambda w: {"_up": F.avg(gain).over(w.rowsBetween(-(B - 1), 0)), "_dn": F.avg(loss).over(w.rowsBetween(-(B - 1), 0))},
+    ]
+
+
+def _rsi_value(up="_up", dn="_dn") -> Column:
+    return F.when(F.col(dn) == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + safe_div(up, dn)))
+
+
 def rsi(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", name="rsi") -> DataFrame:
     """RSI on the B differences of a B+1-row window:
     ``100 - 100 / (1 + mean gain / mean loss)``, 100 when there is no loss.
     Rows with fewer than B+1 rows in the window use the differences they have;
-    the first row of a key (no difference) is NULL."""
-    return blocked.rolling(
-        df, _by(by), order_by, B,
-        lambda w: {name: F.when(F.size(_window_array(col, B, w)) > 1, rsi_from_array(_window_array(col, B, w), B))},
-    )
+    the first row of a key (no difference) is NULL.  Two chained window
+    stages on one exchange (all codegen, no arrays)."""
+    x = blocked.rolling(df, _by(by), order_by, B, _rsi_stages(col, B))
+    return x.withColumn(name, _rsi_value()).drop("_dx", "_up", "_dn")
 
 
 def hurst_lags(B: int) -> list[int]:
@@ -192,14 +206,40 @@ def hurst_from_array(arr: Column, B: int) -> Column:
     return out
 
 
+def _hurst_stages(col: str, B: int):
+    """Stage 1: lagged differences per lag; stage 2: their population std
+    over the part of the B+1-row window where they exist, and the row count."""
+    lags = hurst_lags(B)
+    return [
+        lambda w: {f"_hd{L}": F.col(col) - F.lag(col, L).over(w) for L in lags},
+        lambda w: {
+            **{f"_ht{L}": F.stddev_pop(f"_hd{L}").over(w.rowsBetween(-(B - L), 0)) for L in lags},
+            "_hn": F.count(F.lit(1)).over(w.rowsBetween(-B, 0)),
+        },
+    ]
+
+
+def _hurst_value(B: int) -> Column:
+    lags = hurst_lags(B)
+    ws = ols_weights(log_lags(lags))
+    out = None
+    for L, wl in zip(lags, ws):
+        term = safe_ln(F.col(f"_ht{L}")) * F.lit(wl)
+        out = term if out is None else out + term
+    return F.when(F.col("_hn") == B + 1, out)
+
+
+def _hurst_cols(B: int) -> list[str]:
+    return [f"_hd{L}" for L in hurst_lags(B)] + [f"_ht{L}" for L in hurst_lags(B)] + ["_hn"]
+
+
 def hurst(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", name="hurst") -> DataFrame:
     """Slope of ln std_pop(x[t] - x[t-L]) on ln L for L in [2, B/2),
     over a full B+1-row window (NULL before the window is full or when a
-    std is 0)."""
-    return blocked.rolling(
-        df, _by(by), order_by, B,
-        lambda w: {name: F.when(F.size(_window_array(col, B, w)) == B + 1, hurst_from_array(_window_array(col, B, w), B))},
-    )
+    std is 0).  The slope is a fixed linear combination of the ln std's
+    (least squares on fixed abscissae); two chained window stages."""
+    x = blocked.rolling(df, _by(by), order_by, B, _hurst_stages(col, B))
+    return x.withColumn(name, _hurst_value(B)).drop(*_hurst_cols(B))
 
 
 def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date") -> DataFrame:
@@ -369,36 +409,42 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     Rolling columns use a frame of min(step+1, B+1) rows; Hurst, RSI,
     distances and causal strengths take their defaults (0.5, 50, 1, 1, 0)
     until step > B, after which Hurst and RSI are smoothed recursively (E18).
-    One shuffle for the window family, one for the smoothing."""
+    One exchange for the window family (three chained stages), one for the
+    smoothing."""
     by = _by(by)
+    hs, rs = _hurst_stages(col, B), _rsi_stages(col, B)
 
-    def build(w):
-        xs = _window_array(col, B, w)
+    def first(w):
         r = safe_ln(col) - F.lag(safe_ln(col)).over(w)
         d = {
             "ret": F.coalesce(r, F.lit(0.0)),
             "ret_sq": F.coalesce(F.pow(r, 2), F.lit(0.0)),
-            "spot_rank": _percentile_of_last(xs),
+            "spot_rank": _percentile_of_last(_window_array(col, B, w)),
             "_full": F.count(F.lit(1)).over(w.rowsBetween(-(B + 1), -1)) == B + 1,
-            "dist_max": safe_div(F.array_max(xs), F.col(col)),
-            "dist_min": safe_div(F.col(col), F.array_min(xs)),
-            "hurst_raw": hurst_from_array(xs, B),
-            "rsi_raw": rsi_from_array(xs, B),
+            "dist_max": safe_div(F.max(col).over(w.rowsBetween(-B, 0)), F.col(col)),
+            "dist_min": safe_div(F.col(col), F.min(col).over(w.rowsBetween(-B, 0))),
         }
+        d.update(hs[0](w))
+        d.update(rs[0](w))
         if features:
-            ys = causal_filter(xs)
+            ys = causal_filter(_window_array(col, B, w))
             for c in features:
                 d[f"causal_{c}"] = F.coalesce(_array_corr(ys, _window_array(c, B, w)), F.lit(0.0))
         return d
 
-    x = blocked.rolling(df, by, order_by, B + 1, build, with_step="step")
+    def second(w):
+        return {**hs[1](w), **rs[1](w)}
+
+    x = blocked.rolling(df, by, order_by, B + 1, [first, second], with_step="step")
     full = F.col("_full")
     x = x.withColumns(
         {
             "dist_max": F.when(full, F.col("dist_max")).otherwise(F.lit(1.0)),
             "dist_min": F.when(full, F.col("dist_min")).otherwise(F.lit(1.0)),
+            "hurst_raw": _hurst_value(B),
+            "rsi_raw": _rsi_value(),
             **{f"causal_{c}": F.when(full, F.col(f"causal_{c}")).otherwise(F.lit(0.0)) for c in features},
         }
-    )
+    ).drop(*_hurst_cols(B), "_dx", "_up", "_dn")
     x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by)
     return x.drop("_full", "hurst_raw", "rsi_raw")

@@ -54,81 +54,115 @@ def block_expr(df: DataFrame, order: str, width: float) -> Column:
 
 
 def _blocks_table(base: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per (key, block): row count, ordinal and rows before it."""
+    """One row per (key, block): row count and rows before it."""
     w = Window.partitionBy(*by).orderBy("_blk")
     return base.where(F.col("_rn") == 1).select(
         *by,
         "_blk",
-        "_n",
-        F.row_number().over(w).alias("_ord"),
         F.coalesce(F.sum("_n").over(w.rowsBetween(_U, -1)), F.lit(0)).alias("_cum"),
     )
 
 
+Build = Callable[[WindowSpec], Mapping[str, Column]]
+
+
+def _apply(df: DataFrame, stages: Sequence[Build], w: WindowSpec, extra: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
+    """Add the columns of each stage in its own projection; all stages use
+    the same partitioning and order, so Spark chains the Window operators on
+    one exchange and one sort."""
+    names: list[str] = []
+    for i, st in enumerate(stages):
+        cols = dict(st(w))
+        df = df.select("*", *(extra if i == 0 else ()), *[c.alias(k) for k, c in cols.items()])
+        names += list(cols)
+    if not stages and extra:
+        df = df.select("*", *extra)
+    return df, names
+
+
 def rolling(
     df: DataFrame,
     by: Sequence[str],
     order: str,
     halo: int,
-    build: Callable[[WindowSpec], Mapping[str, Column]],
+    build: Build | Sequence[Build],
     block: float | None = None,
     with_step: str | None = None,
 ) -> DataFrame:
     """Add the columns ``build(w)`` to ``df``.
 
     ``w`` is ``partitionBy(by + block).orderBy(order)``; ``build`` may use it
-    with trailing frames that look back at most ``halo`` rows (``lag(c, k)``
-    with ``k <= halo``, ``rowsBetween(-k, 0)`` with ``k <= halo``) and no
-    forward frames.  Results equal those of ``partitionBy(by)``.
-    ``with_step`` names an optional 0-based row index per key.
+    with trailing frames (``lag(c, k)``, ``rowsBetween(-k, 0)``) only.
+    ``build`` may also be a list of stages, each seeing the columns of the
+    previous ones; ``halo`` is the total look-back of all stages in rows.
+    Results equal those of ``partitionBy(by)``.  ``with_step`` names an
+    optional 0-based row index per key.
+
+    Plan shape: one exchange + sort for the block windows of the whole
+    table; the first ``halo`` rows of every block are recomputed on a side
+    table of boundary rows (heads of each block plus copies of the tails of
+    the ``halo`` blocks before it), partitioned by (key, target block).  The
+    side table is at most 2 * halo * (halo + 1) rows per block.  Extra tail
+    copies from further back are harmless: a trailing frame of at most
+    ``halo`` rows never reaches past the contiguous run of preceding rows.
     """
     by = list(by)
-    width = block_width(df, block)
+    stages = list(build) if isinstance(build, (list, tuple)) else [build]
+    # blocks span at least 16x the halo in order units (days), so that the
+    # boundary rows stay a small share of a block
+    width = max(block_width(df, block), 16.0 * halo) if block is None else block_width(df, block)
     x = df.withColumn("_blk", block_expr(df, order, width))
     cols = x.columns
     keys = by + ["_blk"]
     w = Window.partitionBy(*keys).orderBy(order)
-    feats = dict(build(w))
-    base = x.select(
-        "*",
-        F.row_number().over(w).alias("_rn"),
-        F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n"),
-        *[c.alias(k) for k, c in feats.items()],
+    base, feats = _apply(
+        x, stages, w,
+        [F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n")],
     )
-    out_cols = [c for c in df.columns] + list(feats)
-    need_blocks = halo > 0 or with_step is not None
-    blocks = _blocks_table(base, by) if need_blocks else None
+    out_cols = [c for c in df.columns] + feats
     if halo > 0:
         bnd = base.where((F.col("_rn") <= halo) | (F.col("_rn") > F.col("_n") - halo)).select(*cols, "_rn", "_n")
-        src = bnd.where(F.col("_n") - F.col("_rn") < halo).join(blocks.select(*keys, "_ord", "_cum"), keys)
-        src = src.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(halo))))
-        tgt = blocks.select(
-            *[F.col(b).alias("_t_" + b) for b in by],
-            F.col("_blk").alias("_tblk"),
-            F.col("_ord").alias("_tord"),
-            F.col("_cum").alias("_tcum"),
+        # On the boundary table (small): block ordinal, global 1-based index
+        # of each row and first index of each block.
+        wk = Window.partitionBy(*by).orderBy("_blk", "_rn")
+        bnd = bnd.select(
+            "*",
+            F.dense_rank().over(Window.partitionBy(*by).orderBy("_blk")).alias("_ord"),
+            F.sum(F.when(F.col("_rn") == 1, F.col("_n"))).over(wk.rowsBetween(_U, 0)).alias("_cincl"),
+        ).withColumn("_g", F.col("_cincl") - F.col("_n") + F.col("_rn"))
+        # Entries: block-start markers (kind 0), tails (1), heads (2).  A tail
+        # row reaches the later blocks that start within ``halo`` rows of it:
+        # a range-frame count of the markers in (g, g + halo].
+        ent = lambda k, val: F.struct(F.lit(k).alias("k"), val.alias("v"))
+        none = F.array().cast("array<struct<k:int,v:bigint>>")
+        entries = F.concat(
+            F.when(F.col("_rn") == 1, F.array(ent(0, F.col("_g").cast("long")))).otherwise(none),
+            F.when(F.col("_n") - F.col("_rn") < halo, F.array(ent(1, F.col("_g").cast("long")))).otherwise(none),
+            F.when(F.col("_rn") <= halo, F.array(ent(2, F.col("_g").cast("long")))).otherwise(none),
         )
-        cond = [F.col(b) == F.col("_t_" + b) for b in by] + [F.col("_ord") + F.col("_d") == F.col("_tord")]
-        src = src.join(tgt, cond)
-        # rows strictly between this row and the target block, plus itself
-        src = src.where(F.col("_tcum") - F.col("_cum") - F.col("_rn") + 1 <= halo)
-        halo_rows = src.select(
-            *[c for c in cols if c != "_blk"], F.col("_tblk").alias("_blk"), F.lit(True).alias("_halo"), F.col("_rn")
+        e = bnd.select(*cols, "_rn", "_ord", F.explode(entries).alias("_e")).select(
+            *cols, "_rn", "_ord", F.col("_e.k").alias("_k"), F.col("_e.v").alias("_val")
         )
-        heads = bnd.where(F.col("_rn") <= halo).select(*cols, F.lit(False).alias("_halo"), F.col("_rn"))
-        side = heads.unionByName(halo_rows)
-        fixed = (
-            side.select("*", *[c.alias(k) for k, c in dict(build(w)).items()])
-            .where(~F.col("_halo"))
-            .select(*cols, "_rn", *feats)
+        reach = F.count(F.when(F.col("_k") == 0, F.lit(1))).over(
+            Window.partitionBy(*by).orderBy("_val").rangeBetween(1, halo)
         )
+        e = e.withColumn("_reach", reach).where(F.col("_k") != 0)
+        tgt = lambda t, h: F.struct(t.alias("t"), F.lit(h).alias("h"))
+        targets = F.when(F.col("_k") == 2, F.array(tgt(F.col("_ord"), False))).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.col("_reach"), F.lit(1))), lambda d: tgt(F.col("_ord") + d, True))
+        )
+        side = e.where((F.col("_k") == 2) | (F.col("_reach") > 0)).select(
+            *cols, "_rn", F.explode(targets).alias("_tg")
+        ).select(*cols, "_rn", F.col("_tg.t").alias("_tord"), F.col("_tg.h").alias("_halo"))
+        w2 = Window.partitionBy(*by, "_tord").orderBy(order)
+        fixed, _ = _apply(side, stages, w2)
+        fixed = fixed.where(~F.col("_halo")).select(*cols, "_rn", *feats)
         res = base.where(F.col("_rn") > halo).select(*cols, "_rn", *feats).unionByName(fixed)
     else:
         res = base.select(*cols, "_rn", *feats)
     if with_step is not None:
-        res = res.join(blocks.select(*keys, "_cum"), keys).withColumn(
-            with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long")
-        )
+        blocks = _blocks_table(base, by)
+        res = res.join(blocks, keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
         out_cols.append(with_step)
     return res.select(*out_cols)
 
