@@ -47,6 +47,14 @@ def rows(tbl) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def _close(a, b) -> bool:
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(_close(x, y) for x, y in zip(a, b))
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-5)
+    return a == b
+
+
 def compare(spark, name: str, sf_dir: str, queries: dict, sql: dict):
     sdf = queries[name](spark, sf_dir)
     a = sdf.toArrow()
@@ -57,7 +65,7 @@ def compare(spark, name: str, sf_dir: str, queries: dict, sql: dict):
     ra, rb = rows(a), rows(b)
     if len(ra) != len(rb):
         return False, f"row count {len(ra)} vs {len(rb)}"
-    bad = [(x, y) for x, y in zip(ra, rb) if x != y]
+    bad = [(x, y) for x, y in zip(ra, rb) if not _close(x, y)]
     if bad:
         return False, f"{len(bad)} rows differ, e.g. {bad[0]}"
     return True, f"{len(ra)} rows"

@@ -19,7 +19,7 @@ def parse_dates(df: DataFrame, col: str = "date", fmt: str = DATE_FMT, errors: s
     if errors not in ("raise", "null"):
         raise ValueError("errors must be 'raise' or 'null'")
     parse = F.to_date if errors == "raise" else F.try_to_date
-    return df.withColumn(name or col, parse(F.col(col), F.lit(fmt)) if errors == "null" else parse(F.col(col), fmt))
+    return df.withColumn(name or col, parse(F.col(col), fmt))
 
 
 def select_features(df: DataFrame, cols: Sequence[str]) -> DataFrame:
