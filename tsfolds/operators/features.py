@@ -21,7 +21,6 @@ DEFAULT_B = 10
 # Fixed defaults of the reference's state frame before the buffer is full.
 HURST_SEED = 0.5
 RSI_SEED = 50.0
-SMOOTH_FRAME = 300  # rows kept by the recursive smoothing (error ~ ((B-1)/B)^300)
 
 
 def _by(by) -> list[str]:
@@ -321,27 +320,49 @@ def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int
 # --------------------------------------------------------------------------- recursive smoothing
 
 
-def _smooth_expr(w, col: str, seed: float, B: int, step: str, frame: int) -> Column:
-    arr = F.collect_list(F.struct(F.col(step).alias("s"), F.col(col).alias("v"))).over(w.rowsBetween(-(frame - 1), 0))
-    upd = F.filter(arr, lambda e: e["s"] > B)
-    return F.aggregate(upd, F.lit(float(seed)), lambda acc, e: (e["v"] + F.lit(B - 1.0) * acc) / F.lit(float(B)))
+EPOCH = 256  # updates per epoch of the smoothing scan
 
 
 def wilder_smooth(
     df: DataFrame, col: str | dict, seed: float | None = None, B: int = DEFAULT_B, by="ticker", order_by="date",
-    step="step", name: str | None = None, frame: int = SMOOTH_FRAME,
+    step="step", name: str | None = None,
 ) -> DataFrame:
     """``s_t = (v_t + (B-1) s_{t-1}) / B`` from ``seed``, updated only
-    while ``step > B``.  The recursion forgets geometrically, so it is
-    evaluated over a bounded frame of ``frame`` rows (error below
-    ((B-1)/B)^frame times the value range) as an ``aggregate`` fold.
-    ``col`` may be a dict ``{name: (column, seed)}`` to smooth several
-    columns in one window pass."""
+    while ``step > B`` (``step`` is the 0-based row index of the key).
+
+    Closed form with k = step - B updates so far and a = (B-1)/B:
+    ``s = a^k seed + (1/B) sum_{u<=k} a^(k-u) v_u``.  Updates are cut into
+    epochs of 256; inside an epoch the sum is a running sum of
+    ``a^(epoch start - u) v_u`` (weights stay within a^-255), and the earlier
+    epochs enter through their totals, weighted a^256 and a^512 — older ones
+    weigh below 1e-23 and vanish in double precision.  All plain window sums
+    over partitions of at most 256 rows: exact, codegen, and a hot key is
+    split by construction.  A NULL value contributes nothing and gives a
+    NULL on its own row.  ``col`` may be a dict ``{name: (column, seed)}``."""
     specs = col if isinstance(col, dict) else {name or f"{col}_smooth": (col, seed)}
-    return blocked.rolling(
-        df, _by(by), order_by, frame - 1,
-        lambda w: {k: _smooth_expr(w, c, s, B, step, frame) for k, (c, s) in specs.items()},
-    )
+    by = _by(by)
+    a = (B - 1.0) / B
+    k = F.col(step) - F.lit(B)
+    ep = F.floor((k - 1) / EPOCH).cast("long")  # epoch of update k (k >= 1)
+    x = df.withColumn("_k", k).withColumn("_ep", F.when(k >= 1, ep))
+    rel = F.col("_ep") * EPOCH + 1 - F.col("_k")  # epoch start minus k, in [-(EPOCH-1), 0]
+    terms = {f"_c_{n}": F.when(F.col("_k") >= 1, F.pow(F.lit(a), rel) * F.col(c)) for n, (c, _) in specs.items()}
+    x = x.withColumns(terms)
+    w = Window.partitionBy(*by, "_ep").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"_r_{n}": F.sum(f"_c_{n}").over(w) for n in specs})
+    tot = x.where(F.col("_ep").isNotNull()).groupBy(*by, "_ep").agg(*[F.sum(f"_c_{n}").alias(f"_t_{n}") for n in specs])
+    for lag in (1, 2):
+        t = tot.select(*by, (F.col("_ep") + lag).alias("_ep"), *[F.col(f"_t_{n}").alias(f"_t{lag}_{n}") for n in specs])
+        x = x.join(t, [*by, "_ep"], "left")
+    out = {}
+    for n, (c, sd) in specs.items():
+        carry = F.lit(a ** EPOCH) * F.coalesce(F.col(f"_t1_{n}"), F.lit(0.0)) + F.lit(a ** (2 * EPOCH)) * F.coalesce(
+            F.col(f"_t2_{n}"), F.lit(0.0)
+        )
+        val = F.pow(F.lit(a), F.col("_k")) * F.lit(float(sd)) + F.lit(1.0 / B) * F.pow(F.lit(a), -rel) * (F.col(f"_r_{n}") + carry)
+        out[n] = F.when(F.col("_k") < 1, F.lit(float(sd))).when(F.col(c).isNotNull(), val)
+    drop = ["_k", "_ep"] + [f"_{p}_{n}" for n in specs for p in ("c", "r", "t1", "t2")]
+    return x.withColumns(out).drop(*drop)
 
 
 # --------------------------------------------------------------------------- tensors, pairs

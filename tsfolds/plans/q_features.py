@@ -197,9 +197,10 @@ def e14_causal_strength(spark, sf_dir):
 
 SMOOTH_SQL = f""", {RSI_SQL},
 st as (select *, row_number() over (partition by ticker order by date) - 1 as step from rs),
-sm as (select ticker, date, list_reduce(list_filter(list({{'s': step, 'v': rsi}}) over
-          (partition by ticker order by date rows between 299 preceding and current row), lambda e: e.s > {B}),
-        lambda acc, e: (e.v + {B - 1}.0 * acc) / {B}.0, 50.0) as rsi_smooth from st)
+sm as (select ticker, date, case when step > {B} and rsi is null then null else
+        list_reduce(list_filter(list({{'s': step, 'v': rsi}}) over
+          (partition by ticker order by date rows between 399 preceding and current row), lambda e: e.s > {B}),
+        lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 50.0) end as rsi_smooth from st)
 select ticker, date, round(rsi_smooth, 6) + 0.0 as rsi_smooth from sm"""
 
 

@@ -26,11 +26,13 @@ hr as (select t.ticker, t.date, case when """ + " and ".join(f"t.t{L} > 0" for L
 j as (select b.*, hr.hurst_raw, rs.rsi as rsi_raw from base b join hr on b.ticker = hr.ticker and b.date = hr.date
       join rs on b.ticker = rs.ticker and b.date = rs.date),
 sm as (select *,
+    case when step > {B} and hurst_raw is null then null else
     list_reduce(list_filter(list({{'s': step, 'v': hurst_raw}}) over p, lambda e: e.s > {B}),
-                lambda acc, e: (e.v + {B - 1}.0 * acc) / {B}.0, 0.5) as hurst,
+                lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 0.5) end as hurst,
+    case when step > {B} and rsi_raw is null then null else
     list_reduce(list_filter(list({{'s': step, 'v': rsi_raw}}) over p, lambda e: e.s > {B}),
-                lambda acc, e: (e.v + {B - 1}.0 * acc) / {B}.0, 50.0) as rsi
-  from j window p as (partition by ticker order by date rows between 299 preceding and current row))
+                lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 50.0) end as rsi
+  from j window p as (partition by ticker order by date rows between 399 preceding and current row))
 select ticker, date, step, round(coalesce(r, 0.0), 6) + 0.0 as ret, round(coalesce(r * r, 0.0), 6) + 0.0 as ret_sq,
   round(len(list_filter(xs, lambda x: x > close)) / len(xs), 6) + 0.0 as spot_rank,
   round(case when step > {B} then mx / nullif(close, 0) else 1.0 end, 6) + 0.0 as dist_max,
