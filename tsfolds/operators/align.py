@@ -107,9 +107,13 @@ def macro_build(obs: DataFrame, releases: DataFrame, conf: DataFrame, ids: Seque
     daily spine (C4), forward fill (E1) and dropna (B6)."""
     from tsfolds.operators.features import pct_change_by_conf
 
+    from tsfolds.session import cut
+
     x = pct_change_by_conf(obs, conf, "value", "series_id", "date")
     x = asof_forward(x, releases, "series_id", "date", "release_date")
-    x = collapse_vintages(x.where(F.col("release_date").isNotNull()))
+    # one row per (series, release): small; materialised so that the wide
+    # half of the job starts from a short lineage
+    x = cut(collapse_vintages(x.where(F.col("release_date").isNotNull())))
     wide = merge_series(x.withColumnRenamed("release_date", "date"), ids)
     cols = [c for c in wide.columns if c != "date"]
     spined = daily_spine(wide, "date")

@@ -40,10 +40,9 @@ def drawdown(df: DataFrame, index="ret_index", by="run_id", order_by="date", nam
 
 
 def returns_drawdown(df: DataFrame, ret="ret", by="run_id", order_by="date", base: float = 100.0) -> DataFrame:
-    """E5 and E6 together with a single running pass: the running max of the
-    index is base * exp(running max of the cumulative sum)."""
-    x = blocked.running(df, _by(by), order_by, {"_cs": ("sum", ret)})
-    x = blocked.running(x, _by(by), order_by, {"_cm": ("max", F.when(F.col(ret).isNotNull(), F.col("_cs")))})
+    """E5 and E6 together in one blocked scan: the running max of the index
+    is base * exp(running max of the cumulative sum)."""
+    x = blocked.running_sum_peak(df, _by(by), order_by, ret, "_cs", "_cm")
     idx = F.lit(base) * F.exp(F.col("_cs"))
     return x.withColumns(
         {

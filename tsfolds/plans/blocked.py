@@ -222,3 +222,38 @@ def running(
     if with_step is not None:
         out.append((F.col("_cum") + F.col("_rn") - 1).cast("long").alias(with_step))
     return res.select(*out)
+
+
+def running_sum_peak(
+    df: DataFrame, by: Sequence[str], order: str, col: str, sum_name: str, peak_name: str, block: float | None = None
+) -> DataFrame:
+    """Running sum of ``col`` and its running maximum (taken over the rows
+    where ``col`` is not NULL) in one blocked scan.
+
+    Per block: the block-local running sum s and its running peak p (two
+    chained windows on one exchange).  Per block b on the small block table:
+    C_b = sum of the earlier block totals, G_b = max over earlier blocks j
+    of (C_j + peak_j).  Row values: C_b + s and greatest(G_b, C_b + p)."""
+    by = list(by)
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block)))
+    keys = by + ["_blk"]
+    w = Window.partitionBy(*keys).orderBy(order)
+    c = F.col(col)
+    base = x.select(
+        "*",
+        F.row_number().over(w).alias("_rn"),
+        F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n"),
+        F.sum(c).over(w.rowsBetween(_U, 0)).alias("_s"),
+    ).withColumn("_p", F.max(F.when(c.isNotNull(), F.col("_s"))).over(w.rowsBetween(_U, 0)))
+    wb = Window.partitionBy(*by).orderBy("_blk")
+    blocks = (
+        base.where(F.col("_rn") == F.col("_n"))
+        .select(*keys, "_s", "_p", F.sum("_s").over(wb.rowsBetween(_U, -1)).alias("_C"))
+        .select(*keys, "_C", F.max(F.coalesce(F.col("_C"), F.lit(0.0)) + F.col("_p")).over(wb.rowsBetween(_U, -1)).alias("_G"))
+    )
+    res = base.join(blocks, keys)
+    return res.select(
+        *df.columns,
+        _add(F.col("_C"), F.col("_s")).alias(sum_name),
+        F.greatest(F.col("_G"), F.coalesce(F.col("_C"), F.lit(0.0)) + F.col("_p")).alias(peak_name),
+    )
