@@ -68,9 +68,9 @@ def pct_change(df: DataFrame, col: str, n: int = 1, by="ticker", order_by="date"
 def pct_change_by_conf(df: DataFrame, conf: DataFrame, col="value", by="series_id", order_by="date", name="value") -> DataFrame:
     """E3 driven by a per-series configuration ``(series_id, pct_chg, n)``:
     series with the flag get the n-row percent change, others keep the value.
-    The configuration is one row per series (a small dimension table)."""
+    The configuration is one row per series; the join is left to AQE."""
     ns = sorted({int(r["n"]) for r in conf.select("n").distinct().collect()})  # a handful of lags
-    x = df.join(F.broadcast(conf.select(by, "pct_chg", "n")), by, "left")
+    x = df.join(conf.select(by, "pct_chg", "n"), by, "left")  # AQE broadcasts it when small
     lagged = lambda w: {f"_lag{n}": F.lag(col, n).over(w) for n in ns}
     x = blocked.rolling(x, [by], order_by, max(ns), lagged)
     chosen = None
@@ -172,13 +172,14 @@ def _rsi_value(up="_up", dn="_dn") -> Column:
     return F.when(F.col(dn) == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + safe_div(up, dn)))
 
 
-def rsi(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", name="rsi") -> DataFrame:
+def rsi(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", name="rsi",
+        with_step: str | None = None) -> DataFrame:
     """RSI on the B differences of a B+1-row window:
     ``100 - 100 / (1 + mean gain / mean loss)``, 100 when there is no loss.
     Rows with fewer than B+1 rows in the window use the differences they have;
     the first row of a key (no difference) is NULL.  Two chained window
     stages on one exchange (all codegen, no arrays)."""
-    x = blocked.rolling(df, _by(by), order_by, B, _rsi_stages(col, B))
+    x = blocked.rolling(df, _by(by), order_by, B, _rsi_stages(col, B), with_step=with_step)
     return x.withColumn(name, _rsi_value()).drop("_dx", "_up", "_dn")
 
 
@@ -351,9 +352,16 @@ def wilder_smooth(
     w = Window.partitionBy(*by, "_ep").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({f"_r_{n}": F.sum(f"_c_{n}").over(w) for n in specs})
     tot = x.where(F.col("_ep").isNotNull()).groupBy(*by, "_ep").agg(*[F.sum(f"_c_{n}").alias(f"_t_{n}") for n in specs])
-    for lag in (1, 2):
-        t = tot.select(*by, (F.col("_ep") + lag).alias("_ep"), *[F.col(f"_t_{n}").alias(f"_t{lag}_{n}") for n in specs])
-        x = x.join(t, [*by, "_ep"], "left")
+    # epochs are consecutive: the totals of epochs e-1 and e-2 for epoch e
+    # come from one row of the (small) totals table and a lag over it
+    wt = Window.partitionBy(*by).orderBy("_ep")
+    prev = tot.select(
+        *by,
+        (F.col("_ep") + 1).alias("_ep"),
+        *[F.col(f"_t_{n}").alias(f"_t1_{n}") for n in specs],
+        *[F.lag(f"_t_{n}").over(wt).alias(f"_t2_{n}") for n in specs],
+    )
+    x = x.join(prev, [*by, "_ep"], "left")
     out = {}
     for n, (c, sd) in specs.items():
         carry = F.lit(a ** EPOCH) * F.coalesce(F.col(f"_t1_{n}"), F.lit(0.0)) + F.lit(a ** (2 * EPOCH)) * F.coalesce(

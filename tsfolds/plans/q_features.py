@@ -207,10 +207,7 @@ select ticker, date, round(rsi_smooth, 6) + 0.0 as rsi_smooth from sm"""
 @query("e18_wilder_smooth", with_views(SMOOTH_SQL, "supp_bars"))
 def e18_wilder_smooth(spark, sf_dir):
     """Recursive (Wilder) smoothing of the RSI from 50 once step > B."""
-    x = features.rsi(_sb(spark, sf_dir), "close", B)
-    from tsfolds.plans import blocked
-
-    x = blocked.rolling(x, ["ticker"], "date", 0, lambda w: {}, with_step="step")
+    x = features.rsi(_sb(spark, sf_dir), "close", B, with_step="step")
     return features.wilder_smooth(x, "rsi", 50.0, B, name="rsi_smooth").select("ticker", "date", "rsi_smooth")
 
 
