@@ -398,15 +398,19 @@ def trailing_vector(df: DataFrame, col: str, B: int = DEFAULT_B, by="run_id", or
     return blocked.rolling(df, _by(by), order_by, B - 1, build)
 
 
-def symbol_pairs(df: DataFrame, ticker="ticker", max_symbols: int = 2000) -> DataFrame:
-    """The upper triangle (a <= b) of the symbol universe.  The universe is
-    the distinct tickers (one small driver-side count guards its size: the
-    pair table has n(n+1)/2 rows and is broadcast)."""
+def symbol_pairs(df: DataFrame, ticker="ticker", broadcast_below: int = 2000) -> DataFrame:
+    """The upper triangle (a <= b) of the symbol universe, as an equi-join:
+    symbols are ranked, each rank is exploded to the ranks at or above it,
+    and the partner is joined back on its rank (no theta or cross join).
+    One small count on the driver sizes it; the table (n(n+1)/2 rows) is
+    broadcast only below ``broadcast_below`` symbols, else AQE plans it."""
     syms = df.select(F.col(ticker).alias("a")).distinct()
     n = syms.count()
-    if n > max_symbols:
-        raise ValueError(f"{n} symbols: the pair table would have {n * (n + 1) // 2} rows; pass fewer symbols")
-    return F.broadcast(syms.join(syms.select(F.col("a").alias("b")), F.col("a") <= F.col("b")))
+    ranked = syms.withColumn("_r", F.row_number().over(Window.orderBy("a")) - 1)  # one row per symbol
+    pairs = ranked.select("a", F.explode(F.sequence(F.col("_r"), F.lit(n - 1))).alias("_rb")).join(
+        ranked.select(F.col("a").alias("b"), F.col("_r").alias("_rb")), "_rb"
+    ).select("a", "b")
+    return F.broadcast(pairs) if n < broadcast_below else pairs
 
 
 def pair_panel(df: DataFrame, col="spot", ticker="ticker", order_by="date", pairs: DataFrame | None = None) -> DataFrame:
