@@ -54,8 +54,9 @@ def f3_equal(spark, sf_dir):
 
 
 TT_SQL = f""", {CHUNKED}, kk as (select max(chunk) + 1 as k from c),
-tt as (select c.*, f.fold, 'train' as role from c, kk, unnest(generate_series(0, kk.k - 2)) as f(fold) where c.chunk <= f.fold
-       union all select c.*, c.chunk - 1 as fold, 'test' as role from c where c.chunk >= 1)"""
+tt as (select c.*, cast(f.fold as integer) as fold, 'train' as role from c, kk, unnest(generate_series(0, kk.k - 2)) as f(fold)
+       where c.chunk <= f.fold
+       union all select c.*, cast(c.chunk - 1 as integer) as fold, 'test' as role from c where c.chunk >= 1)"""
 
 
 @query("f5_train_test", with_views(TT_SQL + "\nselect ticker, date, chunk, fold, role from tt", "bars"))
