@@ -15,8 +15,6 @@ which is one running sum per run.  Running sums go through
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

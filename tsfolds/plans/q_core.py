@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tsfolds.operators import folds, report
 from tsfolds.operators.features import log_return
 from tsfolds.plans.fixtures import with_views

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tsfolds.operators import folds
 from tsfolds.plans.fixtures import with_views
 from tsfolds.plans.q_core import CHUNK, CHUNKED

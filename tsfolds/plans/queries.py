@@ -11,11 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tsfolds.functions import round_all
 from tsfolds.plans import fixtures as fx
-from tsfolds.plans.fixtures import with_views
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,10 +38,6 @@ def v(spark, sf_dir, name) -> DataFrame:
     return fx.view(spark, sf_dir, name)
 
 
-def r6(expr: str, alias: str) -> str:
-    return f"round({expr}, 6) + 0.0 as {alias}"
-
-
 # Import the query modules so that they register themselves.
 def load() -> None:
     from tsfolds.plans import q_clean, q_core, q_features, q_folds, q_jobs, q_misc, q_portfolio  # noqa: F401
