@@ -213,7 +213,7 @@ def eta(log: DataFrame, name: str = "name", ts: str = "ts", pct: str = "pct_comp
     """ETA from two successive readings of a job:
     ``eta = ts + dt / delta * (1 - pct)``, only where delta > ``min_delta``
     (elsewhere NULL).  A lag over each job's readings, split in time blocks."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))  # no time zone involved
     x = blocked.rolling(
         log.select(name, ts, pct), [name], ts, 1,
         lambda w: {"_dt_us": us - F.lag(us).over(w), "delta": F.col(pct) - F.lag(pct).over(w)},
@@ -223,5 +223,5 @@ def eta(log: DataFrame, name: str = "name", ts: str = "ts", pct: str = "pct_comp
     return x.select(
         name, ts, pct, "delta",
         F.when(ok, secs).alias("eta_secs"),
-        F.when(ok, F.timestamp_micros((us + F.floor(secs * 1e6)).cast("long"))).cast("timestamp_ntz").alias("eta"),
+        F.when(ok, F.timestamp_add("MICROSECOND", F.floor(secs * 1e6).cast("long"), F.col(ts))).alias("eta"),
     )

@@ -234,7 +234,7 @@ def e8_learning_curve(spark, sf_dir):
     the event log read as a monitor log (run, t, r, l)."""
     e = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+        (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1e6).alias("t"),
         F.col("value").alias("r"),
         F.length("props").cast("long").alias("l"),
     )

@@ -66,31 +66,30 @@ ETA_STATE = "ts timestamp_ntz, pct_complete double"
 
 
 def _eta_fn(key, pdfs, state):
-    prev = state.get if state.exists else None
-    last_ts, last_p = (prev[0], prev[1]) if prev is not None else (None, None)
-    out = []
-    for pdf in pdfs:
-        out.append(pdf)
-    if not out:
+    """One job, one micro-batch: readings in time order, each against the
+    previous one (the first against the state), vectorised with pandas."""
+    df = pd.concat(list(pdfs))
+    if df.empty:
         return
-    df = pd.concat(out).sort_values(["ts", "pct_complete"], kind="mergesort")
-    rows = []
-    for ts, p in zip(df["ts"], df["pct_complete"]):
-        if last_ts is not None and ts <= last_ts:
-            continue  # late or repeated reading
-        if last_ts is None:
-            rows.append((key[0], ts, p, None, None))
-        else:
-            delta = p - last_p
-            secs = None
-            if delta > 0:
-                secs = (ts - last_ts).total_seconds() / delta * (1.0 - p)
-            rows.append((key[0], ts, p, delta, secs))
-        last_ts, last_p = ts, p
+    df = df.sort_values(["ts", "pct_complete"], kind="mergesort").drop_duplicates("ts", keep="first")
+    if state.exists:
+        last_ts, last_p = state.get
+        df = df[df["ts"] > pd.Timestamp(last_ts)]  # late or repeated readings are ignored
+    else:
+        last_ts, last_p = None, None
+    if df.empty:
+        return
+    prev_ts = df["ts"].shift(1)
+    prev_p = df["pct_complete"].shift(1)
     if last_ts is not None:
-        state.update((last_ts, last_p))
-    if rows:
-        yield pd.DataFrame(rows, columns=["name", "ts", "pct_complete", "delta", "eta_secs"])
+        prev_ts.iloc[0], prev_p.iloc[0] = pd.Timestamp(last_ts), last_p
+    delta = df["pct_complete"] - prev_p
+    secs = (df["ts"] - prev_ts).dt.total_seconds() / delta * (1.0 - df["pct_complete"])
+    out = pd.DataFrame(
+        {"name": key[0], "ts": df["ts"], "pct_complete": df["pct_complete"], "delta": delta, "eta_secs": secs.where(delta > 0)}
+    )
+    state.update((df["ts"].iloc[-1].to_pydatetime(), float(df["pct_complete"].iloc[-1])))
+    yield out
 
 
 def eta_stream(log: DataFrame) -> DataFrame:
@@ -108,9 +107,7 @@ def eta(spark: SparkSession, in_dir: str, out_path: str, checkpoint: str | None
         "eta",
         F.when(
             F.col("eta_secs").isNotNull(),
-            F.timestamp_micros(
-                (F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("eta_secs") * 1e6)).cast("long")
-            ).cast("timestamp_ntz"),
+            F.timestamp_add("MICROSECOND", F.floor(F.col("eta_secs") * 1e6).cast("long"), F.col("ts")),
         ),
     )
     w = s.writeStream.outputMode("append").format("parquet").option("path", out_path).option(
