@@ -59,3 +59,27 @@ def test_sorted_chunk_files(spark, tmpdir_):
     store.write_chunks(c, path)
     parts = sorted(d for d in os.listdir(os.path.join(path, "jobname=j")) if d.startswith("chunk="))
     assert parts == [f"chunk={i}" for i in range(5)]
+
+
+def test_index_and_drawdown_separately_equal_fused(spark):
+    from tsfolds.operators import features, report
+
+    r = features.log_return(fx.view(spark, SF01, "bars"), "close", "ticker")
+    sep = report.drawdown(report.return_index(r, "ret", "ticker"), "ret_index", "ticker")
+    fused = report.returns_drawdown(r, "ret", "ticker")
+    j = sep.alias("a").join(fused.alias("b"), ["ticker", "date"])
+    bad = j.where(
+        ~(F.abs(F.col("a.ret_index") - F.col("b.ret_index")) < 1e-9) & ~(F.col("a.ret_index").isNull() & F.col("b.ret_index").isNull())
+        | ~(F.abs(F.col("a.drawdown") - F.col("b.drawdown")) < 1e-9) & ~(F.col("a.drawdown").isNull() & F.col("b.drawdown").isNull())
+    )
+    assert j.count() == 150 and bad.count() == 0
+
+
+def test_densify_equals_spine_and_fill(spark):
+    from tsfolds.operators import align, clean
+
+    g = fx.view(spark, SF01, "gappy").select("ticker", "date", "close")
+    a = panel.densify(g, ["close"])
+    b = clean.ffill(align.daily_spine(g, "date", ["ticker"]), ["close"], "ticker", "date")
+    assert a.count() == b.count() == a.select("ticker", "date").distinct().count()
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
