@@ -53,13 +53,13 @@ def block_expr(df: DataFrame, order: str, width: float) -> Column:
     raise TypeError(f"cannot block on {order}: {dt}")
 
 
-def _blocks_table(base: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per (key, block): row count and rows before it."""
+def _block_counts(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per (key, block) with the number of rows before the block: a
+    grouped count of the input (map-side combined, no sort of the rows) and
+    a running sum over the small block table."""
     w = Window.partitionBy(*by).orderBy("_blk")
-    return base.where(F.col("_rn") == 1).select(
-        *by,
-        "_blk",
-        F.coalesce(F.sum("_n").over(w.rowsBetween(_U, -1)), F.lit(0)).alias("_cum"),
+    return x.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_blk", F.coalesce(F.sum("_n").over(w.rowsBetween(_U, -1)), F.lit(0)).alias("_cum")
     )
 
 
@@ -161,8 +161,7 @@ def rolling(
     else:
         res = base.select(*cols, "_rn", *feats)
     if with_step is not None:
-        blocks = _blocks_table(base, by)
-        res = res.join(blocks, keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
+        res = res.join(_block_counts(x, by), keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
         out_cols.append(with_step)
     return res.select(*out_cols)
 
@@ -198,21 +197,20 @@ def running(
     x = df.withColumn("_blk", block_expr(df, order, width))
     keys = by + ["_blk"]
     w = Window.partitionBy(*keys).orderBy(order)
-    inner = {k: _AGG[kind](F.col(c) if isinstance(c, str) else c).over(w.rowsBetween(_U, 0)) for k, (kind, c) in aggs.items()}
-    base = x.select(
-        "*",
-        F.row_number().over(w).alias("_rn"),
-        F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n"),
-        *[c.alias("_in_" + k) for k, c in inner.items()],
-    )
-    # per-block totals are the running values on each block's last row
-    wb = Window.partitionBy(*by).orderBy("_blk")
-    carry_exprs = []
+    cols = {k: (F.col(c) if isinstance(c, str) else c) for k, (_, c) in aggs.items()}
+    inner = {k: _AGG[kind](cols[k]).over(w.rowsBetween(_U, 0)) for k, (kind, _) in aggs.items()}
+    base = x.select("*", F.row_number().over(w).alias("_rn"), *[c.alias("_in_" + k) for k, c in inner.items()])
+    # per-block totals: a grouped aggregate of the input (map-side combined,
+    # no sort), then carries over the small block table
+    tot = []
     for k, (kind, _) in aggs.items():
-        carry_exprs.append(_AGG[_CARRY[kind]](F.col("_in_" + k)).over(wb.rowsBetween(_U, -1)).alias("_c_" + k))
-    blocks = base.where(F.col("_rn") == F.col("_n")).select(
+        c = cols[k]
+        t = F.max_by(c, F.when(c.isNotNull(), F.col(order))) if kind == "last" else _AGG[kind](c)
+        tot.append(t.alias("_t_" + k))
+    wb = Window.partitionBy(*by).orderBy("_blk")
+    blocks = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *tot).select(
         *keys,
-        *carry_exprs,
+        *[_AGG[_CARRY[kind]](F.col("_t_" + k)).over(wb.rowsBetween(_U, -1)).alias("_c_" + k) for k, (kind, _) in aggs.items()],
         F.coalesce(F.sum("_n").over(wb.rowsBetween(_U, -1)), F.lit(0)).alias("_cum"),
     )
     res = base.join(blocks, keys)
