@@ -134,3 +134,27 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "sharpe" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stream_eta_transform_with_state(spark, tmpdir_):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    prev = spark.conf.get(key, None)
+    spark.conf.set(key, stream.ROCKSDB)
+    try:
+        src = os.path.join(tmpdir_, "log")
+        log = _write_log_parts(spark, src)
+        out = os.path.join(tmpdir_, "eta_tws")
+        q = stream.eta(spark, src, out, checkpoint=os.path.join(tmpdir_, "ck3"), max_files=1, engine="transformWithStateInPandas")
+        q.awaitTermination(300)
+        got = spark.read.parquet(out)
+        exp = jobs.eta(log)
+        assert got.count() == exp.count()
+        diff = got.alias("a").join(exp.alias("b"), ["name", "ts"]).where(
+            ~F.col("a.eta_secs").eqNullSafe(F.col("b.eta_secs")) & ~(F.abs(F.col("a.eta_secs") - F.col("b.eta_secs")) < 1e-6)
+        )
+        assert diff.count() == 0
+    finally:
+        if prev is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, prev)

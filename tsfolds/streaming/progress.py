@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tsfolds.operators import jobs
 from tsfolds.session import ensure_checkpoint_dir
@@ -92,18 +93,55 @@ def _eta_fn(key, pdfs, state):
     yield out
 
 
-def eta_stream(log: DataFrame) -> DataFrame:
-    """K2 as a streaming DataFrame (one state row per job)."""
-    return log.select("name", "ts", "pct_complete").groupBy("name").applyInPandasWithState(
-        _eta_fn, ETA_SCHEMA, ETA_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+class _EtaProcessor(StatefulProcessor):
+    """The same step as ``_eta_fn`` with a ValueState (RocksDB state store)."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", ETA_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        class _State:  # the GroupState-like view _eta_fn expects
+            def __init__(s, vs):
+                s.vs = vs
+
+            @property
+            def exists(s):
+                return s.vs.exists()
+
+            @property
+            def get(s):
+                return tuple(s.vs.get())
+
+            def update(s, v):
+                s.vs.update(v)
+
+        yield from _eta_fn(key, rows, _State(self.last))
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def eta_stream(log: DataFrame, engine: str = "applyInPandasWithState") -> DataFrame:
+    """K2 as a streaming DataFrame (one state row per job).  ``engine`` is
+    ``applyInPandasWithState`` (any state store) or
+    ``transformWithStateInPandas`` (needs the RocksDB state store provider
+    in ``spark.sql.streaming.stateStore.providerClass``)."""
+    g = log.select("name", "ts", "pct_complete").groupBy("name")
+    if engine == "transformWithStateInPandas":
+        if log.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+            raise ValueError(f"set spark.sql.streaming.stateStore.providerClass={ROCKSDB} before starting the query")
+        return g.transformWithStateInPandas(_EtaProcessor(), ETA_SCHEMA, "Append", "None")
+    return g.applyInPandasWithState(_eta_fn, ETA_SCHEMA, ETA_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def eta(spark: SparkSession, in_dir: str, out_path: str, checkpoint: str | None = None, available_now: bool = True,
-        max_files: int | None = None):
+        max_files: int | None = None, engine: str = "applyInPandasWithState"):
     """K2: stream the log and append the ETA of every reading to ``out_path``
     (Parquet).  Returns the query."""
-    s = eta_stream(read_log(spark, in_dir, max_files)).withColumn(
+    s = eta_stream(read_log(spark, in_dir, max_files), engine).withColumn(
         "eta",
         F.when(
             F.col("eta_secs").isNotNull(),
