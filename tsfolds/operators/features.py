@@ -442,7 +442,7 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     Rolling columns use a frame of min(step+1, B+1) rows; Hurst, RSI,
     distances and causal strengths take their defaults (0.5, 50, 1, 1, 0)
     until step > B, after which Hurst and RSI are smoothed recursively (E18).
-    One exchange for the window family (three chained stages), one for the
+    One exchange for the window family (two chained stages), one for the
     smoothing."""
     by = _by(by)
     hs, rs = _hurst_stages(col, B), _rsi_stages(col, B)

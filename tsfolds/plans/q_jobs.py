@@ -53,7 +53,8 @@ def d7_workers_csv(spark, sf_dir):
 @query("d8_worker_map", with_views("select jobname, list(name order by name) as workers from workers group by jobname", "workers"))
 def d8_worker_map(spark, sf_dir):
     """Job -> sorted list of workers."""
-    return jobs.worker_map(v(spark, sf_dir, "workers"))
+    m = jobs.worker_map(v(spark, sf_dir, "workers"))
+    return m.withColumn("workers", F.transform("workers", lambda x: F.when(x.isNotNull(), x)))  # nullable elements, as SQL lists
 
 
 @query("d9_progress", with_views(f""", {STATE_SQL}
