@@ -133,14 +133,19 @@ def _window_array(col: str, B: int, w) -> Column:
     return F.collect_list(col).over(w.rowsBetween(-B, 0))
 
 
-def _percentile_of_last(arr: Column) -> Column:
-    last = F.element_at(arr, -1)
-    return F.size(F.filter(arr, lambda v: v > last)) / F.size(arr)
+def _rank_in_frame(col: str, B: int, w) -> Column:
+    """Share of the B+1-row frame strictly above the current value: B lag
+    comparisons over the count of the frame (codegen, no array)."""
+    above = None
+    for j in range(1, B + 1):
+        t = F.coalesce((F.lag(col, j).over(w) > F.col(col)).cast("int"), F.lit(0))
+        above = t if above is None else above + t
+    return above / F.count(col).over(w.rowsBetween(-B, 0))
 
 
 def rolling_percentile(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", name="spot_rank") -> DataFrame:
     """Share of the B+1-row window strictly greater than the current value."""
-    return blocked.rolling(df, _by(by), order_by, B, lambda w: {name: _percentile_of_last(_window_array(col, B, w))})
+    return blocked.rolling(df, _by(by), order_by, B, lambda w: {name: _rank_in_frame(col, B, w)})
 
 
 def _mean_abs_moves(arr: Column, B: int) -> tuple[Column, Column]:
@@ -452,7 +457,7 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
         d = {
             "ret": F.coalesce(r, F.lit(0.0)),
             "ret_sq": F.coalesce(F.pow(r, 2), F.lit(0.0)),
-            "spot_rank": _percentile_of_last(_window_array(col, B, w)),
+            "spot_rank": _rank_in_frame(col, B, w),
             "_full": F.count(F.lit(1)).over(w.rowsBetween(-(B + 1), -1)) == B + 1,
             "dist_max": safe_div(F.max(col).over(w.rowsBetween(-B, 0)), F.col(col)),
             "dist_min": safe_div(F.col(col), F.min(col).over(w.rowsBetween(-B, 0))),
