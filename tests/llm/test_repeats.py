@@ -52,3 +52,10 @@ def test_empty_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, t), (7, t), (7, t), (8, "short")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in remove_repeats(df).collect())
     assert got == [("7", 40, 40), ("7", 40, 40), ("8", 1, 0), ("None", 40, 40)]
+
+
+def test_versions_of_one_id_do_not_crash(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(7, t), (7, "a short one"), (9, t + " more"), (9, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(df).collect())
+    assert got == [(7, 3, 0), (7, 60, 60), (9, 0, 0), (9, 61, 60)]

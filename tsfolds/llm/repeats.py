@@ -2,6 +2,8 @@
 
 Method: prefix-partitioned suffix trees, cut off at the window's depth.
 
+0. Equal texts are one document: all words of theirs that fill a window go, and one of them
+   stands for them all.
 1. Pruning.  Equal windows hold equal least-hash ``GRAM``-word runs at equal places
    (minimizers), so only windows whose minimizer occurs twice in the corpus can repeat.
    About one word in twelve is such an anchor; only anchors are shuffled.
@@ -31,7 +33,7 @@ PREFIX = 4
 NO_ID = -(1 << 63)
 SINGLE, LEAF, MARKED = 0, 1, 2  # alone in its slice; stands for leaves marked in its slice; marked
 
-_ROWS = "k long, a long, b long, doc long, pos long, kind byte"
+_ROWS = "k int, a long, b int, doc long, pos long, kind byte"
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -57,21 +59,32 @@ def _windows(w: tx.Words, window: int, gram: int):
     return inside, h, grams, _least(grams, window - gram + 1)[inside]
 
 
-def _combine(k, a, b, doc, pos):
-    """Mark what repeats among these rows; one leaf of each repeat and all singles go on."""
+def _half(x: np.ndarray) -> np.ndarray:
+    return (tx.mix(x) >> tx.U(32)).astype(np.uint32).view(np.int32)
+
+
+def _combine(k, a, b, doc, pos, runs: bool):
+    """Mark what repeats among these rows; one leaf of each repeat and all singles go on.
+    ``runs``: marked neighbours become one row, from ``pos`` over ``k`` places."""
     order = np.lexsort((b, a))
     k, a, b, doc, pos = k[order], a[order], b[order], doc[order], pos[order]
     same = np.zeros(len(a) + 1, bool)
     same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    twin, head = same[:-1] | same[1:], ~same[:-1]
-    one = np.flatnonzero(head)
+    twin, one = same[:-1] | same[1:], np.flatnonzero(~same[:-1])
     two = np.flatnonzero(twin)
-    spread = tx.signed(tx.mix(doc[two].view(tx.U)))
-    rows = [(k[one], spread), (a[one], spread), (b[one], spread * 0), (doc[one], doc[two]), (pos[one], pos[two])]
+    if runs:
+        two = two[np.lexsort((pos[two], doc[two]))]
+    d, p = doc[two], pos[two]
+    head = np.ones(len(two), bool)
+    head[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) if runs else True
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, len(two))).astype(np.int32)
+    d, p = d[at], p[at]
+    spread = tx.mix(d.view(tx.U))
+    rows = [(k[one], count), (a[one], tx.signed(spread)), (b[one], _half(spread)), (doc[one], d), (pos[one], p)]
     cols = [np.concatenate(x) for x in rows]
-    cols.append(np.concatenate([np.where(twin[one], LEAF, SINGLE), np.full(len(two), MARKED)]).astype(np.int8))
-    names = ["k", "a", "b", "doc", "pos", "kind"]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+    cols.append(np.concatenate([np.where(twin[one], LEAF, SINGLE), np.full(len(at), MARKED)]).astype(np.int8))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "a", "b", "doc", "pos", "kind"])
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -90,7 +103,7 @@ def _anchors(window: int, gram: int):
                 pick[at] = True
                 at = np.flatnonzero(pick)
                 h = tx.signed(grams[at])
-                yield _combine(h, h, h * 0, _ids(s)[w.doc[at]], h)
+                yield _combine(_half(grams[at]), h, np.zeros(len(h), np.int32), _ids(s)[w.doc[at]], h, False)
 
     return run
 
@@ -100,7 +113,7 @@ def _prefix(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     stop = np.flatnonzero((h >> tx.U(61)) == 0) + 1
     i = np.searchsorted(stop, starts + PREFIX)
     end = np.append(stop, 1 << 62)[i]
-    return tx.signed(tx.ranges_hash(h, starts, np.minimum(end, starts + window), "word2"))
+    return _half(tx.ranges_hash(h, starts, np.minimum(end, starts + window), "word2"))
 
 
 def _suffixes(window: int, gram: int):
@@ -114,9 +127,9 @@ def _suffixes(window: int, gram: int):
                     continue
                 starts = starts[np.isin(grams[at], known.astype(np.int64).view(tx.U))]
                 a = tx.signed(tx.ranges_hash(h, starts, starts + window, "word"))
-                b = tx.signed(tx.ranges_hash(tx.mix(h + tx.U(1)), starts, starts + window, "word2"))
+                b = _half(tx.ranges_hash(tx.mix(h + tx.U(1)), starts, starts + window, "word2"))
                 doc = w.doc[starts]
-                yield _combine(_prefix(h, starts, window), a, b, _ids(s)[doc], starts - w.first[doc])
+                yield _combine(_prefix(h, starts, window), a, b, _ids(s)[doc], starts - w.first[doc], True)
 
     return run
 
@@ -129,7 +142,7 @@ def _marks(it):
             continue
         k, a, b, doc, pos, kind = (np.asarray(c) for c in batch.columns)
         leaf = kind != MARKED
-        out_doc, out_pos = [doc[~leaf]], [pos[~leaf]]
+        out_doc, out_pos, out_n = [doc[~leaf]], [pos[~leaf]], [k[~leaf]]
         k, a, b, doc, pos, kind = (x[leaf] for x in (k, a, b, doc, pos, kind))
         if len(a):
             same = np.zeros(len(a) + 1, bool)
@@ -143,16 +156,16 @@ def _marks(it):
             out_doc.append(doc[twin])
             out_pos.append(pos[twin])
             last = ((k[-1], a[-1], b[-1]), kind[-1], doc[-1], pos[-1], bool(same[-2]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_doc), pa.int64()), pa.array(np.concatenate(out_pos), pa.int64())], ["doc", "pos"]
-        )
+        doc, pos, n = np.concatenate(out_doc), np.concatenate(out_pos), np.concatenate(out_n)
+        n = np.concatenate([n, np.ones(len(doc) - len(n), np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(n, pa.int32())], ["doc", "pos", "n"])
 
 
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """(doc, pos) of all rows whose node occurs twice; nodes are dealt by ``key`` and streamed in order."""
-    return rows.repartition(key).sortWithinPartitions("k", "a", "b").mapInArrow(_marks, "doc long, pos long")
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(doc, pos, n) of all rows whose node occurs twice; nodes are dealt by ``k`` and streamed in order."""
+    return rows.repartition(F.when(F.col("kind") == MARKED, F.col("b")).otherwise(F.col("k"))).sortWithinPartitions("k", "a", "b").mapInArrow(_marks, "doc long, pos long, n int")
 
 
 def _apply(window: int):
@@ -161,13 +174,19 @@ def _apply(window: int):
             for s in tx.slices(batch, "text"):
                 get = lambda c, s=s: s.column(s.schema.get_field_index(c))
                 w = tx.split(get("text"))
-                found = get("found")
+                found, whole = get("found"), np.asarray(get("copied").fill_null(False).to_numpy(zero_copy_only=False), bool)
                 cover = np.zeros(len(w.starts) + window + 1, np.int32)
                 lens = np.diff(np.asarray(found.offsets)) if len(found) else np.zeros(0, int)
                 doc = np.repeat(np.arange(len(found)), np.where(np.asarray(found.is_valid()), lens, 0))
-                at = np.unique(w.first[doc] + found.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                runs = found.flatten()
+                start = w.first[doc] + runs.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                end = np.minimum(start + runs.field(1).to_numpy(zero_copy_only=False) + window - 1, w.first[doc + 1])
+                fits = end - start >= window
+                np.add.at(cover, start[fits], 1)
+                np.add.at(cover, end[fits], -1)
+                every = np.flatnonzero(whole & (np.diff(w.first) >= window))
+                np.add.at(cover, w.first[every], 1)
+                np.add.at(cover, w.first[every + 1], -1)
                 gone = np.cumsum(cover)[: len(w.starts)] > 0
                 n_gone = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
                 raw = w.data.tobytes()
@@ -178,28 +197,40 @@ def _apply(window: int):
                         keep = ~gone[w.first[i] : w.first[i + 1]]
                         words = [x for x, k in zip(words, keep, strict=True) if k]
                     texts.append(b" ".join(words).decode("utf-8", "replace"))
-                cols = [s.column(i) for i, f in enumerate(s.schema) if f.name != "found"]
-                names = [f.name for f in s.schema if f.name != "found"]
-                cols += [pa.array(np.diff(w.first), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "kept_text"])
+                cols = [get("doc"), get("text"), get("rest"), pa.array(np.diff(w.first), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "text", "rest", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``text`` of every row and ``n_words``, ``n_removed``, ``kept_text``: the words of the
-    text without those that lie in a run of ``window`` words which also starts elsewhere (same document
-    included), joined by one space.
+    """All columns of ``docs`` and ``n_words``, ``n_removed``, ``kept_text``: the words of the text without those
+    that lie in a run of ``window`` words which also starts elsewhere (same document included), joined by
+    one space.  Columns of these names are replaced.
 
     Nulls and empty texts: no words, an empty ``kept_text``.  Texts shorter than the window keep all
     words.  Rows that share a ``doc_id`` (or have none) are versions of one document: each counts as an
-    occurrence, and a place marked in one is marked in all.  Other columns are not looked at.
+    occurrence, and a place marked in one is marked in all.  Other columns pass through.
     """
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    anchors = _repeated(base.select("doc", "text").mapInArrow(_anchors(window, gram), _ROWS), "k")
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    kind = docs.schema["doc_id"].dataType
+    others = [c for c in own if c not in ("doc_id", "text")]
+    rest = (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), rest)
+    same = ["h1", "h2", "size"]
+    keys = base.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("size"))
+    groups = keys.groupBy(*same).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    copied = keys.join(groups, same).groupBy("doc").agg(F.max(F.col("doc") == F.col("least")).alias("stands"), F.lit(True).alias("copied"))
+    # doc, text and rest go to Python together each time, so that one exchange of the texts serves all three
+    rows = base.join(copied, "doc", "left")
+    rep = rows.where(F.coalesce("stands", F.lit(True))).select("doc", "text", "rest")
+    anchors = _repeated(rep.mapInArrow(_anchors(window, gram), _ROWS))
     known = anchors.groupBy("doc").agg(F.collect_set("pos").alias("found"))
-    suffixes = base.join(known, "doc").select("doc", "text", "found").mapInArrow(_suffixes(window, gram), _ROWS)
-    marks = _repeated(suffixes, "k").groupBy("doc").agg(F.collect_list("pos").alias("found"))
-    out = base.join(marks, "doc", "left").select("doc_id", "text", "found")
-    return out.mapInArrow(_apply(window), f"doc_id {kind}, text string, n_words long, n_removed long, kept_text string")
+    suffixes = rep.join(known, "doc").select("doc", "text", "rest", "found").mapInArrow(_suffixes(window, gram), _ROWS)
+    marks = _repeated(suffixes).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
+    out = rows.join(marks, "doc", "left").select("doc", "text", "rest", "copied", "found")
+    schema = tx.extended(base.schema, n_words="long", n_removed="long", kept_text="string")
+    out = out.mapInArrow(_apply(window), schema)
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind).alias("doc_id")
+    named = {"doc_id": doc_id, "text": F.col("text"), **{c: F.col("rest").getField(c).alias(c) for c in others}}
+    return out.select(*(named[c] for c in own), "n_words", "n_removed", "kept_text")

@@ -125,3 +125,13 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES):
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def extended(schema, **columns: str):
+    """``schema`` with more columns (the given schema stays as it is)."""
+    from pyspark.sql.types import DataType, StructType
+
+    out = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, DataType.fromDDL(kind))
+    return out
