@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,16 +38,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) a scratch
-    folder is created and registered."""
+    """The session's checkpoint folder.  It is set once: to the shared folder that
+    the cluster names in ``spark.checkpoint.dir``; where that is unset, a local
+    session gets a scratch folder and any other session an error."""
+    d = spark.sparkContext.getCheckpointDir()
+    if d:
+        return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="tsfolds-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="tsfolds-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
-    return d
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df):
