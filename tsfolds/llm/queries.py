@@ -20,9 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    from tsfolds.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query
+def op5_pii_crf(spark, sf_dir):
+    from tsfolds.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii", lambda s: (s["kind"] == kind) & s["base"])).cast("long").alias(f"n_{kind}")
+    base = joined(F.filter("pii", lambda s: s["base"]))
+    return pii.find(docs, pii.fit(docs)).select("doc_id", *map(count, pii.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+@query
+def op6_quality_crf(spark, sf_dir):
+    from tsfolds.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, fitted).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_substring_dedup(spark, sf_dir):
     from tsfolds.llm.repeats import remove_repeats
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from tsfolds.llm.packing import VOCABULARY, pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
