@@ -188,7 +188,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     or have none are packed each by itself.  Other columns are not looked at.  An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut(base.mapInArrow(_pieces(path, size, end), _PIECES))
+    pieces = cut(base.transform(tx.arrow, _pieces(path, size, end), _PIECES))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     rows, taken, sequence = [], dict.fromkeys(counts, 0), 0
     for lengths, times in plan({n: c for n, c in counts.items() if n < size}, size):
@@ -209,6 +209,6 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     ranked = held.withColumn("place", F.row_number().over(local) - 1).join(per, ["length", "block"])
     own = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*own, (F.col("before") + F.col("place")).alias("rank"))
-    placed = ranked.mapInArrow(_places(sorted(rows)), _PIECES + ", sequence_id long, offset long")
+    placed = ranked.transform(tx.arrow, _places(sorted(rows)), _PIECES + ", sequence_id long, offset long")
     full = pieces.where(F.col("length") == size).select(*own, (F.monotonically_increasing_id() + sequence).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)

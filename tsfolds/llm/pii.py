@@ -334,7 +334,7 @@ def find(docs: DataFrame, model) -> DataFrame:
     own = [c for c in docs.columns if c != "pii"]
     df = docs.select(*own).withColumn("text", F.col("text").cast("string"))
     schema = tx.extended(df.schema, pii="array<struct<start:long,kind:string,end:long,base:boolean>>")
-    return df.mapInArrow(_scan(model, own), schema)
+    return df.transform(tx.arrow, _scan(model, own), schema)
 
 
 def _masked(texts, spans):
@@ -364,4 +364,4 @@ def mask(docs: DataFrame, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([text if c == "text" else get(c) for c in own], own)
 
     found = find(docs, model)
-    return found.mapInArrow(run, found.select(*own).schema)
+    return found.transform(tx.arrow, run, found.select(*own).schema)

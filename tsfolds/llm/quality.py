@@ -166,5 +166,5 @@ def classify(docs: DataFrame, fitted, threshold: float = THRESHOLD) -> DataFrame
     replaced.  Every row is scored by itself, so ties and repeated rows score alike."""
     own = [c for c in docs.columns if c not in ("score", "predicted")]
     df = docs.select(*own).withColumn("text", F.col("text").cast("string"))
-    out = df.mapInArrow(_scores(fitted, own), tx.extended(df.schema, score="double"))
+    out = df.transform(tx.arrow, _scores(fitted, own), tx.extended(df.schema, score="double"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -165,7 +165,7 @@ def _marks(it):
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """(doc, pos, n) of all rows whose node occurs twice; nodes are dealt by ``k`` and streamed in order."""
-    return rows.repartition(F.when(F.col("kind") == MARKED, F.col("b")).otherwise(F.col("k"))).sortWithinPartitions("k", "a", "b").mapInArrow(_marks, "doc long, pos long, n int")
+    return rows.repartition(F.when(F.col("kind") == MARKED, F.col("b")).otherwise(F.col("k"))).sortWithinPartitions("k", "a", "b").transform(tx.arrow, _marks, "doc long, pos long, n int")
 
 
 def _apply(window: int):
@@ -224,13 +224,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     # doc, text and rest go to Python together each time, so that one exchange of the texts serves all three
     rows = base.join(copied, "doc", "left")
     rep = rows.where(F.coalesce("stands", F.lit(True))).select("doc", "text", "rest")
-    anchors = _repeated(rep.mapInArrow(_anchors(window, gram), _ROWS))
+    anchors = _repeated(rep.transform(tx.arrow, _anchors(window, gram), _ROWS))
     known = anchors.groupBy("doc").agg(F.collect_set("pos").alias("found"))
-    suffixes = rep.join(known, "doc").select("doc", "text", "rest", "found").mapInArrow(_suffixes(window, gram), _ROWS)
+    suffixes = rep.join(known, "doc").select("doc", "text", "rest", "found").transform(tx.arrow, _suffixes(window, gram), _ROWS)
     marks = _repeated(suffixes).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
     out = rows.join(marks, "doc", "left").select("doc", "text", "rest", "copied", "found")
     schema = tx.extended(base.schema, n_words="long", n_removed="long", kept_text="string")
-    out = out.mapInArrow(_apply(window), schema)
+    out = out.transform(tx.arrow, _apply(window), schema)
     doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind).alias("doc_id")
     named = {"doc_id": doc_id, "text": F.col("text"), **{c: F.col("rest").getField(c).alias(c) for c in others}}
     return out.select(*(named[c] for c in own), "n_words", "n_removed", "kept_text")

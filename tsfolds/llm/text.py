@@ -135,3 +135,11 @@ def extended(schema, **columns: str):
     for name, kind in columns.items():
         out = out.add(name, DataType.fromDDL(kind))
     return out
+
+
+def arrow(df, fn, schema):
+    """``df.mapInArrow(fn, schema)`` with this package shipped to the workers."""
+    from tsfolds.session import ship
+
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
