@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsfolds.llm.licences import scan_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,6 +29,30 @@ def op1_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    from tsfolds.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query
+def op3_multiset_fingerprint(spark, sf_dir):
+    from tsfolds.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_licence_digest(spark, sf_dir):
+    from tsfolds.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_licence_digest"] = scan_sql()
+
+
 @query
 def op5_pii_crf(spark, sf_dir):
     from tsfolds.llm import pii
@@ -62,3 +88,10 @@ def op9_best_fit_packing(spark, sf_dir):
     from tsfolds.llm.packing import VOCABULARY, pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op10_host_paths(spark, sf_dir):
+    from tsfolds.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
