@@ -81,6 +81,20 @@ def op7_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op8_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from tsfolds.llm import pieces
+
+    vocabulary = pieces.read_vocabulary(public_tokenizers.path(pieces.VOCABULARY))
+    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    out = pieces.decode(ids, vocabulary)
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), same)
+
+
 @query
 def op9_best_fit_packing(spark, sf_dir):
     import public_tokenizers
