@@ -55,9 +55,11 @@ def test_causal_filter_and_strength(spark):
     df = series(spark, X).withColumn("f", (F.datediff("date", F.lit(D0)).cast("double")) ** 2)
     r = features.causal_strength(df, "spot", ["f"])
     assert last(r, "causal_f") == pytest.approx(-0.6336170186613116, abs=1e-12)
-    arr = spark.createDataFrame([([float(v) for v in X],)], "x array<double>").select(features.causal_filter(F.col("x")).alias("y")).first()["y"]
+    from tsfolds.plans import blocked
+
     exp = [10, 6, 2.5, 2.75, 0.875, 1.4375, 1.21875, -0.390625, 0.604688, 1.002344, 0.101172]
-    assert [round(v, 6) for v in arr] == pytest.approx(exp, abs=1e-6)
+    y = blocked.rolling(series(spark, X), ["ticker"], "date", 10, features._causal_stages("spot", [], 10))
+    assert [round(last(y, f"_y{i}"), 6) for i in range(11)] == pytest.approx(exp, abs=1e-6)
 
 
 def test_rogers_satchell(spark):

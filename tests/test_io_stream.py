@@ -104,7 +104,7 @@ def test_stream_progress_equals_batch(spark, tmpdir_):
     out = os.path.join(tmpdir_, "progress")
     q = stream.progress(spark, src, out, 1000, checkpoint=os.path.join(tmpdir_, "ck1"))
     q.awaitTermination(120)
-    got = {r["parent"]: r["pct_complete"] for r in spark.read.parquet(out).collect()}
+    got = {r["parent"]: r["pct_complete"] for r in stream.read_progress(spark, out).collect()}
     st = jobs.current_state(log).withColumn("parent", F.split("name", r"\.")[0])
     exp = {r["parent"]: r["pct_complete"] for r in jobs.progress(st, 1000).collect()}
     assert got.keys() == exp.keys()
@@ -112,6 +112,18 @@ def test_stream_progress_equals_batch(spark, tmpdir_):
         assert got[k] == pytest.approx(exp[k])
 
 
+def test_two_streams_without_a_checkpoint_name_and_a_restart(spark, tmpdir_):
+    src, outs = os.path.join(tmpdir_, "log"), [os.path.join(tmpdir_, f"progress{i}") for i in range(2)]
+    _write_log_parts(spark, src, 2)
+    for out in outs:
+        stream.progress(spark, src, out, 1000).awaitTermination(120)
+    first = [sorted(map(tuple, stream.read_progress(spark, out).collect())) for out in outs]
+    assert first[0] == first[1]
+    before = sorted(os.listdir(outs[0]))
+    stream.progress(spark, src, outs[0], 1000).awaitTermination(120)  # a restart finds nothing new
+    assert sorted(os.listdir(outs[0])) == before
+
+
 def test_stream_eta_equals_batch(spark, tmpdir_):
     src = os.path.join(tmpdir_, "log")
     log = _write_log_parts(spark, src)

@@ -29,11 +29,6 @@ def safe_ln(x) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
-def nan_to_null(x) -> Column:
-    x = col(x)
-    return F.when(~F.isnan(x), x)
-
-
 def fill_nan(x, value: float = 0.0) -> Column:
     """Replace NaN (not NULL) by ``value``."""
     return F.nanvl(col(x), F.lit(float(value)))
@@ -74,16 +69,6 @@ def ols_weights(xs: Sequence[float]) -> list[float]:
     return [(v - m) / sxx for v in xs]
 
 
-def ols_slope(xs: Sequence[float], ys: Sequence[Column]) -> Column:
-    """Least-squares slope of ys on fixed xs; NULL if any y is NULL."""
-    w = ols_weights(xs)
-    out = None
-    for wi, yi in zip(w, ys):
-        term = yi * F.lit(wi)
-        out = term if out is None else out + term
-    return out
-
-
 def log_lags(lags: Sequence[int]) -> list[float]:
     return [math.log(v) for v in lags]
 

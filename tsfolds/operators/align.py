@@ -26,9 +26,10 @@ def merge_series(long: DataFrame, ids: Sequence[str] | None = None, sid: str = "
                  value: str = "value") -> DataFrame:
     """Full outer merge of the series on date — one row per date that
     any series has, one column per id (NULL where a series has no value).
-    Pivot with an explicit id list (no extra job to find the values)."""
+    Pivot with an explicit id list (no extra job to find the values).  Of several
+    values of a series on a date the greatest counts."""
     ids = list(ids) if ids is not None else series_ids(long, sid)
-    return long.where(F.col(sid).isin(ids)).groupBy(date_col).pivot(sid, ids).agg(F.first(value, ignorenulls=True))
+    return long.where(F.col(sid).isin(ids)).groupBy(date_col).pivot(sid, ids).agg(F.max(value))
 
 
 def merge_pairwise(frames: Sequence[DataFrame], date_col: str = "date") -> DataFrame:
@@ -100,10 +101,29 @@ def combine(long: DataFrame, a: str, b: str, op: str, name: str, sid: str = "ser
     return j.select(F.lit(name).alias(sid), date_col, val.alias(value))
 
 
+def with_crosses(long: DataFrame, crosses: Sequence[tuple[str, str, str, str]], sid: str = "series_id", date_col: str = "date",
+                 value: str = "value") -> DataFrame:
+    """``long`` with cross series (name, a, b, "mul" or "div") of two of its series added."""
+    out = long.select(sid, date_col, value)
+    for name, a, b, op in crosses:
+        out = out.unionByName(combine(long, a, b, op, name, sid, date_col, value))
+    return out
+
+
+def macro_market(panel: DataFrame, market: DataFrame, crosses: Sequence[tuple[str, str, str, str]] = (),
+                 ids: Sequence[str] | None = None) -> DataFrame:
+    """The second half of the macro build: market series and their crosses merged wide, joined in
+    full to the release panel on the date, then filled forward over all dates."""
+    wide = merge_series(with_crosses(market, crosses), ids)
+    both = panel.join(wide, "date", "full")
+    return clean.ffill(both, [c for c in both.columns if c != "date"], None, "date")
+
+
 def macro_build(obs: DataFrame, releases: DataFrame, conf: DataFrame, ids: Sequence[str] | None = None) -> DataFrame:
     """SURVEY 3.4 as one job: per-series percent change (E3), forward as-of to
     the release date (C3), first value per release (D3), one pivot (C1), a
-    daily spine (C4), forward fill (E1) and dropna (B6)."""
+    daily spine (C4), forward fill (E1) and dropna (B6).  ``macro_market`` adds the
+    market series."""
     from tsfolds.operators.features import pct_change_by_conf
 
     from tsfolds.session import cut

@@ -9,6 +9,7 @@ Frames are row based: on a gappy ticker a B-row frame spans more dates
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,10 +130,6 @@ def range_distance(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", o
     )
 
 
-def _window_array(col: str, B: int, w) -> Column:
-    return F.collect_list(col).over(w.rowsBetween(-B, 0))
-
-
 def _rank_in_frame(col: str, B: int, w) -> Column:
     """Share of the B+1-row frame strictly above the current value: B lag
     comparisons over the count of the frame (codegen, no array)."""
@@ -148,20 +145,6 @@ def rolling_percentile(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker
     return blocked.rolling(df, _by(by), order_by, B, lambda w: {name: _rank_in_frame(col, B, w)})
 
 
-def _mean_abs_moves(arr: Column, B: int) -> tuple[Column, Column]:
-    steps = F.sequence(F.lit(2), F.size(arr))
-    up = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.greatest(F.element_at(arr, i) - F.element_at(arr, i - 1), F.lit(0.0)))
-    dn = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.greatest(F.element_at(arr, i - 1) - F.element_at(arr, i), F.lit(0.0)))
-    n = F.size(arr) - 1
-    ok = F.size(arr) > 1
-    return F.when(ok, safe_div(up, n)), F.when(ok, safe_div(dn, n))
-
-
-def rsi_from_array(arr: Column, B: int) -> Column:
-    g, l = _mean_abs_moves(arr, B)
-    return F.when(l == 0, F.lit(100.0)).otherwise(100.0 - 100.0 / (1.0 + g / l))
-
-
 def _rsi_stages(col: str, B: int):
     """Stage 1: first difference; stage 2: mean gain / loss over B rows."""
     dx = F.col("_dx")
@@ -192,25 +175,6 @@ def hurst_lags(B: int) -> list[int]:
     return list(range(2, B // 2))
 
 
-def _std_pop_of_lag_diffs(arr: Column, L: int) -> Column:
-    idx = F.sequence(F.lit(L + 1), F.size(arr))
-    d = F.transform(idx, lambda i: F.element_at(arr, i) - F.element_at(arr, i - L))
-    n = F.size(d)
-    mean = safe_div(F.aggregate(d, F.lit(0.0), lambda a, v: a + v), n)
-    ss = F.aggregate(d, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.when(F.size(arr) > L, F.sqrt(safe_div(ss, n)))
-
-
-def hurst_from_array(arr: Column, B: int) -> Column:
-    lags = hurst_lags(B)
-    ws = ols_weights(log_lags(lags))
-    out = None
-    for L, wl in zip(lags, ws):
-        term = safe_ln(_std_pop_of_lag_diffs(arr, L)) * F.lit(wl)
-        out = term if out is None else out + term
-    return out
-
-
 def _hurst_stages(col: str, B: int):
     """Stage 1: lagged differences per lag; stage 2: their population std
     over the part of the B+1-row window where they exist, and the row count."""
@@ -247,10 +211,10 @@ def hurst(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="
     return x.withColumn(name, _hurst_value(B)).drop(*_hurst_cols(B))
 
 
-def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date") -> DataFrame:
+def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date", max_lag: int = 300) -> DataFrame:
     """Structure-function Hurst exponent of a whole series per key.
 
-    Lags start at L0 = min(n // 2, 300) and are halved (integer) while > 2;
+    Lags start at L0 = min(n // 2, max_lag) and are halved (integer) while > 2;
     for each lag, tau_L = sqrt(mean((x[j+L] - x[j])^2) / mean(x[j])) over
     j < n - L; H = end-point slope of log10 tau on log10 L (first and last
     lag).  The lagged differences come from an equi-join on (key, row index
@@ -259,7 +223,7 @@ def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date") ->
     by = _by(by)
     idx = blocked.rolling(df.select(*by, order_by, col), by, order_by, 0, lambda w: {}, with_step="_i")
     n = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"))
-    l0 = F.least(F.floor(F.col("_len") / 2), F.lit(300)).cast("long")
+    l0 = F.least(F.floor(F.col("_len") / 2), F.lit(max_lag)).cast("long")
     lags = n.select(
         *by,
         F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.floor(l0 / F.pow(F.lit(2), k)).cast("long")), lambda L: L > 2)).alias("_L"),
@@ -275,58 +239,82 @@ def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date") ->
         F.max_by("_tau", "_L").alias("_tau_hi"), F.max("_L").alias("_L_hi"),
         F.min_by("_tau", "_L").alias("_tau_lo"), F.min("_L").alias("_L_lo"),
     )
-    return ends.select(
-        *by,
-        safe_div(
-            F.log10(F.col("_tau_hi")) - F.log10(F.col("_tau_lo")),
-            F.log10(F.col("_L_hi")) - F.log10(F.col("_L_lo")),
-        ).alias("hurst_structure"),
+    value = safe_div(
+        F.log10(F.col("_tau_hi")) - F.log10(F.col("_tau_lo")),
+        F.log10(F.col("_L_hi")) - F.log10(F.col("_L_lo")),
     )
+    # a series too short for a lag keeps its row, with NULL
+    return blocked.null_safe_join(n, ends, by, "left").select(*by, value.alias("hurst_structure"))
 
 
-def causal_filter(arr: Column) -> Column:
-    """lfilter([1, -1], [1, -0.5]) from zero state over an array:
-    y_t = x_t - x_{t-1} + 0.5 y_{t-1}."""
-    init = F.struct(F.lit(0.0).alias("px"), F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("ys"))
+def _causal_stages(spot: str, cols: Sequence[str], B: int):
+    """Stage 1: the lagged values of the frame (``_x0`` the oldest of B+1 rows) and its row count; stage 2: the
+    filtered spot of each row of the frame; stage 3: means.  Rows before the key's first are left out.
 
-    def step(acc, x):
-        y = x - acc["px"] + F.lit(0.5) * acc["y"]
-        return F.struct(x.alias("px"), y.alias("y"), F.concat(acc["ys"], F.array(y)).alias("ys"))
+    The filter y_j = x_j - x_{j-1} + y_{j-1} / 2 from zero state has the impulse response 1, -1/2, -1/4,
+    -1/8, ..., so every y is a fixed combination of the lags."""
 
-    return F.aggregate(arr, init, step, lambda acc: acc["ys"])
+    def lags(w):
+        out = {f"_x{i}": F.lag(spot, B - i).over(w) if i < B else F.col(spot) for i in range(B + 1)}
+        for c in cols:
+            out |= {f"_c{i}_{c}": F.lag(c, B - i).over(w) if i < B else F.col(c) for i in range(B + 1)}
+        return out | {"_rows": F.count(F.lit(1)).over(w.rowsBetween(-B, 0))}
 
+    def there(i):
+        return F.col("_rows") > B - i
 
-def _array_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation of two equally long arrays; NULL when undefined."""
-    n = F.size(a)
-    ma = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / n
-    mb = F.aggregate(b, F.lit(0.0), lambda s, v: s + v) / n
-    z = F.arrays_zip(a.alias("a"), b.alias("b"))
-    sab = F.aggregate(z, F.lit(0.0), lambda s, e: s + (e["a"] - ma) * (e["b"] - mb))
-    saa = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - ma) * (v - ma))
-    sbb = F.aggregate(b, F.lit(0.0), lambda s, v: s + (v - mb) * (v - mb))
-    return F.try_divide(sab, F.sqrt(saa * sbb))
+    def filtered(_):
+        def y(i):
+            out = F.col(f"_x{i}")
+            for d in range(1, i + 1):
+                out = out - F.when(there(i - d), F.lit(0.5**d) * F.col(f"_x{i - d}")).otherwise(F.lit(0.0))
+            return F.when(there(i), out)
 
+        return {f"_y{i}": y(i) for i in range(B + 1)}
 
-def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int = DEFAULT_B, by="ticker", order_by="date") -> DataFrame:
-    """Filter the spot window from zero state (restarted in each window),
-    then correlate it with each feature's window; undefined -> 0."""
+    def mean(names):
+        total = None
+        for i, n in enumerate(names):
+            t = F.when(there(i), F.col(n)).otherwise(F.lit(0.0))
+            total = t if total is None else total + t
+        return total / F.col("_rows")
 
-    def build(w):
-        xs = _window_array(spot, B, w)
-        ys = causal_filter(xs)
-        out = {}
-        for c in cols:
-            out[f"causal_{c}"] = F.coalesce(_array_corr(ys, _window_array(c, B, w)), F.lit(0.0))
-        return out
+    def means(_):
+        return {"_my": mean([f"_y{i}" for i in range(B + 1)])} | {f"_m_{c}": mean([f"_c{i}_{c}" for i in range(B + 1)]) for c in cols}
+
+    return [lags, filtered, means]
+
+
+def _causal_value(c: str, B: int) -> Column:
+    """Correlation of the filtered spot with a feature over the frame; 0 where it is undefined."""
+    sab = saa = sbb = F.lit(0.0)
+    for i in range(B + 1):
+        there = F.col("_rows") > B - i
+        dy, dc = F.col(f"_y{i}") - F.col("_my"), F.col(f"_c{i}_{c}") - F.col(f"_m_{c}")
+        sab, saa, sbb = (t + F.when(there, v).otherwise(F.lit(0.0)) for t, v in ((sab, dy * dc), (saa, dy * dy), (sbb, dc * dc)))
+    flat = F.greatest(*[F.col(f"_c{i}_{c}") for i in range(B + 1)]) == F.least(*[F.col(f"_c{i}_{c}") for i in range(B + 1)])
+    return F.coalesce(F.when(~flat, F.try_divide(sab, F.sqrt(saa * sbb))), F.lit(0.0))
 
-    return blocked.rolling(df, _by(by), order_by, B, build)
+
+def _causal_cols(cols: Sequence[str], B: int) -> list[str]:
+    out = ["_rows", "_my"]
+    for i in range(B + 1):
+        out += [f"_x{i}", f"_y{i}", *[f"_c{i}_{c}" for c in cols]]
+    return out + [f"_m_{c}" for c in cols]
+
+
+def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int = DEFAULT_B, by="ticker", order_by="date") -> DataFrame:
+    """Filter the spot window from zero state (restarted in each window),
+    then correlate it with each feature's window; undefined (a constant or missing
+    value in the window) -> 0.  Lag columns and plain sums, no arrays."""
+    x = blocked.rolling(df, _by(by), order_by, B, _causal_stages(spot, cols, B))
+    return x.withColumns({f"causal_{c}": _causal_value(c, B) for c in cols}).drop(*_causal_cols(cols, B))
 
 
 # --------------------------------------------------------------------------- recursive smoothing
 
 
-EPOCH = 256  # updates per epoch of the smoothing scan
+FORGOTTEN = 230.0  # an epoch is so long that older updates weigh below exp(-230)
 
 
 def wilder_smooth(
@@ -334,48 +322,41 @@ def wilder_smooth(
     step="step", name: str | None = None,
 ) -> DataFrame:
     """``s_t = (v_t + (B-1) s_{t-1}) / B`` from ``seed``, updated only
-    while ``step > B`` (``step`` is the 0-based row index of the key).
+    while ``step > B`` (``step`` is the 0-based row index of the key).  A NULL
+    value is skipped: it leaves the state as it is and its own row is NULL.
 
-    Closed form with k = step - B updates so far and a = (B-1)/B:
+    Closed form with k = number of updates so far and a = (B-1)/B:
     ``s = a^k seed + (1/B) sum_{u<=k} a^(k-u) v_u``.  Updates are cut into
-    epochs of 256; inside an epoch the sum is a running sum of
-    ``a^(epoch start - u) v_u`` (weights stay within a^-255), and the earlier
-    epochs enter through their totals, weighted a^256 and a^512 — older ones
-    weigh below 1e-23 and vanish in double precision.  All plain window sums
-    over partitions of at most 256 rows: exact, codegen, and a hot key is
-    split by construction.  A NULL value contributes nothing and gives a
-    NULL on its own row.  ``col`` may be a dict ``{name: (column, seed)}``."""
+    epochs of ``FORGOTTEN / -ln a`` updates; inside an epoch the sum is a running
+    sum of ``a^-(place in the epoch) v``, and the epoch before it enters through its
+    total.  Updates older than that weigh below exp(-230) and vanish in double
+    precision, for every B.  Window sums only; a hot key is split by epochs.
+    ``col`` may be a dict ``{name: (column, seed)}``."""
     specs = col if isinstance(col, dict) else {name or f"{col}_smooth": (col, seed)}
-    by = _by(by)
+    if B < 1:
+        raise ValueError("B must be at least 1")
+    by, own = _by(by), list(df.columns)
+    counts = {f"_k_{n}": ("count", F.when(F.col(step) > B, F.col(c))) for n, (c, _) in specs.items()}
+    x = blocked.running(df, by, order_by, counts)
     a = (B - 1.0) / B
-    k = F.col(step) - F.lit(B)
-    ep = F.floor((k - 1) / EPOCH).cast("long")  # epoch of update k (k >= 1)
-    x = df.withColumn("_k", k).withColumn("_ep", F.when(k >= 1, ep))
-    rel = F.col("_ep") * EPOCH + 1 - F.col("_k")  # epoch start minus k, in [-(EPOCH-1), 0]
-    terms = {f"_c_{n}": F.when(F.col("_k") >= 1, F.pow(F.lit(a), rel) * F.col(c)) for n, (c, _) in specs.items()}
-    x = x.withColumns(terms)
-    w = Window.partitionBy(*by, "_ep").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({f"_r_{n}": F.sum(f"_c_{n}").over(w) for n in specs})
-    tot = x.where(F.col("_ep").isNotNull()).groupBy(*by, "_ep").agg(*[F.sum(f"_c_{n}").alias(f"_t_{n}") for n in specs])
-    # epochs are consecutive: the totals of epochs e-1 and e-2 for epoch e
-    # come from one row of the (small) totals table and a lag over it
-    wt = Window.partitionBy(*by).orderBy("_ep")
-    prev = tot.select(
-        *by,
-        (F.col("_ep") + 1).alias("_ep"),
-        *[F.col(f"_t_{n}").alias(f"_t1_{n}") for n in specs],
-        *[F.lag(f"_t_{n}").over(wt).alias(f"_t2_{n}") for n in specs],
-    )
-    x = x.join(prev, [*by, "_ep"], "left")
-    out = {}
     for n, (c, sd) in specs.items():
-        carry = F.lit(a ** EPOCH) * F.coalesce(F.col(f"_t1_{n}"), F.lit(0.0)) + F.lit(a ** (2 * EPOCH)) * F.coalesce(
-            F.col(f"_t2_{n}"), F.lit(0.0)
-        )
-        val = F.pow(F.lit(a), F.col("_k")) * F.lit(float(sd)) + F.lit(1.0 / B) * F.pow(F.lit(a), -rel) * (F.col(f"_r_{n}") + carry)
-        out[n] = F.when(F.col("_k") < 1, F.lit(float(sd))).when(F.col(c).isNotNull(), val)
-    drop = ["_k", "_ep"] + [f"_{p}_{n}" for n in specs for p in ("c", "r", "t1", "t2")]
-    return x.withColumns(out).drop(*drop)
+        k, sd = F.col(f"_k_{n}"), F.lit(float(sd))
+        update = (F.col(step) > B) & F.col(c).isNotNull()
+        if B == 1:  # nothing is kept of the state
+            x = x.withColumn(n, F.when(update, F.col(c).cast("double")).when(F.col(step) <= B, sd))
+            continue
+        length = max(1, math.ceil(FORGOTTEN / -math.log(a)))
+        x = x.withColumn("_ep", F.floor((k - 1) / F.lit(length)).cast("long"))  # -1 before the first update
+        place = k - F.col("_ep") * length  # 1 .. length
+        x = x.withColumn("_c", F.when(update, F.pow(F.lit(a), -place) * F.col(c)))
+        w = Window.partitionBy(*by, "_ep").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
+        total = x.where("_ep >= 0").groupBy(*by, "_ep").agg(F.sum("_c").alias("_t"))
+        before = total.select(*by, (F.col("_ep") + 1).alias("_ep"), (F.col("_t") * F.lit(a**length)).alias("_before"))
+        x = blocked.null_safe_join(x.withColumn("_r", F.sum("_c").over(w)), before, [*by, "_ep"], "left")
+        sums = F.coalesce(F.col("_r"), F.lit(0.0)) + F.coalesce(F.col("_before"), F.lit(0.0))
+        val = F.pow(F.lit(a), k) * sd + F.lit(1.0 / B) * F.pow(F.lit(a), place) * sums
+        x = x.withColumn(n, F.when(F.col(step) <= B, sd).when(update, val)).drop("_ep", "_c", "_r", "_before")
+    return x.select(*[c for c in own if c not in specs], *specs)
 
 
 # --------------------------------------------------------------------------- tensors, pairs
@@ -386,7 +367,7 @@ def lag_tensor(df: DataFrame, cols: Sequence[str], n: int, by="ticker", order_by
     the front with the first vector while fewer than ``n`` exist."""
 
     def build(w):
-        arr = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w.rowsBetween(-(n - 1), 0))
+        arr = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(w.rowsBetween(-(n - 1), 0))  # arrays are never NULL
         pad = F.array_repeat(F.element_at(arr, 1), F.lit(n) - F.size(arr))
         return {name: F.concat(pad, arr)}
 
@@ -397,41 +378,40 @@ def trailing_vector(df: DataFrame, col: str, B: int = DEFAULT_B, by="run_id", or
     """The last B values of ``col`` (zeros in front while fewer exist)."""
 
     def build(w):
-        arr = F.collect_list(F.col(col).cast("double")).over(w.rowsBetween(-(B - 1), 0))
+        # wrapped, so that a NULL keeps its place in the vector
+        arr = F.collect_list(F.struct(F.col(col).cast("double").alias("v"))).over(w.rowsBetween(-(B - 1), 0))["v"]
         return {name: F.concat(F.array_repeat(F.lit(0.0), F.lit(B) - F.size(arr)), arr)}
 
     return blocked.rolling(df, _by(by), order_by, B - 1, build)
 
 
-def symbol_pairs(df: DataFrame, ticker="ticker", broadcast_below: int = 2000) -> DataFrame:
-    """The upper triangle (a <= b) of the symbol universe, as an equi-join:
-    symbols are ranked, each rank is exploded to the ranks at or above it,
-    and the partner is joined back on its rank (no theta or cross join).
-    One small count on the driver sizes it; the table (n(n+1)/2 rows) is
-    broadcast only below ``broadcast_below`` symbols, else AQE plans it."""
-    syms = df.select(F.col(ticker).alias("a")).distinct()
-    n = syms.count()
-    ranked = syms.withColumn("_r", F.row_number().over(Window.orderBy("a")) - 1)  # one row per symbol
-    pairs = ranked.select("a", F.explode(F.sequence(F.col("_r"), F.lit(n - 1))).alias("_rb")).join(
+def symbol_pairs(df: DataFrame, ticker="ticker") -> DataFrame:
+    """The upper triangle (a <= b) of a symbol universe, as an equi-join:
+    symbols are ranked, each rank is exploded to the ranks at or above it, and
+    the partner is joined back on its rank (no theta or cross join).  Its n(n+1)/2
+    rows are what is asked for; a large universe gives its own ``pairs`` instead."""
+    ranked = df.select(F.col(ticker).alias("a")).where(F.col(ticker).isNotNull()).distinct()
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.orderBy("a")))  # one row per symbol
+    n = ranked.agg(F.max("_r").alias("_n"), F.lit(1).alias("_one"))
+    upper = ranked.withColumn("_one", F.lit(1)).join(n, "_one")
+    return upper.select("a", F.explode(F.sequence(F.col("_r"), F.col("_n"))).alias("_rb")).join(
         ranked.select(F.col("a").alias("b"), F.col("_r").alias("_rb")), "_rb"
     ).select("a", "b")
-    return F.broadcast(pairs) if n < broadcast_below else pairs
 
 
-def pair_panel(df: DataFrame, col="spot", ticker="ticker", order_by="date", pairs: DataFrame | None = None) -> DataFrame:
-    """(date, a, b, x_a, x_b) for every pair a <= b quoted on the date.
+def pair_panel(df: DataFrame, col="spot", ticker="ticker", order_by="date", *, pairs: DataFrame) -> DataFrame:
+    """(date, a, b, x_a, x_b) for every row (a, b) of ``pairs`` quoted on the date.
     Two equi-joins keyed on (ticker) and (date, ticker); no self-join on the
     date alone, so a busy date is never one group."""
-    pairs = pairs if pairs is not None else symbol_pairs(df, ticker)
     x = df.select(F.col(ticker).alias("a"), F.col(order_by).alias("date"), F.col(col).alias("x_a"))
     y = df.select(F.col(ticker).alias("b"), F.col(order_by).alias("date"), F.col(col).alias("x_b"))
     return x.join(pairs, "a").join(y, ["b", "date"]).select("date", "a", "b", "x_a", "x_b")
 
 
-def rolling_corr(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker", order_by="date", pairs: DataFrame | None = None) -> DataFrame:
-    """Correlation of every pair a <= b over B+1 rows of common dates;
+def rolling_corr(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker", order_by="date", *, pairs: DataFrame) -> DataFrame:
+    """Correlation of every row (a, b) of ``pairs`` over B+1 rows of common dates;
     NULL when either side is constant (the diagonal is 1 unless constant)."""
-    p = pair_panel(df, col, ticker, order_by, pairs)
+    p = pair_panel(df, col, ticker, order_by, pairs=pairs)
     return blocked.rolling(
         p, ["a", "b"], "date", B,
         lambda w: {"corr": corr_pop("x_a", "x_b", w.rowsBetween(-B, 0))},
@@ -451,6 +431,7 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     smoothing."""
     by = _by(by)
     hs, rs = _hurst_stages(col, B), _rsi_stages(col, B)
+    cs = _causal_stages(col, features, B) if features else []
 
     def first(w):
         r = safe_ln(col) - F.lag(safe_ln(col)).over(w)
@@ -464,16 +445,13 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
         }
         d.update(hs[0](w))
         d.update(rs[0](w))
-        if features:
-            ys = causal_filter(_window_array(col, B, w))
-            for c in features:
-                d[f"causal_{c}"] = F.coalesce(_array_corr(ys, _window_array(c, B, w)), F.lit(0.0))
+        d.update(cs[0](w) if features else {})
         return d
 
     def second(w):
         return {**hs[1](w), **rs[1](w)}
 
-    x = blocked.rolling(df, by, order_by, B + 1, [first, second], with_step="step")
+    x = blocked.rolling(df, by, order_by, B + 1, [first, second, *cs[1:]], with_step="step")
     full = F.col("_full")
     x = x.withColumns(
         {
@@ -481,8 +459,8 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
             "dist_min": F.when(full, F.col("dist_min")).otherwise(F.lit(1.0)),
             "hurst_raw": _hurst_value(B),
             "rsi_raw": _rsi_value(),
-            **{f"causal_{c}": F.when(full, F.col(f"causal_{c}")).otherwise(F.lit(0.0)) for c in features},
+            **{f"causal_{c}": F.when(full, _causal_value(c, B)).otherwise(F.lit(0.0)) for c in features},
         }
-    ).drop(*_hurst_cols(B), "_dx", "_up", "_dn")
+    ).drop(*_hurst_cols(B), "_dx", "_up", "_dn", *(_causal_cols(features, B) if features else []))
     x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by)
     return x.drop("_full", "hurst_raw", "rsi_raw")

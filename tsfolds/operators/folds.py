@@ -38,7 +38,7 @@ def numeric_columns(df: DataFrame, preserve: Sequence[str] = PRESERVE, exclude:
 def date_index(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Sorted distinct dates with their 0-based position ``date_idx``.  The
     position is computed per time block plus a carry-over, not in one task."""
-    dates = df.select(date_col).distinct()
+    dates = df.select(date_col).where(F.col(date_col).isNotNull()).distinct()
     return blocked.rolling(dates, [], date_col, 0, lambda w: {}, with_step="date_idx")
 
 
@@ -52,10 +52,10 @@ def _date_table(df: DataFrame, date_col: str, size: int) -> DataFrame:
 
 def by_size(df: DataFrame, size: int, date_col: str = "date") -> DataFrame:
     """cut the sorted distinct dates every ``size``; the last chunk may
-    be short.  Adds ``chunk`` (C9)."""
+    be short.  Adds ``chunk`` (C9); a row without a date has none."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
-    return df.join(_date_table(df, date_col, size), date_col)
+    return df.join(_date_table(df, date_col, size), date_col, "left")
 
 
 def n_dates(df: DataFrame, date_col: str = "date") -> int:
@@ -239,17 +239,22 @@ def walk_forward(df: DataFrame, estimator, features: Sequence[str], label: str,
                  k: int | None = None, prediction: str = "prediction") -> DataFrame:
     """fit ``estimator`` (a pyspark.ml Estimator) on chunks <= f and score
     chunk f+1, for each fold f; the union of all scored chunks.  Folds are few
-    (a driver loop of distributed fits); the data never leaves the cluster."""
+    (a driver loop of distributed fits); the data never leaves the cluster.
+    Rows with a missing feature are not fitted on and get a NULL prediction."""
     from pyspark.ml.feature import VectorAssembler
 
     k = k if k is not None else n_chunks(df, chunk)
-    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    x = va.transform(df)
+    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
+    whole = F.lit(True)
+    for c in features:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    x = va.transform(df).withColumn("_whole", whole)
     est = estimator.copy({estimator.featuresCol: "_features", estimator.labelCol: label, estimator.predictionCol: prediction})
     outs = []
     for f in range(k - 1):
-        model = est.fit(x.where(F.col(chunk) <= f))
-        outs.append(model.transform(x.where(F.col(chunk) == f + 1)).withColumn("fold", F.lit(f)).drop("_features"))
+        model = est.fit(x.where((F.col(chunk) <= f) & F.col("_whole") & F.col(label).isNotNull()))
+        scored = model.transform(x.where(F.col(chunk) == f + 1)).withColumn("fold", F.lit(f))
+        outs.append(scored.withColumn(prediction, F.when(F.col("_whole"), F.col(prediction))).drop("_features", "_whole"))
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)

@@ -9,6 +9,8 @@ removed by an anti-join (so cycles end) and lineage cut by a reliable
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,10 @@ def orphans(workers: DataFrame, jobs: DataFrame) -> DataFrame:
     return workers.join(jobs.select(F.col("name").alias("jobname")), "jobname", "left_anti")
 
 
-def delete_where(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """``df`` without the rows matching ``keys`` (anti-join)."""
-    return df.join(keys, on, "left_anti")
-
-
 # --------------------------------------------------------------------------- I1 I2 I4
 
 
-def descendants(jobs: DataFrame, root: str, name: str = "name", parent: str = "parent", max_levels: int = 10_000) -> DataFrame:
+def descendants(jobs: DataFrame, root: str, name: str = "name", parent: str = "parent") -> DataFrame:
     """Every descendant of ``root`` with its level (1 = child).  One
     equi-join per level; nodes already reached are dropped, so a cyclic
     parent link ends."""
@@ -59,7 +56,7 @@ def descendants(jobs: DataFrame, root: str, name: str = "name", parent: str = "p
     frontier = edges.where(F.col("parent") == root).withColumn("level", F.lit(1))
     seen = frontier.select("name")
     out = frontier
-    for i in range(1, max_levels):
+    for i in itertools.count(1):
         nxt = (
             edges.join(frontier.select(F.col("name").alias("parent")), "parent")
             .join(seen, "name", "left_anti")
@@ -83,7 +80,7 @@ def delete_subtree(jobs: DataFrame, root: str, name: str = "name", parent: str =
     return jobs.join(gone, name, "left_anti")
 
 
-def levels(edges: DataFrame, src: str = "parent", dst: str = "name", max_levels: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame, src: str = "parent", dst: str = "name") -> DataFrame:
     """I4: dependency level of every node (0 = no dependency; otherwise 1 +
     the highest level of its dependencies), by peeling the nodes whose
     dependencies are all placed (one join round per level).  Nodes on or
@@ -93,7 +90,7 @@ def levels(edges: DataFrame, src: str = "parent", dst: str = "name", max_levels:
     nodes = nodes.unionByName(edges.where(F.col(src).isNull()).select(F.col(dst).alias("node"))).distinct()
     placed = None
     remaining = nodes
-    for lvl in range(max_levels):
+    for lvl in itertools.count():
         if placed is None:
             ready = remaining.join(e.select(F.col("dst").alias("node")), "node", "left_anti")
         else:
@@ -110,11 +107,13 @@ def levels(edges: DataFrame, src: str = "parent", dst: str = "name", max_levels:
     return rest if res is None else res.unionByName(rest)
 
 
-def tree(jobs: DataFrame, max_depth: int = 4, name: str = "name", parent: str = "parent") -> DataFrame:
+def tree(jobs: DataFrame, max_depth: int | None = None, name: str = "name", parent: str = "parent") -> DataFrame:
     """Nested job documents, empty fields dropped (``to_json`` omits
     NULLs).  Built bottom-up, one level per round: each node's document holds
     its children's documents.  A presentation operator: the size of a row is
-    its subtree, so keep ``max_depth`` to what is shown."""
+    its subtree, so give a ``max_depth`` to show less than the whole depth."""
+    if max_depth is None:
+        max_depth = levels(jobs.select(F.col(name).alias("name"), F.col(parent).alias("parent"))).agg(F.max("level")).first()[0] or 0
     base = jobs.select(F.col(name).alias("name"), F.col(parent).alias("parent"))
     docs = base.select("name", "parent", F.struct(F.col("name")).alias("doc"))
     for _ in range(max_depth):
@@ -169,11 +168,6 @@ def status(state: DataFrame, names=None, statuses=None, name: str = "name") -> D
     return out
 
 
-def table_names(df: DataFrame, col: str = "table_name") -> DataFrame:
-    """Distinct names."""
-    return df.select(col).distinct()
-
-
 def _kind(name_col) -> F.Column:
     return F.split(name_col, r"\.")[1]
 
@@ -200,7 +194,10 @@ def progress(state: DataFrame, timesteps: int, parent: str = "parent", name: str
     parent's children unless given)."""
     kind = _kind(F.col(name))
     contrib = F.when(kind == "train", F.col(pct) * F.lit(float(timesteps))).when(kind == "validate", F.col(pct))
-    folds = F.count_distinct(F.split(F.col(name), r"\.")[2]) if n_folds is None else F.lit(n_folds)
+    if n_folds is None:
+        folds = F.count_distinct(F.split(F.col(name), r"\.")[2])
+    else:
+        folds = F.max(n_folds) if isinstance(n_folds, str) else F.lit(n_folds)
     g = state.groupBy(parent).agg(F.sum(contrib).alias("_done"), folds.alias("folds"))
     return g.select(
         parent,
@@ -212,11 +209,12 @@ def progress(state: DataFrame, timesteps: int, parent: str = "parent", name: str
 def eta(log: DataFrame, name: str = "name", ts: str = "ts", pct: str = "pct_complete", min_delta: float = 0.0) -> DataFrame:
     """ETA from two successive readings of a job:
     ``eta = ts + dt / delta * (1 - pct)``, only where delta > ``min_delta``
-    (elsewhere NULL).  A lag over each job's readings, split in time blocks."""
+    (elsewhere NULL).  A lag over each job's readings, split in time blocks;
+    readings of one time are ordered by their value."""
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))  # no time zone involved
     x = blocked.rolling(
         log.select(name, ts, pct), [name], ts, 1,
-        lambda w: {"_dt_us": us - F.lag(us).over(w), "delta": F.col(pct) - F.lag(pct).over(w)},
+        lambda w: {"_dt_us": us - F.lag(us).over(w), "delta": F.col(pct) - F.lag(pct).over(w)}, tie=pct,
     )
     secs = F.col("_dt_us") / 1e6 / F.col("delta") * (1.0 - F.col(pct))
     ok = F.col("delta") > F.lit(min_delta)
@@ -225,3 +223,38 @@ def eta(log: DataFrame, name: str = "name", ts: str = "ts", pct: str = "pct_comp
         F.when(ok, secs).alias("eta_secs"),
         F.when(ok, F.timestamp_add("MICROSECOND", F.floor(secs * 1e6).cast("long"), F.col(ts))).alias("eta"),
     )
+
+
+def event_state(events: DataFrame, name: str = "name", ts: str = "ts", event: str = "event", pct: str = "pct_complete") -> DataFrame:
+    """I5 from job events ``add`` / ``start`` / ``progress`` / ``complete``: status (of the last of add, start and
+    complete; of equal times the later stage), pct complete (0 when added, the reading of a
+    progress event, 1 when complete), and the last create, start and end time."""
+    e = F.col(event)
+    stage = F.when(e == "add", 0).when(e == "start", 1).when(e == "complete", 3).otherwise(2)
+    value = F.when(e == "add", 0.0).when(e == "complete", 1.0).when(e == "progress", F.col(pct))
+    at = lambda kind: F.max(F.when(e == kind, F.col(ts)))
+    status = F.max(F.when(e.isin("add", "start", "complete"), F.struct(F.col(ts), stage.alias("stage"))))
+    names = F.create_map(F.lit(0), F.lit("pending"), F.lit(1), F.lit("running"), F.lit(3), F.lit("complete"))
+    g = events.groupBy(name).agg(
+        status.alias("_s"),
+        F.max(F.when(value.isNotNull(), F.struct(F.col(ts), stage.alias("stage"), value.alias("v")))).alias("_p"),
+        at("add").alias("create_time"),
+        at("start").alias("start_time"),
+        at("complete").alias("end_time"),
+    )
+    return g.select(name, names[F.col("_s")["stage"]].alias("status"), F.col("_p")["v"].alias(pct), "create_time", "start_time", "end_time")
+
+
+def parent_eta(log: DataFrame, timesteps: int, n_folds: int, name: str = "name", parent: str = "parent", ts: str = "ts",
+               pct: str = "pct_complete") -> DataFrame:
+    """D9 and D10 over a log: at every reading of a child, the progress of its parent (as ``progress``) and its
+    ETA from the reading before, only where the step is more than one part of the total
+    ``(timesteps + 1) * n_folds``.  Readings of one time are one step."""
+    total = float((timesteps + 1) * n_folds)
+    kind = _kind(F.col(name))
+    part = F.coalesce(F.col(pct), F.lit(0.0)) * F.when(kind == "train", F.lit(float(timesteps))).when(kind == "validate", F.lit(1.0)).otherwise(F.lit(0.0))
+    x = log.groupBy(name, parent, ts).agg(F.max(part).alias("_part"))
+    x = blocked.rolling(x, [name], ts, 1, lambda w: {"_change": F.col("_part") - F.coalesce(F.lag("_part").over(w), F.lit(0.0))})
+    steps = x.groupBy(parent, ts).agg(F.sum("_change").alias("_change"))
+    steps = blocked.running(steps, [parent], ts, {"_done": ("sum", "_change")}).withColumn(pct, F.col("_done") / F.lit(total))
+    return eta(steps, parent, ts, pct, min_delta=1.0 / total)

@@ -44,7 +44,7 @@ def with_step(df: DataFrame, date_col: str = "date", name: str = "step") -> Data
     idx = date_index(df, date_col).withColumnRenamed("date_idx", name)
     if isinstance(df.schema[date_col].dataType, DateType):
         idx = F.broadcast(idx)
-    return df.join(idx, date_col)
+    return df.join(idx, date_col, "left")  # a row without a date has no step
 
 
 def date_bounds(df: DataFrame, date_col: str = "date", by: Sequence[str] = ()) -> DataFrame:
@@ -69,14 +69,15 @@ def concat(*dfs: DataFrame, allow_missing: bool = False) -> DataFrame:
 def sample_windows(df: DataFrame, length: int, n: int, seed: int = 0, date_col: str = "date") -> DataFrame:
     """``n`` random episodes of ``length`` consecutive dates (seeded);
     returns the panel rows of each episode with an ``episode`` id.  Episode
-    starts are drawn uniformly from the feasible positions."""
+    starts come from a hash of (seed, episode) over the feasible positions, so
+    they do not depend on how the table is partitioned."""
     idx = date_index(df, date_col)
     nd = idx.count()  # one number: the feasible start range
     if nd < length:
         raise ValueError(f"{nd} dates, episode length {length}")
     eps = (
         df.sparkSession.range(n).withColumnRenamed("id", "episode")
-        .withColumn("_start", F.floor(F.rand(seed) * F.lit(nd - length + 1)).cast("long"))
+        .withColumn("_start", _hash32(F.concat(F.lit(f"{seed}:"), F.col("episode").cast("string"))) % F.lit(nd - length + 1))
         .withColumn("date_idx", F.explode(F.sequence(F.col("_start"), F.col("_start") + length - 1)))
         .select("episode", "date_idx")
     )
@@ -84,6 +85,11 @@ def sample_windows(df: DataFrame, length: int, n: int, seed: int = 0, date_col:
     return df.join(dated, date_col)
 
 
+def _hash32(text):
+    """The first 32 bits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def densify(df: DataFrame, cols: Sequence[str], by: str = "ticker", date_col: str = "date", fill: bool = True) -> DataFrame:
     """Dense daily grid per key from its first to its last date (a generated
     spine per key, not a cross join), left-joined with the panel and forward

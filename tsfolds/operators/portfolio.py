@@ -83,12 +83,14 @@ def slippage(orders: DataFrame, qty: str = "qty", price: str = "exec_price", cos
 def grid(orders: DataFrame, prices: DataFrame, run: str = "run_id", ticker: str = "ticker", date_col: str = "date",
          qty: str = "qty", price: str = "price") -> DataFrame:
     """The dense (run, ticker, date) grid: every price date of every ticker a
-    run trades (equi-join on ticker, not a cross join), with the order
-    quantity (0 when none), the mark and the execution price (the previous
-    mark; the first mark on a ticker's first date)."""
+    run trades (equi-join on ticker, not a cross join) and every date with an
+    order, with the order quantity (0 when none), the mark (on a date without
+    a price the last one before it) and the execution price (the previous mark;
+    the first mark on a ticker's first date)."""
     pairs = orders.select(run, ticker).distinct()
-    g = prices.join(pairs, ticker).join(orders.select(run, ticker, date_col, qty), [run, ticker, date_col], "left")
+    g = prices.join(pairs, ticker).join(orders.select(run, ticker, date_col, qty), [run, ticker, date_col], "full")
     g = g.withColumn(qty, F.coalesce(F.col(qty), F.lit(0.0)))
+    g = blocked.running(g, [run, ticker], date_col, {"_mark": ("last", price)}).withColumn(price, F.col("_mark")).drop("_mark")
     return blocked.rolling(
         g, [run, ticker], date_col, 1,
         lambda w: {"exec_price": F.coalesce(F.lag(price).over(w), F.col(price))},
@@ -163,11 +165,12 @@ def excess_return(df: DataFrame, value: str = "market_value", rate: float = RATE
 
 def expanding_vol(df: DataFrame, ret: str = "excess_ret", by="run_id", order_by: str = "date", name: str = "ret_vol") -> DataFrame:
     """Population std of all returns so far; 0.05 when there is none or
-    it is 0 (running count, sum and sum of squares per run)."""
-    x = blocked.running(df, _by(by), order_by, {"_n": ("count", ret), "_s": ("sum", ret), "_q": ("sum", F.pow(F.col(ret), 2))})
-    var = safe_div(F.col("_q"), F.col("_n")) - F.pow(safe_div(F.col("_s"), F.col("_n")), 2)
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return x.withColumn(name, F.when((F.col("_n") > 0) & (sd > 0), sd).otherwise(F.lit(DEFAULT_VOL))).drop("_n", "_s", "_q")
+    it is 0 (count, mean and M2 per block, merged; a deviation within the
+    rounding error of the values is 0)."""
+    x = blocked.running_moments(df, _by(by), order_by, ret, "_n", "_m2")
+    sd = F.sqrt(safe_div(F.col("_m2"), F.col("_n")))
+    flat = sd <= F.coalesce(F.abs(F.col(ret)), F.lit(0.0)) * 1e-14
+    return x.withColumn(name, F.when((F.col("_n") > 0) & (sd > 0) & ~flat, sd).otherwise(F.lit(DEFAULT_VOL))).drop("_n", "_m2")
 
 
 def risk_adjusted_score(df: DataFrame, ret: str = "excess_ret", vol: str = "ret_vol", lam: float = 0.9, name: str = "score") -> DataFrame:
@@ -180,11 +183,11 @@ def truncate_runs(df: DataFrame, value: str = "market_value", initial: float = 1
     """Keep each run up to and including the first date whose value is
     below half the initial balance, and (optionally) the first
     ``ep_length - 1`` steps."""
-    stop = (F.col(value) < F.lit(STOP_FRACTION * initial)).cast("int")
+    stop = F.coalesce((F.col(value) < F.lit(STOP_FRACTION * initial)).cast("int"), F.lit(0))  # a missing value stops nothing
     x = blocked.running(df.withColumn("_stop", stop), _by(by), order_by, {"_seen": ("sum", "_stop")})
     keep = (F.col("_seen") == 0) | ((F.col("_seen") == 1) & (F.col("_stop") == 1))
     if ep_length is not None:
-        keep = keep & (F.col(step) <= ep_length - 1)
+        keep = keep & (F.col(step) < ep_length - 1)
     return x.where(keep).drop("_stop", "_seen")
 
 

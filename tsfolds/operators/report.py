@@ -20,9 +20,13 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def validation_returns(ledger: DataFrame, value="market_value", run="run_id", chunk="chunk", order_by="date", name="ret") -> DataFrame:
+def validation_returns(ledger: DataFrame, value="market_value", run="run_id", chunk="chunk", order_by="date", name="ret",
+                       chunks=None) -> DataFrame:
     """Log returns of the market value per (run, chunk); the first return
-    of every chunk is NULL and no return spans two chunks."""
+    of every chunk is NULL and no return spans two chunks.  ``chunks`` keeps
+    some chunks only (the reference's summary takes 1 to one before the last)."""
+    if chunks is not None:
+        ledger = ledger.where(F.col(chunk).isin(list(chunks)))
     return features.log_return(ledger, value, [run, chunk], order_by, name)
 
 
@@ -86,7 +90,7 @@ def render_wide(ledger: DataFrame, symbols: Sequence[str], values: Sequence[str]
                 by=("run_id", "date"), ticker="ticker") -> DataFrame:
     """One row per (run, date) with ``<value>_<symbol>`` columns; the
     symbol list is explicit so the pivot needs no extra job."""
-    g = ledger.groupBy(*_by(by)).pivot(ticker, list(symbols)).agg(*[F.first(v).alias(v) for v in values])
+    g = ledger.groupBy(*_by(by)).pivot(ticker, list(symbols)).agg(*[F.max(v).alias(v) for v in values])
     ren = {}
     for s in symbols:
         for v in values:

@@ -17,7 +17,9 @@ never ends.  Here every per-key window is partitioned by ``(key, time block)``:
   the big side is not shuffled again.
 
 The block width comes from the ``tsfolds.window.blockDays`` session setting
-(days for date/timestamp order columns, plain units for numeric ones).
+(days for date order columns, plain units for numeric ones) and, for order
+columns with a time of day, from ``tsfolds.window.blockDaysTimed`` (days, also
+fractions of one; 1 by default).
 Results never depend on it; tests run with narrow blocks to exercise halos.
 """
 
@@ -27,27 +29,37 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, MapType, NumericType, TimestampNTZType, TimestampType, VariantType
 
 BLOCK_CONF = "tsfolds.window.blockDays"
+TIME_BLOCK_CONF = "tsfolds.window.blockDaysTimed"
 DEFAULT_BLOCK = 366
+DEFAULT_TIME_BLOCK = 1.0  # days, for order columns with a time of day
 
 _U = Window.unboundedPreceding
 _F = Window.unboundedFollowing
 
 
-def block_width(df: DataFrame, block: float | None = None) -> float:
+def block_width(df: DataFrame, block: float | None = None, order: str | None = None) -> float:
+    """Width of a block in days (a part of a day too, where ``order`` has a time of day) or plain units."""
     if block is not None:
         return float(block)
-    v = df.sparkSession.conf.get(BLOCK_CONF, None)
-    return float(v) if v else float(DEFAULT_BLOCK)
+    timed = order is not None and isinstance(df.schema[order].dataType, (TimestampType, TimestampNTZType))
+    v = df.sparkSession.conf.get(TIME_BLOCK_CONF if timed else BLOCK_CONF, None)
+    return float(v) if v else float(DEFAULT_TIME_BLOCK if timed else DEFAULT_BLOCK)
 
 
 def block_expr(df: DataFrame, order: str, width: float) -> Column:
     dt = df.schema[order].dataType
     c = F.col(order)
-    if isinstance(dt, (DateType, TimestampType, TimestampNTZType)):
-        return F.floor(F.unix_date(F.to_date(c)) / F.lit(width)).cast("long")
+    if isinstance(dt, (TimestampType, TimestampNTZType)):
+        if isinstance(dt, TimestampNTZType):
+            us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+        else:
+            us = F.unix_micros(c)
+        return F.floor(us / F.lit(width * 86_400e6)).cast("long")
+    if isinstance(dt, DateType):
+        return F.floor(F.unix_date(c) / F.lit(width)).cast("long")
     if isinstance(dt, NumericType):
         return F.floor(c / F.lit(width)).cast("long")
     raise TypeError(f"cannot block on {order}: {dt}")
@@ -63,6 +75,24 @@ def _block_counts(x: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; keeps the left key columns."""
+    if not keys:
+        raise ValueError("no keys")
+    r = right.withColumnsRenamed({k: "_rk_" + k for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col("_rk_" + k))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*["_rk_" + k for k in keys])
+
+
+def tie_break(df: DataFrame) -> Column:
+    """A hash of the row: a total order for rows that share an order value, but for equal rows."""
+    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return F.xxhash64(*cols)
+
+
 Build = Callable[[WindowSpec], Mapping[str, Column]]
 
 
@@ -88,8 +118,10 @@ def rolling(
     build: Build | Sequence[Build],
     block: float | None = None,
     with_step: str | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
-    """Add the columns ``build(w)`` to ``df``.
+    """Add the columns ``build(w)`` to ``df``.  Rows of one order value are ordered by the
+    column ``tie`` (if given) and a hash of the row.
 
     ``w`` is ``partitionBy(by + block).orderBy(order)``; ``build`` may use it
     with trailing frames (``lag(c, k)``, ``rowsBetween(-k, 0)``) only.
@@ -110,11 +142,15 @@ def rolling(
     stages = list(build) if isinstance(build, (list, tuple)) else [build]
     # blocks span at least 16x the halo in order units (days), so that the
     # boundary rows stay a small share of a block
-    width = max(block_width(df, block), 16.0 * halo) if block is None else block_width(df, block)
-    x = df.withColumn("_blk", block_expr(df, order, width))
+    width = block_width(df, block, order)
+    if block is None and not isinstance(df.schema[order].dataType, (TimestampType, TimestampNTZType)):
+        width = max(width, 16.0 * halo)
+    # equal order values are ordered by a hash of the row: the table is read for the blocks and
+    # again for their boundaries, and both must see one order
+    x = df.withColumn("_blk", block_expr(df, order, width)).withColumn("_tie", F.struct(F.col(tie), tie_break(df)) if tie else tie_break(df))
     cols = x.columns
     keys = by + ["_blk"]
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order, "_tie")
     base, feats = _apply(
         x, stages, w,
         [F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n")],
@@ -154,14 +190,14 @@ def rolling(
         side = e.where((F.col("_k") == 2) | (F.col("_reach") > 0)).select(
             *cols, "_rn", F.explode(targets).alias("_tg")
         ).select(*cols, "_rn", F.col("_tg.t").alias("_tord"), F.col("_tg.h").alias("_halo"))
-        w2 = Window.partitionBy(*by, "_tord").orderBy(order)
+        w2 = Window.partitionBy(*by, "_tord").orderBy(order, "_tie")
         fixed, _ = _apply(side, stages, w2)
         fixed = fixed.where(~F.col("_halo")).select(*cols, "_rn", *feats)
         res = base.where(F.col("_rn") > halo).select(*cols, "_rn", *feats).unionByName(fixed)
     else:
         res = base.select(*cols, "_rn", *feats)
     if with_step is not None:
-        res = res.join(_block_counts(x, by), keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
+        res = null_safe_join(res, _block_counts(x, by), keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
         out_cols.append(with_step)
     return res.select(*out_cols)
 
@@ -193,7 +229,7 @@ def running(
     sum/count/max/min/last (last non-NULL value), over ``partitionBy(by).orderBy(order)`` from the first
     row to the current one, computed per time block plus a carry-over."""
     by = list(by)
-    width = block_width(df, block)
+    width = block_width(df, block, order)
     x = df.withColumn("_blk", block_expr(df, order, width))
     keys = by + ["_blk"]
     w = Window.partitionBy(*keys).orderBy(order)
@@ -213,7 +249,7 @@ def running(
         *[_AGG[_CARRY[kind]](F.col("_t_" + k)).over(wb.rowsBetween(_U, -1)).alias("_c_" + k) for k, (kind, _) in aggs.items()],
         F.coalesce(F.sum("_n").over(wb.rowsBetween(_U, -1)), F.lit(0)).alias("_cum"),
     )
-    res = base.join(blocks, keys)
+    res = null_safe_join(base, blocks, keys)
     out = [F.col(c) for c in df.columns]
     for k, (kind, _) in aggs.items():
         out.append(_COMBINE[kind](F.col("_c_" + k), F.col("_in_" + k)).alias(k))
@@ -233,7 +269,7 @@ def running_sum_peak(
     C_b = sum of the earlier block totals, G_b = max over earlier blocks j
     of (C_j + peak_j).  Row values: C_b + s and greatest(G_b, C_b + p)."""
     by = list(by)
-    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block)))
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
     keys = by + ["_blk"]
     w = Window.partitionBy(*keys).orderBy(order)
     c = F.col(col)
@@ -249,9 +285,41 @@ def running_sum_peak(
         .select(*keys, "_s", "_p", F.sum("_s").over(wb.rowsBetween(_U, -1)).alias("_C"))
         .select(*keys, "_C", F.max(F.coalesce(F.col("_C"), F.lit(0.0)) + F.col("_p")).over(wb.rowsBetween(_U, -1)).alias("_G"))
     )
-    res = base.join(blocks, keys)
+    res = null_safe_join(base, blocks, keys)
     return res.select(
         *df.columns,
         _add(F.col("_C"), F.col("_s")).alias(sum_name),
         F.greatest(F.col("_G"), F.coalesce(F.col("_C"), F.lit(0.0)) + F.col("_p")).alias(peak_name),
     )
+
+
+def running_moments(df: DataFrame, by: Sequence[str], order: str, col: str, n: str, m2: str, block: float | None = None) -> DataFrame:
+    """Add the count and the sum of squared deviations of ``col`` over the rows from a key's first to the
+    current one.  Blocks keep (count, mean, M2); the earlier blocks' are merged around a reference
+    mean and then merged with the block's own, so that no large squares cancel."""
+    by = list(by)
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
+    keys = by + ["_blk"]
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(_U, 0)
+    c = F.col(col)
+    base = x.select("*", F.count(c).over(w).alias("_n1"), F.avg(c).over(w).alias("_m1"), F.var_pop(c).over(w).alias("_v1"))
+    wb = Window.partitionBy(*by).orderBy("_blk")
+    blocks = x.groupBy(*keys).agg(F.count(c).alias("_n"), F.avg(c).alias("_m"), F.var_pop(c).alias("_v"))
+    blocks = blocks.withColumn("_r", F.first("_m", ignorenulls=True).over(wb.rowsBetween(_U, _F)))
+    d = F.col("_m") - F.col("_r")
+    before = wb.rowsBetween(_U, -1)
+    blocks = blocks.select(
+        *keys,
+        "_r",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+        F.sum(F.col("_n") * d).over(before).alias("_s0"),
+        F.sum(F.col("_n") * (F.col("_v") + d * d)).over(before).alias("_q0"),
+    )
+    res = null_safe_join(base, blocks, keys)
+    mean0 = F.col("_r") + F.try_divide(F.col("_s0"), F.col("_n0"))
+    m20 = F.greatest(F.col("_q0") - F.try_divide(F.col("_s0") * F.col("_s0"), F.col("_n0")), F.lit(0.0))
+    m21 = F.col("_n1") * F.col("_v1")
+    gap = F.col("_m1") - mean0
+    total = F.col("_n0") + F.col("_n1")
+    both = m20 + m21 + gap * gap * F.try_divide(F.col("_n0") * F.col("_n1"), total)
+    return res.select(*df.columns, total.alias(n), F.when(F.col("_n0") == 0, m21).when(F.col("_n1") == 0, m20).otherwise(both).alias(m2))

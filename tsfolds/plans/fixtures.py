@@ -61,12 +61,12 @@ def supp_bars(spark, sf_dir) -> DataFrame:
 
 
 def fund(spark, sf_dir) -> DataFrame:
-    """Monthly fundamentals per market segment."""
+    """Monthly fundamentals per customer (customers grow with the scale factor)."""
     o = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     o = o.select(
-        F.col("c_mktsegment").alias("ticker"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("ticker"),
         F.to_date(F.date_trunc("month", "o_orderdate")).alias("date"),
         F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("q"),
         "o_totalprice",
@@ -135,11 +135,11 @@ def series_conf(spark, sf_dir) -> DataFrame:
 
 
 def orders_q(spark, sf_dir) -> DataFrame:
-    """Signed traded quantity per run (return flag), ticker and month."""
+    """Signed traded quantity per run (return flag), ticker (supplier) and month."""
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(
         F.col("l_returnflag").alias("run_id"),
-        F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("ticker"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
     ).agg(F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(-F.col("l_quantity"))).alias("qty"))
 
@@ -147,7 +147,7 @@ def orders_q(spark, sf_dir) -> DataFrame:
 def prices(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 0)
     return li.groupBy(
-        F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("ticker"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
     ).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("price"))
 
@@ -211,7 +211,7 @@ from orders group by o_orderpriority, cast(o_orderdate as date)""",
        min(l_extendedprice / l_quantity) as low, round(sum(l_extendedprice) / sum(l_quantity), 6) as close,
        sum(l_quantity) as volume
 from lineitem where l_quantity > 0 group by l_suppkey, cast(l_shipdate as date)""",
-    "fund": """with o as (select c_mktsegment as ticker, cast(date_trunc('month', o_orderdate) as date) as date,
+    "fund": """with o as (select 'C' || cast(o_custkey as varchar) as ticker, cast(date_trunc('month', o_orderdate) as date) as date,
                   cast(date_trunc('quarter', o_orderdate) as date) as q, o_totalprice, o_orderkey, o_orderpriority, c_acctbal
            from orders join customer on o_custkey = c_custkey),
      r as (select ticker, q, round(sum(o_totalprice), 2) as revenue from o group by ticker, q)
@@ -230,13 +230,13 @@ from orders join customer on o_custkey = c_custkey join nation on c_nationkey =
 where o_orderpriority = '1-URGENT'""",
     "series_conf": """select n_name as series_id, n_nationkey % 2 = 0 as pct_chg,
        case when n_nationkey % 10 = 0 then 4 else 1 end as n from nation""",
-    "orders_q": """select l_returnflag as run_id, 'S' || cast(l_suppkey % 4 as varchar) as ticker,
+    "orders_q": """select l_returnflag as run_id, 'S' || cast(l_suppkey as varchar) as ticker,
        cast(date_trunc('month', l_shipdate) as date) as date,
        sum(case when l_linestatus = 'O' then l_quantity else -l_quantity end) as qty
-from lineitem group by l_returnflag, l_suppkey % 4, cast(date_trunc('month', l_shipdate) as date)""",
-    "prices": """select 'S' || cast(l_suppkey % 4 as varchar) as ticker, cast(date_trunc('month', l_shipdate) as date) as date,
+from lineitem group by l_returnflag, l_suppkey, cast(date_trunc('month', l_shipdate) as date)""",
+    "prices": """select 'S' || cast(l_suppkey as varchar) as ticker, cast(date_trunc('month', l_shipdate) as date) as date,
        round(avg(l_extendedprice / l_quantity), 4) as price
-from lineitem where l_quantity > 0 group by l_suppkey % 4, cast(date_trunc('month', l_shipdate) as date)""",
+from lineitem where l_quantity > 0 group by l_suppkey, cast(date_trunc('month', l_shipdate) as date)""",
     "jobs": """select 'root' as name, cast(null as varchar) as parent union all select r_name, 'root' from region
 union all select n_name, r_name from nation join region on n_regionkey = r_regionkey
 union all select c_name, n_name from customer join nation on c_nationkey = n_nationkey""",

@@ -127,19 +127,26 @@ def b12_with_step(spark, sf_dir):
     return panel.with_step(v(spark, sf_dir, "gappy").select("ticker", "date"))
 
 
-@query("b13_sample_windows")
+@query("b13_sample_windows", with_views(""", d as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from gappy)),
+e as (select episode, ('0x' || substr(md5('7:' || episode), 1, 8))::bigint % ((select count(*) from d) - 9) as lo from range(8) t(episode))
+select g.*, e.episode from e join d on d.idx between e.lo and e.lo + 9 join gappy g on g.date = d.date""", "gappy"))
 def b13_sample_windows(spark, sf_dir):
-    """8 seeded random episodes of 10 consecutive dates (rows only)."""
+    """8 seeded random episodes of 10 consecutive dates."""
     return panel.sample_windows(v(spark, sf_dir, "gappy"), 10, 8, seed=7)
 
 
 # --------------------------------------------------------------------------- C
 
 
-@query("c1_merge_series", with_views("pivot macro_obs on series_id using max(value) group by date", "macro_obs"))
+NATIONS = [f"NATION_{i}" for i in range(25)]
+
+
+@query("c1_merge_series", with_views("select date, " + ", ".join(
+    f"round(max(case when series_id = '{n}' then value end), 6) + 0.0 as {n}" for n in NATIONS) + " from macro_obs group by date", "macro_obs"))
 def c1_merge_series(spark, sf_dir):
-    """Full outer merge of all series: one pivot, one column per id."""
-    return align.merge_series(v(spark, sf_dir, "macro_obs"))
+    """Full outer merge of all series: one pivot, one column per id (the
+    ids are the nations; one without observations is an empty column)."""
+    return align.merge_series(v(spark, sf_dir, "macro_obs"), NATIONS)
 
 
 @query("c2_assemble", with_views("""select date, max(case when series_id = 'NATION_6' then value end) as NATION_6,
@@ -205,7 +212,8 @@ def c5_combine(spark, sf_dir):
 round(b.close, 6) + 0.0 as x_b from bars a join bars b on a.date = b.date and a.ticker <= b.ticker""", "bars"))
 def c10_pairs(spark, sf_dir):
     """Pair panel (a <= b) on common dates."""
-    return features.pair_panel(v(spark, sf_dir, "bars"), "close")
+    bars = v(spark, sf_dir, "bars")
+    return features.pair_panel(bars, "close", pairs=features.symbol_pairs(bars))
 
 
 # --------------------------------------------------------------------------- D3-D6

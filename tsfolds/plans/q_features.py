@@ -183,45 +183,82 @@ from (select a.date, a.ticker as a, b.ticker as b, a.close as x_a, b.close as x_
 window w as (partition by a, b order by date rows between {B} preceding and current row)""", "bars"))
 def e13_rolling_corr(spark, sf_dir):
     """Rolling correlation of every symbol pair (a <= b), B+1 rows."""
-    return features.rolling_corr(v(spark, sf_dir, "bars"), "close", B).select("date", "a", "b", "corr")
+    bars = v(spark, sf_dir, "bars")
+    return features.rolling_corr(bars, "close", B, pairs=features.symbol_pairs(bars)).select("date", "a", "b", "corr")
 
 
-@query("e14_causal_strength")
+# y over each window from its own definition: y_j = x_j - sum over k < j of 2^-(j-k) x_k, rows counted from the window's start
+CAUSAL_SQL = f""", i as (select ticker, date, open, high, low, close, row_number() over (partition by ticker order by date) as i from supp_bars),
+wx as (select c.ticker, c.i as cur, w.i as j, w.close as x, w.open, w.high, w.low
+       from i c join i w on w.ticker = c.ticker and w.i between c.i - {B} and c.i),
+wy as (select a.ticker, a.cur, a.j, any_value(a.x) - coalesce(sum(pow(0.5, a.j - k.j) * k.x), 0) as y,
+              any_value(a.open) as open, any_value(a.high) as high, any_value(a.low) as low
+       from wx a left join wx k on k.ticker = a.ticker and k.cur = a.cur and k.j < a.j group by a.ticker, a.cur, a.j),
+cs as (select ticker, cur, """ + ", ".join(
+    f"case when max({c}) > min({c}) and max(y) > min(y) then corr(y, {c}) else 0.0 end as causal_{c}" for c in ("open", "high", "low")
+) + """ from wy group by ticker, cur)"""
+
+
+@query("e14_causal_strength", with_views(CAUSAL_SQL + """
+select i.ticker, i.date, """ + ", ".join(f"round(causal_{c}, 6) + 0.0 as causal_{c}" for c in ("open", "high", "low")) + """
+from cs join i on i.ticker = cs.ticker and i.i = cs.cur""", "supp_bars"))
 def e14_causal_strength(spark, sf_dir):
-    """Causal strength of open/high/low against the filtered close (rows
-    only; checked against NumPy in the tests)."""
+    """Causal strength of open/high/low against the filtered close."""
     return features.causal_strength(_sb(spark, sf_dir), "close", ["open", "high", "low"], B).select(
         "ticker", "date", "causal_open", "causal_high", "causal_low"
     )
 
 
-SMOOTH_SQL = f""", {RSI_SQL},
-st as (select *, row_number() over (partition by ticker order by date) - 1 as step from rs),
-sm as (select ticker, date, case when step > {B} and rsi is null then null else
-        list_reduce(list_filter(list({{'s': step, 'v': rsi}}) over
-          (partition by ticker order by date rows between 399 preceding and current row), lambda e: e.s > {B}),
-        lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 50.0) end as rsi_smooth from st)
+def smooth_sql(source: str, value: str, n: int) -> str:
+    """The smoothing loop itself, folded over each row's whole history; missing values are skipped."""
+    return f"""st as (select *, row_number() over (partition by ticker order by date) - 1 as step from {source}),
+sm as (select ticker, date, case when step > {n} and {value} is null then null else
+        list_reduce(list_prepend({{'s': 0::bigint, 'v': 50.0::double}}, list_filter(list({{'s': step, 'v': {value}::double}}) over
+          (partition by ticker order by date rows between unbounded preceding and current row), lambda e: e.s > {n} and e.v is not null)),
+        lambda acc, e: {{'s': 0::bigint, 'v': (e.v + {n - 1}.0 * acc.v) / {n}.0}}).v end as rsi_smooth from st)
 select ticker, date, round(rsi_smooth, 6) + 0.0 as rsi_smooth from sm"""
 
 
-@query("e18_wilder_smooth", with_views(SMOOTH_SQL, "supp_bars"))
+@query("e18_wilder_smooth", with_views(f", {RSI_SQL},\n" + smooth_sql("rs", "rsi", B), "supp_bars"))
 def e18_wilder_smooth(spark, sf_dir):
     """Recursive (Wilder) smoothing of the RSI from 50 once step > B."""
     x = features.rsi(_sb(spark, sf_dir), "close", B, with_step="step")
     return features.wilder_smooth(x, "rsi", 50.0, B, name="rsi_smooth").select("ticker", "date", "rsi_smooth")
 
 
-@query("e19_lag_tensor")
-def e19_lag_tensor(spark, sf_dir):
-    """The last 3 (open, close) vectors per row, front-padded (rows only)."""
-    return features.lag_tensor(_sb(spark, sf_dir), ["open", "close"], 3).select("ticker", "date", "obs")
+@query("e18_wilder_smooth_gaps", with_views(f", {RSI_SQL},\ngp as (select ticker, date, case when day(date) % 7 <> 0 then rsi end as v from rs),\n"
+                                            + smooth_sql("gp", "v", 50), "supp_bars"))
+def e18_wilder_smooth_gaps(spark, sf_dir):
+    """E18 with B = 50 and missing values (every seventh day of a month)."""
+    x = features.rsi(_sb(spark, sf_dir), "close", B, with_step="step")
+    x = x.withColumn("v", F.when(F.dayofmonth("date") % 7 != 0, F.col("rsi")))
+    return features.wilder_smooth(x, "v", 50.0, 50, name="rsi_smooth").select("ticker", "date", "rsi_smooth")
 
 
-@query("e23_trailing_returns")
+@query("e19_lag_tensor", with_views(""", i as (select *, row_number() over w as rn, first_value(open) over w as f_open, first_value(close) over w as f_close,
+  lag(open, 1) over w as open_1, lag(open, 2) over w as open_2, lag(close, 1) over w as close_1, lag(close, 2) over w as close_2
+  from supp_bars window w as (partition by ticker order by date))
+select ticker, date, """ + ", ".join(
+    f"round(case when rn > {k} then {c + (f'_{k}' if k else '')} else f_{c} end, 6) + 0.0 as {c}_lag{k}" for k in (2, 1, 0) for c in ("open", "close")
+) + " from i", "supp_bars"))
+def e19_lag_tensor(spark, sf_dir):
+    """The last 3 (open, close) vectors per row, front-padded, as columns."""
+    x = features.lag_tensor(_sb(spark, sf_dir), ["open", "close"], 3)
+    parts = [F.col("obs")[2 - k][j].alias(f"{c}_lag{k}") for k in (2, 1, 0) for j, c in enumerate(("open", "close"))]
+    return x.select("ticker", "date", *parts)
+
+
+@query("e23_trailing_returns", with_views(""", lr as (select ticker, date, case when close > 0 and lag(close) over w > 0
+    then ln(close) - ln(lag(close) over w) end as ret from supp_bars window w as (partition by ticker order by date)),
+i as (select *, row_number() over (partition by ticker order by date) as rn from lr where ret is not null)
+select ticker, date, """ + ", ".join(
+    f"round(case when rn > {k} then lag(ret, {k}) over (partition by ticker order by date) else 0.0 end, 6) + 0.0 as ret_lag{k}" for k in range(B)
+) + " from i", "supp_bars"))
 def e23_trailing_returns(spark, sf_dir):
-    """The last B log returns per row, zero-padded (rows only)."""
+    """The last B log returns per row, zero-padded, as columns."""
     r = features.log_return(_sb(spark, sf_dir), "close", "ticker", "date", "ret").where(F.col("ret").isNotNull())
-    return features.trailing_vector(r, "ret", B, "ticker").select("ticker", "date", "ret_window")
+    x = features.trailing_vector(r, "ret", B, "ticker")
+    return x.select("ticker", "date", *[F.col("ret_window")[B - 1 - k].alias(f"ret_lag{k}") for k in range(B)])
 
 
 @query("e8_learning_curve", """with lg as (select event_type as run, epoch(ts) as t, value as r, length(props) as l from events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tsfolds.operators import folds
 from tsfolds.plans.fixtures import with_views
 from tsfolds.plans.q_core import CHUNK, CHUNKED
@@ -25,11 +27,11 @@ def d1_column_stats(spark, sf_dir):
 @query("d2_prior_stats", with_views(f""", {CHUNKED}, k as (select distinct chunk from c)
 select k.chunk, """ + ", ".join(
     f"{_r(f'avg(c.{x})')} as mean_{x}, {_r(f'stddev_samp(c.{x})')} as std_{x}, count(c.{x}) as n_{x}" for x in BAR_COLS
-) + """ from k join c on (c.chunk < k.chunk or (k.chunk = 0 and c.chunk = 0)) group by k.chunk""", "bars"))
+) + """ from k join c on (c.chunk < k.chunk or (k.chunk = 0 and c.chunk = 0)) group by k.chunk""", "supp_bars"))
 def d2_prior_stats(spark, sf_dir):
     """Statistics of all earlier chunks for every chunk (chunk 0: itself),
     from per-chunk mergeable moments."""
-    return folds.prior_stats(folds.by_size(v(spark, sf_dir, "bars"), CHUNK), BAR_COLS)
+    return folds.prior_stats(folds.by_size(v(spark, sf_dir, "supp_bars"), CHUNK), BAR_COLS)
 
 
 def _gappy_chunks_sql(size_expr: str) -> str:
@@ -57,10 +59,10 @@ tt as (select c.*, cast(f.fold as integer) as fold, 'train' as role from c, kk,
        union all select c.*, cast(c.chunk - 1 as integer) as fold, 'test' as role from c where c.chunk >= 1)"""
 
 
-@query("f5_train_test", with_views(TT_SQL + "\nselect ticker, date, chunk, fold, role from tt", "bars"))
+@query("f5_train_test", with_views(TT_SQL + "\nselect ticker, date, chunk, fold, role from tt", "supp_bars"))
 def f5_train_test(spark, sf_dir):
     """expanding train / next-chunk test split for every fold."""
-    return folds.train_test(folds.by_size(v(spark, sf_dir, "bars"), CHUNK)).select("ticker", "date", "chunk", "fold", "role")
+    return folds.train_test(folds.by_size(v(spark, sf_dir, "supp_bars"), CHUNK)).select("ticker", "date", "chunk", "fold", "role")
 
 
 @query("f6_standardize_train_test", with_views(TT_SQL + """,
@@ -68,10 +70,10 @@ st as (select f.fold, avg(c.close) as mc, stddev_samp(c.close) as sc, avg(c.volu
        from (select distinct fold from tt) f join c on c.chunk <= f.fold group by f.fold)
 select tt.ticker, tt.date, tt.chunk, tt.fold, tt.role,
   round((tt.close - st.mc) / nullif(st.sc, 0), 6) + 0.0 as close, round((tt.volume - st.mv) / nullif(st.sv, 0), 6) + 0.0 as volume
-from tt join st on tt.fold = st.fold""", "bars"))
+from tt join st on tt.fold = st.fold""", "supp_bars"))
 def f6_standardize_train_test(spark, sf_dir):
     """both roles of every fold z-scored with the fold's train statistics."""
-    c = folds.by_size(v(spark, sf_dir, "bars"), CHUNK)
+    c = folds.by_size(v(spark, sf_dir, "supp_bars"), CHUNK)
     return folds.standardize_train_test(c, ["close", "volume"]).select("ticker", "date", "chunk", "fold", "role", "close", "volume")
 
 
@@ -106,6 +108,23 @@ def f8_prepare(spark, sf_dir):
     return folds.prepare(f, n_folds=5).select("ticker", "date", "chunk", "closeadj", *FUND_COLS)
 
 
+@query("f9_walk_forward_line", with_views(""", d as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from supp_bars)),
+s as (select count(*) // 4 as size from d),
+c as (select b.*, d.idx // s.size as chunk from supp_bars b join d using (date), s),
+m as (select f.fold, regr_slope(c.close, c.open) as a, regr_intercept(c.close, c.open) as b
+      from (select distinct chunk as fold from c) f join c on c.chunk <= f.fold group by f.fold)
+select c.ticker, c.date, m.fold, round(c.close, 6) + 0.0 as close, round(m.a * c.open + m.b, 4) + 0.0 as prediction
+from c join m on c.chunk = m.fold + 1""", "supp_bars"))
+def f9_walk_forward_line(spark, sf_dir):
+    """a line of the close on the open, fit on chunks <= f and scored on
+    chunk f+1 (ordinary least squares)."""
+    from pyspark.ml.regression import LinearRegression
+
+    c = folds.by_number(v(spark, sf_dir, "supp_bars").select("ticker", "date", "open", "close"), 4)
+    out = folds.walk_forward(c, LinearRegression(solver="normal"), ["open"], "close")
+    return out.select("ticker", "date", "fold", "close", F.round("prediction", 4).alias("prediction"))
+
+
 @query("f9_walk_forward")
 def f9_walk_forward(spark, sf_dir):
     """linear model of the close on open/high/low, fit on chunks <= f and

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsfolds.operators import jobs
+from tsfolds.plans import fixtures as fx
 from tsfolds.plans.fixtures import with_views
 from tsfolds.plans.queries import query, v
+from tsfolds.sources import store
 
 TIMESTEPS = 1000
 
@@ -40,7 +42,7 @@ def c8_delete_where(spark, sf_dir):
     """The progress log without the rows of completed jobs (anti-join on
     the key set)."""
     done = _state(spark, sf_dir).where(F.col("status") == "complete").select("name")
-    return jobs.delete_where(v(spark, sf_dir, "job_log"), done, "name")
+    return store.delete_where(v(spark, sf_dir, "job_log"), done, "name")
 
 
 @query("d7_workers_csv", with_views("select jobname, string_agg(name, ',' order by name) as workers from workers group by jobname",
@@ -122,7 +124,7 @@ def i6_status(spark, sf_dir):
 @query("i7_table_names", with_views("select distinct parent from job_log", "job_log"))
 def i7_table_names(spark, sf_dir):
     """Distinct names (the parents present in the log)."""
-    return jobs.table_names(v(spark, sf_dir, "job_log"), "parent")
+    return store.table_names(v(spark, sf_dir, "job_log"), "parent")
 
 
 @query("i8_fold_jobs", with_views("""select r.run || '.' || k.kind || '.' || cast(f.fold as varchar) as name, r.run as parent,
@@ -132,3 +134,42 @@ def i8_fold_jobs(spark, sf_dir):
     """I8: the train / validate child jobs of every run (4 folds)."""
     runs = v(spark, sf_dir, "job_log").select(F.col("parent").alias("run")).distinct()
     return jobs.fold_jobs(runs, 4)
+
+
+EVENTS_SQL = """, ev as (select 'job' || (user_id % 200) as name, ts,
+    case when value > 90 then 'complete' when value < 10 then 'start' when value < 15 then 'add' else 'progress' end as event,
+    round(value / 100, 4) as pct_complete from events),
+sg as (select *, case event when 'add' then 0 when 'start' then 1 when 'complete' then 3 else 2 end as stage,
+    case event when 'add' then 0.0 when 'complete' then 1.0 else pct_complete end as val from ev)"""
+
+
+@query("i5_event_state", f"""with dummy as (select 1){EVENTS_SQL}
+select name, case max(case when event <> 'progress' then struct_pack(t := ts, s := stage) end).s when 0 then 'pending' when 1 then 'running'
+    when 3 then 'complete' end as status,
+  round(max(struct_pack(t := ts, s := stage, v := val)).v, 6) + 0.0 as pct_complete,
+  max(case when event = 'add' then ts end) as create_time, max(case when event = 'start' then ts end) as start_time,
+  max(case when event = 'complete' then ts end) as end_time
+from sg group by name""")
+def i5_event_state(spark, sf_dir):
+    """I5 from job events (add, start, progress, complete) read off the event table."""
+    e = fx.table(spark, sf_dir, "events")
+    value = F.col("value")
+    event = F.when(value > 90, "complete").when(value < 10, "start").when(value < 15, "add").otherwise("progress")
+    log = e.select(
+        F.concat(F.lit("job"), (F.col("user_id") % 200).cast("string")).alias("name"), "ts", event.alias("event"), F.round(value / 100, 4).alias("pct_complete")
+    )
+    return jobs.event_state(log)
+
+
+@query("d10_parent_eta", with_views(f""", p as (select name, parent, ts, max(coalesce(pct_complete, 0) * case split_part(name, '.', 2)
+    when 'train' then {TIMESTEPS}.0 when 'validate' then 1.0 else 0.0 end) as part from job_log group by name, parent, ts),
+c as (select *, part - coalesce(lag(part) over (partition by name order by ts), 0) as change from p),
+t as (select parent, ts, sum(change) as change from c group by parent, ts),
+d as (select parent, ts, sum(change) over (partition by parent order by ts) / ({TIMESTEPS + 1}.0 * 4) as pct from t),
+e as (select *, pct - lag(pct) over w as delta, epoch_us(ts) - lag(epoch_us(ts)) over w as dt_us from d window w as (partition by parent order by ts))
+select parent, ts, round(pct, 6) + 0.0 as pct_complete, round(delta, 6) + 0.0 as delta,
+  round(case when delta > 1 / ({TIMESTEPS + 1}.0 * 4) then dt_us / 1e6 / delta * (1 - pct) end, 3) + 0.0 as eta_secs from e""", "job_log"))
+def d10_parent_eta(spark, sf_dir):
+    """D9 + D10: progress and guarded ETA of every parent at each reading of its children."""
+    x = jobs.parent_eta(v(spark, sf_dir, "job_log"), TIMESTEPS, 4)
+    return x.select("parent", "ts", "pct_complete", "delta", F.round("eta_secs", 3).alias("eta_secs"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tsfolds.operators import align, features
+from tsfolds.operators import align, features, ingest
 from tsfolds.plans.fixtures import with_views
+from tsfolds.plans.q_clean import NATIONS
 from tsfolds.plans.pipeline import FeatureGraph
 from tsfolds.plans.q_features import HURST_SQL, RSI_SQL
 from tsfolds.plans.queries import query, v
@@ -27,12 +28,12 @@ j as (select b.*, hr.hurst_raw, rs.rsi as rsi_raw from base b join hr on b.ticke
       join rs on b.ticker = rs.ticker and b.date = rs.date),
 sm as (select *,
     case when step > {B} and hurst_raw is null then null else
-    list_reduce(list_filter(list({{'s': step, 'v': hurst_raw}}) over p, lambda e: e.s > {B}),
-                lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 0.5) end as hurst,
+    list_reduce(list_prepend({{'s': 0::bigint, 'v': 0.5::double}}, list_filter(list({{'s': step, 'v': hurst_raw::double}}) over p, lambda e: e.s > {B} and e.v is not null)),
+                lambda acc, e: {{'s': 0::bigint, 'v': (e.v + {B - 1}.0 * acc.v) / {B}.0}}).v end as hurst,
     case when step > {B} and rsi_raw is null then null else
-    list_reduce(list_filter(list({{'s': step, 'v': rsi_raw}}) over p, lambda e: e.s > {B}),
-                lambda acc, e: (coalesce(e.v, 0.0) + {B - 1}.0 * acc) / {B}.0, 50.0) end as rsi
-  from j window p as (partition by ticker order by date rows between 399 preceding and current row))
+    list_reduce(list_prepend({{'s': 0::bigint, 'v': 50.0::double}}, list_filter(list({{'s': step, 'v': rsi_raw::double}}) over p, lambda e: e.s > {B} and e.v is not null)),
+                lambda acc, e: {{'s': 0::bigint, 'v': (e.v + {B - 1}.0 * acc.v) / {B}.0}}).v end as rsi
+  from j window p as (partition by ticker order by date rows between unbounded preceding and current row))
 select ticker, date, step, round(coalesce(r, 0.0), 6) + 0.0 as ret, round(coalesce(r * r, 0.0), 6) + 0.0 as ret_sq,
   round(len(list_filter(xs, lambda x: x > close)) / len(xs), 6) + 0.0 as spot_rank,
   round(case when step > {B} then mx / nullif(close, 0) else 1.0 end, 6) + 0.0 as dist_max,
@@ -91,11 +92,75 @@ f as (select sp.series_id, sp.date, last_value(cv.value ignore nulls) over
       from sp left join cv on sp.series_id = cv.series_id and sp.date = cv.date),
 ok as (select date from f group by date having count(value) = (select count(*) from ids)),
 res as (select f.series_id, f.date, round(f.value, 6) + 0.0 as value from f join ok on f.date = ok.date)
-pivot res on series_id using max(value) group by date"""
+select date, """ + ", ".join(f"max(case when series_id = '{n}' then value end) as {n}" for n in NATIONS) + " from res group by date"
 
 
 @query("macro_build", with_views(MACRO_SQL, "macro_obs", "releases", "series_conf"))
 def macro_build(spark, sf_dir):
     """SURVEY 3.4: percent changes, forward as-of to releases, first value
     per release, one pivot, daily spine, forward fill, dropna — one job."""
-    return align.macro_build(v(spark, sf_dir, "macro_obs"), v(spark, sf_dir, "releases"), v(spark, sf_dir, "series_conf"))
+    out = align.macro_build(v(spark, sf_dir, "macro_obs"), v(spark, sf_dir, "releases"), v(spark, sf_dir, "series_conf"))
+    # one column per nation, also for one that has no observation
+    return out.select("date", *[F.col(n) if n in out.columns else F.lit(None).cast("double").alias(n) for n in NATIONS])
+
+
+MARKET = [f"M{i}" for i in range(1, 6)]
+MARKET_SQL = MACRO_SQL.replace("select date, max(case when series_id = 'NATION_0'", ", panel as (select date, max(case when series_id = 'NATION_0'", 1) + """),
+mk as (select 'M' || left(ticker, 1) as series_id, date, close as value from gappy),
+al as (select * from mk
+  union all select 'M1xM2', coalesce(a.date, b.date), a.value * b.value
+    from (select * from mk where series_id = 'M1') a full join (select * from mk where series_id = 'M2') b on a.date = b.date
+  union all select 'M3perM4', coalesce(a.date, b.date), a.value / nullif(b.value, 0)
+    from (select * from mk where series_id = 'M3') a full join (select * from mk where series_id = 'M4') b on a.date = b.date),
+mw as (select date, """ + ", ".join(f"max(case when series_id = '{m}' then value end) as {m}" for m in [*MARKET, "M1xM2", "M3perM4"]) + """
+       from al group by date),
+bo as (select coalesce(p.date, mw.date) as date, """ + ", ".join([f"p.{n}" for n in NATIONS] + [f"mw.{m}" for m in [*MARKET, "M1xM2", "M3perM4"]]) + """
+       from panel p full join mw on p.date = mw.date)
+select date, """ + ", ".join(
+    f"round(last_value({c} ignore nulls) over (order by date rows between unbounded preceding and current row), 4) + 0.0 as {c}"
+    for c in [*NATIONS, *MARKET, "M1xM2", "M3perM4"]
+) + " from bo"
+
+
+@query("macro_market", with_views(MARKET_SQL, "macro_obs", "releases", "series_conf", "gappy"))
+def macro_market(spark, sf_dir):
+    """The whole macro build: the release panel, market series (one per order
+    priority) and two crosses, merged on the date and filled forward."""
+    panel = macro_build(spark, sf_dir)
+    market = v(spark, sf_dir, "gappy").select(
+        F.concat(F.lit("M"), F.substring("ticker", 1, 1)).alias("series_id"), "date", F.col("close").cast("double").alias("value")
+    )
+    crosses = [("M1xM2", "M1", "M2", "mul"), ("M3perM4", "M3", "M4", "div")]
+    out = align.macro_market(panel, market, crosses, [*MARKET, "M1xM2", "M3perM4"])
+    return out.select("date", *[F.round(c, 4).alias(c) for c in out.columns if c != "date"])
+
+
+INGEST_SQL = """, f as (select ticker, date, datekey, capex, equity, revenue, closeadj, closeadj * 0.99 as open, closeadj * 1.02 + 100 as high,
+    closeadj * 0.97 as low, case when month(date) <> 7 then closeadj end as close from fund),
+r as (select * from f where close is not null and datekey is not null and closeadj is not null),
+d as (select *, capex / nullif(equity, 0) as capexratio, closeadj as spot,
+        case when revenue = lag(revenue) over (partition by ticker order by date) then 0 else 1 end as release_indicator,
+        ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) as intraday_vol from r),
+s as (select * from d where date >= date '1993-03-01'),
+dt as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from s)),
+n as (select count(*) // 5 as size from dt),
+c as (select s.*, dt.idx // n.size as chunk from s join dt using (date), n where dt.idx // n.size < 5),
+fo as (select c.*, fold, case when chunk <= fold then 'train' else 'test' end as role from c, range(0, 4) t(fold) where chunk <= fold + 1),
+st as (select fold, """ + ", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in ("capexratio", "revenue", "intraday_vol")) + """
+       from fo where role = 'train' group by fold)
+select ticker, date, fold, role, round(spot, 6) + 0.0 as spot, release_indicator, """ + ", ".join(
+    f"round(({c} - m_{c}) / nullif(s_{c}, 0), 4) + 0.0 as {c}" for c in ("capexratio", "revenue", "intraday_vol")
+) + " from fo join st using (fold)"
+
+
+@query("ingest_folds", with_views(INGEST_SQL, "fund"))
+def ingest_folds(spark, sf_dir):
+    """Ingest as one step: required columns, derived columns, start date, five
+    folds, each standardised on its train part."""
+    f = v(spark, sf_dir, "fund")
+    x = f.withColumns({"open": F.col("closeadj") * 0.99, "high": F.col("closeadj") * 1.02 + 100, "low": F.col("closeadj") * 0.97,
+                       "close": F.when(F.month("date") != 7, F.col("closeadj"))})
+    x = ingest.process(x, ["capexratio", "revenue"], start_date="1993-03-01")
+    cols = ["capexratio", "revenue", "intraday_vol"]
+    out = ingest.walk_forward(x, cols, 5)
+    return out.select("ticker", "date", "fold", "role", "spot", "release_indicator", *[F.round(c, 4).alias(c) for c in cols])

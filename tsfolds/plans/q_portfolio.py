@@ -39,10 +39,9 @@ ex as (select *, case when lag(market_value) over w is null then null
                       when market_value / lag(market_value) over w > 0 then ln(market_value / lag(market_value) over w)
                  end - {portfolio.RATE / portfolio.PERIODS!r} as excess_ret
        from val window w as (partition by run_id order by date)),
-vo as (select *, count(excess_ret) over w as n_, sum(excess_ret) over w as s_, sum(excess_ret * excess_ret) over w as q_
+vo as (select *, stddev_pop(excess_ret) over w as sd_
        from ex window w as (partition by run_id order by date rows between unbounded preceding and current row)),
-vv as (select *, case when n_ > 0 and sqrt(greatest(q_ / n_ - (s_ / n_) * (s_ / n_), 0)) > 0
-                      then sqrt(greatest(q_ / n_ - (s_ / n_) * (s_ / n_), 0)) else {portfolio.DEFAULT_VOL} end as ret_vol from vo),
+vv as (select *, case when sd_ > 0 then sd_ else {portfolio.DEFAULT_VOL} end as ret_vol from vo),
 yj as (select *, excess_ret / ret_vol as z_ from vv),
 sc as (select *, 1 / (1 + exp(-(case when z_ >= 0 then (pow(z_ + 1, {LAM}) - 1) / {LAM}
                                      else -(pow(1 - z_, {2 - LAM!r}) - 1) / {2 - LAM!r} end))) as score from yj)"""
@@ -178,6 +177,36 @@ def g10_truncate_runs(spark, sf_dir):
     return _money(t.select("run_id", "date", "step", "market_value"), "market_value")
 
 
+@query("g10_truncate_length", with_views(GRID_SQL + f""",
+t as (select *, sum(case when market_value < {0.5 * B0} then 1 else 0 end) over
+        (partition by run_id order by date rows between unbounded preceding and current row) as seen_ from sc)
+select run_id, date, step, {_m('market_value')} as market_value from t
+where (seen_ = 0 or (seen_ = 1 and market_value < {0.5 * B0})) and step < 20 - 1""", "orders_q", "prices"))
+def g10_truncate_length(spark, sf_dir):
+    """G10 with an episode length of 20: 19 rows of a run at most."""
+    t = portfolio.truncate_runs(_ledger_full(spark, sf_dir), "market_value", B0, ep_length=20)
+    return _money(t.select("run_id", "date", "step", "market_value"), "market_value")
+
+
+UNPRICED_SQL = """, px as (select * from prices where month(date) % 5 <> 0), pairs as (select distinct run_id, ticker from orders_q),
+g0 as (select r.run_id, p.ticker, p.date, p.price from px p join pairs r on p.ticker = r.ticker),
+g1 as (select coalesce(g.run_id, o.run_id) as run_id, coalesce(g.ticker, o.ticker) as ticker, coalesce(g.date, o.date) as date,
+              g.price, coalesce(o.qty, 0.0) as qty
+       from g0 g full join orders_q o on o.run_id = g.run_id and o.ticker = g.ticker and o.date = g.date),
+g2 as (select run_id, ticker, date, qty, last_value(price ignore nulls) over (partition by run_id, ticker order by date) as price from g1)"""
+
+
+@query("g6_positions_unpriced", with_views(UNPRICED_SQL + """
+select run_id, ticker, date, round(price, 6) + 0.0 as price, round(coalesce(lag(price) over w, price), 6) + 0.0 as exec_price,
+  round(sum(qty) over (partition by run_id, ticker order by date rows between unbounded preceding and current row), 6) + 0.0 as position
+from g2 window w as (partition by run_id, ticker order by date)""", "orders_q", "prices"))
+def g6_positions_unpriced(spark, sf_dir):
+    """G6 where some order dates have no price: the order counts, at the last mark."""
+    px = v(spark, sf_dir, "prices").where(F.month("date") % 5 != 0)
+    g = portfolio.grid(v(spark, sf_dir, "orders_q"), px)
+    return portfolio.positions(g).select("run_id", "ticker", "date", "price", "exec_price", "position")
+
+
 @query("g11_ledger", with_views(GRID_SQL + f"""
 select run_id, date, step, {_m('market_value')} as market_value, {_m('balance')} as balance,
        {_m('paid_slippage')} as paid_slippage, round(score, 6) + 0.0 as score, round(gross_leverage, 6) + 0.0 as gross_leverage,
@@ -202,7 +231,20 @@ def g12_validation_returns(spark, sf_dir):
     return report.validation_returns(c).select("run_id", "chunk", "date", "ret")
 
 
-SYMS = ["S0", "S1", "S2", "S3"]
+@query("g12_validation_returns_chunks", with_views(GRID_SQL + """,
+d as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from val)),
+vc as (select val.*, cast(floor(d.idx / 12) as integer) as chunk from val join d on val.date = d.date)
+select run_id, chunk, date, round(case when market_value > 0 and lag(market_value) over w > 0
+  then ln(market_value) - ln(lag(market_value) over w) end, 6) + 0.0 as ret
+from vc where chunk between 1 and 3 window w as (partition by run_id, chunk order by date)""", "orders_q", "prices"))
+def g12_validation_returns_chunks(spark, sf_dir):
+    """G12 over the chunks 1 to 3, as a summary that leaves the first chunk out."""
+    g = cut(portfolio.positions(_grid(spark, sf_dir)))
+    val = portfolio.valuation(g, portfolio.cash(g, B0)).select("run_id", "date", "market_value")
+    return report.validation_returns(folds.by_size(val, 12), chunks=range(1, 4)).select("run_id", "chunk", "date", "ret")
+
+
+SYMS = ["S1", "S2", "S3", "S4"]
 
 
 @query("d12_render_wide", with_views(GRID_SQL + """,

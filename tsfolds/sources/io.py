@@ -34,13 +34,15 @@ def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet", **o
 def write_table(df: DataFrame, name_or_path: str, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by=None, **options) -> None:
     """A4: replace (or append to) a table."""
-    w = df.write.mode(mode).format(fmt).options(**options)
+    w = df.write.mode(mode).options(**options)
+    if mode == "overwrite":
+        w = w.option("partitionOverwriteMode", options.get("partitionOverwriteMode", "static"))  # replace all, not some partitions
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "table":
-        df.write.mode(mode).saveAsTable(name_or_path)
+        w.saveAsTable(name_or_path)
     else:
-        w.save(name_or_path)
+        w.format(fmt).save(name_or_path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,17 +67,20 @@ def read_monitor_logs(spark: SparkSession, log_dir: str) -> DataFrame:
         .where(F.col("value").startswith("#"))
         .select(
             F.col("_metadata.file_path").alias("file"),
-            F.get_json_object(F.substring(F.col("value"), 2, 1 << 20), "$.t_start").cast("double").alias("t_start"),
+            F.get_json_object(F.expr("substring(value, 2)"), "$.t_start").cast("double").alias("t_start"),
         )
     )
     return rows.join(heads, "file", "left")
 
 
-def read_series(spark: SparkSession, path: str, fmt: str = "csv", id_from: str = "file") -> DataFrame:
+def read_series(spark: SparkSession, path: str, fmt: str = "csv", id_from: str = "file", errors: str = "null") -> DataFrame:
     """A10: landed series files to a long ``(series_id, date, value)`` table.
     One file per series (``id_from="file"``: the id is the file name without
     extension) holding ``date,value`` rows; or files that already carry a
-    ``series_id`` column (``id_from="column"``)."""
+    ``series_id`` column (``id_from="column"``).  A value that is no number, such
+    as the usual ``.`` for a missing one, is NULL (``errors="raise"``: an error)."""
+    if errors not in ("raise", "null"):
+        raise ValueError("errors must be 'raise' or 'null'")
     r = spark.read.option("header", True).option("recursiveFileLookup", True)
     df = r.csv(path) if fmt == "csv" else r.format(fmt).load(path)
     if id_from == "file":
@@ -84,5 +89,5 @@ def read_series(spark: SparkSession, path: str, fmt: str = "csv", id_from: str =
     return df.select(
         F.col("series_id").cast("string"),
         F.to_date(F.col("date")).alias("date"),
-        F.col("value").cast("double").alias("value"),
+        (F.col("value").try_cast("double") if errors == "null" else F.col("value").cast("double")).alias("value"),
     )

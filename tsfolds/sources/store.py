@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 PARTS = ("jobname", "chunk")
 
 
-def write_chunks(df: DataFrame, path: str, parts: Sequence[str] = PARTS) -> None:
+def write_chunks(df: DataFrame, path: str, parts: Sequence[str] = PARTS, order: Sequence[str] = ("date", "ticker")) -> None:
     """A5: write (upsert) chunks: rows are clustered by partition inside each
-    task, and only the (jobname, chunk) partitions present are replaced."""
+    task and ordered by ``order`` (H1: date and ticker, as far as they are there),
+    and only the (jobname, chunk) partitions present are replaced.  A large
+    chunk is spread over tasks of about equal size (rebalance)."""
+    order = [c for c in order if c in df.columns]
     (
-        df.repartition(*parts)
-        .sortWithinPartitions(*parts)
+        df.hint("rebalance", *parts)
+        .sortWithinPartitions(*parts, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*parts)

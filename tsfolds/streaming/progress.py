@@ -16,6 +16,7 @@ Checkpoints of both queries live under the session's ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pandas as pd
@@ -25,16 +26,25 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tsfolds.operators import jobs
-from tsfolds.session import ensure_checkpoint_dir
+from tsfolds.session import ensure_checkpoint_dir, ship
 
 LOG_SCHEMA = "name string, parent string, ts timestamp_ntz, pct_complete double"
 
 
-def _ckpt(spark: SparkSession, name: str, checkpoint: str | None) -> str:
-    return checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+def _ckpt(spark: SparkSession, name: str, checkpoint: str | None, *paths: str) -> str:
+    """The given checkpoint, or one per pair of folders under the shared checkpoint folder: a restart of
+    the same query finds it, another query does not."""
+    if checkpoint:
+        return checkpoint
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    key = hashlib.sha256("\n".join(paths).encode()).hexdigest()[:16]
+    return os.path.join(shared, "streams", f"{name}-{key}")
 
 
-def read_log(spark: SparkSession, in_dir: str, max_files: int | None = None) -> DataFrame:
+MAX_FILES = 256  # log files of a micro-batch, unless another number is given: one job's readings of a batch are one frame
+
+
+def read_log(spark: SparkSession, in_dir: str, max_files: int | None = MAX_FILES) -> DataFrame:
     r = spark.readStream.schema(LOG_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -42,40 +52,54 @@ def read_log(spark: SparkSession, in_dir: str, max_files: int | None = None) ->
 
 
 def progress(spark: SparkSession, in_dir: str, out_path: str, timesteps: int, checkpoint: str | None = None,
-             available_now: bool = True):
-    """K1: stream the log; keep each job's latest reading; after every
-    micro-batch write the weighted progress of every parent (D9) to
-    ``out_path`` (Parquet, replaced each batch).  Returns the query."""
-    log = read_log(spark, in_dir)
-    state = log.groupBy("name").agg(F.max(F.struct("ts", "pct_complete")).alias("_last"))
+             available_now: bool = True, max_files: int | None = MAX_FILES):
+    """K1: stream the log; keep each job's latest reading; every micro-batch
+    writes the weighted progress of every parent (D9) as a new version, the
+    folder ``batch=<n>`` of ``out_path``.  ``read_progress`` reads the latest
+    complete one, so readers never see a batch half written, and a repeated
+    batch replaces its own folder only.  Returns the query."""
+    log = read_log(spark, in_dir, max_files)
+    state = log.groupBy("name").agg(F.max(F.struct("ts", "pct_complete", "parent")).alias("_last"))
 
     def roll_up(batch: DataFrame, epoch: int) -> None:
-        s = batch.select("name", F.col("_last.pct_complete").alias("pct_complete")).withColumn(
-            "parent", F.split("name", r"\.")[0]
-        )
-        jobs.progress(s, timesteps).write.mode("overwrite").parquet(out_path)
+        s = batch.select("name", "_last.pct_complete", F.coalesce("_last.parent", F.split("name", r"\.")[0]).alias("parent"))
+        jobs.progress(s, timesteps).write.mode("overwrite").parquet(os.path.join(out_path, f"batch={epoch}"))
 
     w = state.writeStream.outputMode("complete").foreachBatch(roll_up).option(
-        "checkpointLocation", _ckpt(spark, "progress", checkpoint)
+        "checkpointLocation", _ckpt(spark, "progress", checkpoint, in_dir, out_path)
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
 
 
+def read_progress(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest complete version of ``progress``'s result."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = []
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        if name.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+            done.append(int(name[6:]))
+    if not done:
+        raise FileNotFoundError(f"no complete batch in {out_path}")
+    return spark.read.parquet(os.path.join(out_path, f"batch={max(done)}"))
+
+
 ETA_SCHEMA = "name string, ts timestamp_ntz, pct_complete double, delta double, eta_secs double"
 ETA_STATE = "ts timestamp_ntz, pct_complete double"
 
 
 def _eta_fn(key, pdfs, state):
-    """One job, one micro-batch: readings in time order, each against the
-    previous one (the first against the state), vectorised with pandas."""
+    """One job, one micro-batch: readings in time order (equal times by value),
+    each against the previous one (the first against the state), vectorised with pandas."""
     df = pd.concat(list(pdfs))
     if df.empty:
         return
-    df = df.sort_values(["ts", "pct_complete"], kind="mergesort").drop_duplicates("ts", keep="first")
+    df = df.sort_values(["ts", "pct_complete"], kind="mergesort")
     if state.exists:
         last_ts, last_p = state.get
-        df = df[df["ts"] > pd.Timestamp(last_ts)]  # late or repeated readings are ignored
+        df = df[df["ts"] >= pd.Timestamp(last_ts)]  # late readings are ignored
     else:
         last_ts, last_p = None, None
     if df.empty:
@@ -129,6 +153,7 @@ def eta_stream(log: DataFrame, engine: str = "applyInPandasWithState") -> DataFr
     ``applyInPandasWithState`` (any state store) or
     ``transformWithStateInPandas`` (needs the RocksDB state store provider
     in ``spark.sql.streaming.stateStore.providerClass``)."""
+    ship(log.sparkSession)
     g = log.select("name", "ts", "pct_complete").groupBy("name")
     if engine == "transformWithStateInPandas":
         if log.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
@@ -138,7 +163,7 @@ def eta_stream(log: DataFrame, engine: str = "applyInPandasWithState") -> DataFr
 
 
 def eta(spark: SparkSession, in_dir: str, out_path: str, checkpoint: str | None = None, available_now: bool = True,
-        max_files: int | None = None, engine: str = "applyInPandasWithState"):
+        max_files: int | None = MAX_FILES, engine: str = "applyInPandasWithState"):
     """K2: stream the log and append the ETA of every reading to ``out_path``
     (Parquet).  Returns the query."""
     s = eta_stream(read_log(spark, in_dir, max_files), engine).withColumn(
@@ -149,7 +174,7 @@ def eta(spark: SparkSession, in_dir: str, out_path: str, checkpoint: str | None
         ),
     )
     w = s.writeStream.outputMode("append").format("parquet").option("path", out_path).option(
-        "checkpointLocation", _ckpt(spark, "eta", checkpoint)
+        "checkpointLocation", _ckpt(spark, "eta", checkpoint, in_dir, out_path)
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
     return w.start()
