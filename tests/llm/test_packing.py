@@ -88,3 +88,13 @@ def test_plan_serves_each_length_and_fills(spark):
                 used[n] += times
         assert used == hist
         assert sequences <= 1.005 * best_fit(hist, 100) + 1
+
+
+def test_fast_and_own_library_agree():
+    tok, encode = Tokenizer.from_file(PATH), packing._encoder(PATH)
+    rnd = random.Random(9)
+    letters = "abcXYZ'\n\r\t   .,!?019&%#*|-_<>éèñüßÖªº²½¿÷" + "".join(map(chr, range(0xA1, 0x250, 7)))
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 80))) for _ in range(3000)]
+    texts += ["we'll they're I'm it's 'd 've", "a\u00a0b \u2003 c", "\x1c\x85 x", "日本語 text", "x <|endoftext|> y", "<|", "𝒳 ٣ ⅷ"]
+    for t, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t

@@ -17,6 +17,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,36 +30,54 @@ from tsfolds.session import cut
 SIZE = 1024
 END = 2  # id that closes each document
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 400_000  # encoded words that a task keeps; what is missing is encoded again
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-# White space that does not split at single spaces as in the middle of a text: left to the tokenizer.
-_ODD = re.compile(r" \s| \Z|<\|")
+# Anything but plain Latin text: what libraries might class differently, and special tokens.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]|<\\|")
 
 
-def _encoder(path: str):
-    """Text to ids.  Pre-tokens never cross a single space, so the parts between spaces are encoded once
-    each and looked up; texts with other white space after a space are encoded whole."""
-    from tokenizers import Tokenizer
+_ENCODERS: dict[str, object] = {}  # one per worker process
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 characters stand for
+    themselves, the others are shifted to 256 and up in their order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
+
+def _encoder(path: str):
+    """Texts to ids, as bytes, for a byte-level vocabulary file.  Latin texts are encoded by a faster library from
+    the same vocabulary and split pattern; texts with other characters, or with a special token, by
+    the file's own library."""
+    if path in _ENCODERS:
+        return _ENCODERS[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
-    tokenizer = Tokenizer.from_file(path)
-    memo: dict[str, bytes] = {}
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
 
-    def batch(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    own = Tokenizer.from_file(path)
+    byte_of = _byte_of()
+    vocabulary = own.get_vocab(with_added_tokens=False)
+    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if all(c in byte_of for c in piece)}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        parts = [t.split(" ") if not _ODD.search(t) else [t] for t in texts]
-        new = {w for p in parts for w in p[1:]}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-        new = list(new - memo.keys())
-        memo.update(zip(new, batch([" " + w for w in new]), strict=True))
-        heads = batch([p[0] for p in parts])
-        return [b"".join([h, *map(memo.__getitem__, p[1:])]) for h, p in zip(heads, parts, strict=True)]
-
+        out: list[bytes] = []
+        slow = []
+        for t in texts:
+            if t and _OTHER.search(t):
+                slow.append((len(out), t))
+                out.append(b"")
+            else:
+                out.append(array("I", fast.encode_ordinary(t) if t else ()).tobytes())
+        for (i, _), e in zip(slow, own.encode_batch_fast([t for _, t in slow], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    _ENCODERS[path] = encode
     return encode
 
 
