@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tsfolds.llm import text as tx
 
+SALTS = 32  # parts that the pages of a host are dealt to
+
 # Elements by their role in HTML.
 RAW = frozenset("script style textarea title noscript iframe xmp template svg math select option".split())
 CONTAINERS = frozenset("html body div article main section aside nav header footer form ul ol dl table tbody thead tr td th blockquote figure details center fieldset".split())
@@ -188,7 +190,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     scored = base.select("host", "html").transform(tx.arrow, _score, "host string, path string, votes long")
     scored = scored.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     winners = scored.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"].alias("winner"))
-    found = base.join(winners, "host", "left").select("rest", "html", "winner")
+    # salted, so that a host with many pages is spread over tasks
+    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    found = salted.join(winners, ["host", "salt"], "left").select("rest", "html", "winner")
     kind = tx.extended(base.select("rest").schema, text="string")
     out = found.transform(tx.arrow, _extract(["rest"]), kind)
     return out.select(*[F.col("rest").getField(c).alias(c) for c in own], "text")
