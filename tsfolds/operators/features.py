@@ -421,12 +421,14 @@ def rolling_corr(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker",
 # --------------------------------------------------------------------------- E20
 
 
-def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", features: Sequence[str] = ()) -> DataFrame:
+def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", order_by="date", features: Sequence[str] = (),
+                deltas: Sequence[str] = ()) -> DataFrame:
     """The per-ticker state frame of every date at once.
 
     Rolling columns use a frame of min(step+1, B+1) rows; Hurst, RSI,
     distances and causal strengths take their defaults (0.5, 50, 1, 1, 0)
     until step > B, after which Hurst and RSI are smoothed recursively (E18).
+    ``features`` get a causal strength (E14), ``deltas`` their last change (E15).
     One exchange for the window family (two chained stages), one for the
     smoothing."""
     by = _by(by)
@@ -446,6 +448,7 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
         d.update(hs[0](w))
         d.update(rs[0](w))
         d.update(cs[0](w) if features else {})
+        d.update({f"{c}_delta": F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) for c in deltas})
         return d
 
     def second(w):
@@ -464,3 +467,11 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     ).drop(*_hurst_cols(B), "_dx", "_up", "_dn", *(_causal_cols(features, B) if features else []))
     x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by)
     return x.drop("_full", "hurst_raw", "rsi_raw")
+
+
+def state_row(state: DataFrame, deviations: DataFrame, trailing: DataFrame, run: str = "run_id", by: str = "ticker", order_by: str = "date") -> DataFrame:
+    """The observation of every (run, date, ticker): the panel state (E20) of the symbols a run holds, their
+    deviations from target (G4: run, date, ticker, deviation) and the run's trailing returns (E23: run, date,
+    vector).  The correlations (E13) stay a table of pairs on the same dates."""
+    x = state.join(deviations, [order_by, by])
+    return x.join(trailing, [run, order_by], "left")

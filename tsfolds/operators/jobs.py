@@ -107,6 +107,22 @@ def levels(edges: DataFrame, src: str = "parent", dst: str = "name") -> DataFram
     return rest if res is None else res.unionByName(rest)
 
 
+def paths(jobs: DataFrame, name: str = "name", parent: str = "parent", sep: str = "/") -> DataFrame:
+    """I3 as rows: every node of the job trees with the path of names from its root and its depth (root 0),
+    one equi-join per level.  Nested documents sorted by path follow from it, without a row that
+    holds a whole tree.  Nodes on or behind a cycle have no root and no row."""
+    edges = jobs.select(F.col(name).alias("name"), F.col(parent).alias("parent"))
+    frontier = edges.where(F.col("parent").isNull()).select("name", F.col("name").alias("path"), F.lit(0).alias("depth"))
+    out = frontier
+    for i in itertools.count(1):
+        up = frontier.select(F.col("name").alias("parent"), F.col("path").alias("_up"))
+        frontier = edges.join(up, "parent").select("name", F.concat_ws(sep, "_up", "name").alias("path"), F.lit(i).alias("depth"))
+        frontier = _cut(frontier, i)
+        if frontier.isEmpty():
+            return out
+        out = _cut(out.unionByName(frontier), i)
+
+
 def tree(jobs: DataFrame, max_depth: int | None = None, name: str = "name", parent: str = "parent") -> DataFrame:
     """Nested job documents, empty fields dropped (``to_json`` omits
     NULLs).  Built bottom-up, one level per round: each node's document holds

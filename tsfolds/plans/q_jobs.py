@@ -98,6 +98,14 @@ def i2_delete_subtree(spark, sf_dir):
     return jobs.delete_subtree(v(spark, sf_dir, "jobs"), "ASIA")
 
 
+@query("i3_tree_paths", with_views("""select * from (with recursive r(name, path, depth) as (
+  select name, name, 0 from jobs where parent is null
+  union all select j.name, r.path || '/' || j.name, r.depth + 1 from jobs j join r on j.parent = r.name) select * from r)""", "jobs"))
+def i3_tree_paths(spark, sf_dir):
+    """Every job with its path from the root."""
+    return jobs.paths(v(spark, sf_dir, "jobs"))
+
+
 @query("i4_levels", with_views("""select node, cast(max(level) as integer) as level, false as in_cycle from (
   with recursive r(node, level) as (select name, 0 from jobs where parent is null
     union all select j.name, r.level + 1 from jobs j join r on j.parent = r.node) select * from r) group by node""", "jobs"))

@@ -9,7 +9,7 @@ from tsfolds.operators import align, features, ingest
 from tsfolds.plans.fixtures import with_views
 from tsfolds.plans.q_clean import NATIONS
 from tsfolds.plans.pipeline import FeatureGraph
-from tsfolds.plans.q_features import HURST_SQL, RSI_SQL
+from tsfolds.plans.q_features import CAUSAL_SQL, HURST_SQL, RSI_SQL
 from tsfolds.plans.queries import query, v
 
 B = 10
@@ -53,6 +53,25 @@ def e20_panel_state(spark, sf_dir):
     )
 
 
+FULL_SQL = STATE_SQL.replace("\nselect ticker, date, step,", ",\nfs as (select ticker, date, step,", 1) + ")" + CAUSAL_SQL + """,
+dl as (select ticker, date, """ + ", ".join(f"coalesce({c} - lag({c}) over w, 0) as {c}_delta" for c in ("open", "volume")) + """
+       from supp_bars window w as (partition by ticker order by date))
+select fs.*, """ + ", ".join(f"round(case when fs.step > {B} then cs.causal_{c} else 0.0 end, 6) + 0.0 as causal_{c}" for c in ("open", "high")) + """,
+  round(dl.open_delta, 6) + 0.0 as open_delta, round(dl.volume_delta, 6) + 0.0 as volume_delta
+from fs join cs on fs.ticker = cs.ticker and fs.step + 1 = cs.cur join dl on fs.ticker = dl.ticker and fs.date = dl.date"""
+
+
+@query("e20_panel_state_full", with_views(FULL_SQL, "supp_bars"))
+def e20_panel_state_full(spark, sf_dir):
+    """E20 with causal strengths (E14) and deltas (E15) in the same frame."""
+    x = v(spark, sf_dir, "supp_bars").select("ticker", "date", "open", "high", "close", F.col("volume").cast("double").alias("volume"))
+    out = features.panel_state(x, "close", B, features=["open", "high"], deltas=["open", "volume"])
+    return out.select(
+        "ticker", "date", "step", "ret", "ret_sq", "spot_rank", "dist_max", "dist_min", "hurst", "rsi",
+        "causal_open", "causal_high", "open_delta", "volume_delta",
+    )
+
+
 def feature_graph(spark, sf_dir) -> FeatureGraph:
     """The 4-node example graph over the bar panel: node4 depends on node2
     and node3, which both depend on node1."""
