@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by alternating large and small stars; a join for groups of copies."""
 
 from __future__ import annotations
 
@@ -35,3 +35,11 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
+
+
+def copies_join(rows: DataFrame, groups: DataFrame, on: list[str], by: str, parts: int = 32) -> DataFrame:
+    """Left join of rows to the few ``groups`` that hold several rows.  A group may hold a third of all rows:
+    they are dealt to ``parts`` parts by a hash of ``by``, and each group's row goes to all of them."""
+    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int").alias("_part")
+    dealt = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    return rows.select("*", part).join(dealt, [*on, "_part"], "left").drop("_part")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsfolds.llm import text as tx
-from tsfolds.llm.graph import components
+from tsfolds.llm.graph import components, copies_join
 from tsfolds.session import cut
 
 BANDS, ROWS = 24, 4
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     width = bands * rows
     signed = cut(base.transform(tx.arrow, _signatures(k, width), _SIGNED))
     full = signed.where("n > 0")
-    classes = full.groupBy("sa", "sb", "n").agg(F.min("doc").alias("cls"))
+    classes = full.groupBy("sa", "sb", "n").agg(F.min("doc").alias("cls"), F.count("*").alias("copies"))
     same = ["doc", "sa", "sb", "n"]
     reps = full.join(classes.withColumnRenamed("cls", "doc"), same, "left_semi").dropDuplicates(same)
     reps = cut(reps.select("doc", "n", "sig"))
@@ -284,9 +284,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     more = pairs.transform(tx.arrow, _compared(bands, rows, percent, miss), "a long, b long").distinct()
     more = _exact(more, sets, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of = signed.select("doc", "n", "sa", "sb").join(classes, ["sa", "sb", "n"], "left").select("doc", "n", "cls")
+    several = classes.where("copies > 1")
+    of = copies_join(signed.select("doc", "n", "sa", "sb"), several, ["sa", "sb", "n"], "doc")
+    of = of.select("doc", "n", F.coalesce("cls", "doc").alias("cls"))
     of = of.join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    component = F.coalesce("component", "cls", "doc")
+    component = F.coalesce("component", "cls")
     known = lambda c: F.when(c < NAMELESS, c).cast(kind)
     out = of.select(known(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), known(component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

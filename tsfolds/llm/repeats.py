@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsfolds.llm import text as tx
+from tsfolds.llm.graph import copies_join
 
 GRAM = 12
 PREFIX = 4
@@ -220,7 +221,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     same = ["h1", "h2", "size"]
     keys = base.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("size"))
     groups = keys.groupBy(*same).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copied = keys.join(groups, same).groupBy("doc").agg(F.max(F.col("doc") == F.col("least")).alias("stands"), F.lit(True).alias("copied"))
+    copied = copies_join(keys, groups, same, "doc").where("copies is not null")
+    copied = copied.groupBy("doc").agg(F.max(F.col("doc") == F.col("least")).alias("stands"), F.lit(True).alias("copied"))
     # doc, text and rest go to Python together each time, so that one exchange of the texts serves all three
     rows = base.join(copied, "doc", "left")
     rep = rows.where(F.coalesce("stands", F.lit(True))).select("doc", "text", "rest")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsfolds.llm import text as tx
-from tsfolds.llm.graph import components
+from tsfolds.llm.graph import components, copies_join
 from tsfolds.session import cut
 
 SAMPLE = 8192
@@ -222,10 +222,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = SAMP
         found = cut(q.join(x, ["label", "list"]).select("list", "q", "x").transform(tx.arrow, _meet(index, cosine, r), "a long, b long, n long"))
         counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
         groups = components(found.where("a <> b").select("a", "b"))
-        of = base.join(classes, ["label", "vec"], "left").select("node", "cls", "copies")
+        of = copies_join(base, classes.where("copies > 1"), ["label", "vec"], "node")
+        of = of.select("node", F.coalesce("cls", "node").alias("cls"), "copies")
         of = of.join(counts, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
         n_links = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-        of = of.select("node", n_links.cast("long").alias("n_links"), F.coalesce("component", "cls", "node").alias("component"))
+        of = of.select("node", n_links.cast("long").alias("n_links"), F.coalesce("component", "cls").alias("component"))
     else:
         of = base.select("node", F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component"))
     out = of.select(known(F.col("node")).alias("vec_id"), "n_links", known(F.col("component")).alias("component_id"))
