@@ -27,28 +27,27 @@ def _steps(first: np.ndarray):
     return [starts[: live[t]] + t for t in range(size[0])]
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray):
-    """(marginals, log-likelihood normaliser of all sequences, expected transitions)."""
+    """(marginals, log-likelihood normaliser of all sequences, expected transitions), with each element's
+    forward and backward vectors scaled to sum 1."""
     steps = _steps(first)
-    alpha, beta = emit.copy(), np.zeros_like(emit)
-    for prev, rows in zip(steps, steps[1:], strict=False):
-        alpha[rows] += _lse(alpha[prev[: len(rows)]][:, :, None] + trans[None], 1)
-    pairs = np.zeros_like(trans)
-    last = first[1:][np.diff(first) > 0] - 1
-    z = np.zeros(len(emit))
-    norm = _lse(alpha[last], 1) if len(last) else np.zeros(0)
-    z = np.repeat(norm, np.diff(first)[np.diff(first) > 0])
+    top = emit.max(axis=1, keepdims=True) if len(emit) else np.zeros((0, 1))
+    psi = np.maximum(np.exp(emit - top), 1e-200)
+    e = np.exp(trans)
+    alpha, beta, scale = psi.copy(), np.ones_like(psi), np.ones(len(psi))
+    for t, rows in enumerate(steps):
+        a = psi[rows] if t == 0 else (alpha[steps[t - 1][: len(rows)]] @ e) * psi[rows]
+        scale[rows] = a.sum(axis=1)
+        alpha[rows] = a / scale[rows][:, None]
+    pairs = np.zeros_like(e)
     for prev, rows in zip(steps[-2::-1], steps[:0:-1], strict=False):
         prev = prev[: len(rows)]
-        after = trans[None] + (emit[rows] + beta[rows])[:, None, :]
-        beta[prev] = _lse(after, 2)
-        pairs += np.exp(alpha[prev][:, :, None] + after - z[prev][:, None, None]).sum(axis=0)
-    return np.exp(alpha + beta - z[:, None]), float(norm.sum()), pairs
+        after = psi[rows] * beta[rows] / scale[rows][:, None]
+        beta[prev] = after @ e.T
+        pairs += alpha[prev].T @ after
+    p = alpha * beta
+    p /= p.sum(axis=1, keepdims=True) if len(p) else 1
+    return p, float(np.log(scale).sum() + top.sum()), pairs * e
 
 
 def viterbi(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
