@@ -36,9 +36,12 @@ def numeric_columns(df: DataFrame, preserve: Sequence[str] = PRESERVE, exclude:
 
 
 def date_index(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Sorted distinct dates with their 0-based position ``date_idx``.  The
-    position is computed per time block plus a carry-over, not in one task."""
+    """Sorted distinct dates with their 0-based position ``date_idx``.  A DATE
+    column has one row per calendar day at most, which one window numbers;
+    other types are numbered per time block plus a carry-over."""
     dates = df.select(date_col).where(F.col(date_col).isNotNull()).distinct()
+    if isinstance(df.schema[date_col].dataType, DateType):
+        return dates.select(date_col, (F.row_number().over(Window.orderBy(date_col)) - 1).cast("long").alias("date_idx"))
     return blocked.rolling(dates, [], date_col, 0, lambda w: {}, with_step="date_idx")
 
 
@@ -106,14 +109,14 @@ def _chunk_moments(df: DataFrame, cols: Sequence[str], chunk: str) -> DataFrame:
             F.avg(c).alias(f"m_{c}"),
             (F.var_pop(c) * F.count(c)).alias(f"q_{c}"),
         ]
-    return df.groupBy(chunk).agg(*aggs)
+    return df.where(F.col(chunk).isNotNull()).groupBy(chunk).agg(*aggs)  # rows without a chunk are part of none
 
 
-def _combine(mom: DataFrame, cols: Sequence[str], chunk: str, include_self: bool) -> DataFrame:
+def _combine(mom: DataFrame, cols: Sequence[str], chunk: str, include_self: bool, first_self: bool = False) -> DataFrame:
     """Merge the moments of all earlier chunks (``include_self``: and the
-    chunk itself), on the chunk table (one row per chunk).  Sums are taken
-    around a per-column reference (the first chunk's mean) so that large
-    levels do not cancel."""
+    chunk itself; ``first_self``: the first chunk takes its own), on the chunk
+    table (one row per chunk).  Sums are taken around a per-column reference
+    (the first chunk's mean) so that large levels do not cancel."""
     w = Window.orderBy(chunk)  # one row per chunk: a small table
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
     out = [F.col(chunk)]
@@ -121,13 +124,13 @@ def _combine(mom: DataFrame, cols: Sequence[str], chunk: str, include_self: bool
         n, m, q = F.col(f"n_{c}"), F.col(f"m_{c}"), F.col(f"q_{c}")
         ref = F.first(m, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         out += [ref.alias(f"_r_{c}")]
-    x = mom.select("*", *out[1:])
+    x = mom.select("*", *out[1:], (F.row_number().over(w) == 1).alias("_first"))
+    own = F.col("_first") & F.lit(first_self)
     res = [F.col(chunk)]
     for c in cols:
         n, m, q, r = F.col(f"n_{c}"), F.col(f"m_{c}"), F.col(f"q_{c}"), F.col(f"_r_{c}")
-        N = F.sum(n).over(frame)
-        S = F.sum(F.when(n > 0, n * (m - r))).over(frame)
-        Q = F.sum(F.when(n > 0, q + n * (m - r) * (m - r))).over(frame)
+        parts = (n, F.when(n > 0, n * (m - r)), F.when(n > 0, q + n * (m - r) * (m - r)))
+        N, S, Q = (F.when(own, p).otherwise(F.sum(p).over(frame)) for p in parts)
         res += [N.alias(f"_N_{c}"), S.alias(f"_S_{c}"), Q.alias(f"_Q_{c}"), r.alias(f"_R_{c}")]
     y = x.select(*res)
     fin = [F.col(chunk)]
@@ -148,16 +151,7 @@ def prior_stats(df: DataFrame, cols: Sequence[str], chunk: str = "chunk", first:
     chunks; chunk 0 uses itself (``first="self"``, the reference's rule) or
     gets NULL (``first="null"``).  One row per chunk."""
     mom = _chunk_moments(df, cols, chunk)
-    prior = _combine(mom, cols, chunk, include_self=False)
-    if first == "self":
-        own = _combine(mom, cols, chunk, include_self=True)
-        c0 = F.min(chunk).over(Window.partitionBy())  # one row per chunk
-        prior = (
-            prior.withColumn("_c0", c0).where(F.col(chunk) != F.col("_c0"))
-            .unionByName(own.withColumn("_c0", c0).where(F.col(chunk) == F.col("_c0")))
-            .drop("_c0")
-        )
-    return prior
+    return _combine(mom, cols, chunk, include_self=False, first_self=first == "self")
 
 
 def cumulative_stats(df: DataFrame, cols: Sequence[str], chunk: str = "chunk") -> DataFrame:
@@ -167,7 +161,7 @@ def cumulative_stats(df: DataFrame, cols: Sequence[str], chunk: str = "chunk") -
 
 
 def _zscore(df: DataFrame, stats: DataFrame, cols: Sequence[str], key: str, zero_std: float | None) -> DataFrame:
-    x = df.join(F.broadcast(stats), key)  # one row per chunk/fold
+    x = df.join(F.broadcast(stats), key, "left")  # one row per chunk/fold
     repl = {}
     for c in cols:
         z = safe_div(F.col(c) - F.col(f"mean_{c}"), F.col(f"std_{c}"))
@@ -183,7 +177,7 @@ def standardize_prior(
 ) -> DataFrame:
     """z-score every numeric column (prices preserved) of chunk k with the
     statistics of chunks < k (chunk 0: itself).  Zero std gives NULL, or
-    ``zero_std``."""
+    ``zero_std``; a row without a chunk has no statistics (NULL)."""
     cols = list(cols) if cols is not None else numeric_columns(df, preserve, exclude=(chunk,))
     st = prior_stats(df, cols, chunk, first).select(chunk, *[f"{p}_{c}" for c in cols for p in ("mean", "std")])
     return _zscore(df, st, cols, chunk, zero_std)
