@@ -118,7 +118,10 @@ def train(rows: list[tuple[str | None, int]]):
     """(model, slope, shift) from (text, quality) rows; without rows every document scores 0.5."""
     if not rows:
         return None
-    x, length, first = _line_table(pa.array([t for t, _ in rows], pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string())], ["text"])
+    parts = [_line_table(s.column(0)) for s in tx.slices(batch, "text", 1 << 18)]  # small slices: the driver's memory is small
+    x, length = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     label = np.array([q for _, q in rows])
     line = np.repeat(label, np.diff(first))
     y, model = line.copy(), None
