@@ -13,6 +13,7 @@ hash blocks (no global window), points into the plan's ranges.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
@@ -56,13 +57,13 @@ def _encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
     byte_of = _byte_of()
-    vocabulary = own.get_vocab(with_added_tokens=False)
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if all(c in byte_of for c in piece)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = []  # loaded where a text asks for it: both libraries together take memory
 
     def encode(texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -73,8 +74,12 @@ def _encoder(path: str):
                 out.append(b"")
             else:
                 out.append(array("I", fast.encode_ordinary(t) if t else ()).tobytes())
-        for (i, _), e in zip(slow, own.encode_batch_fast([t for _, t in slow], add_special_tokens=False), strict=True):
-            out[i] = array("I", e.ids).tobytes()
+        if slow and not own:
+            from tokenizers import Tokenizer
+
+            own.append(Tokenizer.from_file(path))
+        for i, t in slow:
+            out[i] = array("I", own[0].encode(t, add_special_tokens=False).ids).tobytes()
         return out
 
     _ENCODERS[path] = encode

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # text handled at once in a task (one longer document is handled alone)
+SLICE_BYTES = 1 << 19  # text handled at once in a task (one longer document is handled alone)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,7 +42,7 @@ def _powers(base: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     got = _POWERS.get(base)
     if got is None or len(got[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 16)
         out = []
         for b in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
             p = np.full(size, b, dtype=U)
