@@ -33,7 +33,7 @@ from tsfolds.session import ensure_checkpoint_dir
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-HOT = 1_000_000  # words in the dictionary that goes to all tasks, at most
+HOT = 200_000  # words in the dictionary that goes to all tasks, at most
 LONG = 48  # characters; longer words are merged by a heap in Python instead of the quadratic fold
 NO_ID = -(1 << 63)
 UNKNOWN = -100.0  # score of a character without a piece in a unigram model
@@ -93,7 +93,8 @@ def _edges(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         rank = ranked[-1][2] if last == score else len(ranked)  # equal scores have equal ranks
         ranked.append((p, i, rank, score))
         last = score
-    pieces = words.sparkSession.createDataFrame(ranked, "piece string, id int, rank int, score double")
+    late = _late({p: rank for p, _, rank, _ in ranked})
+    pieces = words.sparkSession.createDataFrame([(*r, late.get(r[0], [])) for r in ranked], "piece string, id int, rank int, score double, late array<int>")
     n = F.length("word")
     spans = F.flatten(
         F.transform(
@@ -106,39 +107,95 @@ def _edges(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     spread = words.select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.e", "x.piece")
     found = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or e - s = 1")  # the vocabulary
-    edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"), F.coalesce("late", F.array().cast("array<int>")).alias("late"))
     return found.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("n", F.length("word"))
 
 
-def _merged(edges: Column, n: Column) -> Column:
-    """Borders of the symbols that are left when merges are applied by rank, leftmost first, while any applies."""
-    long_edges = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _merged(folded: DataFrame) -> DataFrame:
+    """``borders`` of the symbols that are left when merges are applied by rank, leftmost first, while any applies.
+
+    Borders are the bits of a number.  One pass over the edges by (rank, start) applies each merge whose ends are
+    borders with one border between.  That is the model's order, unless a merge could only apply after one
+    of a worse rank had made its parts: words for which such an edge was left out are folded again, merge by merge.
+    Each step is a column of its own: an expression inside a lambda would be computed for every element."""
+    n = F.col("n")
+
+    def row(x):
+        ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
+        between = _bit(x["e"]) - _bit(x["s"] + 1)
+        code = x["s"] * 64 + x["e"]
+        return F.struct(x["rank"], x["s"], x["e"], ends.alias("ends"), between.alias("between"), code.alias("code"), x["late"])
+
+    def applies(borders, x):
+        inner = borders.bitwiseAND(x["between"])
+        one = (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
+        return (borders.bitwiseAND(x["ends"]) == x["ends"]) & one
+
+    def once(state, x):
+        borders = state["borders"]
+        made = F.concat(state["made"], F.array(x["code"]))
+        merged = F.struct(borders.bitwiseXOR(borders.bitwiseAND(x["between"])).alias("borders"), made.alias("made"))
+        return F.when(applies(borders, x), merged).otherwise(state)
 
     def step(borders, _):
-        def applies(x):
-            at = F.array_position(borders, x["s"]).cast("int")
-            return (at > 0) & F.coalesce(F.get(borders, at + 1) == x["e"], F.lit(False))
+        best = F.get(F.filter("ranked", lambda x: applies(borders, x)), F.lit(0))
+        return F.when(best.isNull(), borders).otherwise(borders.bitwiseXOR(borders.bitwiseAND(best["between"])))
+
+    def missed(x):
+        made = F.col("made")
+
+        def was(s, e):
+            return (e - s == 1) | F.array_contains(made, s * 64 + e)
 
-        best = F.array_min(F.transform(F.filter(long_edges, applies), lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s"), x["e"].alias("e"))))
-        return F.when(best.isNull(), borders).otherwise(F.filter(borders, lambda b: (b <= best["s"]) | (b >= best["e"])))
+        late = F.exists(x["late"], lambda m: was(x["s"], x["s"] + m) & was(x["s"] + m, x["e"]))
+        return (F.size(x["late"]) > 0) & ~F.array_contains(made, x["code"]) & late
 
+    ranked = F.array_sort(F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), row))
+    start = F.struct((_bit(n + 1) - 1).alias("borders"), F.array().cast("array<int>").alias("made"))
     turns = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, F.sequence(F.lit(0), n), step)
+    own = folded.columns
+    x = folded.withColumn("ranked", ranked).withColumn("state", F.aggregate("ranked", start, once))
+    x = x.select(*own, "ranked", "state.borders", "state.made")
+    again = F.exists("ranked", missed)
+    mask = F.when(again, F.aggregate(turns, _bit(n + 1) - 1, step)).otherwise(F.col("borders"))
+    x = x.select(*own, "borders", mask.alias("mask"))
+    return x.select(*own, "mask", F.filter(F.sequence(F.lit(0), n), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0).alias("borders"))
+
+
+def _late(pieces: dict[str, int]) -> dict[str, list[int]]:
+    """Splits of a piece whose parts are pieces too, one of them with a worse rank than the piece itself."""
+    out = {}
+    for p, rank in pieces.items():
+        at = []
+        for m in range(1, len(p)):
+            parts = [x for x in (p[:m], p[m:]) if len(x) > 1]
+            if all(x in pieces for x in parts) and any(pieces[x] >= rank for x in parts):
+                at.append(m)
+        if at:
+            out[p] = at
+    return out
 
 
 def _viterbi(edges: Column, n: Column) -> Column:
-    """Borders of the path with the greatest sum of scores (ties: the later start)."""
+    """For each position, the greatest sum of scores of a path to it and where its last piece starts (ties: the later)."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s")))
 
     def step(best, end):
         into = F.transform(F.filter(edges, lambda x: x["e"] == end), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s")))
         return F.concat(best, F.array(F.array_max(into)))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
+    return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+
+def _path(best: Column, n: Column) -> Column:
+    """Borders of the best path, read backwards."""
 
     def back(borders, _):
-        s = F.get(best, borders[0])["s"]
-        return F.when(borders[0] > 0, F.concat(F.array(s), borders)).otherwise(borders)
+        return F.when(borders[0] > 0, F.concat(F.array(F.get(best, borders[0])["s"]), borders)).otherwise(borders)
 
     return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
 
@@ -238,8 +295,11 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, long: int = LONG) ->
     """(word, n, ids as little-endian 32-bit integers) for distinct words (word, n), partitioned by word."""
     short = words.where(F.length("word") <= long)
     folded = _edges(short.select("word"), vocabulary)
-    borders = (_viterbi if vocabulary.kind == UNIGRAM else _merged)(F.col("edges"), F.col("n"))
-    folded = folded.withColumn("borders", borders).select("word", _ids(F.col("borders"), F.col("edges"), vocabulary).alias("ids"))
+    if vocabulary.kind == UNIGRAM:
+        folded = folded.withColumn("best", _viterbi(F.col("edges"), F.col("n"))).withColumn("borders", _path(F.col("best"), F.col("n")))
+    else:
+        folded = _merged(folded)
+    folded = folded.select("word", _ids(F.col("borders"), F.col("edges"), vocabulary).alias("ids"))
     folded = folded.join(short, "word").select("word", F.col("n").cast("long"), "ids").transform(tx.arrow, _as_bytes, _CODED)
     rest = words.where(F.length("word") > long).select("word", F.col("n").cast("long"))
     return folded.unionByName(rest.transform(tx.arrow, _encode_long(vocabulary), _CODED))
