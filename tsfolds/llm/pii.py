@@ -27,7 +27,6 @@ KINDS = ["email", "ip", "card", "phone"]
 
 # The patterns of the four kinds.
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -299,7 +298,9 @@ def _decode(model, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
     return found
 
 
-def _scan(model, keep: list[str]):
+def _scan(model, keep: list[str], masked: bool = False):
+    """Spans of each text as a column; or, ``masked``, no column but the texts without them."""
+
     def run(it):
         for batch in it:
             for s in tx.slices(batch, "text"):
@@ -314,6 +315,10 @@ def _scan(model, keep: list[str]):
                     if more:
                         rows[-1] = sorted(rows[-1] + more, key=lambda x: (x["start"], KINDS.index(x["kind"])))
                 cols = [s.column(s.schema.get_field_index(c)) for c in keep]
+                if masked:
+                    cols[keep.index("text")] = pa.array(_masked(texts.to_pylist(), rows), pa.string())
+                    yield pa.RecordBatch.from_arrays(cols, keep)
+                    continue
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("base", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, kind)], [*keep, "pii"])
 
@@ -360,13 +365,5 @@ def _masked(texts, spans):
 def mask(docs: DataFrame, model) -> DataFrame:
     """``docs`` with each span of personal data in ``text`` replaced by its kind in brackets (overlapping
     spans: the parts not yet replaced go too); null texts stay null, other columns stay as they are."""
-    own = docs.columns
-
-    def run(it):
-        for b in it:
-            get = lambda c, b=b: b.column(b.schema.get_field_index(c))
-            text = pa.array(_masked(get("text").to_pylist(), get("pii").to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else get(c) for c in own], own)
-
-    found = find(docs, model)
-    return found.transform(tx.arrow, run, found.select(*own).schema)
+    df = docs.withColumn("text", F.col("text").cast("string"))
+    return df.transform(tx.arrow, _scan(model, df.columns, masked=True), df.schema)

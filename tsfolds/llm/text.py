@@ -124,29 +124,38 @@ def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES):
 
 
 def packed(it):
-    """Compress the text (second) column of batches: half the bytes on the way through a shuffle."""
+    """Compress the column ``text`` of batches: half the bytes on the way through a shuffle."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1)
     for b in it:
-        out = [squeeze.compress(t.encode()) if t is not None else None for t in b.column(1).to_pylist()]
-        cols = [c if i != 1 else pa.array(out, pa.binary()) for i, c in enumerate(b.columns)]
+        at = b.schema.get_field_index("text")
+        out = [squeeze.compress(t.encode()) if t is not None else None for t in b.column(at).to_pylist()]
+        cols = [c if i != at else pa.array(out, pa.binary()) for i, c in enumerate(b.columns)]
         yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
 
 def unpacked(it, rows: int = 512):
-    """Batches with their compressed second column as text again."""
+    """Batches with their compressed ``text`` as text again."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor()
     for batch in it:
+        at = batch.schema.get_field_index("text")
         for a in range(0, batch.num_rows, rows):
             b = batch.slice(a, rows)
-            out = [expand.decompress(t).decode() if t is not None else None for t in b.column(1).to_pylist()]
-            cols = [c if i != 1 else pa.array(out, pa.string()) for i, c in enumerate(b.columns)]
+            out = [expand.decompress(t).decode() if t is not None else None for t in b.column(at).to_pylist()]
+            cols = [c if i != at else pa.array(out, pa.string()) for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, b.schema.names)
 
 
+def with_type(schema, column: str, kind: str):
+    """``schema`` with another type for one column."""
+    from pyspark.sql.types import DataType, StructField, StructType
+
+    return StructType([StructField(f.name, DataType.fromDDL(kind)) if f.name == column else f for f in schema.fields])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
