@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsfolds.llm import minhash, packing, pii, quality, repeats
+from tsfolds.llm import minhash, packing, pii, quality, repeats, text
 from tsfolds.session import cut
 
 
@@ -22,16 +22,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8).  Rows without
-    doc_id cannot be told from each other by it and stay."""
+    doc_id cannot be told from each other by it and stay.  Texts go through the join compressed."""
     gone = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    packed = docs.transform(text.arrow, text.packed, text.with_type(docs.schema, "text", "binary"))
+    kept = packed.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.transform(text.arrow, text.unpacked, docs.schema)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a text that loses none stays as it is."""
     changed = repeats.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _with_text(changed, text, docs.columns)
+    kept = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _with_text(changed, kept, docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
 
 
-def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
-    df = df.withColumn("text", text)
+def _with_text(df: DataFrame, new, columns: list[str]) -> DataFrame:
+    df = df.withColumn("text", new)
     if "n_chars" in columns:
         df = df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
     return df.select(*columns)
