@@ -85,8 +85,9 @@ def _escaped(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise("")
 
 
-def _edges(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n, edges): n characters; edges are (rank, from, to, id, score) of the pieces in the word."""
+def _edges(words: DataFrame, vocabulary: Vocabulary, long: int) -> DataFrame:
+    """(word, count, n, edges): n characters (``long`` at most); edges are (rank, from, to, id, score, late) of the
+    pieces in the word.  Longer words get no lattice: they keep a row for what comes after."""
     rows = sorted(vocabulary.rows, key=lambda r: (-r[2], r[1]))
     ranked, last = [], None
     for p, i, score in rows:
@@ -95,7 +96,7 @@ def _edges(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         last = score
     late = _late({p: rank for p, _, rank, _ in ranked})
     pieces = words.sparkSession.createDataFrame([(*r, late.get(r[0], [])) for r in ranked], "piece string, id int, rank int, score double, late array<int>")
-    n = F.length("word")
+    n = F.least(F.length("word"), F.lit(long))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(0), n - 1),
@@ -105,10 +106,12 @@ def _edges(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ),
         )
     )
-    spread = words.select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.e", "x.piece")
+    first = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"), F.substring("word", 1, 1).alias("piece")))
+    spans = F.when(F.length("word") <= long, spans).otherwise(first)
+    spread = words.select("word", "count", F.explode(spans).alias("x")).select("word", "count", "x.s", "x.e", "x.piece")
     found = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or e - s = 1")  # the vocabulary
     edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"), F.coalesce("late", F.array().cast("array<int>")).alias("late"))
-    return found.groupBy("word").agg(F.collect_list(edge).alias("edges")).withColumn("n", F.length("word"))
+    return found.groupBy("word", "count").agg(F.collect_list(edge).alias("edges")).withColumn("n", n)
 
 
 def _bit(i: Column) -> Column:
@@ -272,37 +275,31 @@ def _long_word(vocabulary: Vocabulary):
     return run
 
 
-def _encode_long(vocabulary: Vocabulary):
+def _as_bytes(vocabulary: Vocabulary):
+    """Ids packed; words without (the long ones) are encoded here."""
+
     def run(it):
         ids = _long_word(vocabulary)
         for b in it:
-            out = [np.array(ids(w), "<i4").tobytes() for w in b.column(0).to_pylist()]
+            rows = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+            out = [np.array(x if x is not None else ids(w), "<i4").tobytes() for w, x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["word", "n", "ids"])
 
     return run
 
 
-def _as_bytes(it):
-    for b in it:
-        out = [np.array(x, "<i4").tobytes() for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["word", "n", "ids"])
-
-
 _CODED = "word string, n long, ids binary"
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary, long: int = LONG) -> DataFrame:
     """(word, n, ids as little-endian 32-bit integers) for distinct words (word, n), partitioned by word."""
-    short = words.where(F.length("word") <= long)
-    folded = _edges(short.select("word"), vocabulary)
+    folded = _edges(words.select("word", F.col("n").cast("long").alias("count")), vocabulary, long)
     if vocabulary.kind == UNIGRAM:
         folded = folded.withColumn("best", _viterbi(F.col("edges"), F.col("n"))).withColumn("borders", _path(F.col("best"), F.col("n")))
     else:
         folded = _merged(folded)
-    folded = folded.select("word", _ids(F.col("borders"), F.col("edges"), vocabulary).alias("ids"))
-    folded = folded.join(short, "word").select("word", F.col("n").cast("long"), "ids").transform(tx.arrow, _as_bytes, _CODED)
-    rest = words.where(F.length("word") > long).select("word", F.col("n").cast("long"))
-    return folded.unionByName(rest.transform(tx.arrow, _encode_long(vocabulary), _CODED))
+    ids = F.when(F.length("word") <= long, _ids(F.col("borders"), F.col("edges"), vocabulary))
+    return folded.select("word", "count", ids.alias("ids")).transform(tx.arrow, _as_bytes(vocabulary), _CODED)
 
 
 def _text_words(text: str | None) -> list[str]:
