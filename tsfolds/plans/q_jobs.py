@@ -148,13 +148,13 @@ EVENTS_SQL = """, ev as (select 'job' || (user_id % 200) as name, ts,
     case when value > 90 then 'complete' when value < 10 then 'start' when value < 15 then 'add' else 'progress' end as event,
     round(value / 100, 4) as pct_complete from events),
 sg as (select *, case event when 'add' then 0 when 'start' then 1 when 'complete' then 3 else 2 end as stage,
-    case event when 'add' then 0.0 when 'complete' then 1.0 else pct_complete end as val from ev)"""
+    case event when 'add' then 0.0 when 'complete' then 1.0 when 'progress' then pct_complete end as val from ev)"""
 
 
 @query("i5_event_state", f"""with dummy as (select 1){EVENTS_SQL}
 select name, case max(case when event <> 'progress' then struct_pack(t := ts, s := stage) end).s when 0 then 'pending' when 1 then 'running'
     when 3 then 'complete' end as status,
-  round(max(struct_pack(t := ts, s := stage, v := val)).v, 6) + 0.0 as pct_complete,
+  round(max(case when val is not null then struct_pack(t := ts, s := stage, v := val) end).v, 6) + 0.0 as pct_complete,
   max(case when event = 'add' then ts end) as create_time, max(case when event = 'start' then ts end) as start_time,
   max(case when event = 'complete' then ts end) as end_time
 from sg group by name""")

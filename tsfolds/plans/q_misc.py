@@ -125,7 +125,7 @@ def macro_build(spark, sf_dir):
 
 MARKET = [f"M{i}" for i in range(1, 6)]
 MARKET_SQL = MACRO_SQL.replace("select date, max(case when series_id = 'NATION_0'", ", panel as (select date, max(case when series_id = 'NATION_0'", 1) + """),
-mk as (select 'M' || left(ticker, 1) as series_id, date, close as value from gappy),
+mk as (select 'M' || left(ticker, 1) as series_id, date, sqrt(close) as value from gappy),
 al as (select * from mk
   union all select 'M1xM2', coalesce(a.date, b.date), a.value * b.value
     from (select * from mk where series_id = 'M1') a full join (select * from mk where series_id = 'M2') b on a.date = b.date
@@ -136,7 +136,7 @@ mw as (select date, """ + ", ".join(f"max(case when series_id = '{m}' then value
 bo as (select coalesce(p.date, mw.date) as date, """ + ", ".join([f"p.{n}" for n in NATIONS] + [f"mw.{m}" for m in [*MARKET, "M1xM2", "M3perM4"]]) + """
        from panel p full join mw on p.date = mw.date)
 select date, """ + ", ".join(
-    f"round(last_value({c} ignore nulls) over (order by date rows between unbounded preceding and current row), 4) + 0.0 as {c}"
+    f"round(last_value({c} ignore nulls) over (order by date rows between unbounded preceding and current row), 6) + 0.0 as {c}"
     for c in [*NATIONS, *MARKET, "M1xM2", "M3perM4"]
 ) + " from bo"
 
@@ -147,11 +147,11 @@ def macro_market(spark, sf_dir):
     priority) and two crosses, merged on the date and filled forward."""
     panel = macro_build(spark, sf_dir)
     market = v(spark, sf_dir, "gappy").select(
-        F.concat(F.lit("M"), F.substring("ticker", 1, 1)).alias("series_id"), "date", F.col("close").cast("double").alias("value")
+        F.concat(F.lit("M"), F.substring("ticker", 1, 1)).alias("series_id"), "date", F.sqrt("close").alias("value")
     )
     crosses = [("M1xM2", "M1", "M2", "mul"), ("M3perM4", "M3", "M4", "div")]
     out = align.macro_market(panel, market, crosses, [*MARKET, "M1xM2", "M3perM4"])
-    return out.select("date", *[F.round(c, 4).alias(c) for c in out.columns if c != "date"])
+    return out.select("date", *[F.round(c, 6).alias(c) for c in out.columns if c != "date"])
 
 
 INGEST_SQL = """, f as (select ticker, date, datekey, capex, equity, revenue, closeadj, closeadj * 0.99 as open, closeadj * 1.02 + 100 as high,
