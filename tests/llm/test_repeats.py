@@ -59,3 +59,17 @@ def test_versions_of_one_id_do_not_crash(spark):
     df = spark.createDataFrame([(7, t), (7, "a short one"), (9, t + " more"), (9, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(df).collect())
     assert got == [(7, 3, 0), (7, 60, 60), (9, 0, 0), (9, 61, 60)]
+
+
+def test_rows_go_by_their_own_text(spark):
+    """Texts without doc_id, and different texts of one doc_id, do not share copies, marks or places."""
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage = text("p", 40)
+    rows = [(None, "copy", text("a", 50)), (None, "copy", text("a", 50)), (None, "alone", text("b", 50)), (1, "copy", text("c", 45)), (None, "copy", text("c", 45))]
+    rows += [(None, "part", passage + " " + text("d", 50)), (2, "part", text("e", 30) + " " + passage), (None, "alone", text("f", 120))]
+    rows += [(3, "copy", text("g", 50)), (3, "copy", text("g", 50)), (3, "alone", text("h", 50)), (3, "part", text("i", 9) + " " + passage), (None, "none", None), (None, "none", "")]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    got = sorted((str(r.doc_id), r.kind, str(r.text), r.n_removed, r.kept_text) for r in remove_repeats(df).collect())
+    want = brute([(i, t) for i, (_, _, t) in enumerate(rows)], 35)
+    assert got == sorted((str(d), kind, str(t), *want[i][1:]) for i, (d, kind, t) in enumerate(rows))
+    assert {(x[1], x[3] > 0) for x in got} == {("copy", True), ("part", True), ("alone", False), ("none", False)}

@@ -2,8 +2,9 @@
 
 Method: prefix-partitioned suffix trees, cut off at the window's depth.
 
-0. Equal texts are one document: all words of theirs that fill a window go, and one of them
-   stands for them all.
+0. A row's node is its doc_id and a hash of its text (two hashes of the text where it has no doc_id).
+   Equal texts are one document: all words of theirs that fill a window go, the node with the least
+   id stands for them all, and its leaves need no marks.
 1. Pruning.  Equal windows hold equal least-hash ``GRAM``-word runs at equal places
    (minimizers), so only windows whose minimizer occurs twice in the corpus can repeat.
    About one word in twelve is such an anchor; only anchors are shuffled.
@@ -31,10 +32,10 @@ from tsfolds.llm.graph import copies_join
 
 GRAM = 12
 PREFIX = 4
-NO_ID = -(1 << 63)
 SINGLE, LEAF, MARKED = 0, 1, 2  # alone in its slice; stands for leaves marked in its slice; marked
 
-_ROWS = "k int, a long, b int, doc long, pos long, kind byte"
+_ROWS = "k int, a long, b int, doc long, h long, pos long, kind byte"
+_NODE = ["doc", "h"]
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -64,32 +65,39 @@ def _half(x: np.ndarray) -> np.ndarray:
     return (tx.mix(x) >> tx.U(32)).astype(np.uint32).view(np.int32)
 
 
-def _combine(k, a, b, doc, pos, runs: bool):
+def _combine(k, a, b, doc, h, pos, runs: bool, whole=None):
     """Mark what repeats among these rows; one leaf of each repeat and all singles go on.
-    ``runs``: marked neighbours become one row, from ``pos`` over ``k`` places."""
+    ``runs``: marked neighbours become one row, from ``pos`` over ``k`` places.  Rows that are
+    ``whole`` go without marks: they are leaves."""
     order = np.lexsort((b, a))
-    k, a, b, doc, pos = k[order], a[order], b[order], doc[order], pos[order]
+    k, a, b, doc, h, pos = k[order], a[order], b[order], doc[order], h[order], pos[order]
+    whole = np.zeros(len(a), bool) if whole is None else whole[order]
     same = np.zeros(len(a) + 1, bool)
     same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     twin, one = same[:-1] | same[1:], np.flatnonzero(~same[:-1])
-    two = np.flatnonzero(twin)
+    two = np.flatnonzero(twin & ~whole)
     if runs:
-        two = two[np.lexsort((pos[two], doc[two]))]
-    d, p = doc[two], pos[two]
+        two = two[np.lexsort((pos[two], h[two], doc[two]))]
+    d, e, p = doc[two], h[two], pos[two]
     head = np.ones(len(two), bool)
-    head[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) if runs else True
+    head[1:] = (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (p[1:] != p[:-1] + 1) if runs else True
     at = np.flatnonzero(head)
     count = np.diff(np.append(at, len(two))).astype(np.int32)
-    d, p = d[at], p[at]
-    spread = tx.mix(d.view(tx.U))
-    rows = [(k[one], count), (a[one], tx.signed(spread)), (b[one], _half(spread)), (doc[one], d), (pos[one], p)]
+    d, e, p = d[at], e[at], p[at]
+    spread = tx.mix(d.view(tx.U) ^ e.view(tx.U))
+    rows = [(k[one], count), (a[one], tx.signed(spread)), (b[one], _half(spread)), (doc[one], d), (h[one], e), (pos[one], p)]
     cols = [np.concatenate(x) for x in rows]
-    cols.append(np.concatenate([np.where(twin[one], LEAF, SINGLE), np.full(len(at), MARKED)]).astype(np.int8))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "a", "b", "doc", "pos", "kind"])
+    cols.append(np.concatenate([np.where(twin[one] | whole[one], LEAF, SINGLE), np.full(len(at), MARKED)]).astype(np.int8))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "a", "b", "doc", "h", "pos", "kind"])
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(batch.schema.get_field_index("doc")).to_numpy(zero_copy_only=False), np.int64)
+def _nodes(batch: pa.RecordBatch, row: np.ndarray) -> list[np.ndarray]:
+    """doc and h of the given rows."""
+    return [np.asarray(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), np.int64)[row] for c in _NODE]
+
+
+def _copied(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index("copied")).fill_null(False).to_numpy(zero_copy_only=False), bool)
 
 
 def _anchors(window: int, gram: int):
@@ -104,7 +112,7 @@ def _anchors(window: int, gram: int):
                 pick[at] = True
                 at = np.flatnonzero(pick)
                 h = tx.signed(grams[at])
-                yield _combine(_half(grams[at]), h, np.zeros(len(h), np.int32), _ids(s)[w.doc[at]], h, False)
+                yield _combine(_half(grams[at]), h, np.zeros(len(h), np.int32), *_nodes(s, w.doc[at]), h, False)
 
     return run
 
@@ -130,7 +138,7 @@ def _suffixes(window: int, gram: int):
                 a = tx.signed(tx.ranges_hash(h, starts, starts + window, "word"))
                 b = _half(tx.ranges_hash(tx.mix(h + tx.U(1)), starts, starts + window, "word2"))
                 doc = w.doc[starts]
-                yield _combine(_prefix(h, starts, window), a, b, _ids(s)[doc], starts - w.first[doc], True)
+                yield _combine(_prefix(h, starts, window), a, b, *_nodes(s, doc), starts - w.first[doc], True, _copied(s)[doc])
 
     return run
 
@@ -141,32 +149,27 @@ def _marks(it):
     for batch in it:
         if not batch.num_rows:
             continue
-        k, a, b, doc, pos, kind = (np.asarray(c) for c in batch.columns)
+        k, a, b, doc, h, pos, kind = (np.asarray(c) for c in batch.columns)
         leaf = kind != MARKED
-        out_doc, out_pos, out_n = [doc[~leaf]], [pos[~leaf]], [k[~leaf]]
-        k, a, b, doc, pos, kind = (x[leaf] for x in (k, a, b, doc, pos, kind))
+        out = [np.stack([doc[~leaf], h[~leaf], pos[~leaf], k[~leaf].astype(np.int64)])]
+        k, a, b, doc, h, pos, kind = (x[leaf] for x in (k, a, b, doc, h, pos, kind))
         if len(a):
             same = np.zeros(len(a) + 1, bool)
             same[1:-1] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
             if last is not None and last[0] == (k[0], a[0], b[0]):
                 same[0] = True
-                if not last[4] and last[1] == SINGLE:
-                    out_doc.append(np.array([last[2]]))
-                    out_pos.append(np.array([last[3]]))
+                if not last[3] and last[1] == SINGLE:
+                    out.append(np.array([[*last[2], 1]], np.int64).T)
             twin = (same[:-1] | same[1:]) & (kind == SINGLE)
-            out_doc.append(doc[twin])
-            out_pos.append(pos[twin])
-            last = ((k[-1], a[-1], b[-1]), kind[-1], doc[-1], pos[-1], bool(same[-2]))
-        doc, pos, n = np.concatenate(out_doc), np.concatenate(out_pos), np.concatenate(out_n)
-        n = np.concatenate([n, np.ones(len(doc) - len(n), np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int64()), pa.array(n, pa.int32())], ["doc", "pos", "n"])
-
-
+            out.append(np.stack([doc[twin], h[twin], pos[twin], np.ones(twin.sum(), np.int64)]))
+            last = ((k[-1], a[-1], b[-1]), kind[-1], (doc[-1], h[-1], pos[-1]), bool(same[-2]))
+        doc, h, pos, n = np.concatenate(out, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(pos), pa.array(n.astype(np.int32))], ["doc", "h", "pos", "n"])
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """(doc, pos, n) of all rows whose node occurs twice; nodes are dealt by ``k`` and streamed in order."""
-    return rows.repartition(F.when(F.col("kind") == MARKED, F.col("b")).otherwise(F.col("k"))).sortWithinPartitions("k", "a", "b").transform(tx.arrow, _marks, "doc long, pos long, n int")
+    return rows.repartition(F.when(F.col("kind") == MARKED, F.col("b")).otherwise(F.col("k"))).sortWithinPartitions("k", "a", "b").transform(tx.arrow, _marks, "doc long, h long, pos long, n int")
 
 
 def _apply(window: int):
@@ -175,7 +178,7 @@ def _apply(window: int):
             for s in tx.slices(batch, "text"):
                 get = lambda c, s=s: s.column(s.schema.get_field_index(c))
                 w = tx.split(get("text"))
-                found, whole = get("found"), np.asarray(get("copied").fill_null(False).to_numpy(zero_copy_only=False), bool)
+                found, whole = get("found"), _copied(s)
                 cover = np.zeros(len(w.starts) + window + 1, np.int32)
                 lens = np.diff(np.asarray(found.offsets)) if len(found) else np.zeros(0, int)
                 doc = np.repeat(np.arange(len(found)), np.where(np.asarray(found.is_valid()), lens, 0))
@@ -198,8 +201,8 @@ def _apply(window: int):
                         keep = ~gone[w.first[i] : w.first[i + 1]]
                         words = [x for x, k in zip(words, keep, strict=True) if k]
                     texts.append(b" ".join(words).decode("utf-8", "replace"))
-                cols = [get("doc"), get("text"), get("rest"), pa.array(np.diff(w.first), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "text", "rest", "n_words", "n_removed", "kept_text"])
+                cols = [get("text"), get("rest"), pa.array(np.diff(w.first), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["text", "rest", "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -210,29 +213,30 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataF
     one space.  Columns of these names are replaced.
 
     Nulls and empty texts: no words, an empty ``kept_text``.  Texts shorter than the window keep all
-    words.  Rows that share a ``doc_id`` (or have none) are versions of one document: each counts as an
-    occurrence, and a place marked in one is marked in all.  Other columns pass through.
+    words.  Each row goes by its own text and counts as an occurrence, also where rows share a ``doc_id``
+    or have none.  Other columns pass through.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    kind = docs.schema["doc_id"].dataType
-    others = [c for c in own if c not in ("doc_id", "text")]
-    rest = (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), rest)
-    same = ["h1", "h2", "size"]
-    keys = base.select("doc", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("size"))
+    others = [c for c in own if c != "text"]
+    text = F.col("text").cast("string")
+    # without doc_id: bits of a second hash and the length
+    nameless = F.shiftleft(F.hash(text).cast("long"), 31).bitwiseXOR(F.coalesce(F.length(text), F.lit(0)).cast("long"))
+    node = [F.coalesce(F.col("doc_id").cast("long"), nameless).alias("doc"), F.xxhash64(text).alias("h")]
+    base = docs.select(*node, text.alias("text"), F.struct(*others).alias("rest"))
+    same = ["h", "h2", "size"]
+    keys = base.select("doc", "h", F.hash("text").alias("h2"), F.length("text").alias("size"))
     groups = keys.groupBy(*same).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copied = copies_join(keys, groups, same, "doc").where("copies is not null")
-    copied = copied.groupBy("doc").agg(F.max(F.col("doc") == F.col("least")).alias("stands"), F.lit(True).alias("copied"))
-    # doc, text and rest go to Python together each time, so that one exchange of the texts serves all three
-    rows = base.join(copied, "doc", "left")
-    rep = rows.where(F.coalesce("stands", F.lit(True))).select("doc", "text", "rest")
+    copied = copied.groupBy(*_NODE).agg(F.max(F.col("doc") == F.col("least")).alias("stands"), F.lit(True).alias("copied"))
+    # node, text and rest go to Python together each time, so that one exchange of the texts serves all three
+    rows = base.join(copied, _NODE, "left")
+    rep = rows.where(F.coalesce("stands", F.lit(True))).select(*_NODE, "text", "rest", "copied")
     anchors = _repeated(rep.transform(tx.arrow, _anchors(window, gram), _ROWS))
-    known = anchors.groupBy("doc").agg(F.collect_set("pos").alias("found"))
-    suffixes = rep.join(known, "doc").select("doc", "text", "rest", "found").transform(tx.arrow, _suffixes(window, gram), _ROWS)
-    marks = _repeated(suffixes).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
-    out = rows.join(marks, "doc", "left").select("doc", "text", "rest", "copied", "found")
-    schema = tx.extended(base.schema, n_words="long", n_removed="long", kept_text="string")
+    known = anchors.groupBy(*_NODE).agg(F.collect_set("pos").alias("found"))
+    suffixes = rep.join(known, _NODE).select(*_NODE, "text", "rest", "copied", "found").transform(tx.arrow, _suffixes(window, gram), _ROWS)
+    marks = _repeated(suffixes).groupBy(*_NODE).agg(F.collect_list(F.struct("pos", "n")).alias("found"))
+    out = rows.join(marks, _NODE, "left").select(*_NODE, "text", "rest", "copied", "found")
+    schema = tx.extended(base.select("text", "rest").schema, n_words="long", n_removed="long", kept_text="string")
     out = out.transform(tx.arrow, _apply(window), schema)
-    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind).alias("doc_id")
-    named = {"doc_id": doc_id, "text": F.col("text"), **{c: F.col("rest").getField(c).alias(c) for c in others}}
+    named = {"text": F.col("text"), **{c: F.col("rest").getField(c).alias(c) for c in others}}
     return out.select(*(named[c] for c in own), "n_words", "n_removed", "kept_text")
