@@ -21,11 +21,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8).  Rows without
-    doc_id cannot be told from each other by it and stay.  Texts go through the join compressed."""
-    gone = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    packed = docs.transform(text.arrow, text.packed, text.with_type(docs.schema, "text", "binary"))
-    kept = packed.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one of the least doc_id, a
+    row without doc_id only where no row of the group has one.  Rows are told apart by doc_id and text; of
+    rows that agree in both, one stays.  Texts go through the join compressed."""
+    key = ["_id", "_node"]
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_node": F.shiftright(F.xxhash64("doc_id", "text"), 1)})
+    found = minhash.near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    rows = keyed.select(F.col("doc_id").isNull().alias("nameless"), *key).distinct().join(found, "_node")
+    one = rows.groupBy("component_id").agg(F.min(F.struct("nameless", *key)).alias("one")).select("one._id", "one._node")
+    packed = keyed.transform(text.arrow, text.packed, text.with_type(keyed.schema, "text", "binary"))
+    # equal rows meet inside a task first, however many there are
+    kept = packed.dropDuplicates(key).join(one, key, "left_semi").select(*docs.columns)
     return kept.transform(text.arrow, text.unpacked, docs.schema)
 
 

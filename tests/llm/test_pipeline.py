@@ -37,3 +37,18 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run(spark):
     assert P.run(spark, SF001).count() > 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without doc_id and versions of one id: one row a group, whose text the next stage leaves."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = text("a") + " more"
+    rows = [(5, text("a")), (7, near), (7, text("b")), (9, text("b")), (9, text("b")), (None, text("b")), (12, text("c")), (12, text("c"))]
+    rows += [(None, text("d")), (None, text("d")), (None, text("d") + " more"), (None, text("e")), (3, ""), (4, None), (4, None), (None, text("f")), (20, text("f"))]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    one = P.one_of_near_duplicates(spark, docs, SF001)
+    assert one.dtypes == docs.dtypes
+    got = sorted((str(r.doc_id), (r.text or "")[:1], r.n_chars) for r in one.collect())
+    assert [x[:2] for x in got] == [("12", "c"), ("20", "f"), ("3", ""), ("4", ""), ("5", "a"), ("7", "b"), ("None", "d"), ("None", "e")]
+    kept = P.without_repeats(spark, one, SF001).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:1], r.n_chars) for r in kept) == got
