@@ -18,3 +18,12 @@ def test_query(spark, name):
         return
     ok, msg = compare(spark, name, SF001, Q, S)
     assert ok, msg
+
+
+def test_render_reports_all_symbols(spark):
+    from tsfolds.plans.queries import v
+
+    keys = ["run_id", "ticker"]
+    want = {tuple(r) for r in v(spark, SF001, "orders_q").join(v(spark, SF001, "prices").select("ticker"), "ticker", "left_semi").select(*keys).distinct().collect()}
+    got = {tuple(r) for r in Q["d12_render"](spark, SF001).select(*keys).distinct().collect()}
+    assert got == want and len({t for _, t in got}) > 4

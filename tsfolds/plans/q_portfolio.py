@@ -244,7 +244,7 @@ def g12_validation_returns_chunks(spark, sf_dir):
     return report.validation_returns(folds.by_size(val, 12), chunks=range(1, 4)).select("run_id", "chunk", "date", "ret")
 
 
-SYMS = ["S1", "S2", "S3", "S4"]
+SYMS = ["S1", "S2", "S3", "S4"]  # a caller's choice; d12_render reports all symbols
 
 
 @query("d12_render_wide", with_views(GRID_SQL + """,
@@ -260,3 +260,15 @@ def d12_render_wide(spark, sf_dir):
     val = portfolio.valuation(g, portfolio.cash(g, B0))
     lv = portfolio.net_weights(g, val).withColumnRenamed("qty", "action")
     return report.render_wide(lv, SYMS, ["leverage", "action"])
+
+
+@query("d12_render", with_views(GRID_SQL + """
+select g.run_id, g.date, g.ticker, round(g.position * g.price / nullif(val.market_value, 0), 6) + 0.0 as leverage,
+       round(g.qty, 6) + 0.0 as action
+from g join val on g.run_id = val.run_id and g.date = val.date""", "orders_q", "prices"))
+def d12_render(spark, sf_dir):
+    """The render report of all symbols, one row per (run, date, symbol)."""
+    g = cut(portfolio.positions(_grid(spark, sf_dir)))
+    val = portfolio.valuation(g, portfolio.cash(g, B0))
+    lv = portfolio.net_weights(g, val).withColumnRenamed("qty", "action")
+    return lv.select("run_id", "date", "ticker", "leverage", "action")
