@@ -1,6 +1,6 @@
 from conftest import SF001, SF01
 from oracle import compare
-from tsfolds.llm import licence_texts
+from tsfolds.llm import licence_texts, licences
 from tsfolds.llm import queries as Q
 from tsfolds.llm.licences import scan
 
@@ -35,3 +35,23 @@ def test_canonical_equality(spark):
         (6, None, 3, "CC-BY-NC-4.0,MIT"), (6, None, 3, "CC-BY-NC-4.0,MIT"), (7, None, 0, ""), (8, None, 0, ""), (9, None, 0, ""), (10, None, 0, ""),
     ]
     assert scan(df.limit(0)).collect() == []
+
+
+def test_entire_texts_notices_and_spdx_lines(spark):
+    text = {f.stem: f.read_text() for f in licence_texts._FILES}
+    assert {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0"} <= text.keys()
+    whole = {i: (name, t) for i, (name, t) in enumerate(sorted(text.items()))}
+    lines = [
+        ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("LGPL-2.1-or-later", "# SPDX-License-Identifier: LGPL-2.1-or-later"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-3.0-or-later", "Licensed under the GPLv3 or later."),
+        ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."), ("BSD-3-Clause", "Released under the BSD 3-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, v2.0"),
+    ]
+    rows = [(i, t) for i, (_, t) in whole.items()] + [(100 + i, "Some words.\n" + t) for i, (_, t) in enumerate(lines)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].licence for i in whole} == {i: name for i, (name, _) in whole.items()}
+    assert [got[100 + i].notices for i in range(len(lines))] == [x for x, _ in lines]
+    digests = licences.known(spark).groupBy("digest").count()
+    assert digests.where("count > 1").count() == 0
+    rows = spark.createDataFrame(licence_texts.KNOWN, "licence string, text string")
+    twice = rows.select("licence", licences._whole(licences._canonical_lines(rows.text)).alias("t")).groupBy("t").agg({"licence": "collect_set"})
+    assert twice.where("size(`collect_set(licence)`) > 1").collect() == []
