@@ -56,3 +56,15 @@ def test_unclosed_markup_is_linear():
     html.parse("<div " + "x='" * 20000)
     html.parse("<" * 50000 + "<!--" * 1000)
     assert time.time() - t < 10
+
+
+def test_attributes_of_every_element():
+    def text(body):
+        nodes, blocks = html.parse(f"<body><div class=x>{body}</div></body>")
+        return html.extract(nodes, blocks, "/root/body/div.x").split("\n")
+
+    assert text("<p>One.<p class=ad>Buy.<p>Two <span class='sponsored'>paid <span>and</span> more</span>three.</p><p hidden>No.</p>Four") == ["One.", "Two three.", "Four"]
+    assert text("<ol class=thread><li class=comment>I<ul><li>say<li>so</ul><div>here</div><li>Item</ol><p>End") == ["Item", "End"]
+    assert text("<h2 class=promo>Now <b>x</b></h2><h3>Head</h3><p>A <em class=ad>b<p>C</p><dl><dt class=ad>d<dd>E</dl>") == ["Head", "A", "C", "E"]
+    assert text("<article class=comment><p>I say.</p></article><article class='post share'><p>Post.</p></article>") == ["Post."]
+    assert text("<p class=cookie-notice>We use</p><a href='?id=comments' style='overflow:hidden'>Link</a><img class=ad><p>End<li class=ad>x") == ["Link", "End"]

@@ -5,6 +5,8 @@
 2. Containers have generalised paths: tag names and classes from the root, digits in classes
    dropped.  The scores are votes, summed per host and path in Spark, and the best path of a
    host wins (ties: the smaller path).
+   The attributes of every element are read: one marked as noise hides its text and what lies in it, up to
+   its end tag or, where that is left out, to where HTML closes it.
 3. Every page is extracted again by its host's winning path; a page without that path falls back to its
    own best container.
 """
@@ -35,41 +37,90 @@ NOISE_WORDS = frozenset(
     "related recommended comment comments disqus reply replies widget toolbar pagination pager skip".split()
 )
 
+COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
+ROLES = frozenset("navigation banner contentinfo complementary search".split())
+# How HTML closes elements whose end tags may be left out, and elements without content.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
+LISTS = frozenset("ul ol dl menu".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|xmp|template|svg|math|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|<[/a-zA-Z!?][^<]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def _read(tag: str, attrs: str, words_count: frozenset = NOISE_WORDS) -> tuple[bool, str]:
+    """Whether the attributes mark noise, and the class part of a path."""
+    cls, noise = "", False
+    for m in _ATTR.finditer(attrs or ""):
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if name in ("class", "id"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            noise = noise or not words_count.isdisjoint(words)
+            if name == "class":
+                cls = "." + ".".join(sorted(words))[:80] if words else ""
+        elif name == "role":
+            noise = noise or value.lower() in ROLES
+        else:
+            noise = noise or name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
+    return noise, cls
+
+
 class _Node:
-    __slots__ = ("parent", "tag", "path", "noise", "text", "links", "score")
+    __slots__ = ("parent", "tag", "path", "noise", "text", "links", "score", "depth", "lists")
 
     def __init__(self, parent, tag: str, attrs: str):
         self.parent, self.tag, self.text, self.links, self.score = parent, tag, 0, 0, 0.0
-        cls, noise = "", tag in NOISE
-        if attrs:
-            for m in _ATTR.finditer(attrs):
-                name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-                words = [w.lower() for w in _WORDS.findall(value)]
-                noise = noise or name == "hidden" or (name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search"))
-                if name in ("class", "id"):
-                    noise = noise or (tag not in ("html", "body") and tag not in MAIN and not NOISE_WORDS.isdisjoint(words))
-                if name == "class":
-                    cls = "." + ".".join(sorted(set(words)))[:80] if words else ""
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.lists = (parent.lists if parent is not None else 0) + (tag in LISTS)
+        nested = tag == "article" and parent is not None and parent.tag not in ("root", "html", "body")
+        count = frozenset() if tag in ("html", "body") else NOISE_WORDS if tag not in MAIN else COMMENT_WORDS if nested else frozenset()
+        noise, cls = _read(tag, attrs, count)
         inside = parent is not None and (parent.tag in MAIN or "/article" in parent.path or "/main" in parent.path)
-        if tag == "header" and not inside:
+        if tag in NOISE or (tag == "header" and not inside):
             noise = True
         self.noise = noise or (parent is not None and parent.noise)
         self.path = (parent.path if parent is not None else "") + "/" + tag + cls
 
 
+class _Hush:
+    """An element marked as noise that is no container; nothing in it is text."""
+
+    __slots__ = ("tag", "at", "block", "opened")
+
+    def __init__(self, tag: str, at: _Node, block: str | None):
+        self.tag, self.at, self.opened = tag, at, 0
+        self.block = block if tag not in BREAKS else None  # the block that an inline element lies in
+
+    def start(self, tag: str, at: _Node) -> bool:
+        """Whether the start of another element ends this one."""
+        if tag in BREAKS and (self.tag == "p" or self.block == "p"):
+            return True
+        if tag in HEADINGS and self.tag in HEADINGS:
+            return True
+        if tag in ITEMS.get(self.block or self.tag, ()):
+            return at.lists == self.at.lists
+        self.opened += tag == self.tag
+        return False
+
+    def end(self, tag: str, at: _Node) -> bool:
+        if tag == self.block or (tag == self.tag and tag in ITEMS):
+            return at.lists == self.at.lists
+        if tag == self.tag:
+            self.opened -= 1
+        return self.opened < 0
+
+
 def parse(page: str):
     """(containers, blocks) of a page; a block is (container, its text pieces)."""
     root = _Node(None, "root", "")
     nodes, blocks, at, pieces, in_link = [root], [], root, [], 0
+    hush, block = None, None
 
     def flush():
         nonlocal pieces
@@ -84,7 +135,7 @@ def parse(page: str):
 
     pos = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > pos:
+        if m.start() > pos and hush is None:
             pieces.append((page[pos : m.start()], in_link > 0))
         pos = m.end()
         tag = m.group(3)
@@ -92,6 +143,10 @@ def parse(page: str):
             continue
         tag = tag.lower()
         if m.group(2):  # an end tag
+            if hush is not None and hush.end(tag, at):
+                hush = None
+            if tag == block:
+                block = None
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in BREAKS:
@@ -103,7 +158,12 @@ def parse(page: str):
                 if up is not root:
                     flush()
                     at = up.parent
+                    block = None
+                    if hush is not None and at.depth < hush.at.depth:
+                        hush = None
             continue
+        if hush is not None and hush.start(tag, at):
+            hush = None
         if tag == "br" or tag == "wbr":
             pieces.append((" " if tag == "br" else "", False))
         elif tag == "a":
@@ -112,11 +172,16 @@ def parse(page: str):
             flush()
             in_link = 0
             at = _Node(at, tag, m.group(4))
+            at.noise = at.noise or hush is not None
             nodes.append(at)
+            block = None
         elif tag in BREAKS:
             flush()
             in_link = 0
-    if pos < len(page):
+            block = tag
+        if hush is None and m.group(4) and tag not in CONTAINERS and tag not in NOISE and tag not in VOID and _read(tag, m.group(4))[0]:
+            hush = _Hush(tag, at, block)
+    if pos < len(page) and hush is None:
         pieces.append((page[pos:], in_link > 0))
     flush()
     return nodes, blocks
