@@ -68,3 +68,9 @@ def test_attributes_of_every_element():
     assert text("<h2 class=promo>Now <b>x</b></h2><h3>Head</h3><p>A <em class=ad>b<p>C</p><dl><dt class=ad>d<dd>E</dl>") == ["Head", "A", "C", "E"]
     assert text("<article class=comment><p>I say.</p></article><article class='post share'><p>Post.</p></article>") == ["Post."]
     assert text("<p class=cookie-notice>We use</p><a href='?id=comments' style='overflow:hidden'>Link</a><img class=ad><p>End<li class=ad>x") == ["Link", "End"]
+
+
+def test_long_class_lists_have_their_own_paths():
+    names = [f"{a}{b}utility" for a in "abcdef" for b in "xyz"]
+    nodes, _ = html.parse("".join(f"<div class='{' '.join([*names, last])}'>text</div>" for last in ("zmain", "zside")))
+    assert len({n.path for n in nodes}) == 3

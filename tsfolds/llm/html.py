@@ -63,7 +63,7 @@ def _read(tag: str, attrs: str, words_count: frozenset = NOISE_WORDS) -> tuple[b
             words = {w.lower() for w in _WORDS.findall(value)}
             noise = noise or not words_count.isdisjoint(words)
             if name == "class":
-                cls = "." + ".".join(sorted(words))[:80] if words else ""
+                cls = "." + ".".join(sorted(words)) if words else ""
         elif name == "role":
             noise = noise or value.lower() in ROLES
         else:
