@@ -72,3 +72,17 @@ def test_empty_table_null_and_repeated_ids(spark):
 def test_posterior_bound():
     assert least_matches(0.8, 16, 1e-7) <= least_matches(0.8, 128, 1e-7) < 0.8 * 128
     assert least_matches(0.8, 128, 0.5) > least_matches(0.8, 128, 1e-7)
+
+
+def test_sets_that_lose_shingles_at_32_bits_are_not_dropped():
+    import numpy as np
+    import pyarrow as pa
+
+    from tsfolds.llm import minhash
+
+    sig = np.arange(96, dtype=np.uint32)
+    member = lambda doc: {"doc": doc, "component": doc, "n": 100, "sig": sig.tobytes(), "low": np.arange(80, dtype=np.uint32).tobytes()}
+    key = int(minhash._band_keys(sig[None, :], 24, 4).view(np.int64)[0, 0])
+    batch = pa.RecordBatch.from_pylist([{"key": key, "same": True, "p": [member(1), member(2)], "q": [member(1), member(2)]}])
+    out = list(minhash._compared(24, 4, 80, 1e-7)([batch]))
+    assert out[0].to_pylist() == [{"a": 1, "b": 2}]

@@ -29,7 +29,6 @@ from tsfolds.session import cut
 BANDS, ROWS = 24, 4
 BATCH = 16  # hashes compared between two looks at the posterior
 MISS = 1e-7
-SLACK = 2
 BLOCK = 128  # members of a bucket compared at once
 NAMELESS = 1 << 62  # nodes from here on stand for texts without doc_id
 
@@ -152,7 +151,7 @@ def _survivors(width: int, percent: int, miss: float):
 def _compared(bands: int, rows: int, percent: int, miss: float):
     """Two blocks of members of one bucket: the pairs of different components that may be links.  A pair
     counts in its first common bucket only.  Shingles are cut to 32 bits here, which can only add
-    pairs (``SLACK`` allows for two shingles of one set that fall together)."""
+    pairs: what a set lost by shingles that fall together counts as common."""
     looks = _looks(bands * rows, percent, miss)
 
     def side(members):
@@ -181,7 +180,7 @@ def _compared(bands: int, rows: int, percent: int, miss: float):
                         if at not in sets:
                             sets[at] = np.frombuffer(members[at[1]], np.uint32)
                     u, v = sets["x", p], sets["y", q]
-                    both = len(np.intersect1d(u, v, assume_unique=True)) + SLACK
+                    both = len(np.intersect1d(u, v, assume_unique=True)) + min(x_n[p] - len(u), y_n[q] - len(v))
                     if both * 100 >= (x_n[p] + y_n[q] - both) * percent:
                         out_a.append(min(x_doc[p], y_doc[q]))
                         out_b.append(max(x_doc[p], y_doc[q]))
