@@ -109,3 +109,10 @@ def op10_host_paths(spark, sf_dir):
     from tsfolds.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    from tsfolds.llm import spelling
+
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), typo_every=97))
