@@ -116,3 +116,13 @@ def op11_spelling_variants(spark, sf_dir):
     from tsfolds.llm import spelling
 
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), typo_every=97))
+
+
+@query
+def op12_language_cnn(spark, sf_dir):
+    from tsfolds.llm import langnet
+    from tsfolds.llm.quality import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langnet.predict(docs.select("doc_id", "text"), langnet.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
