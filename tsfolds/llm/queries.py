@@ -126,3 +126,16 @@ def op12_language_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langnet.predict(docs.select("doc_id", "text"), langnet.fit(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    from tsfolds.llm import dialogue
+    from tsfolds.session import cut
+
+    rows = dialogue.damage(table(spark, sf_dir, "conversations"))
+    plans = cut(dialogue.audits(rows))
+    sha = dialogue.digests(dialogue.repair(rows, plans)).withColumnRenamed("conv_id", "_id")
+    out = plans.join(sha, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", empty).alias("repaired_sha256"))
