@@ -129,3 +129,35 @@ def test_shuffled_input_same_result(spark):
     a = features.hurst(df, "spot").toPandas().sort_values(["ticker", "date"]).reset_index(drop=True)
     b = features.hurst(df.repartition(7).orderBy(F.rand(5)), "spot").toPandas().sort_values(["ticker", "date"]).reset_index(drop=True)
     assert np.allclose(a["hurst"].astype(float), b["hurst"].astype(float), equal_nan=True)
+
+
+def test_walk_forward_linear_against_numpy(spark):
+    """Merged Gram statistics give each fold's own least squares, with missing values, an empty chunk and levels far from 0."""
+    import numpy as np
+
+    from tsfolds.operators import folds
+
+    rng = np.random.default_rng(4)
+    n = 400
+    x = rng.normal(size=(n, 3)) * [1, 50, 0.01] + [1e6, -3e5, 7]
+    y = x @ [2.0, -0.3, 40.0] + rng.normal(size=n)
+    chunk = np.repeat([0, 1, 2, 4, 5], n // 5)
+    rows = [(i, int(k), *(None if rng.random() < 0.05 else float(v) for v in r), None if rng.random() < 0.05 else float(t)) for i, (k, r, t) in enumerate(zip(chunk, x, y))]
+    rows += [(1000, 3, None, 1.0, 2.0, 3.0), (1001, None, 1.0, 2.0, 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "id long, chunk int, a double, b double, c double, y double")
+    got = {r.id: (r.fold, r.prediction) for r in folds.walk_forward_linear(df, ["a", "b", "c"], "y").collect()}
+    assert set(got) == {r[0] for r in rows if r[1] is not None and r[1] >= 1}
+    whole = [r for r in rows if r[1] is not None and None not in r]
+    for i, k, *f, _ in rows:
+        if i not in got:
+            continue
+        fit = np.array([r[2:] for r in whole if r[1] < k])
+        mean = fit.mean(axis=0)
+        beta = np.linalg.lstsq(fit[:, :3] - mean[:3], fit[:, 3] - mean[3], rcond=None)[0]
+        fold, value = got[i]
+        assert fold == k - 1
+        if None in f:
+            assert value is None
+        else:
+            assert abs(value - (mean[3] + (np.array(f) - mean[:3]) @ beta)) < 1e-6 * abs(value)
+    assert folds.walk_forward_linear(df.limit(0), ["a"], "y").collect() == []

@@ -229,6 +229,86 @@ def prepare(
     return out
 
 
+def gram(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
+    """Sufficient statistics of least squares per group: count, means and central co-moments (covariance * n) of all
+    pairs of ``cols``, in one aggregate.  Rows with a missing value in any of the columns are left out."""
+    whole = [F.col(c).cast("double").alias(c) for c in cols]
+    x = df.where(F.col(by).isNotNull()).select(by, *whole).na.drop(subset=list(cols))
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m_{c}") for c in cols]
+    aggs += [(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"q_{a}_{b}") for a, b in _pairs_of(cols)]
+    return x.groupBy(by).agg(*aggs)
+
+
+def _pairs_of(cols: Sequence[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+
+
+def cumulative_gram(stats: DataFrame, cols: Sequence[str], chunk: str = "chunk") -> DataFrame:
+    """``gram`` statistics of chunks 0..k for every chunk k, merged on the chunk table (one row per chunk).  Sums run around the
+    first chunk's means, so that large levels do not cancel."""
+    w = Window.orderBy(chunk)  # one row per chunk: a small table
+    frame, every = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = stats.select("*", *[(F.col(f"m_{c}") - F.first(f"m_{c}").over(every)).alias(f"_d_{c}") for c in cols], *[F.first(f"m_{c}").over(every).alias(f"_r_{c}") for c in cols])
+    n = F.col("n")
+    sums = {"_N": n} | {f"_S_{c}": n * F.col(f"_d_{c}") for c in cols}
+    sums |= {f"_Q_{a}_{b}": F.col(f"q_{a}_{b}") + n * F.col(f"_d_{a}") * F.col(f"_d_{b}") for a, b in _pairs_of(cols)}
+    x = x.select(chunk, *[F.sum(v).over(frame).alias(k) for k, v in sums.items()], *[F.col(f"_r_{c}") for c in cols])
+    mean = {c: F.col(f"_S_{c}") / F.col("_N") for c in cols}
+    out = [F.col("_N").alias("n")] + [(F.col(f"_r_{c}") + mean[c]).alias(f"m_{c}") for c in cols]
+    out += [(F.col(f"_Q_{a}_{b}") - F.col("_N") * mean[a] * mean[b]).alias(f"q_{a}_{b}") for a, b in _pairs_of(cols)]
+    return x.select(chunk, *out)
+
+
+def _solved(features: Sequence[str], label: str, ridge: float):
+    """Coefficients of each row's normal equations (features x features): a row per chunk."""
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        cols, p = [*features, label], len(features)
+        for batch in it:
+            get = lambda name: np.array(batch.column(batch.schema.get_field_index(name)), float)  # noqa: B023,E731
+            q = np.zeros((batch.num_rows, p + 1, p + 1))
+            for a, b in _pairs_of(cols):
+                i, j = cols.index(a), cols.index(b)
+                q[:, i, j] = q[:, j, i] = get(f"q_{a}_{b}")
+            scale = np.sqrt(np.maximum(q[:, range(p), range(p)], 0))
+            scale[scale == 0] = 1.0
+            lhs = q[:, :p, :p] / scale[:, :, None] / scale[:, None, :] + ridge * np.eye(p)
+            beta = np.stack([np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ b for a, b in zip(lhs, q[:, :p, p] / scale, strict=True)]) if batch.num_rows else np.zeros((0, p))
+            beta /= scale
+            shift = get(f"m_{label}") - (beta * np.stack([get(f"m_{c}") for c in features], axis=1)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(beta), pa.list_(pa.float64())), pa.array(shift)], ["fold", "_beta", "_shift"])
+
+    return run
+
+
+def walk_forward_linear(df: DataFrame, features: Sequence[str], label: str, chunk: str = "chunk", prediction: str = "prediction",
+                        ridge: float = 0.0) -> DataFrame:
+    """F9 for least squares: the linear model of chunks 0..f scores chunk f+1, for all folds from one pass over the
+    rows.  Gram statistics per chunk are merged over the chunks; only features x features systems are solved, one per chunk.
+    Every row of the chunks after the first comes back with ``fold`` and ``prediction``; a missing feature, or no
+    row to fit on, gives NULL.  Dependent features share their effect (least norm in units of standard deviations); ``ridge`` is added to the diagonal
+    of the correlations."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    cols = [*features, label]
+    stats = cumulative_gram(gram(df, cols, chunk), cols, chunk)
+    kind = df.schema[chunk].dataType
+    schema = StructType([StructField("fold", kind), StructField("_beta", ArrayType(DoubleType())), StructField("_shift", DoubleType())])
+    model = stats.mapInArrow(_solved(features, label, ridge), schema)
+    # a chunk without whole rows has no row of its own: its folds use the last one before
+    spine = df.select(F.col(chunk).alias("fold")).where("fold is not null").distinct().join(model, "fold", "left")  # one row per chunk
+    before = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    spine = spine.select("fold", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("_beta", "_shift")])
+    x = df.where(F.col(chunk) >= 1).withColumn("fold", F.col(chunk) - 1).join(F.broadcast(spine), "fold", "left")
+    value = F.col("_shift")
+    for i, c in enumerate(features):
+        value = value + F.element_at("_beta", i + 1) * F.col(c)
+    return x.select(*df.columns, "fold", F.nanvl(value, F.lit(None).cast("double")).alias(prediction))
+
+
 def walk_forward(df: DataFrame, estimator, features: Sequence[str], label: str, chunk: str = "chunk",
                  k: int | None = None, prediction: str = "prediction") -> DataFrame:
     """fit ``estimator`` (a pyspark.ml Estimator) on chunks <= f and score

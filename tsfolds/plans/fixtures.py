@@ -7,7 +7,7 @@ the work grows with the scale factor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -171,6 +171,17 @@ def jobs(spark, sf_dir) -> DataFrame:
     )
 
 
+def deep_jobs(spark, sf_dir) -> DataFrame:
+    """Job trees whose depth grows with the data: the customers of a nation hang one below the other in the order of
+    their keys; every fourth key hangs beside the chain."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    w = Window.partitionBy("n_name").orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.max(F.when(F.col("c_custkey") % 4 != 0, F.struct("c_custkey", "c_name"))).over(w)["c_name"]
+    below = c.select(F.col("c_name").alias("name"), F.coalesce(above, F.col("n_name")).alias("parent"))
+    return n.select(F.col("n_name").alias("name"), F.lit(None).cast("string").alias("parent")).unionByName(below)
+
+
 def job_log(spark, sf_dir) -> DataFrame:
     """Append-only progress log of fold jobs."""
     e = table(spark, sf_dir, "events")
@@ -240,6 +251,10 @@ from lineitem where l_quantity > 0 group by l_suppkey, cast(date_trunc('month',
     "jobs": """select 'root' as name, cast(null as varchar) as parent union all select r_name, 'root' from region
 union all select n_name, r_name from nation join region on n_regionkey = r_regionkey
 union all select c_name, n_name from customer join nation on c_nationkey = n_nationkey""",
+    "deep_jobs": """select n_name as name, cast(null as varchar) as parent from nation
+union all select c_name, coalesce(max(case when c_custkey % 4 <> 0 then struct_pack(k := c_custkey, n := c_name) end)
+    over (partition by n_name order by c_custkey rows between unbounded preceding and 1 preceding).n, n_name)
+  from customer join nation on c_nationkey = n_nationkey""",
     "job_log": """select 'job' || cast(user_id % 3 as varchar)
          || case when event_type in ('click', 'view') then '.train.' else '.validate.' end
          || cast(user_id % 4 as varchar) as name,
@@ -262,6 +277,7 @@ BUILDERS = {
     "orders_q": orders_q,
     "prices": prices,
     "jobs": jobs,
+    "deep_jobs": deep_jobs,
     "job_log": job_log,
     "workers": workers,
 }

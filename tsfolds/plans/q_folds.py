@@ -125,13 +125,30 @@ def f9_walk_forward_line(spark, sf_dir):
     return out.select("ticker", "date", "fold", "close", F.round("prediction", 4).alias("prediction"))
 
 
-@query("f9_walk_forward")
-def f9_walk_forward(spark, sf_dir):
-    """linear model of the close on open/high/low, fit on chunks <= f and
-    scored on chunk f+1 (rows only)."""
-    from pyspark.ml.regression import LinearRegression
+def _cov(a: str, b: str) -> str:
+    return f"covar_pop(c.{a}, c.{b})"
+
+
+# normal equations of three regressors, solved by determinants
+X3 = ["open", "high", "low"]
 
+
+@query("f9_walk_forward", with_views(""", d as (select date, row_number() over (order by date) - 1 as idx from (select distinct date from supp_bars)),
+s as (select count(*) // 4 as size from d),
+c as (select b.*, d.idx // s.size as chunk from supp_bars b join d using (date), s),
+g as (select f.fold, """ + ", ".join(f"avg(c.{x}) as m_{x}" for x in [*X3, "close"]) + ", "
+                                     + ", ".join(f"{_cov(x, y)} as q{i}{j}" for i, x in enumerate(X3) for j, y in enumerate(X3) if i <= j) + ", "
+                                     + ", ".join(f"{_cov(x, 'close')} as b{i}" for i, x in enumerate(X3)) + """
+      from (select distinct chunk as fold from c) f join c on c.chunk <= f.fold group by f.fold),
+i as (select *, q11 * q22 - q12 * q12 as c00, q02 * q12 - q01 * q22 as c01, q01 * q12 - q02 * q11 as c02,
+        q00 * q22 - q02 * q02 as c11, q01 * q02 - q00 * q12 as c12, q00 * q11 - q01 * q01 as c22 from g),
+m as (select *, q00 * c00 + q01 * c01 + q02 * c02 as det from i),
+k as (select *, (c00 * b0 + c01 * b1 + c02 * b2) / det as k0, (c01 * b0 + c11 * b1 + c12 * b2) / det as k1, (c02 * b0 + c12 * b1 + c22 * b2) / det as k2 from m)
+select c.ticker, c.date, k.fold, round(c.close, 6) + 0.0 as close,
+  round(m_close + k0 * (c.open - m_open) + k1 * (c.high - m_high) + k2 * (c.low - m_low), 0) + 0.0 as prediction
+from c join k on c.chunk = k.fold + 1""", "supp_bars"))
+def f9_walk_forward(spark, sf_dir):
+    """linear model of the close on open/high/low, fit on chunks <= f and scored on chunk f+1, from merged Gram statistics."""
     c = folds.by_number(v(spark, sf_dir, "supp_bars").select("ticker", "date", "open", "high", "low", "close"), 4)
-    return folds.walk_forward(c, LinearRegression(maxIter=20), ["open", "high", "low"], "close").select(
-        "ticker", "date", "fold", "close", "prediction"
-    )
+    out = folds.walk_forward_linear(c, X3, "close")
+    return out.select("ticker", "date", "fold", "close", F.round("prediction", 0).alias("prediction"))

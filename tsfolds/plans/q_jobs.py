@@ -114,6 +114,52 @@ def i4_levels(spark, sf_dir):
     return jobs.levels(v(spark, sf_dir, "jobs"), "parent", "name")
 
 
+@query("i1_descendants_deep", with_views("""select * from (with recursive r(name, parent, level) as (
+  select name, parent, 1 from deep_jobs where parent = 'NATION_7'
+  union all select j.name, j.parent, r.level + 1 from deep_jobs j join r on j.parent = r.name) select * from r)""", "deep_jobs"))
+def i1_descendants_deep(spark, sf_dir):
+    """I1 over trees whose depth grows with the data."""
+    return jobs.descendants(v(spark, sf_dir, "deep_jobs"), "NATION_7")
+
+
+@query("i2_delete_subtree_deep", with_views("""select * from deep_jobs where name <> 'NATION_11' and name not in (
+  with recursive r(name) as (select name from deep_jobs where parent = 'NATION_11'
+    union all select j.name from deep_jobs j join r on j.parent = r.name) select name from r)""", "deep_jobs"))
+def i2_delete_subtree_deep(spark, sf_dir):
+    """I2 over trees whose depth grows with the data."""
+    return jobs.delete_subtree(v(spark, sf_dir, "deep_jobs"), "NATION_11")
+
+
+@query("i4_levels_deep", with_views("""select node, cast(max(level) as integer) as level, false as in_cycle from (
+  with recursive r(node, level) as (select name, 0 from deep_jobs where parent is null
+    union all select j.name, r.level + 1 from deep_jobs j join r on j.parent = r.node) select * from r) group by node""", "deep_jobs"))
+def i4_levels_deep(spark, sf_dir):
+    """I4 over trees whose depth grows with the data."""
+    return jobs.levels(v(spark, sf_dir, "deep_jobs"), "parent", "name")
+
+
+# the walk's order is that of the paths, compared name by name; a subtree is the paths that begin with its root's
+TREE_SQL = """, t as (select * from (with recursive r(name, parent, path, depth) as (
+    select name, parent, [name], 0 from deep_jobs where parent is null
+    union all select j.name, j.parent, list_append(r.path, j.name), r.depth + 1 from deep_jobs j join r on j.parent = r.name) select * from r)),
+z as (select top, count(*) as size from (select unnest(path) as top from t) group by top),
+ix as (select t.name, t.parent, t.depth, row_number() over (order by t.path) - 1 as pre, z.size, t.path from t join z on t.name = z.top)"""
+
+
+@query("i3_tree_index", with_views(TREE_SQL + """
+select name, parent, depth, pre, pre + size - 1 as post, size from ix""", "deep_jobs"))
+def i3_tree_index(spark, sf_dir):
+    """The job trees as pre-order intervals."""
+    return jobs.tree_index(v(spark, sf_dir, "deep_jobs"))
+
+
+@query("i3_subtree_range", with_views(TREE_SQL + """
+select name, parent, depth, pre, pre + size - 1 as post, size from ix where list_contains(path, 'NATION_3')""", "deep_jobs"))
+def i3_subtree_range(spark, sf_dir):
+    """One subtree as a range of the tree index."""
+    return jobs.subtree(jobs.tree_index(v(spark, sf_dir, "deep_jobs")), "NATION_3")
+
+
 @query("i5_current_state", with_views(f""", {STATE_SQL}
 select name, round(pct_complete, 6) + 0.0 as pct_complete, update_time, start_time, status from st""", "job_log"))
 def i5_current_state(spark, sf_dir):
@@ -169,14 +215,16 @@ def i5_event_state(spark, sf_dir):
     return jobs.event_state(log)
 
 
-@query("d10_parent_eta", with_views(f""", p as (select name, parent, ts, max(coalesce(pct_complete, 0) * case split_part(name, '.', 2)
-    when 'train' then {TIMESTEPS}.0 when 'validate' then 1.0 else 0.0 end) as part from job_log group by name, parent, ts),
+@query("d10_parent_eta", with_views(f""", p as (select name, parent, ts, max(cast(round(coalesce(pct_complete, 0) * case split_part(name, '.', 2)
+    when 'train' then {TIMESTEPS}.0 when 'validate' then 1.0 else 0.0 end * 1000000.0) as bigint)) as part from job_log group by name, parent, ts),
 c as (select *, part - coalesce(lag(part) over (partition by name order by ts), 0) as change from p),
 t as (select parent, ts, sum(change) as change from c group by parent, ts),
-d as (select parent, ts, sum(change) over (partition by parent order by ts) / ({TIMESTEPS + 1}.0 * 4) as pct from t),
-e as (select *, pct - lag(pct) over w as delta, epoch_us(ts) - lag(epoch_us(ts)) over w as dt_us from d window w as (partition by parent order by ts))
+d as (select parent, ts, sum(change) over (partition by parent order by ts) as done from t),
+f as (select *, done / ({TIMESTEPS + 1}.0 * 4 * 1000000.0) as pct from d),
+e as (select *, done - lag(done) over w as step, pct - lag(pct) over w as delta, epoch_us(ts) - lag(epoch_us(ts)) over w as dt_us
+      from f window w as (partition by parent order by ts))
 select parent, ts, round(pct, 6) + 0.0 as pct_complete, round(delta, 6) + 0.0 as delta,
-  round(case when delta > 1 / ({TIMESTEPS + 1}.0 * 4) then dt_us / 1e6 / delta * (1 - pct) end, 3) + 0.0 as eta_secs from e""", "job_log"))
+  round(case when step > 1000000 then dt_us / 1e6 / delta * (1 - pct) end, 3) + 0.0 as eta_secs from e""", "job_log"))
 def d10_parent_eta(spark, sf_dir):
     """D9 + D10: progress and guarded ETA of every parent at each reading of its children."""
     x = jobs.parent_eta(v(spark, sf_dir, "job_log"), TIMESTEPS, 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -62,6 +63,15 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df):
+    """Like ``cut``, as a table written to the shared checkpoint folder and read back.  The plan goes on from the table's
+    true size: a checkpoint keeps the plan's estimate, which loops of joins multiply round by round."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, also where it is not installed: its sources go to the
     executors as a zip file, once per session."""
