@@ -7,7 +7,7 @@ driver from a small labelled table: at most ``SAMPLE`` documents, whose labels a
 together with rewritten copies of their lines in which the values take spellings that the patterns do
 not know (``name [at] host [dot] tld``, a phone number without its plus sign, a card in dotted groups).  Whole
 texts are decoded by Viterbi, all lines of a batch at once.  A decoded span is added if it meets no
-pattern span and its content stands up to the kind's rule (``_plausible``).
+pattern span and its content stands up to the kind's rule.  All passes over a text are linear in its length.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from tsfolds.llm import crf
 from tsfolds.llm import text as tx
 
 SAMPLE = 300  # most documents that the labels are drawn from
+SAMPLE_CHARS = 1 << 16  # most characters of one of them
 KINDS = ["email", "ip", "card", "phone"]
 
 # The patterns of the four kinds.
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match never begins inside a run of digits
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -47,6 +48,11 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte(part: str) -> bool:
+    part = part.lstrip("0") or "0"
+    return len(part) <= 3 and int(part) <= 255
+
+
 def _card_ok(s: str) -> bool:
     d = _digits(s)
     return 12 <= len(d) <= 19 and luhn(d)
@@ -72,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns' spans, sorted; matches that fail a rule are dropped."""
     out = [(a, 0, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(_byte(p) for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and _card_ok(m.group()):
@@ -216,9 +222,10 @@ def _near(line: str, spans):
     return line[a : b if b >= 0 else len(line)], [(x - a, k, y - a) for x, k, y in spans]
 
 
-def train(texts: list[str]):
-    """The model of a list of texts, or None where no text holds personal data."""
-    rows = _labelled(texts)
+def train(texts: list[str], labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None):
+    """The model of labelled lines (line, [(start, kind, end)]), by default those made from the pattern spans of
+    ``texts``; None where no line holds personal data."""
+    rows = _labelled(texts) if labelled is None else labelled
     hold = [r for r in rows if r[1]]
     if not hold:
         return None
@@ -240,25 +247,82 @@ def train(texts: list[str]):
 _EDGE = "\"'`,;:.!?<>{}$%&#*|="
 
 
-def _plausible(kind: int, s: str) -> bool:
-    """Whether a decoded span holds what its kind must hold."""
-    d = _digits(s)
-    if kind == 0:
-        t = re.sub(r"\s*[\[({<]\s*(?:at|AT)\s*[\])}>]\s*|\s+(?:at|AT)\s+", "@", s)
-        t = re.sub(r"\s*[\[({<]\s*(?:dot|DOT)\s*[\])}>]\s*|\s+(?:dot|DOT)\s+", ".", t)
-        return EMAIL.fullmatch(t) is not None
-    if kind == 1:
-        p = re.split(r"[.\[\]() ]+", s.strip("[]() "))
-        return len(p) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in p)
-    if re.search(r"[^0-9().\x20-]" if kind == 2 else r"[^0-9().+/\x20-]", s):
-        return False
-    if kind == 2:
-        return 12 <= len(d) <= 19 and luhn(d)
-    return 9 <= len(d) <= 15 and re.search(r"[0-9][^0-9]+[0-9]", s) is not None and s.count(".") < 3
+# fixed spellings of @ and the dot; white space is taken from its first character on, so that a long run is read once
+_SPELT = [(mark, re.compile(rf"(?<!\s)\s*[\[({{<]\s*(?:{w}|{w.upper()})\s*[\])}}>]\s*|(?<!\s)\s+(?:{w}|{w.upper()})\s+")) for mark, w in (("@", "at"), (".", "dot"))]
+
+
+def _email_start(s: str):
+    """First word start of ``s`` from which all the rest spells one address, or None."""
+    t, place = s, range(len(s))  # the text with marks for their spellings, and where its characters stood
+    for mark, spelt in _SPELT:
+        parts, places, pos = [], [], 0
+        for m in spelt.finditer(t):
+            parts += [t[pos : m.start()], mark]
+            places += [*place[pos : m.start()], -1]
+            pos = m.end()
+        if parts:
+            t, place = "".join([*parts, t[pos:]]), [*places, *place[pos:]]
+    at = t.rfind("@")
+    if at < 1 or not EMAIL_HOST.fullmatch(t, at + 1):
+        return None
+    first = at
+    while first and t[first - 1] in _NAME_CHARS:
+        first -= 1
+    return next((i for i in place[first:at] if i == 0 or (i > 0 and s[i - 1] == " ")), None)
+
+
+def _ip_start(s: str):
+    """Likewise for four parts of at most 255, set apart by dots, brackets or spaces."""
+    if s.rstrip("[]() ").endswith("."):
+        return None
+    found, parts, digits = None, 0, ""
+    head = True  # whether the marks since the last digit hold no dot: they may then lead the address
+    for i in range(len(s) - 1, -1, -1):
+        c = s[i]
+        if c in "0123456789":
+            if not digits:
+                parts += 1
+            digits, head = c + digits, True
+            if len(digits) > 3 or parts > 4:
+                break
+        elif c in ".[]() ":
+            if digits and not _byte(digits):
+                break
+            digits, head = "", (head or bool(digits)) and c != "."
+        else:
+            break
+        if (i == 0 or s[i - 1] == " ") and parts == 4 and head and (not digits or _byte(digits)):
+            found = i
+    return found
+
+
+def _digits_start(kind: int, s: str):
+    """Likewise for a card (12 to 19 digits passing Luhn) or a phone number (9 to 15 digits in several groups)."""
+    card = kind == 2
+    marks, least, most = (" ().-", 12, 19) if card else (" ().+/-", 9, 15)
+    found, n, total, dots, groups, gap = None, 0, 0, 0, False, False
+    for i in range(len(s) - 1, -1, -1):
+        c = s[i]
+        if c in "0123456789":
+            d = int(c)
+            total += d if n % 2 == 0 else d * 2 - 9 * (d > 4)
+            groups, gap = groups or (gap and n > 0), False
+            n += 1
+            if n > most:
+                break
+        elif c in marks:
+            gap = True
+            dots += c == "."
+        else:
+            break
+        if (i == 0 or s[i - 1] == " ") and least <= n and (total % 10 == 0 if card else groups and dots < 3):
+            found = i
+    return found
 
 
 def _added(text: str, spans, candidates) -> list[tuple[int, int, int]]:
-    """Decoded candidates (start, kind, end) that hold, cut to their edge and clear of the pattern spans."""
+    """Decoded candidates (start, kind, end) that hold, cut to their edge and clear of the pattern spans.  The
+    field may begin some words too early: of the word starts from which a candidate holds, the first counts."""
     out = []
     for a, k, b in candidates:
         while a < b and text[a] in _EDGE:
@@ -267,10 +331,10 @@ def _added(text: str, spans, candidates) -> list[tuple[int, int, int]]:
             b -= 1
         if a < b and any(x < b and y > a for x, _, y in spans):
             continue
-        while a < b and not _plausible(k, text[a:b]):  # the field may begin some words too early
-            a = next((i + 1 for i in range(a, b) if text[i] == " "), b)
-        if a < b:
-            out.append((a, k, b))
+        s = text[a:b]
+        start = (_email_start if k == 0 else _ip_start if k == 1 else lambda x: _digits_start(k, x))(s)  # noqa: B023
+        if start is not None:
+            out.append((a + start, k, b))
     return out
 
 
@@ -325,15 +389,20 @@ def _scan(model, keep: list[str], masked: bool = False):
     return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE):
-    """Train on at most ``sample`` different texts that hold an @ or a run of digits, those with the least hashes."""
+def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, labelled: DataFrame | None = None):
+    """Train on at most ``sample`` different texts that hold an @ or a run of digits, those with the least hashes, and at most
+    ``chars`` characters of each.  ``labelled`` (line: string, spans: array of (start, kind, end) in code points,
+    kind as in ``KINDS``) is a small table of labelled lines to train on instead."""
+    if labelled is not None:
+        rows = labelled.select("line", "spans").where(F.col("line").isNotNull()).orderBy(F.xxhash64("line")).limit(sample * 10).collect()
+        return train([], [(r.line[:chars], [(x["start"], KINDS.index(x["kind"]), x["end"]) for x in r.spans or [] if x["end"] <= chars]) for r in rows])
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{3}"))
     texts = texts.select(F.xxhash64("text").alias("h"), "text")
     # hashes first: only the chosen texts come to the driver, not every task's best ones
     least = [r.h for r in texts.select("h").distinct().orderBy("h").limit(sample).collect()]
     if not least:
         return None
-    chosen = texts.where(F.col("h") <= max(least)).groupBy("h").agg(F.min("text").alias("text"))
+    chosen = texts.where(F.col("h") <= max(least)).groupBy("h").agg(F.substring(F.min("text"), 1, chars).alias("text"))
     return train([r.text for r in chosen.orderBy("h").collect()])
 
 
