@@ -7,7 +7,8 @@
    and the one with the least hash), which joins most of a bucket.  Then buckets that still hold several
    components are compared block by block inside tasks, only pairs of different components, each
    pair in its first common bucket; no table of all pairs of a group is made, and no pair that could
-   change the result is left out.
+   change the result is left out.  This goes by rounds over the bands (``ROUNDS``): after each, components are joined,
+   and buckets of the later bands that hold one component by then drop out.
 4. Verification.  Signatures are compared batch by batch; after each batch a pair is dropped once the
    posterior probability of a similarity over the threshold is below ``miss``.  Survivors are verified
    exactly on their full shingle sets.
@@ -30,6 +31,7 @@ BANDS, ROWS = 24, 4
 BATCH = 16  # hashes compared between two looks at the posterior
 MISS = 1e-7
 BLOCK = 128  # members of a bucket compared at once
+ROUNDS = (6, BANDS)  # bands looked at before each joining of components
 NAMELESS = 1 << 62  # nodes from here on stand for texts without doc_id
 
 _SIGNED = "doc long, n long, sa long, sb long, sig binary"
@@ -105,7 +107,8 @@ def _bands(bands: int, rows: int):
         for b in it:
             key = _band_keys(_matrix(b.column(2), bands * rows), bands, rows).ravel()
             rep = lambda c: pa.array(np.repeat(np.asarray(c), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), rep(b.column(0)), rep(b.column(1))], ["key", "doc", "n"])
+            band = pa.array(np.tile(np.arange(bands, dtype=np.int32), b.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), band, rep(b.column(0)), rep(b.column(1))], ["key", "band", "doc", "n"])
 
     return run
 
@@ -226,6 +229,23 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _between(buckets: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame, bands: int, rows: int, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket (key, doc, n) and may be links."""
+    named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    rest = cut(named.join(mixed.where("lo < hi").select("key", "size"), "key"))
+    needed = sets.join(rest.select("doc").distinct(), "doc", "left_semi").transform(tx.arrow, _low, "doc long, low binary")
+    full = reps.select("doc", "n", "sig").join(needed, "doc")
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))
+    # dealt by bucket once, for the blocks and for their meeting
+    members = rest.join(full, ["doc", "n"]).repartition("key").groupBy("key", block.alias("block"))
+    members = members.agg(F.collect_list(F.struct("doc", "component", "n", "sig", "low")).alias("members"))
+    x, y = members.alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
+    pairs = pairs.select("x.key", (F.col("x.block") == F.col("y.block")).alias("same"), F.col("x.members").alias("p"), F.col("y.members").alias("q"))
+    return pairs.transform(tx.arrow, _compared(bands, rows, percent, miss), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable over links
     of similarity >= percent / 100, itself included) and kept (doc_id = component_id).
@@ -246,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     same = ["doc", "sa", "sb", "n"]
     reps = full.join(classes.withColumnRenamed("cls", "doc"), same, "left_semi").dropDuplicates(same)
     reps = cut(reps.select("doc", "n", "sig"))
-    keyed = reps.transform(tx.arrow, _bands(bands, rows), "key long, doc long, n long")
+    keyed = reps.transform(tx.arrow, _bands(bands, rows), "key long, band int, doc long, n long")
     hubs = keyed.groupBy("key").agg(
         F.min(F.struct("doc", "n")).alias("hub"),
         F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "n")).alias("hub2"),
@@ -254,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     ).where("size > 1")
     # open: the two hubs do not meet all members of the bucket
     is_open = (F.col("size") > 3) | ((F.col("size") == 3) & (F.col("hub.doc") == F.col("hub2.doc")))
-    buckets = cut(keyed.join(hubs, "key").select("key", is_open.alias("open"), "doc", "n", "hub", F.struct("hub2.doc", "hub2.n").alias("hub2")))
+    buckets = cut(keyed.join(hubs, "key").select("key", "band", is_open.alias("open"), "doc", "n", "hub", F.struct("hub2.doc", "hub2.n").alias("hub2")))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = buckets.select("doc", "n", F.explode(F.array("hub", "hub2")).alias("x"))
     star = star.where((F.col("doc") != F.col("x.doc")) & fits(F.col("n"), F.col("x.n")))
@@ -266,23 +286,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = cut(packed.join(ids, "doc", "left_semi").transform(tx.arrow, _sets(k), "doc long, shingles array<long>"))
     found = components(_exact(likely, sets, percent))
     # the rest: buckets that still hold several components, compared block by block
-    named = buckets.where("open").select("key", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    mixed = mixed.where("lo < hi").select("key", "size")
-    rest = cut(named.join(mixed, "key"))
-    needed = sets.join(rest.select("doc").distinct(), "doc", "left_semi").transform(tx.arrow, _low, "doc long, low binary")
-    full = reps.select("doc", "n", "sig").join(needed, "doc")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))
-    # dealt by bucket once, for the blocks and for their meeting
-    members = rest.join(full, ["doc", "n"]).repartition("key").groupBy("key", block.alias("block"))
-    members = members.agg(F.collect_list(F.struct("doc", "component", "n", "sig", "low")).alias("members"))
-    x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
-    pairs = pairs.select("x.key", (F.col("x.block") == F.col("y.block")).alias("same"), F.col("x.members").alias("p"), F.col("y.members").alias("q"))
-    more = pairs.transform(tx.arrow, _compared(bands, rows, percent, miss), "a long, b long").distinct()
-    more = _exact(more, sets, percent)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    last = 0
+    for end in sorted({min(r, bands) for r in ROUNDS} | {bands}):
+        some = buckets.where(F.col("open") & F.col("band").between(last, end - 1)).select("key", "doc", "n")
+        more = _exact(_between(some, found, reps, sets, bands, rows, percent, miss), sets, percent)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        last = end
     several = classes.where("copies > 1")
     of = copies_join(signed.select("doc", "n", "sa", "sb"), several, ["sa", "sb", "n"], "doc")
     of = of.select("doc", "n", F.coalesce("cls", "doc").alias("cls"))
