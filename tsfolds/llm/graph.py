@@ -20,9 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = edges.join(least.withColumnRenamed("m", "low"), "u").where("v = low").select("u", "v").unionByName(large)
-        large = large.where("u > v").distinct()
+        # of each node, the neighbours above it move to its least; of those below it, the least stays
+        moved = F.when(F.col("v") > F.col("u"), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))).when(F.col("v") == F.col("m"), F.struct("u", "v"))
+        large = both.join(least, "u").select(moved.alias("e")).select("e.u", "e.v").where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v")))

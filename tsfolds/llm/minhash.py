@@ -289,9 +289,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     last = 0
     for end in sorted({min(r, bands) for r in ROUNDS} | {bands}):
         some = buckets.where(F.col("open") & F.col("band").between(last, end - 1)).select("key", "doc", "n")
-        more = _exact(_between(some, found, reps, sets, bands, rows, percent, miss), sets, percent)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         last = end
+        more = cut(_exact(_between(some, found, reps, sets, bands, rows, percent, miss), sets, percent))
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     several = classes.where("copies > 1")
     of = copies_join(signed.select("doc", "n", "sa", "sb"), several, ["sa", "sb", "n"], "doc")
     of = of.select("doc", "n", F.coalesce("cls", "doc").alias("cls"))
