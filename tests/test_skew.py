@@ -39,3 +39,52 @@ def test_hot_ticker_spreads_over_tasks(spark):
         "date", F.avg("x").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(-5, 0)).alias("m")
     ).collect()
     assert all(abs(a[r["date"]] - r["m"]) < 1e-9 for r in b)
+
+
+def test_affine_scan_against_a_loop(spark):
+    """Zero, negative, tiny and missing gains, several recursions at once, NULL keys and block widths from 1 up."""
+    import numpy as np
+
+    from tsfolds.plans import blocked
+
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for key in ("a", None, "b"):
+        y, z = 5.0, -1.0
+        for t in range(400):
+            m = None if rng.random() < 0.1 else float(rng.choice([0.0, -0.7, 1e-40, 1e30, 1.01, 0.5, 2.0, -3.0])) if rng.random() < 0.5 else 0.9
+            c = None if rng.random() < 0.1 else float(rng.normal())
+            if m is not None and c is not None and abs(m * y + c) > 1e60:
+                m = 0.0
+            rows.append((key, t, m, c))
+            y = y if m is None or c is None else m * y + c
+            z = z if c is None else 0.99 * z + c
+            want[key, t] = (y, z)
+    df = spark.createDataFrame(rows, "k string, t long, m double, c double")
+    from pyspark.sql import functions as F
+
+    for block in (1, 37, 1000):
+        got = blocked.affine(df, ["k"], "t", {"y": ("m", "c", 5.0), "z": (F.lit(0.99), "c", -1.0)}, block=block).collect()
+        assert len(got) == len(rows) and got[0].__fields__ == ["k", "t", "m", "c", "y", "z"]
+        for r in got:
+            y, z = want[r.k, r.t]
+            assert abs(r.y - y) <= 1e-9 * max(1, abs(y)) and abs(r.z - z) <= 1e-9 * max(1, abs(z))
+    assert blocked.affine(df.limit(0), ["k"], "t", {"y": ("m", "c", 5.0)}).collect() == []
+
+
+def test_affine_scan_over_a_million_steps(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tsfolds.plans import blocked
+
+    n = 1_000_000
+    df = spark.range(n).select("id", (1 + (F.col("id") % 7 - 3) * 1e-4).alias("m"), ((F.col("id") * 37 % 101) - 50).cast("double").alias("c"))
+    got = blocked.affine(df, [], "id", {"y": ("m", "c", 1000.0)}, block=10_000).where("id % 9973 = 0 or id > 999990").toPandas()
+    m, c = (1 + (np.arange(n) % 7 - 3) * 1e-4).tolist(), ((np.arange(n) * 37 % 101) - 50.0).tolist()
+    y, out = 1000.0, np.empty(n)
+    for t in range(n):
+        y = m[t] * y + c[t]
+        out[t] = y
+    scale = np.abs(out).max()
+    assert (np.abs(got.y.to_numpy() - out[got.id.to_numpy()]) <= 1e-9 * scale).all()

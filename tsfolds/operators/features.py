@@ -9,7 +9,6 @@ Frames are row based: on a gappy ticker a B-row frame spans more dates
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -314,9 +313,6 @@ def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int
 # --------------------------------------------------------------------------- recursive smoothing
 
 
-FORGOTTEN = 230.0  # an epoch is so long that older updates weigh below exp(-230)
-
-
 def wilder_smooth(
     df: DataFrame, col: str | dict, seed: float | None = None, B: int = DEFAULT_B, by="ticker", order_by="date",
     step="step", name: str | None = None,
@@ -325,38 +321,17 @@ def wilder_smooth(
     while ``step > B`` (``step`` is the 0-based row index of the key).  A NULL
     value is skipped: it leaves the state as it is and its own row is NULL.
 
-    Closed form with k = number of updates so far and a = (B-1)/B:
-    ``s = a^k seed + (1/B) sum_{u<=k} a^(k-u) v_u``.  Updates are cut into
-    epochs of ``FORGOTTEN / -ln a`` updates; inside an epoch the sum is a running
-    sum of ``a^-(place in the epoch) v``, and the epoch before it enters through its
-    total.  Updates older than that weigh below exp(-230) and vanish in double
-    precision, for every B.  Window sums only; a hot key is split by epochs.
+    One blocked scan of the maps ``s -> (B-1)/B s + v/B`` (``blocked.affine``) for all columns.
     ``col`` may be a dict ``{name: (column, seed)}``."""
     specs = col if isinstance(col, dict) else {name or f"{col}_smooth": (col, seed)}
     if B < 1:
         raise ValueError("B must be at least 1")
     by, own = _by(by), list(df.columns)
-    counts = {f"_k_{n}": ("count", F.when(F.col(step) > B, F.col(c))) for n, (c, _) in specs.items()}
-    x = blocked.running(df, by, order_by, counts)
-    a = (B - 1.0) / B
-    for n, (c, sd) in specs.items():
-        k, sd = F.col(f"_k_{n}"), F.lit(float(sd))
-        update = (F.col(step) > B) & F.col(c).isNotNull()
-        if B == 1:  # nothing is kept of the state
-            x = x.withColumn(n, F.when(update, F.col(c).cast("double")).when(F.col(step) <= B, sd))
-            continue
-        length = max(1, math.ceil(FORGOTTEN / -math.log(a)))
-        x = x.withColumn("_ep", F.floor((k - 1) / F.lit(length)).cast("long"))  # -1 before the first update
-        place = k - F.col("_ep") * length  # 1 .. length
-        x = x.withColumn("_c", F.when(update, F.pow(F.lit(a), -place) * F.col(c)))
-        w = Window.partitionBy(*by, "_ep").orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-        total = x.where("_ep >= 0").groupBy(*by, "_ep").agg(F.sum("_c").alias("_t"))
-        before = total.select(*by, (F.col("_ep") + 1).alias("_ep"), (F.col("_t") * F.lit(a**length)).alias("_before"))
-        x = blocked.null_safe_join(x.withColumn("_r", F.sum("_c").over(w)), before, [*by, "_ep"], "left")
-        sums = F.coalesce(F.col("_r"), F.lit(0.0)) + F.coalesce(F.col("_before"), F.lit(0.0))
-        val = F.pow(F.lit(a), k) * sd + F.lit(1.0 / B) * F.pow(F.lit(a), place) * sums
-        x = x.withColumn(n, F.when(F.col(step) <= B, sd).when(update, val)).drop("_ep", "_c", "_r", "_before")
-    return x.select(*[c for c in own if c not in specs], *specs)
+    update = {n: (F.col(step) > B) & F.col(c).isNotNull() for n, (c, _) in specs.items()}
+    scans = {f"_y_{n}": (F.when(update[n], F.lit((B - 1.0) / B)), F.col(c) / F.lit(float(B)), sd) for n, (c, sd) in specs.items()}
+    x = blocked.affine(df, by, order_by, scans)
+    value = {n: F.when(F.col(step) <= B, F.lit(float(sd))).when(update[n], F.col(f"_y_{n}")).alias(n) for n, (_, sd) in specs.items()}
+    return x.select(*[c for c in own if c not in specs], *value.values())
 
 
 # --------------------------------------------------------------------------- tensors, pairs

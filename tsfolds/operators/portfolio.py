@@ -103,20 +103,24 @@ def positions(g: DataFrame, qty: str = "qty", by=("run_id", "ticker"), order_by:
 
 
 def cash(g: DataFrame, b0: float = 1000.0, rate: float = RATE, cost: float = COST, run: str = "run_id",
-         date_col: str = "date", qty: str = "qty", exec_price: str = "exec_price") -> DataFrame:
+         date_col: str = "date", qty: str = "qty", exec_price: str = "exec_price", rates: DataFrame | None = None) -> DataFrame:
     """Cash per (run, date): daily interest on the previous balance, minus
     traded value and costs at the execution price.  Returns (run, date,
-    step, flow, paid_slippage, balance)."""
-    g1 = 1.0 + rate / PERIODS
+    step, flow, paid_slippage, balance).  ``rates`` (date, rate) gives each date a yearly rate of its own; dates
+    without one take ``rate``.  The balance is an affine recursion, scanned in blocks."""
     flows = g.groupBy(run, date_col).agg(
         F.sum(F.col(qty) * F.col(exec_price) + F.abs(F.col(qty)) * F.col(exec_price) * F.lit(cost)).alias("flow"),
         F.sum(F.abs(F.col(qty)) * F.col(exec_price) * F.lit(cost)).alias("paid_slippage"),
     )
-    disc = F.col("flow") * F.pow(F.lit(g1), -F.col("step").cast("double"))
     x = blocked.rolling(flows, [run], date_col, 0, lambda w: {}, with_step="step")
-    x = blocked.running(x, [run], date_col, {"_sd": ("sum", disc)})
-    bal = F.pow(F.lit(g1), F.col("step").cast("double")) * (F.lit(g1 * b0) - F.col("_sd"))
-    return x.withColumn("balance", bal).drop("_sd")
+    own = x.columns
+    yearly = F.lit(float(rate))
+    if rates is not None:
+        x = x.join(F.broadcast(rates.select(date_col, F.col("rate").alias("_rate"))), date_col, "left")  # one row per calendar day
+        yearly = F.coalesce("_rate", yearly)
+    grow = 1.0 + yearly / PERIODS
+    x = blocked.affine(x, [run], date_col, {"balance": (grow, -F.coalesce("flow", F.lit(0.0)), b0)})
+    return x.select(*own, "balance")
 
 
 def valuation(g: DataFrame, cash_df: DataFrame, run: str = "run_id", date_col: str = "date", price: str = "price",

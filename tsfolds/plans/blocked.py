@@ -323,3 +323,76 @@ def running_moments(df: DataFrame, by: Sequence[str], order: str, col: str, n: s
     total = F.col("_n0") + F.col("_n1")
     both = m20 + m21 + gap * gap * F.try_divide(F.col("_n0") * F.col("_n1"), total)
     return res.select(*df.columns, total.alias(n), F.when(F.col("_n0") == 0, m21).when(F.col("_n1") == 0, m20).otherwise(both).alias(m2))
+
+
+PIECE = 300.0  # a piece of a block ends before its gains' logarithms add up to more than this
+
+
+def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tuple[Column | str, Column | str, float]],
+           block: float | None = None) -> DataFrame:
+    """Add recursions ``{name: (m, c, y0)}``: ``y_t = m_t * y_(t-1) + c_t`` from ``y0``, over ``partitionBy(by).orderBy(order)``.
+    A NULL in m or c leaves the state as it is.
+
+    Maps y -> m y + c compose, so a block is one map.  Inside a block the gain is a running product P and the rest
+    P * sum(c / P); a block is cut into pieces at every m = 0 and where the logarithms of the gains add up to ``PIECE``, so P
+    neither vanishes nor overflows, whatever the rates.  The maps of the pieces (one row each) are then composed in
+    order as a sorted stream, and each row applies its piece's map to the state that enters it."""
+    by, names = list(by), list(specs)
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
+    keys = [*by, "_blk"]
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(_U, 0)
+    log, zero = F.lit(0.0), F.lit(False)
+    maps = {}
+    for i, (m, c, _) in enumerate(specs.values()):
+        m, c = ((F.col(v) if isinstance(v, str) else v).cast("double") for v in (m, c))
+        there = m.isNotNull() & c.isNotNull()
+        maps |= {f"_m{i}": F.when(there, m).otherwise(1.0), f"_a{i}": F.when(there, c).otherwise(0.0)}
+        log = log + F.when(F.col(f"_m{i}") == 0, 0.0).otherwise(F.abs(F.ln(F.abs(F.when(F.col(f"_m{i}") != 0, F.col(f"_m{i}"))))))
+        zero = zero | (F.col(f"_m{i}") == 0)
+    piece = F.floor(F.sum(log).over(w) / F.lit(PIECE)) + F.count(F.when(zero, 1)).over(w)
+
+    def local(t: DataFrame, *more) -> DataFrame:
+        t = t.withColumn("_pc", piece)
+        v = Window.partitionBy(*keys, "_pc").orderBy(order).rowsBetween(_U, 0)
+        gain = lambda i: F.product(F.when(F.col(f"_m{i}") == 0, 1.0).otherwise(F.col(f"_m{i}"))).over(v)
+        t = t.select("*", *[gain(i).alias(f"_g{i}") for i in range(len(names))], *[f(v) for f in more])
+        rest = lambda i: (F.col(f"_g{i}") * F.sum(F.col(f"_a{i}") / F.col(f"_g{i}")).over(v)).alias(f"_s{i}")
+        cut_off = lambda i: F.min(F.abs(F.col(f"_m{i}"))).over(v) == 0
+        t = t.select("*", *[rest(i) for i in range(len(names))], *[cut_off(i).alias(f"_z{i}") for i in range(len(names))])
+        return t.withColumns({f"_g{i}": F.when(F.col(f"_z{i}"), 0.0).otherwise(F.col(f"_g{i}")) for i in range(len(names))})
+
+    x = x.withColumns(maps)
+    parts = [f"_{k}{i}" for i in range(len(names)) for k in "gs"]
+    whole = lambda v: F.count(F.lit(1)).over(v.rowsBetween(_U, _F)).alias("_n")
+    narrow = x.select(*dict.fromkeys([*keys, order, *maps]))
+    ends = local(narrow, whole, lambda v: F.row_number().over(v).alias("_rn")).where("_rn = _n").select(*keys, "_pc", *parts)
+    entered = _composed(ends, by, parts, [float(y0) for *_, y0 in specs.values()])
+    res = null_safe_join(local(x), entered, [*keys, "_pc"])
+    return res.select(*[F.col(c) for c in df.columns], *[(F.col(f"_g{i}") * F.col(f"_y{i}") + F.col(f"_s{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def _composed(ends: DataFrame, by: list[str], parts: list[str], start: list[float]) -> DataFrame:
+    """The states (``_y0``, ...) that enter the pieces: one row per piece, streamed in order through a task per key."""
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    keep, n = len(by), len(start)
+
+    def run(it):
+        key, state = None, list(start)
+        for batch in it:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = [[] for _ in range(n)]
+            for row in zip(*columns, strict=True):
+                if key is None or row[:keep] != key:
+                    key, state = row[:keep], list(start)
+                for i in range(n):
+                    out[i].append(state[i])
+                    gain, rest = row[keep + 2 + 2 * i : keep + 4 + 2 * i]
+                    state[i] = gain * state[i] + rest
+            yield pa.RecordBatch.from_arrays([*batch.columns[: keep + 2], *[pa.array(o, pa.float64()) for o in out]], [*batch.schema.names[: keep + 2], *[f"_y{i}" for i in range(n)]])
+
+    dealt = ends.repartition(*by) if by else ends.repartition(1)
+    ordered = dealt.select(*by, "_blk", "_pc", *parts).sortWithinPartitions(*by, "_blk", "_pc")
+    schema = StructType([*ordered.schema.fields[: keep + 2], *[StructField(f"_y{i}", DoubleType()) for i in range(n)]])
+    return ordered.mapInArrow(run, schema)

@@ -145,6 +145,19 @@ def g7_cash(spark, sf_dir):
     return _money(c.select("run_id", "date", "step", "flow", "balance"), "flow", "balance")
 
 
+@query("g7_cash_varying_rate", with_views(GRID_SQL + f""", ra as (select run_id, date, step, flow, 1 + (month(date) % 5) * 0.01 / {portfolio.PERIODS} as g from c),
+ba as (select * from (with recursive r(run_id, step, balance) as (select run_id, step, g * {B0} - flow from ra where step = 0
+    union all select ra.run_id, ra.step, ra.g * r.balance - ra.flow from r join ra on ra.run_id = r.run_id and ra.step = r.step + 1) select * from r))
+select ra.run_id, ra.date, ra.step, {_m('ra.flow')} as flow, {_m('ba.balance')} as balance from ra join ba on ra.run_id = ba.run_id and ra.step = ba.step""",
+                                          "orders_q", "prices"))
+def g7_cash_varying_rate(spark, sf_dir):
+    """G7 with a rate for each date."""
+    grid = portfolio.positions(_grid(spark, sf_dir))
+    rates = grid.select("date").distinct().withColumn("rate", F.month("date") % 5 * 0.01)
+    c = portfolio.cash(grid, B0, rates=rates)
+    return _money(c.select("run_id", "date", "step", "flow", "balance"), "flow", "balance")
+
+
 @query("g8_valuation", with_views(GRID_SQL + f"""
 select run_id, date, {_m('market_value')} as market_value, {_m('net_value')} as net_value, {_m('gross_value')} as gross_value,
        round(gross_leverage, 6) + 0.0 as gross_leverage, round(long_weight, 6) + 0.0 as long_weight,
