@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -229,6 +230,18 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+@contextlib.contextmanager
+def _small_batches(spark, size: str = "8m"):
+    """Arrow batches of at most ``size`` while the body runs: a row here holds two blocks of members."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _between(buckets: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame, bands: int, rows: int, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket (key, doc, n) and may be links."""
     named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -290,7 +303,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for end in sorted({min(r, bands) for r in ROUNDS} | {bands}):
         some = buckets.where(F.col("open") & F.col("band").between(last, end - 1)).select("key", "doc", "n")
         last = end
-        more = cut(_exact(_between(some, found, reps, sets, bands, rows, percent, miss), sets, percent))
+        with _small_batches(docs.sparkSession):
+            more = cut(_exact(_between(some, found, reps, sets, bands, rows, percent, miss), sets, percent))
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     several = classes.where("copies > 1")
