@@ -360,18 +360,16 @@ def trailing_vector(df: DataFrame, col: str, B: int = DEFAULT_B, by="run_id", or
     return blocked.rolling(df, _by(by), order_by, B - 1, build)
 
 
-def symbol_pairs(df: DataFrame, ticker="ticker") -> DataFrame:
-    """The upper triangle (a <= b) of a symbol universe, as an equi-join:
-    symbols are ranked, each rank is exploded to the ranks at or above it, and
-    the partner is joined back on its rank (no theta or cross join).  Its n(n+1)/2
-    rows are what is asked for; a large universe gives its own ``pairs`` instead."""
-    ranked = df.select(F.col(ticker).alias("a")).where(F.col(ticker).isNotNull()).distinct()
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.orderBy("a")))  # one row per symbol
-    n = ranked.agg(F.max("_r").alias("_n"), F.lit(1).alias("_one"))
-    upper = ranked.withColumn("_one", F.lit(1)).join(n, "_one")
-    return upper.select("a", F.explode(F.sequence(F.col("_r"), F.col("_n"))).alias("_rb")).join(
-        ranked.select(F.col("a").alias("b"), F.col("_r").alias("_rb")), "_rb"
-    ).select("a", "b")
+def symbol_pairs(df: DataFrame, ticker="ticker", tiles: int = 16) -> DataFrame:
+    """The upper triangle (a <= b) of a symbol universe, as an equi-join: symbols are dealt to ``tiles`` by hash, and
+    each pair of tiles is a join key of its own.  Its n(n+1)/2 rows are what is asked for; a large universe gives
+    its own ``pairs`` instead, or takes ``pairs.rolling_tiles``."""
+    own = F.pmod(F.xxhash64("a"), F.lit(tiles))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<long>"))
+    seen = df.select(F.col(ticker).alias("a")).where(F.col(ticker).isNotNull()).distinct().select("a", own.alias("_i"))
+    left = seen.select("a", "_i", every.alias("_j"))
+    right = seen.select(F.col("a").alias("b"), every.alias("_i"), F.col("_i").alias("_j"))
+    return left.join(right, (left["_i"] == right["_i"]) & (left["_j"] == right["_j"]) & (F.col("a") <= F.col("b"))).select("a", "b")
 
 
 def pair_panel(df: DataFrame, col="spot", ticker="ticker", order_by="date", *, pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsfolds.functions import log_lags, ols_weights
-from tsfolds.operators import align, clean, features, report
+from tsfolds.operators import align, clean, features, pairs, report
 from tsfolds.operators.features import hurst_lags
 from tsfolds.plans.fixtures import table, with_views
 from tsfolds.plans.queries import query, v
@@ -187,6 +187,22 @@ def e13_rolling_corr(spark, sf_dir):
     return features.rolling_corr(bars, "close", B, pairs=features.symbol_pairs(bars)).select("date", "a", "b", "corr")
 
 
+TOP_PAIRS = 3
+
+
+@query("e13_top_pairs", with_views(f""", c as (select a.date, a.ticker as a, b.ticker as b, count(*) over w as n,
+  covar_pop(a.close, b.close) over w / nullif(stddev_pop(a.close) over w * stddev_pop(b.close) over w, 0) as corr
+  from supp_bars a join supp_bars b on a.date = b.date and a.ticker < b.ticker
+  window w as (partition by a.ticker, b.ticker order by a.date rows between {B} preceding and current row)),
+r as (select *, row_number() over (partition by date order by round(abs(corr), 9) desc, a, b) as rank
+      from c where n = {B + 1} and corr is not null)
+select date, rank, a, b, round(corr, 6) + 0.0 as corr from r where rank <= {TOP_PAIRS}""", "supp_bars"))
+def e13_top_pairs(spark, sf_dir):
+    """E13 over all supplier pairs by tiles: the most correlated pairs of every date over B+1 common dates."""
+    x = pairs.rolling_tiles(_sb(spark, sf_dir), "close", B, top=TOP_PAIRS, full=True)
+    return x.select("date", "rank", "a", "b", (F.round("corr", 6) + F.lit(0.0)).alias("corr"))
+
+
 # y over each window from its own definition: y_j = x_j - sum over k < j of 2^-(j-k) x_k, rows counted from the window's start
 CAUSAL_SQL = f""", i as (select ticker, date, open, high, low, close, row_number() over (partition by ticker order by date) as i from supp_bars),
 wx as (select c.ticker, c.i as cur, w.i as j, w.close as x, w.open, w.high, w.low
