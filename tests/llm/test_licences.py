@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 from conftest import SF001, SF01
 from oracle import compare
 from tsfolds.llm import licence_texts, licences
@@ -55,3 +58,34 @@ def test_entire_texts_notices_and_spdx_lines(spark):
     rows = spark.createDataFrame(licence_texts.KNOWN, "licence string, text string")
     twice = rows.select("licence", licences._whole(licences._canonical_lines(rows.text)).alias("t")).groupBy("t").agg({"licence": "collect_set"})
     assert twice.where("size(`collect_set(licence)`) > 1").collect() == []
+
+
+def test_wrapping_does_not_matter(spark):
+    """Every known text, its paragraphs wrapped anew at several widths, in a comment or not."""
+    rows, want = [], {}
+    for licence, text in licence_texts.KNOWN:
+        if "\n" in text:
+            for width in (40, 51, 66, 72, 78, 80, 100):
+                paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+                wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in paragraphs)
+                for form in (wrapped, "/*\n" + textwrap.indent(wrapped, " * ", lambda line: True) + "\n */", wrapped.replace("\n", "\r\n")):
+                    want[len(rows)] = licence, width
+                    rows.append((len(rows), form))
+    got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(want) > 300
+    assert [(want[i], got[i]) for i in want if got[i] != want[i][0]] == []
+
+
+def test_statements_end_with_their_own_words(spark):
+    mit = licence_texts.MIT
+    grant = mit[mit.index("Permission is") :]
+    heads = [
+        "Copyright (c) 2019 Someone\n", "Copyright (c) 2019 John A. Smith, Foo Inc. and\ncontributors. ", "Copyright 2001, 2002 A\nCopyright (C) 2003 B\n\n",
+        "Copyright\n(c) 2020 A very long name of a holder\nthat goes on. All rights\nreserved. ", "(c) 2020 X\n\n", "Copyright [yyyy] [name]\n\n",
+    ]
+    rows = [(i, "MIT License\n\n" + h + grant) for i, h in enumerate(heads)]
+    rows += [(50, "MIT License\n\nCopyright (c) 2019 X\n\nPay first.\n\n" + grant), (51, "Copyright 2020 X. Licensed under the MIT License."), (52, "\ue000 \u2029")]
+    got = {r.doc_id: (r.licence, r.notices) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(len(heads))] == ["MIT"] * len(heads)
+    assert got[50] == (None, "") and got[51] == ("MIT", "MIT")
+    assert got[52] == (None, "")

@@ -1,8 +1,13 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form: letters A-Z lower-cased, copyright lines dropped, punctuation
+A text is brought to a canonical form: letters A-Z lower-cased, copyright statements dropped, punctuation
 and white space made one space, equivalent spellings made equal.  Its SHA-256 is then joined to the digests
 of known licences: entire texts to licence texts, and entire lines to licence notices.
+
+The form of an entire text does not depend on where its lines break.  A copyright statement starts at "copyright" with
+a sign or a year (or at the sign with a year) and ends with its paragraph, or before the words that open the next
+sentence of a licence (``OPENERS``), so it takes holders and years with it, on however many lines.  In a single line
+it ends with the line at the latest.
 """
 
 from __future__ import annotations
@@ -57,26 +62,65 @@ SPELLINGS = [
     (" and or ", " or "),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MARKS = "“”‘’–—·•"  # quotes, dashes and bullets that stand for ASCII ones
-COPYRIGHT = r"(^|\n)[ \t*#/;%-]*(copyright[ \t:]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*"
-RESERVED = r"all rights reserved\.?"
+MARKS = "“”‘’–—·•\ue000\u2029"  # quotes, dashes and bullets that stand for ASCII ones, and the two signs below
+START, PARAGRAPH = "\ue000", "\u2029"  # a copyright statement's start, and the end of a paragraph
+_GAP = r"[ \t\r\n*#/;:%-]*"
+COPYRIGHT = rf"copyright{_GAP}(\(c\)|©|[0-9]{{4}}|<year>|\[yyyy\]|\{{yyyy\}})|\(c\){_GAP}[0-9]{{4}}|©"
+# Words with which licences go on after a copyright statement.
+OPENERS = [
+    "all rights reserved",
+    "distributed under",
+    "everyone is permitted",
+    "licensed under",
+    "permission is",
+    "permission to",
+    "redistribution and use",
+    "released under",
+    "spdx license identifier",
+    "this",
+    "you may",
+]
+RESERVED = " all rights reserved "
 PUNCTUATION = r"[\x01-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f©]+"
 NO_ID = -(1 << 63)
 
 
+def _statement(end: str) -> str:
+    """A copyright statement up to ``end``, the text's end or an opener, which is group 1."""
+    return f"{START}[^{end}]*?({end}|\\z| (?:{'|'.join(OPENERS)}) )"
+
+
 def _canonical_lines(text: Column) -> Column:
-    """The canonical form, lines kept apart."""
+    """Letters, punctuation and the spellings of one word, lines kept apart; statements of copyright are marked by their start."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
-    t = F.regexp_replace(t, COPYRIGHT, "\n")
-    t = F.regexp_replace(t, RESERVED, " ")
+    t = F.regexp_replace(t, COPYRIGHT, START)
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), PUNCTUATION, " ")
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(a), F.lit(b))
+        if " " not in a:
+            t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
+def _unit(t: Column, end: str) -> Column:
+    """The canonical form of text without line feeds whose copyright statements end at ``end``."""
+    t = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), " +", " ")
+    t = F.when(F.contains(t, F.lit(START)), F.regexp_replace(t, _statement(end), " $1")).otherwise(t)
+    t = F.regexp_replace(F.replace(t, F.lit(PARAGRAPH), F.lit(" ")), " +", " ")
+    for a, b in SPELLINGS:
+        if " " in a:
+            t = F.replace(t, F.lit(a), F.lit(b))
+    return F.trim(F.replace(t, F.lit(RESERVED), F.lit(" ")))
+
+
 def _whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    """The canonical form of all lines as one text."""
+    t = F.regexp_replace(lines, "\n *\n[ \n]*", PARAGRAPH)
+    return _unit(F.translate(t, "\n", " "), PARAGRAPH)
+
+
+def _line(line: Column) -> Column:
+    """The canonical form of one line by itself."""
+    return _unit(line, PARAGRAPH)
 
 
 def _digest(canonical: Column) -> Column:
@@ -102,7 +146,7 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), _canonical_lines(text).alias("lines"))
     # unit 0 is the whole text, the others are its lines; one row of units per document leaves each task
-    lines = F.transform(F.split("lines", "\n"), lambda line: _digest(_whole(line)))
+    lines = F.transform(F.split("lines", "\n"), lambda line: _digest(_line(line)))
     units = F.concat(F.array(_digest(_whole(F.col("lines")))), F.filter(lines, lambda x: x.isNotNull()))
     units = base.select("d", "h", F.posexplode(units).alias("unit", "digest"))
     found = units.join(F.broadcast(licences), "digest", "left")  # as many rows as known texts
@@ -128,31 +172,51 @@ def scan_sql(rows=KNOWN) -> str:
     """The same scan of ``documents`` as DuckDB SQL (doc_id unique)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
-    def canonical(x: str) -> str:
+    def words(x: str) -> str:
         x = f"translate(coalesce({x}, ''), {quote(UPPER + MARKS)}, {quote(LOWER + ' ' * len(MARKS))})"
-        x = f"regexp_replace({x}, {quote(COPYRIGHT)}, chr(10), 'g')"
-        x = f"regexp_replace({x}, {quote(RESERVED)}, ' ', 'g')"
-        x = f"regexp_replace(replace({x}, '&', ' and '), {quote(PUNCTUATION)}, ' ', 'g')"
+        x = f"regexp_replace({x}, {quote(COPYRIGHT)}, {quote(START)}, 'g')"
+        return f"regexp_replace(replace({x}, '&', ' and '), {quote(PUNCTUATION)}, ' ', 'g')"
+
+    def spelt(x: str, several: bool) -> str:
         for a, b in SPELLINGS:
-            x = f"replace({x}, {quote(a)}, {quote(b)})"
+            if (" " in a) == several:
+                x = f"replace({x}, {quote(a)}, {quote(b)})"
         return x
 
+    # a statement is cut out of each paragraph: what stands before its sign, and what follows from an opener on
+    opener = f"(.*?) (({'|'.join(OPENERS)}) .*)$"
+
+    def without(p: str) -> str:
+        p = f"(' ' || regexp_replace({p}, '\\s+', ' ', 'g') || ' ')"
+        parts = f"string_split(regexp_replace({p}, ' +', ' ', 'g'), {quote(START)})"
+        rest = f"list_transform(({parts})[2:], lambda r: regexp_extract(r, {quote(opener)}, 2))"
+        return f"(({parts})[1] || ' ' || array_to_string({rest}, ' '))"
+
+    def unit(paragraphs: str) -> str:
+        x = f"array_to_string(list_transform({paragraphs}, lambda p: {without('p')}), ' ')"
+        x = spelt(f"regexp_replace(' ' || {x} || ' ', ' +', ' ', 'g')", True)
+        return f"trim(replace({x}, {quote(RESERVED)}, ' '))"
+
     def digest(x: str) -> str:
-        x = f"trim(regexp_replace({x}, '[ \n]+', ' ', 'g'))"
         return f"case when {x} <> '' then sha256({x}) end"
 
+    def whole(x: str) -> str:
+        return unit(f"regexp_split_to_array({x}, '\\n *\\n[ \\n]*')")
+
     values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows)
     return f"""
 with known as (
   select digest, min(licence) as licence
-  from (select licence, {digest("l")} as digest from (select licence, {canonical("t")} as l from (values {values}) v(licence, t)))
+  from (select licence, {digest("u")} as digest from (select licence, {whole("l")} as u from (
+    select licence, {spelt(words("t"), False)} as l from (values {values}) v(licence, t))))
   where digest is not null group by digest
 ), docs as (
-  select doc_id, {canonical("text")} as l from documents
+  select doc_id, {spelt(words("text"), False)} as l from documents
 ), whole as (
-  select doc_id, {digest("l")} as digest from docs
+  select doc_id, {digest("u")} as digest from (select doc_id, {whole("l")} as u from docs)
 ), lines as (
-  select doc_id, {digest("line")} as digest from (select doc_id, unnest(string_split(l, chr(10))) as line from docs)
+  select doc_id, {digest("u")} as digest
+  from (select doc_id, {unit("[line]")} as u from (select doc_id, unnest(string_split(l, chr(10))) as line from docs))
 ), notices as (
   select doc_id, count(*) as n_notices, string_agg(distinct licence, ',' order by licence) as notices
   from lines join known using (digest) group by doc_id
