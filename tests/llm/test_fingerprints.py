@@ -1,6 +1,8 @@
 import hashlib
 import random
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -73,3 +75,53 @@ def test_odd_rows(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     df = spark.createDataFrame([(5, "aaa"), (5, "aaa"), (None, "bbb"), (None, "ccc")], schema)
     assert sorted((str(r.doc_id), r.n_chars) for r in fp.edited_fingerprints(df).collect()) == [("5", 3), ("5", 3), ("None", 3), ("None", 3)]
+
+
+def brute(text):
+    """The lanes of a text by their definition, hashed outside Spark."""
+
+    def chain(*parts, seed=42):
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed=seed)
+        return seed
+
+    def sums(parts, i, mask):
+        total = 0
+        for p in parts:
+            p = p.encode()
+            x, y = chain(p), chain(p, struct.pack("<i", 7))
+            total += chain(struct.pack("<Q", x), struct.pack("<Q", y), struct.pack("<i", i)) & mask
+        return total % 2**60
+
+    paragraphs = [p for p in (text or "").split("\n") if p]
+    blocks = [p[k : k + fp.WIDTH] for p in paragraphs for k in range(0, len(p), fp.WIDTH)]
+    exact = [sums(paragraphs, i, 2**60 - 1) for i in range(fp.EXACT)]
+    return [len(paragraphs) * 2**30 + len(blocks), *exact, *[sums(blocks, fp.EXACT + i, 1 + 2**30) for i in range(fp.SKETCH)]]
+
+
+def test_lanes_and_likeness_against_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").limit(25).collect()]
+    texts += [None, "", "\n\n", "a", "é\n" * 40, "\r\n x \n", "ab" * 700]
+    got = lanes(spark, texts)
+    want = [brute(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+
+    def likeness(a, b):
+        signs = lambda v: [2 * ((c >> s) % 2**30) - v[0] % 2**30 for c in v[1 + fp.EXACT :] for s in (0, 30)]
+        x, y = signs(a), signs(b)
+        dot = lambda p, q: sum(s * t for s, t in zip(p, q, strict=True))
+        down = dot(x, x) + dot(y, y)
+        return 1.0 if a == b else max(0.0, min(1.0, 2 * dot(x, y) / down if down else 0.0))
+
+    pairs = [(i, j, want[i], want[j]) for i in range(0, len(texts), 3) for j in range(len(texts))]
+    df = spark.createDataFrame(pairs, "i long, j long, a array<long>, b array<long>")
+    for r in df.select("i", "j", fp.likeness(F.col("a"), F.col("b")).alias("l")).collect():
+        assert abs(r.l - likeness(want[r.i], want[r.j])) < 1e-12
+
+
+def test_paragraphs_not_blocks_decide_equality(spark):
+    w = fp.WIDTH
+    one, two, turned = "x" * w + "tail", "x" * w + "\n" + "tail", "tail\n" + "x" * w
+    split, moved = "x" * w + "y" * w + "\n" + "z" * w, "x" * w + "\n" + "y" * w + "z" * w
+    v = lanes(spark, [one, two, turned, split, moved, "a\na\nb", "a\nb\nb", "a\n\nb\na"])
+    assert v[0] != v[1] and v[1] == v[2] and v[3] != v[4] and v[5] != v[6] and v[5] == v[7]

@@ -1,13 +1,13 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions only.
 
-A text is the multiset of its paragraphs' blocks (a paragraph is a line; a block is its next ``WIDTH``
-characters at most).  Every block is hashed to a wide vector of lanes of 60 bits, and the
-fingerprint is the sum of the vectors modulo 2**60 per lane:
+A text is the multiset of its paragraphs (its lines, without empty ones).  Every paragraph is hashed to a wide vector
+of lanes of 60 bits, and the fingerprint is the sum of the vectors modulo 2**60 per lane:
 
-* lane 0 counts the blocks,
-* ``EXACT`` lanes add full 60-bit hash values: equal multisets have equal sums, others do not,
-* ``SKETCH`` lanes add one random bit to each of three 20-bit counters.  Counter minus half the count is a
-  random-sign sum, and such sums of two texts are as correlated as the texts are alike.
+* lane 0 counts paragraphs (upper 30 bits) and blocks (lower 30 bits),
+* ``EXACT`` lanes add a full 60-bit hash of the whole paragraph: equal multisets of paragraphs have equal sums, others do not,
+* ``SKETCH`` lanes are two 30-bit counters each, to which every block of a paragraph (its next ``WIDTH`` characters at most)
+  adds a random bit each.  Counter minus half the count is a random-sign sum, and such sums of two texts are as
+  correlated as the texts are alike.  A text has fewer than 2**30 blocks, so counters don't run over.
 
 Sums do not depend on the order of paragraphs.  ``insert`` and ``delete`` give the fingerprint of a text with
 paragraphs added or taken out, without the rest of the text.
@@ -22,33 +22,42 @@ from tsfolds.session import cut
 
 WIDTH = 32
 EXACT = 5
-SKETCH = 24
+SKETCH = 36
 MASK = (1 << 60) - 1
-BITS = 1 | 1 << 20 | 1 << 40
-COUNTER = (1 << 20) - 1
+BITS = 1 | 1 << 30
+COUNTER = (1 << 30) - 1
 NO_ID = -(1 << 63)
 
 
+def _hashed(parts: Column) -> Column:
+    """Two hashes of every part of a text."""
+    return F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("x"), F.xxhash64(p, F.lit(7)).alias("y")))
+
+
+def _paragraphs(text: Column) -> Column:
+    return _hashed(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != ""))
+
+
 def _blocks(text: Column) -> Column:
-    """Two hashes of every block of a text."""
-    blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\n]{{1,{WIDTH}}}"), F.lit(0))
-    return F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("x"), F.xxhash64(b, F.lit(7)).alias("y")))
+    return _hashed(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\n]{{1,{WIDTH}}}"), F.lit(0)))
 
 
-def _lanes(blocks: Column) -> Column:
-    def lane(i: int, mask: int) -> Column:
-        def add(total, b):
-            return (total + F.xxhash64(b["x"], b["y"], F.lit(i)).bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(MASK))
+def _lanes(paragraphs: Column, blocks: Column) -> Column:
+    def lane(parts: Column, i: int, mask: int) -> Column:
+        def add(total, p):
+            return (total + F.xxhash64(p["x"], p["y"], F.lit(i)).bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(MASK))
 
-        return F.aggregate(blocks, F.lit(0).cast("long"), add)
+        return F.aggregate(parts, F.lit(0).cast("long"), add)
 
-    exact = [lane(i, MASK) for i in range(EXACT)]
-    return F.array(F.size(blocks).cast("long"), *exact, *[lane(EXACT + i, BITS) for i in range(SKETCH)])
+    counts = F.shiftleft(F.size(paragraphs).cast("long"), 30) + F.size(blocks).cast("long")
+    exact = [lane(paragraphs, i, MASK) for i in range(EXACT)]
+    return F.array(counts, *exact, *[lane(blocks, EXACT + i, BITS) for i in range(SKETCH)])
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the lanes of column ``text`` as column ``name``.  Null and empty texts have no blocks: all lanes are 0."""
-    return df.withColumn("_blocks", _blocks(F.col(text))).withColumn(name, _lanes(F.col("_blocks"))).drop("_blocks")
+    """``df`` with the lanes of column ``text`` as column ``name``.  Null and empty texts have no paragraphs: all lanes are 0."""
+    hashed = df.withColumns({"_paragraphs": _paragraphs(F.col(text)), "_blocks": _blocks(F.col(text))})
+    return hashed.withColumn(name, _lanes(F.col("_paragraphs"), F.col("_blocks"))).drop("_paragraphs", "_blocks")
 
 
 def insert(lanes: Column, more: Column) -> Column:
@@ -69,8 +78,9 @@ def as_text(lanes: Column) -> Column:
 def _signs(lanes: Column) -> Column:
     """The sketch's random-sign sums."""
     packed = F.slice(lanes, 2 + EXACT, SKETCH)
-    counters = F.flatten(F.transform(packed, lambda v: F.array(*[F.shiftright(v, 20 * i).bitwiseAND(F.lit(COUNTER)) for i in range(3)])))
-    return F.transform(counters, lambda c: (2 * c - lanes[0]).cast("double"))
+    counters = F.flatten(F.transform(packed, lambda v: F.array(*[F.shiftright(v, 30 * i).bitwiseAND(F.lit(COUNTER)) for i in range(2)])))
+    n = lanes[0].bitwiseAND(F.lit(COUNTER))
+    return F.transform(counters, lambda c: (2 * c - n).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
