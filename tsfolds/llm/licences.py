@@ -90,10 +90,14 @@ def _statement(end: str) -> str:
     return f"{START}[^{end}]*?({end}|\\z| (?:{'|'.join(OPENERS)}) )"
 
 
-def _canonical_lines(text: Column) -> Column:
+def _lower(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
+
+
+def _spelt(low: Column) -> Column:
     """Letters, punctuation and the spellings of one word, lines kept apart; statements of copyright are marked by their start."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER + MARKS, LOWER + " " * len(MARKS))
-    t = F.regexp_replace(t, COPYRIGHT, START)
+    signed = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+    t = F.when(signed, F.regexp_replace(low, COPYRIGHT, START)).otherwise(low)
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), PUNCTUATION, " ")
     for a, b in SPELLINGS:
         if " " not in a:
@@ -101,26 +105,34 @@ def _canonical_lines(text: Column) -> Column:
     return t
 
 
-def _unit(t: Column, end: str) -> Column:
-    """The canonical form of text without line feeds whose copyright statements end at ``end``."""
-    t = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), " +", " ")
-    t = F.when(F.contains(t, F.lit(START)), F.regexp_replace(t, _statement(end), " $1")).otherwise(t)
-    t = F.regexp_replace(F.replace(t, F.lit(PARAGRAPH), F.lit(" ")), " +", " ")
+def _without_statement(t: Column) -> Column:
+    """A folded text without its copyright statements and paragraph ends."""
+    cut = F.when(F.contains(t, F.lit(START)), F.regexp_replace(t, _statement(PARAGRAPH), " $1")).otherwise(t)
+    cut = F.regexp_replace(F.replace(cut, F.lit(PARAGRAPH), F.lit(" ")), " +", " ")
+    return F.when(F.contains(t, F.lit(START)) | F.contains(t, F.lit(PARAGRAPH)), cut).otherwise(t)
+
+
+def _phrases(t: Column) -> Column:
+    """Spellings of several words, and the reservation of rights."""
     for a, b in SPELLINGS:
         if " " in a:
             t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.replace(t, F.lit(RESERVED), F.lit(" ")))
 
 
-def _whole(lines: Column) -> Column:
-    """The canonical form of all lines as one text."""
-    t = F.regexp_replace(lines, "\n *\n[ \n]*", PARAGRAPH)
-    return _unit(F.translate(t, "\n", " "), PARAGRAPH)
+def _units(lines: Column) -> Column:
+    """The canonical forms of the whole text (first) and of each of its lines.  Each step is a ``transform`` of its own, so that
+    it runs once a unit: inside one, an expression used twice is computed twice."""
+    whole = F.translate(F.regexp_replace(lines, "\n *\n[ \n]*", PARAGRAPH), "\n", " ")
+    units = F.concat(F.array(whole), F.split(lines, "\n"))
+    units = F.transform(units, lambda t: F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), " +", " "))
+    return F.transform(F.transform(units, _without_statement), _phrases)
 
 
-def _line(line: Column) -> Column:
-    """The canonical form of one line by itself."""
-    return _unit(line, PARAGRAPH)
+def canonical(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its canonical units (``_units`` of column ``text``) as column ``units``."""
+    steps = df.withColumn("units", _lower(F.col(text).cast("string")))
+    return steps.withColumn("units", _spelt(F.col("units"))).withColumn("units", _units(F.col("units")))
 
 
 def _digest(canonical: Column) -> Column:
@@ -130,7 +142,7 @@ def _digest(canonical: Column) -> Column:
 def known(spark, rows=KNOWN) -> DataFrame:
     """(licence, digest) of (licence, text) rows: a small table, one row per known text."""
     df = spark.createDataFrame(rows, "licence string, text string")
-    return df.select("licence", _digest(_whole(_canonical_lines(F.col("text")))).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
+    return canonical(df).select("licence", _digest(F.col("units")[0]).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
@@ -144,10 +156,12 @@ def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     licences = known(docs.sparkSession) if licences is None else licences
     kind = docs.schema["doc_id"].dataType
     text = F.col("text").cast("string")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), _canonical_lines(text).alias("lines"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
     # unit 0 is the whole text, the others are its lines; one row of units per document leaves each task
-    lines = F.transform(F.split("lines", "\n"), lambda line: _digest(_line(line)))
-    units = F.concat(F.array(_digest(_whole(F.col("lines")))), F.filter(lines, lambda x: x.isNotNull()))
+    digests = F.transform("units", _digest)
+    base = canonical(base).select("d", "h", digests.alias("digests"))
+    lines = F.filter(F.slice("digests", 2, F.greatest(F.size("digests") - 1, F.lit(0))), lambda x: x.isNotNull())
+    units = F.concat(F.slice("digests", 1, 1), lines)
     units = base.select("d", "h", F.posexplode(units).alias("unit", "digest"))
     found = units.join(F.broadcast(licences), "digest", "left")  # as many rows as known texts
     whole, line = F.col("unit") == 0, (F.col("unit") > 0) & F.col("licence").isNotNull()
