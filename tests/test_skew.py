@@ -88,3 +88,35 @@ def test_affine_scan_over_a_million_steps(spark):
         out[t] = y
     scale = np.abs(out).max()
     assert (np.abs(got.y.to_numpy() - out[got.id.to_numpy()]) <= 1e-9 * scale).all()
+
+
+def test_rows_of_one_time_have_one_order(spark):
+    """Running results over rows of one key and time do not depend on the block width or on where the rows lie."""
+    day = F.date_add(F.lit(D0), (F.col("id") % 7).cast("int"))
+    value = F.when(F.col("id") % 5 > 0, (F.col("id") * 7919 % 101).cast("double") / 3)
+    df = spark.range(0, 400).select(
+        (F.col("id") % 3).alias("ticker"), day.alias("date"), F.col("id").alias("row"), value.alias("x"),
+        F.when(F.col("id") % 4 == 0, 0.5).otherwise(0.25).alias("m"),
+    )
+
+    def results(d, width):
+        a = blocked.running(d, ["ticker"], "date", {"last": ("last", "x"), "peak": ("max", "x"), "total": ("sum", "x")}, block=width, with_step="step")
+        b = blocked.affine(d, ["ticker"], "date", {"y": ("m", "x", 1.0)}, block=width)
+        c = blocked.running_moments(d, ["ticker"], "date", "x", "n", "m2", block=width)
+        e = blocked.running_sum_peak(d, ["ticker"], "date", "x", "s", "p", block=width)
+        out = {}
+        for part in (a, b, c, e):
+            for r in part.collect():
+                r = r.asDict()
+                out.setdefault(r.pop("row"), {}).update(r)
+        return out
+
+    w = Window.partitionBy("ticker").orderBy("date", blocked.tie_break(df))
+    plain = {r["row"]: r["v"] for r in df.select("row", F.last("x", ignorenulls=True).over(w).alias("v")).collect()}
+    first = results(df, 1)
+    assert {k: r["last"] for k, r in first.items()} == plain
+    for d, width in ((df.repartition(7, "x"), 400), (df.orderBy(F.desc("row")).coalesce(1), 3)):
+        for k, r in results(d, width).items():
+            for name, v in r.items():
+                u = first[k][name]
+                assert u == v or abs(u - v) < 1e-6, (k, name, u, v)

@@ -227,12 +227,13 @@ def running(
 ) -> DataFrame:
     """Add cumulative aggregates ``{name: (kind, column)}``, kind in
     sum/count/max/min/last (last non-NULL value), over ``partitionBy(by).orderBy(order)`` from the first
-    row to the current one, computed per time block plus a carry-over."""
+    row to the current one, computed per time block plus a carry-over.  Rows of one order value are
+    ordered by a hash of the row, in the blocks and in their totals."""
     by = list(by)
     width = block_width(df, block, order)
-    x = df.withColumn("_blk", block_expr(df, order, width))
+    x = df.withColumn("_blk", block_expr(df, order, width)).withColumn("_tie", tie_break(df))
     keys = by + ["_blk"]
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order, "_tie")
     cols = {k: (F.col(c) if isinstance(c, str) else c) for k, (_, c) in aggs.items()}
     inner = {k: _AGG[kind](cols[k]).over(w.rowsBetween(_U, 0)) for k, (kind, _) in aggs.items()}
     base = x.select("*", F.row_number().over(w).alias("_rn"), *[c.alias("_in_" + k) for k, c in inner.items()])
@@ -241,7 +242,7 @@ def running(
     tot = []
     for k, (kind, _) in aggs.items():
         c = cols[k]
-        t = F.max_by(c, F.when(c.isNotNull(), F.col(order))) if kind == "last" else _AGG[kind](c)
+        t = F.max_by(c, F.when(c.isNotNull(), F.struct(order, "_tie"))) if kind == "last" else _AGG[kind](c)
         tot.append(t.alias("_t_" + k))
     wb = Window.partitionBy(*by).orderBy("_blk")
     blocks = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *tot).select(
@@ -269,9 +270,9 @@ def running_sum_peak(
     C_b = sum of the earlier block totals, G_b = max over earlier blocks j
     of (C_j + peak_j).  Row values: C_b + s and greatest(G_b, C_b + p)."""
     by = list(by)
-    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order))).withColumn("_tie", tie_break(df))
     keys = by + ["_blk"]
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order, "_tie")
     c = F.col(col)
     base = x.select(
         "*",
@@ -298,9 +299,9 @@ def running_moments(df: DataFrame, by: Sequence[str], order: str, col: str, n: s
     current one.  Blocks keep (count, mean, M2); the earlier blocks' are merged around a reference
     mean and then merged with the block's own, so that no large squares cancel."""
     by = list(by)
-    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order))).withColumn("_tie", tie_break(df))
     keys = by + ["_blk"]
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(_U, 0)
+    w = Window.partitionBy(*keys).orderBy(order, "_tie").rowsBetween(_U, 0)
     c = F.col(col)
     base = x.select("*", F.count(c).over(w).alias("_n1"), F.avg(c).over(w).alias("_m1"), F.var_pop(c).over(w).alias("_v1"))
     wb = Window.partitionBy(*by).orderBy("_blk")
@@ -338,9 +339,9 @@ def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tup
     neither vanishes nor overflows, whatever the rates.  The maps of the pieces (one row each) are then composed in
     order as a sorted stream, and each row applies its piece's map to the state that enters it."""
     by, names = list(by), list(specs)
-    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order)))
+    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order))).withColumn("_tie", tie_break(df))
     keys = [*by, "_blk"]
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(_U, 0)
+    w = Window.partitionBy(*keys).orderBy(order, "_tie").rowsBetween(_U, 0)
     log, zero = F.lit(0.0), F.lit(False)
     maps = {}
     for i, (m, c, _) in enumerate(specs.values()):
@@ -353,7 +354,7 @@ def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tup
 
     def local(t: DataFrame, *more) -> DataFrame:
         t = t.withColumn("_pc", piece)
-        v = Window.partitionBy(*keys, "_pc").orderBy(order).rowsBetween(_U, 0)
+        v = Window.partitionBy(*keys, "_pc").orderBy(order, "_tie").rowsBetween(_U, 0)
         gain = lambda i: F.product(F.when(F.col(f"_m{i}") == 0, 1.0).otherwise(F.col(f"_m{i}"))).over(v)
         t = t.select("*", *[gain(i).alias(f"_g{i}") for i in range(len(names))], *[f(v) for f in more])
         rest = lambda i: (F.col(f"_g{i}") * F.sum(F.col(f"_a{i}") / F.col(f"_g{i}")).over(v)).alias(f"_s{i}")
@@ -364,7 +365,7 @@ def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tup
     x = x.withColumns(maps)
     parts = [f"_{k}{i}" for i in range(len(names)) for k in "gs"]
     whole = lambda v: F.count(F.lit(1)).over(v.rowsBetween(_U, _F)).alias("_n")
-    narrow = x.select(*dict.fromkeys([*keys, order, *maps]))
+    narrow = x.select(*dict.fromkeys([*keys, order, "_tie", *maps]))
     ends = local(narrow, whole, lambda v: F.row_number().over(v).alias("_rn")).where("_rn = _n").select(*keys, "_pc", *parts)
     entered = _composed(ends, by, parts, [float(y0) for *_, y0 in specs.values()])
     res = null_safe_join(local(x), entered, [*keys, "_pc"])
