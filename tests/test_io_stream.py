@@ -170,3 +170,100 @@ def test_stream_eta_transform_with_state(spark, tmpdir_):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, prev)
+
+
+def test_stream_progress_follows_changes_and_keeps_few_folders(spark, tmpdir_):
+    src, out, ck = (os.path.join(tmpdir_, n) for n in ("log", "progress", "ck"))
+    rows = [("a.train.0", None, 1, 0.5), ("a.validate.0", None, 1, 0.25), ("a.train.1", None, 1, 0.1), ("b.train.0", "a", 1, 1.0), ("c.other.3", None, 1, 0.3)]
+    later = [[("a.train.0", None, 2, 0.75)], [("b.train.0", "b", 2, 0.5)], [("a.train.1", None, 1, 0.05)], [("a.train.1", None, 3, None)],
+             [("a.train.1", None, 4, 0.4)], [("b.train.0", "b", 3, 0.5)], [("a.train.1", None, 4, 0.45)]]
+
+    def land(part):
+        log = spark.createDataFrame(part, "name string, parent string, sec long, pct_complete double")
+        ts = F.timestamp_add("SECOND", F.col("sec"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+        log.select("name", "parent", ts.alias("ts"), "pct_complete").coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream.progress(spark, src, out, 10, checkpoint=ck, every=3).awaitTermination(120)
+
+    def expected():
+        log = spark.read.schema(stream.LOG_SCHEMA).parquet(src)
+        last = log.groupBy("name").agg(F.max(F.struct("ts", "pct_complete", "parent")).alias("_l"))
+        st = last.select("name", "_l.pct_complete", F.coalesce("_l.parent", F.split("name", r"\.")[0]).alias("parent"))
+        return {r["parent"]: (r["folds"], r["pct_complete"]) for r in jobs.progress(st, 10).collect()}
+
+    land(rows)
+    run()
+    for part in later:
+        land(part)
+        run()
+        got = {r["parent"]: (r["folds"], r["pct_complete"]) for r in stream.read_progress(spark, out).collect()}
+        exp = expected()
+        assert got.keys() == exp.keys()
+        for k in exp:
+            assert got[k][0] == exp[k][0] and got[k][1] == pytest.approx(exp[k][1])
+    kept = sorted(n for n in os.listdir(out) if "=" in n)
+    assert "base=5" in kept and "batch=0" not in kept and len(kept) <= 8
+    # the delta of a batch holds the parents of its changed jobs only
+    delta = spark.read.parquet(os.path.join(out, "batch=7"))
+    assert [r["parent"] for r in delta.collect()] == ["a"]
+
+
+def test_a_repeated_batch_replaces_its_own_delta(spark, tmpdir_):
+    from tsfolds.sources import deltas
+
+    merge = lambda d: d.groupBy("k").agg(F.sum("v").alias("v"))
+    delta = spark.createDataFrame([("x", 1), ("y", 2)], "k string, v long")
+    for n in (0, 1, 1, 2, 2, 3, 3):  # every batch but the first is repeated, some of them after their merge
+        deltas.write(delta, tmpdir_, n, merge, every=3)
+    assert sorted(map(tuple, deltas.read(spark, tmpdir_, merge, delta.schema).collect())) == [("x", 4), ("y", 8)]
+    os.remove(os.path.join(tmpdir_, "batch=3", "_SUCCESS"))  # a batch that is half written is not seen
+    assert sorted(map(tuple, deltas.read(spark, tmpdir_, merge, delta.schema).collect())) == [("x", 3), ("y", 6)]
+    with pytest.raises(FileNotFoundError):
+        deltas.read(spark, os.path.join(tmpdir_, "none"), merge, delta.schema)
+
+
+def test_eta_in_event_time(spark, tmpdir_):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    prev = spark.conf.get(key, None)
+    spark.conf.set(key, stream.ROCKSDB)
+    try:
+        src, out, ck = (os.path.join(tmpdir_, n) for n in ("log", "eta", "ck"))
+
+        def land(rows):
+            log = spark.createDataFrame(rows, "name string, sec long, pct_complete double")
+            ts = F.timestamp_add("SECOND", F.col("sec"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+            log.select("name", F.lit(None).cast("string").alias("parent"), ts.alias("ts"), "pct_complete").coalesce(1).write.mode("append").parquet(src)
+
+        def run():
+            stream.eta_ordered(spark, src, out, checkpoint=ck, delay="100 seconds", expire_secs=1000).awaitTermination(300)
+
+        first = [("j", 50, 0.2), ("j", 10, 0.1), ("k", 30, 0.5), ("j", 30, 0.15)]  # out of order
+        second = [("k", 60, 0.6), ("j", 40, 0.18), ("j", 400, 0.5), ("x", None, 0.1)]  # 40 comes before the watermark has passed it
+        third = [("j", 45, 0.19), ("k", 700, 0.7)]  # 45 is late: the watermark stands at 300
+        fourth = [("j", 2000, 0.9), ("k", 2100, 0.8)]  # after more than 1000 s: anew
+        fifth = [("z", 9000, 0.1)]
+        for part in (first, second, third, fourth, fifth):
+            land(part)
+            run()
+        late = [(r["name"], r["pct_complete"]) for r in stream.read_eta(spark, out, late=True).collect()]
+        assert sorted(late) == [("j", 0.19), ("x", 0.1)]
+        log = spark.read.schema(stream.LOG_SCHEMA).parquet(src)
+        in_time = log.where("ts is not null and pct_complete not in (0.19) and name <> 'z'")
+        exp = {(r["name"], r["ts"]): r for r in jobs.eta(in_time).collect()}
+        rows = stream.read_eta(spark, out).collect()
+        assert len(rows) == len(exp) == 10
+        for r in rows:
+            e = exp[r["name"], r["ts"]]
+            if r["ts"].minute >= 33:  # 2000 s and later, more than 1000 s after the one before
+                assert r["delta"] is None or r["delta"] != r["delta"]
+                assert r["eta_secs"] is None or r["eta_secs"] != r["eta_secs"]
+            elif e["eta_secs"] is None:
+                assert r["eta_secs"] is None or r["eta_secs"] != r["eta_secs"]
+            else:
+                assert r["eta_secs"] == pytest.approx(e["eta_secs"]) and r["delta"] == pytest.approx(e["delta"])
+    finally:
+        if prev is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, prev)

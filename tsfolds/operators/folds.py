@@ -190,10 +190,20 @@ def n_chunks(df: DataFrame, chunk: str = "chunk") -> int:
     return df.agg(F.max(chunk)).first()[0] + 1
 
 
-def train_test(df: DataFrame, chunk: str = "chunk", k: int | None = None) -> DataFrame:
+def train_test(df: DataFrame, chunk: str = "chunk", k: int | None = None, folds: Sequence[int] | None = None) -> DataFrame:
     """fold f trains on chunks <= f and tests on chunk f+1, for every
-    fold 0..k-2.  Adds ``fold`` and ``role``.  The output has each row once
+    fold 0..k-2, or for those of ``folds`` only.  Adds ``fold`` and ``role``.  The output has each row once
     per fold it belongs to (the expanding window is the operator)."""
+    if folds is not None:
+        wanted = sorted({int(f) for f in folds})
+        if not wanted or wanted[0] < 0 or (k is not None and wanted[-1] > k - 2):
+            raise ValueError(f"folds must be within 0..{'k-2' if k is None else k - 2}")
+        fold = F.col(chunk).cast("int")
+        # the filters on the chunk reach the scan: chunks after the last wanted fold's test chunk are not read
+        tr = df.where(F.col(chunk) <= wanted[-1])
+        tr = tr.withColumn("fold", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda f: f >= fold)))
+        te = df.where(F.col(chunk).isin([f + 1 for f in wanted])).withColumn("fold", fold - 1)
+        return tr.withColumn("role", F.lit("train")).unionByName(te.withColumn("role", F.lit("test")))
     k = k if k is not None else n_chunks(df, chunk)
     tr = df.where(F.col(chunk) <= k - 2)
     tr = tr.withColumn("fold", F.explode(F.sequence(F.col(chunk), F.lit(k - 2)))).withColumn("role", F.lit("train"))
@@ -201,9 +211,15 @@ def train_test(df: DataFrame, chunk: str = "chunk", k: int | None = None) -> Dat
     return tr.unionByName(te)
 
 
-def standardize_train_test(df: DataFrame, cols: Sequence[str], chunk: str = "chunk", k: int | None = None, zero_std=None) -> DataFrame:
-    """z-score both roles of every fold with the train mean / std of the
+def standardize_train_test(df: DataFrame, cols: Sequence[str], chunk: str = "chunk", k: int | None = None, zero_std=None,
+                           folds: Sequence[int] | None = None) -> DataFrame:
+    """z-score both roles of every fold (or of those of ``folds``) with the train mean / std of the
     fold (chunks <= fold), from per-chunk moments merged once."""
+    if folds is not None:
+        st = cumulative_stats(df.where(F.col(chunk) <= max(folds)), cols, chunk).withColumnRenamed(chunk, "fold").select(
+            "fold", *[f"{p}_{c}" for c in cols for p in ("mean", "std")]
+        )
+        return _zscore(train_test(df, chunk, k, folds), st, cols, "fold", zero_std)
     k = k if k is not None else n_chunks(df, chunk)
     st = cumulative_stats(df, cols, chunk).withColumnRenamed(chunk, "fold").select(
         "fold", *[f"{p}_{c}" for c in cols for p in ("mean", "std")]
