@@ -131,3 +131,20 @@ def test_many_siblings_and_empty_tables(spark):
     assert got == {"top": (0, 5000)} | {f"k{i:05d}": (i + 1, i + 1) for i in range(5000)}
     none = frame(spark, [])
     assert jobs.tree_index(none).collect() == jobs.paths(none).collect() == jobs.levels(none).collect() == jobs.descendants(none, "a").collect() == []
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    """Small written tables would be broadcast, a table a round; the nodes are dealt out instead."""
+    plans = []
+
+    def noted(df, real=jobs.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(jobs, "stored", noted)
+    rows = [("n0", None), *[(f"n{i}", f"n{i - 1}") for i in range(1, 20)], ("m", "n3"), ("n9", "n2")]
+    df = frame(spark, rows)
+    for out in (jobs.tree_index(df), jobs.levels(df), jobs.descendants(df, "n0"), jobs.delete_subtree(df, "n5")):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]

@@ -17,6 +17,12 @@ from tsfolds.plans import blocked
 from tsfolds.session import stored
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """An equi-join that deals both sides by the key.  The tables of a round are as large as all nodes, yet their
+    compressed files may look small enough to broadcast, and then every round would send them through the driver."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
 def _doubled(state: DataFrame, merge: dict) -> DataFrame:
     """Pointer doubling.  ``state`` has a row per ``node`` with ``to``, another row's node or NULL at the end of the way, and
     what is known of the way so far; ``merge`` says how a row's columns grow by those (``n_<column>``) of the row it points
@@ -29,7 +35,7 @@ def _doubled(state: DataFrame, merge: dict) -> DataFrame:
         if live.isEmpty():
             break
         ahead = state.select(F.col("node").alias("to"), F.col("to").alias("n_to"), *[F.col(c).alias(f"n_{c}") for c in known])
-        moved = live.join(ahead, "to").select("node", F.col("n_to").alias("to"), *[merge.get(c, F.col(c)).alias(c) for c in known])
+        moved = _join(live, ahead, "to").select("node", F.col("n_to").alias("to"), *[merge.get(c, F.col(c)).alias(c) for c in known])
         # rows at their end do not take part: they would meet under one NULL key
         state = stored(state.where("to is null").select("node", "to", *known).unionByName(moved))
     return state
@@ -69,7 +75,7 @@ def descendants(jobs: DataFrame, root: str, name: str = "name", parent: str = "p
     ups = stored(ups)
     one = ups.where("ups = 1").select(F.col("name").alias("node"), F.col("parent").alias("up"))
     inner = one.select(F.col("node").alias("up"), F.lit(True).alias("inner"))
-    state = one.join(inner, "up", "left").select(
+    state = _join(one, inner, "up", "left").select(
         "node", F.when(F.col("inner"), F.col("up")).alias("to"), F.when(F.col("inner").isNull(), F.col("up")).alias("end"), F.lit(1).alias("level")
     )
     state = _doubled(state, {"end": F.col("n_end"), "level": F.col("level") + F.col("n_level")})
@@ -78,27 +84,27 @@ def descendants(jobs: DataFrame, root: str, name: str = "name", parent: str = "p
     if not several.isEmpty():
         level = level.unionByName(_least_levels(edges, several, state, root))
     level = level.unionByName(edges.sparkSession.createDataFrame([(root, 0)], level.schema))
-    above = edges.join(level.select(F.col("node").alias("parent"), (F.col("level") + 1).alias("level")), "parent")
+    above = _join(edges, level.select(F.col("node").alias("parent"), (F.col("level") + 1).alias("level")), "parent")
     own = level.select(F.col("node").alias("name"), F.col("level").alias("_own"))
     # of a node with several parents, the ones on a shortest way
-    return above.join(own, "name", "left").where("name is null or level = _own").select("name", "parent", "level")
+    return _join(above, own, "name", "left").where("name is null or level = _own").select("name", "parent", "level")
 
 
 def _least_levels(edges: DataFrame, several: DataFrame, state: DataFrame, root: str) -> DataFrame:
     """(node, level) of the nodes with several parents and of those whose way ends at one of them."""
     ways = state.where("to is null").select("node", "end", "level")
-    into = edges.join(several.select(F.col("node").alias("name")), "name", "left_semi")
-    over = into.join(ways.withColumnRenamed("node", "parent"), "parent", "left")
+    into = _join(edges, several.select(F.col("node").alias("name")), "name", "left_semi")
+    over = _join(into, ways.withColumnRenamed("node", "parent"), "parent", "left")
     over = over.select(F.col("name").alias("node"), F.coalesce("end", "parent").alias("up"), (F.coalesce("level", F.lit(0)) + 1).alias("step"))
     over = stored(over.groupBy("node", "up").agg(F.min("step").alias("step")))
     best = stored(over.where(F.col("up") == root).select("node", F.col("step").alias("level")))
     moved = best
     while not moved.isEmpty():
-        found = over.join(moved.select(F.col("node").alias("up"), "level"), "up").groupBy("node").agg(F.min(F.col("step") + F.col("level")).alias("level"))
+        found = _join(over, moved.select(F.col("node").alias("up"), "level"), "up").groupBy("node").agg(F.min(F.col("step") + F.col("level")).alias("level"))
         old = best.withColumnRenamed("level", "_old")
-        moved = stored(found.join(old, "node", "left").where("_old is null or level < _old").select("node", "level"))
+        moved = stored(_join(found, old, "node", "left").where("_old is null or level < _old").select("node", "level"))
         best = stored(best.unionByName(moved).groupBy("node").agg(F.min("level").alias("level")))
-    below = ways.join(best.select(F.col("node").alias("end"), F.col("level").alias("_top")), "end")
+    below = _join(ways, best.select(F.col("node").alias("end"), F.col("level").alias("_top")), "end")
     return best.unionByName(below.select("node", (F.col("level") + F.col("_top")).alias("level")))
 
 
@@ -106,7 +112,7 @@ def delete_subtree(jobs: DataFrame, root: str, name: str = "name", parent: str =
     """The job table without ``root`` and all its descendants."""
     gone = descendants(jobs, root, name, parent).select(F.col("name").alias(name))
     gone = gone.unionByName(jobs.where(F.col(name) == root).select(name)).distinct()
-    return jobs.join(gone, name, "left_anti")
+    return _join(jobs, gone, name, "left_anti")
 
 
 def levels(edges: DataFrame, src: str = "parent", dst: str = "name") -> DataFrame:
@@ -122,31 +128,31 @@ def levels(edges: DataFrame, src: str = "parent", dst: str = "name") -> DataFram
     nodes = stored(nodes.unionByName(edges.where(F.col(src).isNull()).select(F.col(dst).alias("node"))).distinct())
     # open edges: level of dst >= level of src + w; bounds: level of dst >= c
     open_ = stored(e.where("dst is not null").withColumn("w", F.lit(1)))
-    placed = new = stored(nodes.join(open_.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
+    placed = new = stored(_join(nodes, open_.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
     bound = open_.select(F.col("dst").alias("node"), F.lit(0).alias("c")).distinct()
     while not new.isEmpty() and not open_.isEmpty():
-        hit = open_.join(new.select(F.col("node").alias("src"), "level"), "src", "left")
+        hit = _join(open_, new.select(F.col("node").alias("src"), "level"), "src", "left")
         wait = hit.groupBy(F.col("dst").alias("node")).agg(
             F.max(F.col("level") + F.col("w")).alias("_c"),
             F.count(F.when(F.col("level").isNull(), 1)).alias("k"),
             F.max(F.when(F.col("level").isNull(), F.struct("src", "w"))).alias("one"),
         )
-        wait = stored(wait.join(bound, "node", "left").select("node", F.greatest("_c", "c").alias("c"), "k", "one.src", "one.w"))
+        wait = stored(_join(wait, bound, "node", "left").select("node", F.greatest("_c", "c").alias("c"), "k", "one.src", "one.w"))
         chain = wait.where("k = 1").select("node", F.col("src").alias("up"), "c", "w")
         inner = chain.select(F.col("node").alias("up"), F.lit(True).alias("inner"))
-        chain = chain.join(inner, "up", "left").select(
+        chain = _join(chain, inner, "up", "left").select(
             "node", F.when(F.col("inner"), F.col("up")).alias("to"), F.when(F.col("inner").isNull(), F.col("up")).alias("end"), "c", "w"
         )
         grown = {"end": F.col("n_end"), "c": F.greatest("c", F.col("w") + F.coalesce("n_c", F.lit(0))), "w": F.col("w") + F.col("n_w")}
         chain = _doubled(chain, grown)
         done = wait.where("k = 0").select("node", F.col("c").alias("level"))
-        ended = chain.where("to is null").join(done.select(F.col("node").alias("end"), "level"), "end", "left")
+        ended = _join(chain.where("to is null"), done.select(F.col("node").alias("end"), "level"), "end", "left")
         ended = stored(ended.select("node", "end", "c", "w", F.greatest("c", F.col("w") + F.col("level")).alias("_l"), "level"))
         new = stored(done.unionByName(ended.where("level is not null").select("node", F.col("_l").alias("level"))))
         # what still waits: an edge from a chain's node comes from the chain's end instead
-        left = hit.where("level is null").select("src", "dst", "w").join(wait.where("k > 1").select(F.col("node").alias("dst")), "dst", "left_semi")
+        left = _join(hit.where("level is null").select("src", "dst", "w"), wait.where("k > 1").select(F.col("node").alias("dst")), "dst", "left_semi")
         over = ended.where("level is null").select(F.col("node").alias("src"), "end", F.col("c").alias("_c"), F.col("w").alias("_w"))
-        left = stored(left.join(over, "src", "left"))
+        left = stored(_join(left, over, "src", "left"))
         hang = over.select(F.col("end").alias("src"), F.col("src").alias("dst"), F.col("_w").alias("w"))
         more = left.select(F.coalesce("end", "src").alias("src"), "dst", (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"))
         bounds = wait.where("k > 1").select("node", "c").unionByName(over.select(F.col("src").alias("node"), F.col("_c").alias("c")))
@@ -154,7 +160,7 @@ def levels(edges: DataFrame, src: str = "parent", dst: str = "name") -> DataFram
         open_ = stored(more.unionByName(hang).groupBy("src", "dst").agg(F.max("w").alias("w")))
         bound = stored(bounds.groupBy("node").agg(F.max("c").alias("c")))
         placed = stored(placed.unionByName(new))
-    rest = nodes.join(placed.select("node"), "node", "left_anti").where("node is not null")
+    rest = _join(nodes, placed.select("node"), "node", "left_anti").where("node is not null")
     return placed.withColumn("in_cycle", F.lit(False)).unionByName(
         rest.withColumn("level", F.lit(None).cast("int")).withColumn("in_cycle", F.lit(True))
     )
@@ -170,7 +176,7 @@ def _rooted(jobs: DataFrame, name: str, parent: str) -> DataFrame:
     forest = stored(rows.groupBy("node").agg(F.min("up").alias("up")))
     state = forest.select("node", F.col("up").alias("to"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
     state = _doubled(state, {"depth": F.col("depth") + F.col("n_depth")})
-    return stored(forest.join(state.where("to is null").select("node", "depth"), "node"))
+    return stored(_join(forest, state.where("to is null").select("node", "depth"), "node"))
 
 
 def paths(jobs: DataFrame, name: str = "name", parent: str = "parent", sep: str = "/") -> DataFrame:
@@ -199,13 +205,13 @@ def tree_index(jobs: DataFrame, name: str = "name", parent: str = "parent") -> D
     sizes = stored(forest.select("node", F.col("up").alias("to"), F.lit(1).cast("long").alias("size")))
     while not sizes.where("to is not null").isEmpty():
         below = sizes.where("to is not null").groupBy(F.col("to").alias("node")).agg(F.sum("size").alias("_below"))
-        live = sizes.where("to is not null").select("node", "to").join(sizes.select(F.col("node").alias("to"), F.col("to").alias("_next")), "to").select("node", "_next")
-        grown = sizes.select("node", "size").join(below, "node", "left").join(live, "node", "left")
+        live = _join(sizes.where("to is not null").select("node", "to"), sizes.select(F.col("node").alias("to"), F.col("to").alias("_next")), "to").select("node", "_next")
+        grown = _join(_join(sizes.select("node", "size"), below, "node", "left"), live, "node", "left")
         sizes = stored(grown.select("node", F.col("_next").alias("to"), (F.col("size") + F.coalesce("_below", F.lit(0))).alias("size")))
-    placed = _sibling_offsets(forest.join(sizes.select("node", "size"), "node"))
+    placed = _sibling_offsets(_join(forest, sizes.select("node", "size"), "node"))
     state = placed.select("node", F.col("up").alias("to"), F.col("offset").alias("pre"))
     state = _doubled(state, {"pre": F.col("pre") + F.col("n_pre")}).select("node", "pre")
-    out = placed.join(state, "node")
+    out = _join(placed, state, "node")
     return out.select(F.col("node").alias("name"), F.col("up").alias("parent"), "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("post"), "size")
 
 
@@ -218,7 +224,7 @@ def _sibling_offsets(sized: DataFrame) -> DataFrame:
     # a row per part: at most the number of partitions for one parent
     before = Window.partitionBy("up").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("up", "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry"))
-    x = blocked.null_safe_join(part.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))), carry, ["up", "_part"], "left")
+    x = blocked.null_safe_join(part.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))), carry.hint("shuffle_hash"), ["up", "_part"], "left")
     offset = F.col("_in") + F.col("_carry") + F.when(F.col("up").isNotNull(), 1).otherwise(0)
     return stored(x.withColumn("offset", offset).drop("_part", "_in", "_carry"))
 
