@@ -78,6 +78,23 @@ def test_orders_without_a_price_count(spark):
     }
 
 
+def test_walk_forward_computes_its_rows_once(spark):
+    """Fits and scores of all folds read one written table, however many folds there are."""
+    from pyspark.ml.regression import LinearRegression
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    src = spark.createDataFrame([(float(i), 2.0 * i, i // 5) for i in range(20)], "x double, y double, chunk int")
+    got = folds.walk_forward(src.mapInArrow(counted, src.schema), LinearRegression(), ["x"], "y").collect()
+    assert sorted((r.x, r.fold) for r in got) == [(float(i), i // 5 - 1) for i in range(5, 20)]
+    assert seen.value == 20
+
+
 def test_walk_forward_keeps_rows_with_a_missing_feature(spark):
     from pyspark.ml.regression import LinearRegression
 
