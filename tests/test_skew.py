@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tsfolds.operators import features
 from tsfolds.plans import blocked
 
 D0 = dt.date(2000, 1, 1)
@@ -120,3 +121,17 @@ def test_rows_of_one_time_have_one_order(spark):
             for name, v in r.items():
                 u = first[k][name]
                 assert u == v or abs(u - v) < 1e-6, (k, name, u, v)
+
+
+def test_blocks_are_dealt_once(spark):
+    """The windows and the smoothing run over the blocks where they lie: copies of boundary rows and entering states come to them."""
+    rows = [(f"T{i % 7}", dt.date(2020, 1, 1) + dt.timedelta(days=i // 7), float(i * 37 % 101 + 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ticker string, date date, spot double")
+    out = features.rolling_percentile(df, "spot", 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Union")
+    between = plan[plan.index("Window") : plan.index("Union")]
+    assert "Exchange" not in between
+    state = features.panel_state(df, "spot", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in state
+    assert "Exchange" not in state[: state.index("Union")]

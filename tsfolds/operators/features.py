@@ -315,21 +315,21 @@ def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int
 
 def wilder_smooth(
     df: DataFrame, col: str | dict, seed: float | None = None, B: int = DEFAULT_B, by="ticker", order_by="date",
-    step="step", name: str | None = None,
+    step="step", name: str | None = None, dealt: bool = False,
 ) -> DataFrame:
     """``s_t = (v_t + (B-1) s_{t-1}) / B`` from ``seed``, updated only
     while ``step > B`` (``step`` is the 0-based row index of the key).  A NULL
     value is skipped: it leaves the state as it is and its own row is NULL.
 
     One blocked scan of the maps ``s -> (B-1)/B s + v/B`` (``blocked.affine``) for all columns.
-    ``col`` may be a dict ``{name: (column, seed)}``."""
+    ``col`` may be a dict ``{name: (column, seed)}``.  ``dealt`` is that of ``blocked.affine``."""
     specs = col if isinstance(col, dict) else {name or f"{col}_smooth": (col, seed)}
     if B < 1:
         raise ValueError("B must be at least 1")
     by, own = _by(by), list(df.columns)
     update = {n: (F.col(step) > B) & F.col(c).isNotNull() for n, (c, _) in specs.items()}
     scans = {f"_y_{n}": (F.when(update[n], F.lit((B - 1.0) / B)), F.col(c) / F.lit(float(B)), sd) for n, (c, sd) in specs.items()}
-    x = blocked.affine(df, by, order_by, scans)
+    x = blocked.affine(df, by, order_by, scans, dealt=dealt)
     value = {n: F.when(F.col(step) <= B, F.lit(float(sd))).when(update[n], F.col(f"_y_{n}")).alias(n) for n, (_, sd) in specs.items()}
     return x.select(*[c for c in own if c not in specs], *value.values())
 
@@ -402,8 +402,8 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     distances and causal strengths take their defaults (0.5, 50, 1, 1, 0)
     until step > B, after which Hurst and RSI are smoothed recursively (E18).
     ``features`` get a causal strength (E14), ``deltas`` their last change (E15).
-    One exchange for the window family (two chained stages), one for the
-    smoothing."""
+    One exchange for the window family (two chained stages) and the smoothing, which
+    goes on in the same blocks."""
     by = _by(by)
     hs, rs = _hurst_stages(col, B), _rsi_stages(col, B)
     cs = _causal_stages(col, features, B) if features else []
@@ -427,7 +427,7 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
     def second(w):
         return {**hs[1](w), **rs[1](w)}
 
-    x = blocked.rolling(df, by, order_by, B + 1, [first, second, *cs[1:]], with_step="step")
+    x = blocked.rolling(df, by, order_by, B + 1, [first, second, *cs[1:]], with_step="step", dealt=True)
     full = F.col("_full")
     x = x.withColumns(
         {
@@ -438,8 +438,8 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
             **{f"causal_{c}": F.when(full, _causal_value(c, B)).otherwise(F.lit(0.0)) for c in features},
         }
     ).drop(*_hurst_cols(B), "_dx", "_up", "_dn", *(_causal_cols(features, B) if features else []))
-    x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by)
-    return x.drop("_full", "hurst_raw", "rsi_raw")
+    x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by, dealt=True)
+    return x.drop("_full", "hurst_raw", "rsi_raw", "_blk", "_tie")
 
 
 def state_row(state: DataFrame, deviations: DataFrame, trailing: DataFrame, run: str = "run_id", by: str = "ticker", order_by: str = "date") -> DataFrame:

@@ -4,12 +4,11 @@ A plain ``Window.partitionBy("ticker").orderBy("date")`` sends every row of a
 ticker to one task; when one ticker holds a third of a 100 TB panel that task
 never ends.  Here every per-key window is partitioned by ``(key, time block)``:
 
-* **Trailing bounded frames** (lag n, ``rowsBetween(-h, 0)``): the window is
-  evaluated per block, then the first ``h`` rows of each block — the only ones
-  whose frame crosses into an earlier block — are evaluated again on a small
-  side table made of those rows plus a *halo*: the last ``h`` rows before the
-  block (they may come from several earlier blocks when blocks are thin).
-  The halo table is at most ``2h`` rows per block, whatever the skew.
+* **Trailing bounded frames** (lag n, ``rowsBetween(-h, 0)``): a *halo*, copies of
+  the last ``h`` rows before the block (they may come from several earlier blocks
+  when blocks are thin), is dealt to each block beside its own rows, the window is
+  evaluated per block and the copies are dropped.  The halo is at most ``h`` rows
+  per block, whatever the skew.
 * **Unbounded running aggregates** (cumulative sum/max/min/count) are a
   block-local running aggregate plus a carry-over from all earlier blocks,
   taken from a tiny per-block table (one row per key and block) and joined
@@ -65,16 +64,6 @@ def block_expr(df: DataFrame, order: str, width: float) -> Column:
     raise TypeError(f"cannot block on {order}: {dt}")
 
 
-def _block_counts(x: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per (key, block) with the number of rows before the block: a
-    grouped count of the input (map-side combined, no sort of the rows) and
-    a running sum over the small block table."""
-    w = Window.partitionBy(*by).orderBy("_blk")
-    return x.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_n")).select(
-        *by, "_blk", F.coalesce(F.sum("_n").over(w.rowsBetween(_U, -1)), F.lit(0)).alias("_cum")
-    )
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which NULL equals NULL; keeps the left key columns."""
     if not keys:
@@ -119,6 +108,7 @@ def rolling(
     block: float | None = None,
     with_step: str | None = None,
     tie: str | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add the columns ``build(w)`` to ``df``.  Rows of one order value are ordered by the
     column ``tie`` (if given) and a hash of the row.
@@ -128,15 +118,14 @@ def rolling(
     ``build`` may also be a list of stages, each seeing the columns of the
     previous ones; ``halo`` is the total look-back of all stages in rows.
     Results equal those of ``partitionBy(by)``.  ``with_step`` names an
-    optional 0-based row index per key.
-
-    Plan shape: one exchange + sort for the block windows of the whole
-    table; the first ``halo`` rows of every block are recomputed on a side
-    table of boundary rows (heads of each block plus copies of the tails of
-    the ``halo`` blocks before it), partitioned by (key, target block).  The
-    side table is at most 2 * halo * (halo + 1) rows per block.  Extra tail
-    copies from further back are harmless: a trailing frame of at most
-    ``halo`` rows never reaches past the contiguous run of preceding rows.
+    optional 0-based row index per key.  ``dealt`` keeps the columns ``_blk`` and ``_tie``, by which the rows lie
+    dealt and ordered, for a scan that follows (``affine``).
+
+    Plan shape: the rows are dealt to their blocks once and read twice. The first reading finds the
+    boundary rows (the first row and the last ``halo`` rows of each block); over these, numbered per key, every
+    row finds the later blocks that start within ``halo`` rows of it.  It is dealt to these blocks too, beside their own
+    rows, and the second reading evaluates the windows and drops the copies.  Extra copies from further back are harmless: a
+    trailing frame of at most ``halo`` rows never reaches past the contiguous run of preceding rows.
     """
     by = list(by)
     stages = list(build) if isinstance(build, (list, tuple)) else [build]
@@ -145,61 +134,42 @@ def rolling(
     width = block_width(df, block, order)
     if block is None and not isinstance(df.schema[order].dataType, (TimestampType, TimestampNTZType)):
         width = max(width, 16.0 * halo)
-    # equal order values are ordered by a hash of the row: the table is read for the blocks and
-    # again for their boundaries, and both must see one order
+    # equal order values are ordered by a hash of the row: the rows are read for the boundaries and
+    # again for the blocks, and both must see one order
     x = df.withColumn("_blk", block_expr(df, order, width)).withColumn("_tie", F.struct(F.col(tie), tie_break(df)) if tie else tie_break(df))
     cols = x.columns
     keys = by + ["_blk"]
     w = Window.partitionBy(*keys).orderBy(order, "_tie")
-    base, feats = _apply(
-        x, stages, w,
-        [F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n")],
-    )
-    out_cols = [c for c in df.columns] + feats
+    x = x.repartition(*keys)
+    extra = []
+    if with_step is not None:
+        halo = max(halo, 1)  # the row before a block tells how many there are
     if halo > 0:
-        bnd = base.where((F.col("_rn") <= halo) | (F.col("_rn") > F.col("_n") - halo)).select(*cols, "_rn", "_n")
-        # On the boundary table (small): block ordinal, global 1-based index
-        # of each row and first index of each block.
-        wk = Window.partitionBy(*by).orderBy("_blk", "_rn")
-        bnd = bnd.select(
-            "*",
-            F.dense_rank().over(Window.partitionBy(*by).orderBy("_blk")).alias("_ord"),
-            F.sum(F.when(F.col("_rn") == 1, F.col("_n"))).over(wk.rowsBetween(_U, 0)).alias("_cincl"),
-        ).withColumn("_g", F.col("_cincl") - F.col("_n") + F.col("_rn"))
-        # Entries: block-start markers (kind 0), tails (1), heads (2).  A tail
-        # row reaches the later blocks that start within ``halo`` rows of it:
-        # a range-frame count of the markers in (g, g + halo].
-        ent = lambda k, val: F.struct(F.lit(k).alias("k"), val.alias("v"))
-        none = F.array().cast("array<struct<k:int,v:bigint>>")
-        entries = F.concat(
-            F.when(F.col("_rn") == 1, F.array(ent(0, F.col("_g").cast("long")))).otherwise(none),
-            F.when(F.col("_n") - F.col("_rn") < halo, F.array(ent(1, F.col("_g").cast("long")))).otherwise(none),
-            F.when(F.col("_rn") <= halo, F.array(ent(2, F.col("_g").cast("long")))).otherwise(none),
-        )
-        e = bnd.select(*cols, "_rn", "_ord", F.explode(entries).alias("_e")).select(
-            *cols, "_rn", "_ord", F.col("_e.k").alias("_k"), F.col("_e.v").alias("_val")
-        )
-        reach = F.count(F.when(F.col("_k") == 0, F.lit(1))).over(
-            Window.partitionBy(*by).orderBy("_val").rangeBetween(1, halo)
-        )
-        e = e.withColumn("_reach", reach).where(F.col("_k") != 0)
-        tgt = lambda t, h: F.struct(t.alias("t"), F.lit(h).alias("h"))
-        targets = F.when(F.col("_k") == 2, F.array(tgt(F.col("_ord"), False))).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.col("_reach"), F.lit(1))), lambda d: tgt(F.col("_ord") + d, True))
-        )
-        side = e.where((F.col("_k") == 2) | (F.col("_reach") > 0)).select(
-            *cols, "_rn", F.explode(targets).alias("_tg")
-        ).select(*cols, "_rn", F.col("_tg.t").alias("_tord"), F.col("_tg.h").alias("_halo"))
-        w2 = Window.partitionBy(*by, "_tord").orderBy(order, "_tie")
-        fixed, _ = _apply(side, stages, w2)
-        fixed = fixed.where(~F.col("_halo")).select(*cols, "_rn", *feats)
-        res = base.where(F.col("_rn") > halo).select(*cols, "_rn", *feats).unionByName(fixed)
-    else:
-        res = base.select(*cols, "_rn", *feats)
+        back = _halo_rows(x, by, w, halo).repartition(*keys)
+        x = x.withColumn("_before", F.lit(None).cast("long")).unionByName(back)
     if with_step is not None:
-        res = null_safe_join(res, _block_counts(x, by), keys).withColumn(with_step, (F.col("_cum") + F.col("_rn") - 1).cast("long"))
-        out_cols.append(with_step)
-    return res.select(*out_cols)
+        upto = w.rowsBetween(_U, 0)
+        own = F.count(F.when(F.col("_before").isNull(), F.lit(1))).over(upto)
+        extra = [(F.coalesce(F.max("_before").over(upto), F.lit(0)) + own - 1).cast("long").alias("_step")]
+    res, feats = _apply(x, stages, w, extra)
+    if halo > 0:
+        res = res.where(F.col("_before").isNull())
+    out = [F.col(c) for c in (cols if dealt else df.columns)] + [F.col(c) for c in feats]
+    return res.select(*out, *([F.col("_step").alias(with_step)] if with_step is not None else []))
+
+
+def _halo_rows(x: DataFrame, by: Sequence[str], w: WindowSpec, halo: int) -> DataFrame:
+    """Copies of the last ``halo`` rows before each block, with that block as ``_blk`` and their number in the key as ``_before``."""
+    cols = x.columns
+    ends = x.select("*", F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(w.rowsBetween(_U, _F)).alias("_n"))
+    ends = ends.where((F.col("_rn") == 1) | (F.col("_rn") > F.col("_n") - halo))
+    wk = Window.partitionBy(*by).orderBy("_blk", "_rn")
+    start = F.sum(F.when(F.col("_rn") == 1, F.col("_n"))).over(wk.rowsBetween(_U, 0)) - F.col("_n")
+    ends = ends.select(*cols, "_rn", (start + F.col("_rn")).alias("_before"))
+    later = F.collect_list(F.when(F.col("_rn") == 1, F.struct("_before", "_blk"))).over(wk.rowsBetween(1, halo))
+    ends = ends.withColumn("_to", later).withColumn("_to", F.filter("_to", lambda e: e["_before"] <= F.col("_before") + halo))
+    ends = ends.select(*[c for c in cols if c != "_blk"], "_before", F.explode("_to").alias("_to"))
+    return ends.select(*[F.col("_to._blk").alias(c) if c == "_blk" else F.col(c) for c in cols], "_before")
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -330,17 +300,20 @@ PIECE = 300.0  # a piece of a block ends before its gains' logarithms add up to
 
 
 def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tuple[Column | str, Column | str, float]],
-           block: float | None = None) -> DataFrame:
+           block: float | None = None, dealt: bool = False) -> DataFrame:
     """Add recursions ``{name: (m, c, y0)}``: ``y_t = m_t * y_(t-1) + c_t`` from ``y0``, over ``partitionBy(by).orderBy(order)``.
     A NULL in m or c leaves the state as it is.
 
     Maps y -> m y + c compose, so a block is one map.  Inside a block the gain is a running product P and the rest
     P * sum(c / P); a block is cut into pieces at every m = 0 and where the logarithms of the gains add up to ``PIECE``, so P
     neither vanishes nor overflows, whatever the rates.  The maps of the pieces (one row each) are then composed in
-    order as a sorted stream, and each row applies its piece's map to the state that enters it."""
+    order as a sorted stream. The states that enter the pieces are dealt to the pieces' rows, which stay where they are, and each
+    row applies its piece's map to its state.  ``dealt`` takes ``_blk`` and ``_tie`` as ``rolling`` left them."""
     by, names = list(by), list(specs)
-    x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order))).withColumn("_tie", tie_break(df))
     keys = [*by, "_blk"]
+    x = df
+    if not dealt:
+        x = df.withColumn("_blk", block_expr(df, order, block_width(df, block, order))).withColumn("_tie", tie_break(df))
     w = Window.partitionBy(*keys).orderBy(order, "_tie").rowsBetween(_U, 0)
     log, zero = F.lit(0.0), F.lit(False)
     maps = {}
@@ -368,7 +341,11 @@ def affine(df: DataFrame, by: Sequence[str], order: str, specs: Mapping[str, tup
     narrow = x.select(*dict.fromkeys([*keys, order, "_tie", *maps]))
     ends = local(narrow, whole, lambda v: F.row_number().over(v).alias("_rn")).where("_rn = _n").select(*keys, "_pc", *parts)
     entered = _composed(ends, by, parts, [float(y0) for *_, y0 in specs.values()])
-    res = null_safe_join(local(x), entered, [*keys, "_pc"])
+    states = [f"_y{i}" for i in range(len(names))]
+    entered = entered.withColumn("_state", F.lit(True)).repartition(*keys)
+    res = local(x if dealt else x.repartition(*keys)).unionByName(entered, allowMissingColumns=True)
+    piece_rows = Window.partitionBy(*keys, "_pc")
+    res = res.withColumns({y: F.max(y).over(piece_rows) for y in states}).where(F.col("_state").isNull())
     return res.select(*[F.col(c) for c in df.columns], *[(F.col(f"_g{i}") * F.col(f"_y{i}") + F.col(f"_s{i}")).alias(n) for i, n in enumerate(names)])
 
 
