@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsfolds.operators import features
-from tsfolds.plans import blocked
+from tsfolds.plans import blocked, fixtures
 
 D0 = dt.date(2000, 1, 1)
 
@@ -135,3 +135,17 @@ def test_blocks_are_dealt_once(spark):
     state = features.panel_state(df, "spot", 10)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in state
     assert "Exchange" not in state[: state.index("Union")]
+
+
+def test_suppliers_are_grouped_by_key(spark, tmp_path):
+    """The aggregates of the supplier views hold the key, not its text; a row without a supplier has no ticker."""
+    day = dt.datetime(2020, 1, 1)
+    rows = [(k, 2.0, 10.0 + k, "A", "O", day) for k in (1, 1, 12, None)]
+    spark.createDataFrame(
+        rows, "l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("supp_bars", "orders_q", "prices"):
+        x = fixtures.view(spark, str(tmp_path), name)
+        exchange = x._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1].split(")")[0]
+        assert "l_suppkey" in exchange, (name, exchange)
+        assert {r.ticker for r in x.collect()} == {"S1", "S12", None}
