@@ -111,3 +111,23 @@ def test_no_step_orders_all_symbols_and_no_row_is_a_pair(spark):
     table = features.symbol_pairs(df)
     assert "SinglePartition" not in table._jdf.queryExecution().executedPlan().toString()
     assert table.count() == n * (n + 1) // 2
+
+
+def test_rows_are_dealt_once_however_many_tiles(spark):
+    df = spark.createDataFrame(sparse_panel(), SCHEMA)
+    for tile in (1, 64):
+        plan = pairs.rolling_tiles(df, "close", 4, top=2, tile=tile)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+
+
+def test_best_rows_of_a_task_do_not_pile_up():
+    import pyarrow as pa
+
+    best = pairs._Best(2)
+    for k in range(8):
+        n = 1 << 16
+        t = np.arange(n, dtype=np.int32) % 5
+        best.add(pa.RecordBatch.from_arrays([pa.array(t).cast(pa.date32()), pa.array(["A"] * n), pa.array([f"B{k}{i:05d}" for i in range(n)]), pa.array(np.full(n, 0.5 if k != 6 else -0.6))], ["t", "a", "b", "corr"]))
+        assert best.rows <= (1 << 18) + n
+    got = pa.Table.from_batches(list(best.batches())).to_pydict()
+    assert got["b"] == [f"B6{t + 5 * i:05d}" for t in range(5) for i in range(2)] and set(got["corr"]) == {-0.6}

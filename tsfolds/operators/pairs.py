@@ -1,9 +1,11 @@
 """Rolling correlations of all symbol pairs by tiles.
 
-The symbols are dealt to tiles by hash.  A task takes a pair of tiles and streams its rows in date order, a
-block of dates at a time, as two small matrices; the windows of the tiles' symbol pairs are computed there in numpy.  A
-symbol's row goes to as many tasks as there are tiles, so n symbols move n * n / TILE rows a date, and the
-n * n / 2 pairs of a date exist only inside the tasks unless all of them are asked for.  No step orders all symbols.
+Each symbol's series is written once as one row, and the symbols are dealt to tiles by hash: a tile is a row
+too.  The tiles meet in a Cartesian product of two readings of the same shuffled tiles (``shuffle_replicate_nl``), so
+what is shuffled and written grows with the rows and not with the pairs; a task reads a part of each side.  Of each
+pair of tiles it takes a block of dates at a time as two small matrices and computes the windows of the symbol pairs in
+numpy.  The n * n / 2 pairs of a date exist only there unless all are asked for: of the top ones a task
+gives out only its own.  No step orders all symbols.
 """
 
 from __future__ import annotations
@@ -12,49 +14,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tsfolds.operators.features import DEFAULT_B
-from tsfolds.plans import blocked
+from tsfolds.session import ship, stored
 
 TILE = 64
+TILE_ROWS = 1 << 19  # rows of a tile, about
+PART_ROWS = 1 << 21  # rows of a part of the tiles: one of the pair of parts that a task reads
+PARTS = 8  # parts at least, so that a small panel has tasks for the cores
+DATES = 4096  # dates of a block
 DIGITS = 9  # correlations are ranked as rounded to so many digits, so that equal ones tie
 
 
 def rolling_tiles(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker", order_by="date", *, top: int | None = None,
-                  full: bool = False, tile: int = TILE, block: float | None = None) -> DataFrame:
+                  full: bool = False, tile: int = TILE, block: int | None = None) -> DataFrame:
     """(``order_by``, a, b, corr) of every pair a < b of symbols and every date on which both have a value: their
     correlation over their last B+1 common dates, NULL where either side is constant there.
 
     ``full`` leaves out windows of fewer than B+1 dates.  With ``top`` only the pairs of the largest absolute
     correlation of each date are returned (ties by a, b), with ``rank`` from 1; undefined ones do not rank.
     Rows without symbol, date or value (NULL or NaN) are not there; of several values of a symbol and date
-    the largest counts.  One pair of tiles streams through one task: it holds a block of dates and the last B
-    common rows of its pairs, so more symbols mean more tasks, and more dates only a longer stream."""
+    the largest counts.  A task holds the tiles of one part (``PART_ROWS``), a pair of tiles as rows, its matrices for ``block`` dates and
+    the last B common rows of its pairs; a tile has at most about ``tile`` symbols and ``TILE_ROWS`` rows, but
+    never less than one whole series.  The time grows with the pairs, as the job does."""
     x = df.select(F.col(ticker).cast("string").alias("s"), F.col(order_by).alias("t"), F.nanvl(F.col(col).cast("double"), F.lit(None)).alias("v"))
-    x = x.dropna().groupBy("s", "t").agg(F.max("v").alias("v"))
-    n = df.select(F.col(ticker)).distinct().count()
-    tiles = max(1, -(-n // tile))
-    width = max(blocked.block_width(df, block, order_by), 16.0 * B if block is None else 0.0)
-    own = F.pmod(F.xxhash64("s"), F.lit(tiles)).cast("int")
-    x = x.withColumn("blk", blocked.block_expr(x, "t", width)).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_o")
-    x = x.select("s", "t", "v", "blk", "own", other)
-    x = x.select(F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "blk", "own", "s", "t", "v")
-    dealt = x.repartition("i", "j").sortWithinPartitions("i", "j", "blk", "t")
-    kind = x.schema["t"].dataType
+    x = x.dropna().repartition("s").groupBy("s", "t").agg(F.max("v").alias("v"))
+    series = x.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("x")).select("s", "x.t", "x.v")
+    series = stored(series)
+    n, rows = series.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    tiles = max(1, -(-n // tile), -(-rows // TILE_ROWS))
+    parts = min(tiles, max(PARTS, -(-rows // PART_ROWS)))
+    dates = DATES if block is None else max(1, int(block))
+
+    def side(name):
+        own = F.pmod(F.xxhash64("s"), F.lit(tiles)).cast("int").alias(name)
+        dealt = series.select(own, F.struct("s", "t", "v").alias("x")).repartition(parts, name)
+        return dealt.groupBy(name).agg(F.collect_list("x").alias(f"of_{name}"))
+
+    met = side("i").hint("shuffle_replicate_nl").join(side("j"), F.col("i") <= F.col("j"))
+    kind = df.schema[order_by].dataType
     schema = StructType([StructField("t", kind), StructField("a", StringType()), StructField("b", StringType()), StructField("corr", DoubleType())])
 
     def run(batches):
-        for key, parts in _blocks(batches):
-            if parts is None:
-                pairs = _TilePair(key[0] == key[1], key[0], B, full, top)
-            else:
-                yield from pairs.block(pa.Table.from_batches(parts))
+        best = _Best(top)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                i, j = (row.column(row.schema.get_field_index(c))[0].as_py() for c in "ij")
+                pairs = _TilePair(i == j, i, B, full, top)
+                for rows in _blocks(row, i, j, dates):
+                    for found in pairs.block(rows):
+                        if top is None:
+                            yield found
+                        else:
+                            best.add(found)
+        yield from best.batches()
 
-    out = dealt.mapInArrow(run, schema)
+    ship(df.sparkSession)
+    out = met.select("i", "j", "of_i", "of_j").mapInArrow(run, schema)
     if top is not None:
         size = F.round(F.abs("corr"), DIGITS)
         w = Window.partitionBy("t").orderBy(size.desc(), "a", "b")
@@ -62,25 +83,52 @@ def rolling_tiles(df: DataFrame, col="spot", B: int = DEFAULT_B, ticker="ticker"
     return out.withColumnRenamed("t", order_by)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """((i, j), None) at the start of a tile pair, then ((i, j), slices) for each of its blocks."""
-    key, parts = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(ids[lo].tolist())
-            if now != key:
-                if parts:
-                    yield key[:2], parts
-                if key is None or now[:2] != key[:2]:
-                    yield now[:2], None
-                key, parts = now, []
-            parts.append(batch.slice(lo, hi - lo))
-    if parts:
-        yield key[:2], parts
+def _blocks(row: pa.RecordBatch, i: int, j: int, dates: int) -> Iterator[pa.Table]:
+    """The rows (s, t, v, own) of a pair of tiles in date order, ``dates`` dates at a time."""
+    sides = []
+    for own, name in {i: "of_i", j: "of_j"}.items():
+        series = row.column(row.schema.get_field_index(name)).flatten()
+        s, t, v = (series.field(c) for c in "stv")
+        size = t.value_lengths().to_numpy(zero_copy_only=False)
+        whole = pa.array(np.repeat(np.arange(len(s)), size))
+        sides.append(pa.table([s.dictionary_encode().take(whole), t.flatten(), v.flatten(), pa.array(np.full(len(whole), own, np.int32))], ["s", "t", "v", "own"]))
+    rows = pa.concat_tables(sides).unify_dictionaries()
+    rows = rows.take(pc.sort_indices(rows.column("t")))
+    at = rows.column("t").combine_chunks().dictionary_encode()
+    at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).indices.to_numpy()
+    last = int(at[-1]) + 1 if len(at) else 0
+    cuts = np.searchsorted(at, np.arange(0, last + dates, dates))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield rows.slice(lo, hi - lo)
+
+
+class _Best:
+    """The ``top`` rows of every date so far, of all pairs of tiles of a task."""
+
+    def __init__(self, top: int | None):
+        self.top, self.parts, self.kept, self.rows = top, [], 0, 0
+
+    def add(self, found: pa.RecordBatch):
+        self.parts.append(found)
+        self.rows += found.num_rows
+        if self.rows > max(1 << 18, 2 * self.kept):
+            self._reduce()
+
+    def _reduce(self):
+        x = pa.Table.from_batches(self.parts)
+        size = pa.array(-np.round(np.abs(x.column("corr").to_numpy()), DIGITS))
+        x = x.take(pc.sort_indices(x.append_column("size", size), [(c, "ascending") for c in ("t", "size", "a", "b")])).combine_chunks()
+        at = x.column("t").combine_chunks().dictionary_encode()
+        at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).indices.to_numpy()
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        x = x.filter(pa.array(place < self.top))
+        self.parts, self.kept, self.rows = x.to_batches(), x.num_rows, x.num_rows
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._reduce()
+        for part in self.parts:
+            yield from (part.slice(lo, 1 << 16) for lo in range(0, part.num_rows, 1 << 16))
 
 
 class _TilePair:
