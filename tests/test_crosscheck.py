@@ -161,3 +161,22 @@ def test_walk_forward_linear_against_numpy(spark):
         else:
             assert abs(value - (mean[3] + (np.array(f) - mean[:3]) @ beta)) < 1e-6 * abs(value)
     assert folds.walk_forward_linear(df.limit(0), ["a"], "y").collect() == []
+
+
+def test_causal_strength_in_batches_of_odd_values(spark):
+    x = [5.0, 3.0, None, 4.0, 4.0, 9.0, float("nan"), 2.0, 8.0, 1.0, 7.0, 6.0]
+    f = [1.0, 1.0, 2.0, 3.0, None, 4.0, 4.0, 4.0, 4.0, 5.0, 9.0, 8.0]
+    rows = [("T", D0 + dt.timedelta(days=i), a, b, 1.0, float("nan")) for i, (a, b) in enumerate(zip(x, f, strict=True))]
+    df = spark.createDataFrame(rows, "ticker string, date date, spot double, f double, one double, nothing double")
+    out = features.causal_strength(df, "spot", ["f", "one", "nothing"], 2)
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString() and out.columns[:6] == df.columns
+    got = by_ticker(out, "causal_f")["T"]
+    for i in range(len(x)):
+        w, v = x[max(0, i - 2) : i + 1], f[max(0, i - 2) : i + 1]
+        if None in w or None in v or len(set(v)) == 1:
+            assert got[i] == 0.0
+        elif any(a != a for a in w):
+            assert got[i] != got[i]
+        else:
+            assert got[i] == pytest.approx(np.corrcoef(lfilter(w), v)[0, 1], abs=1e-9)
+    assert set(by_ticker(out, "causal_one")["T"]) == {0.0} and set(by_ticker(out, "causal_nothing")["T"]) == {0.0}

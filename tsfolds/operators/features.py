@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,67 +250,73 @@ def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date", max
 
 
 def _causal_stages(spot: str, cols: Sequence[str], B: int):
-    """Stage 1: the lagged values of the frame (``_x0`` the oldest of B+1 rows) and its row count; stage 2: the
-    filtered spot of each row of the frame; stage 3: means.  Rows before the key's first are left out.
+    """Stage 1: the lagged rows of the frame (``_l0`` the oldest of B+1, with the spot as ``x`` and the features as ``c0``, ...)
+    and its row count; stages 2 and 3: the filtered spot of each row of the frame (``_y0``, ...) and its correlations
+    with the features (``_v0``, ..., 0 where undefined).  Rows before the key's first are left out.
 
     The filter y_j = x_j - x_{j-1} + y_{j-1} / 2 from zero state has the impulse response 1, -1/2, -1/4,
     -1/8, ..., so every y is a fixed combination of the lags."""
+    row = F.struct(F.col(spot).cast("double").alias("x"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    names = [f"_y{i}" for i in range(B + 1)] + [f"_v{k}" for k in range(len(cols))]
 
     def lags(w):
-        out = {f"_x{i}": F.lag(spot, B - i).over(w) if i < B else F.col(spot) for i in range(B + 1)}
-        for c in cols:
-            out |= {f"_c{i}_{c}": F.lag(c, B - i).over(w) if i < B else F.col(c) for i in range(B + 1)}
+        out = {f"_l{i}": F.lag(row, B - i).over(w) if i < B else row for i in range(B + 1)}
         return out | {"_rows": F.count(F.lit(1)).over(w.rowsBetween(-B, 0))}
 
-    def there(i):
-        return F.col("_rows") > B - i
+    def evaluated(_):
+        kind = "struct<" + ", ".join(f"{n}: double" for n in names) + ">"
+        return {"_causal": F.arrow_udf(_causal_values(len(cols), B), kind)("_rows", *[f"_l{i}" for i in range(B + 1)])}
 
-    def filtered(_):
-        def y(i):
-            out = F.col(f"_x{i}")
-            for d in range(1, i + 1):
-                out = out - F.when(there(i - d), F.lit(0.5**d) * F.col(f"_x{i - d}")).otherwise(F.lit(0.0))
-            return F.when(there(i), out)
+    return [lags, evaluated, lambda _: {n: F.col(f"_causal.{n}") for n in names}]
 
-        return {f"_y{i}": y(i) for i in range(B + 1)}
 
-    def mean(names):
-        total = None
-        for i, n in enumerate(names):
-            t = F.when(there(i), F.col(n)).otherwise(F.lit(0.0))
-            total = t if total is None else total + t
-        return total / F.col("_rows")
+def _causal_values(n: int, B: int):
+    """Filtered spot and its correlations with ``n`` features, a batch of rows at a time: as expressions of columns these
+    are methods too long to be compiled."""
 
-    def means(_):
-        return {"_my": mean([f"_y{i}" for i in range(B + 1)])} | {f"_m_{c}": mean([f"_c{i}_{c}" for i in range(B + 1)]) for c in cols}
+    def values(rows: pa.Array, *lags: pa.Array) -> pa.Array:
+        there = rows.to_numpy() > np.arange(B, -1, -1)[:, None]
 
-    return [lags, filtered, means]
+        def cells(name):
+            found = [pc.struct_field(x, name) for x in lags]
+            null = np.stack([x.is_null().to_numpy(zero_copy_only=False) for x in found]) & there
+            return np.stack([pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False) for x in found]), null
 
+        def deviations(v):
+            return np.where(there, v - np.where(there, v, 0.0).sum(axis=0) / there.sum(axis=0), 0.0)
 
-def _causal_value(c: str, B: int) -> Column:
-    """Correlation of the filtered spot with a feature over the frame; 0 where it is undefined."""
-    sab = saa = sbb = F.lit(0.0)
-    for i in range(B + 1):
-        there = F.col("_rows") > B - i
-        dy, dc = F.col(f"_y{i}") - F.col("_my"), F.col(f"_c{i}_{c}") - F.col(f"_m_{c}")
-        sab, saa, sbb = (t + F.when(there, v).otherwise(F.lit(0.0)) for t, v in ((sab, dy * dc), (saa, dy * dy), (sbb, dc * dc)))
-    flat = F.greatest(*[F.col(f"_c{i}_{c}") for i in range(B + 1)]) == F.least(*[F.col(f"_c{i}_{c}") for i in range(B + 1)])
-    return F.coalesce(F.when(~flat, F.try_divide(sab, F.sqrt(saa * sbb))), F.lit(0.0))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            x, x_null = cells("x")
+            y = x.copy()
+            for i in range(B + 1):
+                for d in range(1, i + 1):
+                    y[i] -= np.where(there[i - d], 0.5**d * x[i - d], 0.0)
+            y_null = ~there | np.logical_or.accumulate(x_null)
+            out = {f"_y{i}": pa.array(y[i], mask=y_null[i]) for i in range(B + 1)}
+            dy = deviations(y)
+            for k in range(n):
+                c, c_null = cells(f"c{k}")
+                dc = deviations(c)
+                size = np.sqrt((dy * dy).sum(axis=0) * (dc * dc).sum(axis=0))
+                most, least = np.where(there, c, -np.inf).max(axis=0), np.fmin.reduce(np.where(there, c, np.nan))
+                flat = (most == least) | np.isnan(least)
+                undefined = (x_null | c_null).any(axis=0) | flat | (size == 0)
+                out[f"_v{k}"] = pa.array(np.where(undefined, 0.0, (dy * dc).sum(axis=0) / size))
+        return pa.StructArray.from_arrays(list(out.values()), list(out))
 
+    return values
 
-def _causal_cols(cols: Sequence[str], B: int) -> list[str]:
-    out = ["_rows", "_my"]
-    for i in range(B + 1):
-        out += [f"_x{i}", f"_y{i}", *[f"_c{i}_{c}" for c in cols]]
-    return out + [f"_m_{c}" for c in cols]
+
+def _causal_cols(n: int, B: int) -> list[str]:
+    return ["_rows", "_causal", *[f"_{p}{i}" for p in "ly" for i in range(B + 1)], *[f"_v{k}" for k in range(n)]]
 
 
 def causal_strength(df: DataFrame, spot="spot", cols: Sequence[str] = (), B: int = DEFAULT_B, by="ticker", order_by="date") -> DataFrame:
     """Filter the spot window from zero state (restarted in each window),
     then correlate it with each feature's window; undefined (a constant or missing
-    value in the window) -> 0.  Lag columns and plain sums, no arrays."""
+    value in the window) -> 0.  Lagged rows, and sums over them in batches."""
     x = blocked.rolling(df, _by(by), order_by, B, _causal_stages(spot, cols, B))
-    return x.withColumns({f"causal_{c}": _causal_value(c, B) for c in cols}).drop(*_causal_cols(cols, B))
+    return x.withColumns({f"causal_{c}": F.col(f"_v{k}") for k, c in enumerate(cols)}).drop(*_causal_cols(len(cols), B))
 
 
 # --------------------------------------------------------------------------- recursive smoothing
@@ -435,9 +444,9 @@ def panel_state(df: DataFrame, col="spot", B: int = DEFAULT_B, by="ticker", orde
             "dist_min": F.when(full, F.col("dist_min")).otherwise(F.lit(1.0)),
             "hurst_raw": _hurst_value(B),
             "rsi_raw": _rsi_value(),
-            **{f"causal_{c}": F.when(full, _causal_value(c, B)).otherwise(F.lit(0.0)) for c in features},
+            **{f"causal_{c}": F.when(full, F.col(f"_v{k}")).otherwise(F.lit(0.0)) for k, c in enumerate(features)},
         }
-    ).drop(*_hurst_cols(B), "_dx", "_up", "_dn", *(_causal_cols(features, B) if features else []))
+    ).drop(*_hurst_cols(B), "_dx", "_up", "_dn", *(_causal_cols(len(features), B) if features else []))
     x = wilder_smooth(x, {"hurst": ("hurst_raw", HURST_SEED), "rsi": ("rsi_raw", RSI_SEED)}, B=B, by=by, order_by=order_by, dealt=True)
     return x.drop("_full", "hurst_raw", "rsi_raw", "_blk", "_tie")
 
