@@ -72,3 +72,22 @@ def test_viterbi_fold_of_a_unigram_table(spark):
         for r in pieces.encode_words(df, vocabulary, long=long).collect():
             want = [i for p in best(r.word) for i in ([ids[p]] if p in ids else p.encode())]
             assert [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)] == want
+
+
+def test_lattice_fold_equals_merging_one_by_one():
+    rnd = random.Random(9)
+    for kind in (pieces.BPE, pieces.UNIGRAM):
+        for turn in range(30):
+            table = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 6))) for _ in range(40)] + ["a", "b"][: turn % 3]
+            rows = [(p, 300 + i, -float(rnd.randrange(8) if kind == pieces.BPE else rnd.random())) for i, p in enumerate(dict.fromkeys(table))]
+            vocabulary = pieces.Vocabulary(kind, rows, list(range(256)), [])
+            words = ["".join(rnd.choice("abcé😀"[: 3 + 2 * (turn % 2)]) for _ in range(rnd.randrange(1, 30))) for _ in range(50)]
+            ids = pieces._long_word(vocabulary)
+            assert pieces._Lattice(vocabulary).encoded(words) == [b"".join(i.to_bytes(4, "little") for i in ids(w)) for w in words]
+    assert pieces._Lattice(vocabulary).encoded([]) == []
+
+
+def test_no_row_is_a_substring(spark, vocabulary):
+    words = spark.createDataFrame([("▁lattice", 3)], "word string, n long")
+    plan = pieces.encode_words(words, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan

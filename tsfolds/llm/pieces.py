@@ -3,12 +3,11 @@
 1. A text becomes words: spaces turn into the piece mark, and since no piece holds a mark after another
    character, a word (marks and what follows them) is encoded by itself.  Words are made distinct
    over the corpus and partitioned by word.
-2. Lattice: each word's substrings of at most the longest piece's length are exploded and equi-joined to
-   the piece table (a vocabulary: its size does not grow with the data).  The edges of a word are
-   grouped; words were partitioned by word already, so the edges are not shuffled.
-3. Fold: the edges of a word are folded with the higher-order ``aggregate``.  For a unigram model the
-   fold is Viterbi over positions.  A byte-pair model's own encoding is not a best path of piece scores,
-   so there the fold applies merges in the order of their ranks, as the model defines.
+2. Lattice: the places of a batch of words walk a trie of the pieces together (the vocabulary goes to
+   every task: its size does not grow with the data); an edge is a piece in a word.
+3. Fold, for all words of a batch together.  For a unigram model it is Viterbi over positions.  A byte-pair
+   model's own encoding is not a best path of piece scores, so there the words merge neighbours, each its
+   best first, as the model defines.
 4. Ids return to the texts: words frequent enough (at most ``HOT``) as a dictionary of bounded size, all
    others by a join on the word.
 
@@ -34,8 +33,9 @@ MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 HOT = 200_000  # words in the dictionary that goes to all tasks, at most
-LONG = 48  # characters; longer words are merged by a heap in Python instead of the quadratic fold
+LONG = 48  # characters; longer words are merged by a heap in Python: the fold takes a turn a merge
 NO_ID = -(1 << 63)
+SINGLE = 1 << 30  # numbers of characters without a piece start here
 UNKNOWN = -100.0  # score of a character without a piece in a unigram model
 
 
@@ -85,137 +85,138 @@ def _escaped(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise("")
 
 
-def _edges(words: DataFrame, vocabulary: Vocabulary, long: int) -> DataFrame:
-    """(word, count, n, edges): n characters (``long`` at most); edges are (rank, from, to, id, score, late) of the
-    pieces in the word.  Longer words get no lattice: they keep a row for what comes after."""
-    rows = sorted(vocabulary.rows, key=lambda r: (-r[2], r[1]))
-    ranked, last = [], None
-    for p, i, score in rows:
-        rank = ranked[-1][2] if last == score else len(ranked)  # equal scores have equal ranks
-        ranked.append((p, i, rank, score))
-        last = score
-    late = _late({p: rank for p, _, rank, _ in ranked})
-    pieces = words.sparkSession.createDataFrame([(*r, late.get(r[0], [])) for r in ranked], "piece string, id int, rank int, score double, late array<int>")
-    n = F.least(F.length("word"), F.lit(long))
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - s)),
-                lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("piece")),
-            ),
-        )
-    )
-    first = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"), F.substring("word", 1, 1).alias("piece")))
-    spans = F.when(F.length("word") <= long, spans).otherwise(first)
-    spread = words.select("word", "count", F.explode(spans).alias("x")).select("word", "count", "x.s", "x.e", "x.piece")
-    found = spread.join(F.broadcast(pieces), "piece", "left").where("id is not null or e - s = 1")  # the vocabulary
-    edge = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "s", "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"), F.coalesce("late", F.array().cast("array<int>")).alias("late"))
-    return found.groupBy("word", "count").agg(F.collect_list(edge).alias("edges")).withColumn("n", n)
-
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
-
-
-def _merged(folded: DataFrame) -> DataFrame:
-    """``borders`` of the symbols that are left when merges are applied by rank, leftmost first, while any applies.
-
-    Borders are the bits of a number.  One pass over the edges by (rank, start) applies each merge whose ends are
-    borders with one border between.  That is the model's order, unless a merge could only apply after one
-    of a worse rank had made its parts: words for which such an edge was left out are folded again, merge by merge.
-    Each step is a column of its own: an expression inside a lambda would be computed for every element."""
-    n = F.col("n")
-
-    def row(x):
-        ends = _bit(x["s"]).bitwiseOR(_bit(x["e"]))
-        between = _bit(x["e"]) - _bit(x["s"] + 1)
-        code = x["s"] * 64 + x["e"]
-        return F.struct(x["rank"], x["s"], x["e"], ends.alias("ends"), between.alias("between"), code.alias("code"), x["late"])
-
-    def applies(borders, x):
-        inner = borders.bitwiseAND(x["between"])
-        one = (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
-        return (borders.bitwiseAND(x["ends"]) == x["ends"]) & one
-
-    def once(state, x):
-        borders = state["borders"]
-        made = F.concat(state["made"], F.array(x["code"]))
-        merged = F.struct(borders.bitwiseXOR(borders.bitwiseAND(x["between"])).alias("borders"), made.alias("made"))
-        return F.when(applies(borders, x), merged).otherwise(state)
-
-    def step(borders, _):
-        best = F.get(F.filter("ranked", lambda x: applies(borders, x)), F.lit(0))
-        return F.when(best.isNull(), borders).otherwise(borders.bitwiseXOR(borders.bitwiseAND(best["between"])))
-
-    def missed(x):
-        made = F.col("made")
-
-        def was(s, e):
-            return (e - s == 1) | F.array_contains(made, s * 64 + e)
-
-        late = F.exists(x["late"], lambda m: was(x["s"], x["s"] + m) & was(x["s"] + m, x["e"]))
-        return (F.size(x["late"]) > 0) & ~F.array_contains(made, x["code"]) & late
-
-    ranked = F.array_sort(F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), row))
-    start = F.struct((_bit(n + 1) - 1).alias("borders"), F.array().cast("array<int>").alias("made"))
-    turns = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    own = folded.columns
-    x = folded.withColumn("ranked", ranked).withColumn("state", F.aggregate("ranked", start, once))
-    x = x.select(*own, "ranked", "state.borders", "state.made")
-    again = F.exists("ranked", missed)
-    mask = F.when(again, F.aggregate(turns, _bit(n + 1) - 1, step)).otherwise(F.col("borders"))
-    x = x.select(*own, "borders", mask.alias("mask"))
-    return x.select(*own, "mask", F.filter(F.sequence(F.lit(0), n), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0).alias("borders"))
-
-
-def _late(pieces: dict[str, int]) -> dict[str, list[int]]:
-    """Splits of a piece whose parts are pieces too, one of them with a worse rank than the piece itself."""
-    out = {}
-    for p, rank in pieces.items():
-        at = []
-        for m in range(1, len(p)):
-            parts = [x for x in (p[:m], p[m:]) if len(x) > 1]
-            if all(x in pieces for x in parts) and any(pieces[x] >= rank for x in parts):
-                at.append(m)
-        if at:
-            out[p] = at
-    return out
-
-
-def _viterbi(edges: Column, n: Column) -> Column:
-    """For each position, the greatest sum of scores of a path to it and where its last piece starts (ties: the later)."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s")))
-
-    def step(best, end):
-        into = F.transform(F.filter(edges, lambda x: x["e"] == end), lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s")))
-        return F.concat(best, F.array(F.array_max(into)))
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, step)
-
-
-def _path(best: Column, n: Column) -> Column:
-    """Borders of the best path, read backwards."""
-
-    def back(borders, _):
-        return F.when(borders[0] > 0, F.concat(F.array(F.get(best, borders[0])["s"]), borders)).otherwise(borders)
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
-
-
-def _ids(borders: Column, edges: Column, vocabulary: Vocabulary) -> Column:
-    """Ids of the symbols between borders; a character without a piece gives its bytes' ids."""
-    table = F.array(*[F.lit(i) for i in vocabulary.bytes_])
-
-    def symbol(s, i):
-        e = F.get(borders, i + 1)
-        found = F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e))[0]["id"]
-        hexed = F.hex(F.encode(F.substring(F.col("word"), s + 1, F.lit(1)), "utf-8"))
-        as_bytes = F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda k: F.get(table, F.conv(F.substring(hexed, k, F.lit(2)), 16, 10).cast("int")))
-        return F.when(found >= 0, F.array(found)).otherwise(as_bytes)
-
-    starts = F.slice(borders, F.lit(1), F.size(borders) - 1)
-    return F.flatten(F.transform(starts, symbol))
+class _Lattice:
+    """The vocabulary as sorted arrays: a trie of its pieces, and the piece that two neighbours make.
+
+    Symbols are numbers: a piece by its place in ``vocabulary.rows``, a character without a piece by ``SINGLE`` and its code point."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pieces = [p for p, _, _ in vocabulary.rows]
+        number = {p: k for k, p in enumerate(pieces)}
+        self.kind, self.longest = vocabulary.kind, vocabulary.longest
+        self.ids = np.array([i for _, i, _ in vocabulary.rows], np.int64)
+        self.scores = np.array([x for _, _, x in vocabulary.rows], float)
+        nodes, ends = {"": 0}, {}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+            ends[nodes[p]] = number[p]
+        self.ends = np.full(len(nodes), -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+        steps = sorted(((nodes[p[:-1]] << 21) | ord(p[-1]), k) for p, k in nodes.items() if p)
+        self.step_keys, self.step_to = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+
+        def symbol(x):
+            return number.get(x, SINGLE + ord(x) if len(x) == 1 else -1)
+
+        made = sorted(((symbol(p[:m]) << 32) | symbol(p[m:]), k) for p, k in number.items() for m in range(1, len(p)) if min(symbol(p[:m]), symbol(p[m:])) >= 0)
+        self.pair_keys, self.pair_to = (np.array(x, np.int64) for x in zip(*made, strict=True)) if made else (np.empty(0, np.int64),) * 2
+        self.bytes_ = np.array(vocabulary.bytes_, np.int64)
+
+    @staticmethod
+    def _look(keys, to, wanted):
+        """The value of each wanted key, -1 where there is none."""
+        if not len(keys):
+            return np.full(len(wanted), -1, np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, to[at], -1)
+
+    def edges(self, code: np.ndarray, left: np.ndarray):
+        """(from, to, piece) of every piece in the words: ``code`` are their characters one after the other, ``left`` counts
+        those from a place to its word's end.  All places walk the trie together and stop where no piece goes on."""
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for k in range(self.longest):
+            on = left[at] > k
+            at, node = at[on], node[on]
+            node = self._look(self.step_keys, self.step_to, (node << 21) | code[at + k])
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                return
+            piece = self.ends[node]
+            yield at[piece >= 0], at[piece >= 0] + k + 1, piece[piece >= 0]
+
+    def fold(self, code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, word) of each word's encoding, in order."""
+        word = np.repeat(np.arange(len(size)), size)
+        start = np.cumsum(size) - size
+        sym = SINGLE + code
+        for s, e, piece in self.edges(code, (start + size)[word] - np.arange(len(code))):
+            one = e - s == 1
+            sym[s[one]] = piece[one]
+        return (self._viterbi if self.kind == UNIGRAM else self._merges)(code, size, word, start, sym)
+
+    def _merges(self, code, size, word, start, sym):
+        """Every word merges its neighbours of the best score, the leftmost of equal ones, until none makes a piece: the words
+        take their turns together, and words without a merge are done."""
+        done, live = [], np.arange(len(size))
+        while len(sym):
+            near = np.flatnonzero(word[1:] == word[:-1])
+            made = self._look(self.pair_keys, self.pair_to, (sym[near] << 32) | sym[near + 1])
+            near, made = near[made >= 0], made[made >= 0]
+            by = np.lexsort((near, -self.scores[made], word[near]))
+            near, made = near[by], made[by]
+            first = np.ones(len(near), bool)
+            first[1:] = word[near][1:] != word[near][:-1]
+            near, made = near[first], made[first]
+            going = np.zeros(len(size), bool)
+            going[word[near]] = True
+            sym[near] = made
+            keep = np.ones(len(sym), bool)
+            keep[near + 1] = False
+            out = ~going[word]
+            done.append((sym[out], word[out]))
+            sym, word = sym[keep & ~out], word[keep & ~out]
+        if not done:
+            return sym, word
+        sym, word = (np.concatenate(x) for x in zip(*done, strict=True))
+        by = np.argsort(word, kind="stable")
+        return sym[by], word[by]
+
+    def _viterbi(self, code, size, word, start, sym):
+        """The path of the greatest sum of scores through each word's edges (ties: the last piece that starts later)."""
+        n = len(code)
+        s, e, p = (np.concatenate(x) for x in zip((np.empty(0, int),) * 3, *self.edges(code, (start + size)[word] - np.arange(n)), strict=True))
+        alone = np.flatnonzero(sym >= SINGLE)
+        s, e, p = np.concatenate([s, alone]), np.concatenate([e, alone + 1]), np.concatenate([p, sym[alone]])
+        score = np.full(len(p), UNKNOWN)
+        score[p < SINGLE] = self.scores[p[p < SINGLE]]
+        best, back, last = np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, np.int64)
+        reach = e - start[word[s]]
+        reached = np.zeros(n + 1)  # the best sum to the place, by its last character
+        for k in range(1, int(size.max(initial=0)) + 1):
+            x = np.flatnonzero(reach == k)
+            into = np.where(s[x] == start[word[s[x]]], 0.0, reached[s[x] - 1]) + score[x]
+            by = np.lexsort((s[x], into, e[x]))
+            x, into = x[by], into[by]
+            top = np.ones(len(x), bool)
+            top[:-1] = e[x][1:] != e[x][:-1]
+            at = e[x[top]] - 1
+            reached[at], back[at], last[at] = into[top], s[x[top]], p[x[top]]
+        found, at = [], (start + size - 1)[size > 0]
+        while len(at):
+            found.append((back[at], last[at]))
+            at = back[at][back[at] > start[word[at]]] - 1
+        if not found:
+            return sym[:0], word[:0]
+        at, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(at)
+        return p[by], word[at[by]]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words; a character without a piece gives its bytes' ids."""
+        size = np.array([len(w) for w in words], np.int64)
+        code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        sym, word = self.fold(code, size)
+        known = sym < SINGLE
+        width, ids = np.ones(len(sym), np.int64), np.empty(len(sym), np.int64)
+        ids[known] = self.ids[sym[known]]
+        raw = [chr(c).encode() for c in (sym[~known] - SINGLE).tolist()]
+        width[~known] = [len(b) for b in raw]
+        flat = np.repeat(ids, width)
+        flat[np.repeat(~known, width)] = self.bytes_[np.frombuffer(b"".join(raw), np.uint8)]
+        body = flat.astype("<i4").tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(word, width, len(words)).astype(np.int64))]) * 4
+        return [body[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def _long_word(vocabulary: Vocabulary):
@@ -275,14 +276,16 @@ def _long_word(vocabulary: Vocabulary):
     return run
 
 
-def _as_bytes(vocabulary: Vocabulary):
-    """Ids packed; words without (the long ones) are encoded here."""
+def _coded(vocabulary: Vocabulary, long: int):
+    """Ids packed; long words one by one."""
 
     def run(it):
-        ids = _long_word(vocabulary)
+        lattice, ids = _Lattice(vocabulary), _long_word(vocabulary)
         for b in it:
-            rows = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
-            out = [np.array(x if x is not None else ids(w), "<i4").tobytes() for w, x in rows]
+            words = b.column(0).to_pylist()
+            short = lattice.encoded([w for w in words if len(w) <= long])
+            one = iter(short)
+            out = [next(one) if len(w) <= long else np.array(ids(w), "<i4").tobytes() for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["word", "n", "ids"])
 
     return run
@@ -292,14 +295,8 @@ _CODED = "word string, n long, ids binary"
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary, long: int = LONG) -> DataFrame:
-    """(word, n, ids as little-endian 32-bit integers) for distinct words (word, n), partitioned by word."""
-    folded = _edges(words.select("word", F.col("n").cast("long").alias("count")), vocabulary, long)
-    if vocabulary.kind == UNIGRAM:
-        folded = folded.withColumn("best", _viterbi(F.col("edges"), F.col("n"))).withColumn("borders", _path(F.col("best"), F.col("n")))
-    else:
-        folded = _merged(folded)
-    ids = F.when(F.length("word") <= long, _ids(F.col("borders"), F.col("edges"), vocabulary))
-    return folded.select("word", "count", ids.alias("ids")).transform(tx.arrow, _as_bytes(vocabulary), _CODED)
+    """(word, n, ids as little-endian 32-bit integers) for distinct words (word, n), as they are partitioned."""
+    return words.select("word", F.col("n").cast("long").alias("n")).transform(tx.arrow, _coded(vocabulary, long), _CODED)
 
 
 def _text_words(text: str | None) -> list[str]:
