@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -91,3 +92,40 @@ def test_no_row_is_a_substring(spark, vocabulary):
     words = spark.createDataFrame([("▁lattice", 3)], "word string, n long")
     plan = pieces.encode_words(words, vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_no_row_of_a_word_goes_to_its_text(spark, vocabulary):
+    """Texts are not shuffled, nor rows for the words in them: words without a place in the dictionary are encoded where they stand."""
+    df = spark.createDataFrame([(1, "some words, some rare"), (2, None)], "doc_id long, text string")
+    for hot in (0, 10):
+        plan = pieces.encode(df, vocabulary, hot=hot)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_words_of_a_slice_are_those_of_the_pattern():
+    rnd = random.Random(10)
+    texts = ["", None, "\n", " ", "▁", "\n\n ▁ a", "a▁▁b \n", *("".join(rnd.choice("ab ▁\né😀") for _ in range(rnd.randrange(12))) for _ in range(300))]
+    code, start, first = pieces._text_words(texts)
+    words = ["".join(map(chr, code[i:j])) for i, j in zip(start, start[1:])]
+    want = [re.findall(pieces._WORDS, pieces.MARK + t.replace(" ", pieces.MARK)) if t else [] for t in texts]
+    assert [words[i:j] for i, j in zip(first, first[1:])] == want
+    assert pieces._text_words([None, ""])[2].tolist() == [0, 0, 0]
+
+
+def test_slices_smaller_than_a_text_and_long_words_between(spark, vocabulary, library, monkeypatch):
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choice("etaoin é") for _ in range(rnd.choice([3, 9, 70]))) for _ in range(20)) for _ in range(12)]
+    monkeypatch.setattr(pieces, "PLACES", 64)
+    coder = pieces._Coder(vocabulary, pieces.LONG)
+    code, start, _ = pieces._text_words(texts)
+    flat, n = coder.encoded(code, start[1:] - start[:-1])
+    assert flat.tolist() == [i for t in texts for i in library.encode(t)] and n.sum() == len(flat)
+    assert coder.encoded(code[:0], start[:0])[0].tolist() == []
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id string, text string")
+    assert {r.doc_id: r.ids for r in pieces.encode(df, vocabulary, hot=7).collect()} == {str(i): library.encode(t) for i, t in enumerate(texts)}
+
+
+def test_decode_of_null_ids_and_broken_bytes(spark, vocabulary):
+    rows = [(1, None), (2, []), (3, [vocabulary.bytes_[0xC3]]), (4, [vocabulary.bytes_[0xC3], vocabulary.bytes_[0xA9]]), (5, [vocabulary.bytes_[0x20]] * 2)]
+    df = spark.createDataFrame(rows, "d long, ids array<int>").coalesce(1)
+    assert {r.d: r.decoded for r in pieces.decode(df, vocabulary).collect()} == {1: None, 2: "", 3: "\ufffd", 4: "é", 5: " "}

@@ -113,14 +113,20 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, off, starts, ends, first, doc)
 
 
+def runs(off: np.ndarray, limit: int):
+    """(from, to) of runs of rows, ``off`` long in all, that hold at most ``limit`` each (or one row)."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1), n)
+        yield i, j
+        i = j
+
+
 def slices(batch: pa.RecordBatch, col: str, limit: int = SLICE_BYTES):
     """Cut a batch so that each part holds at most ``limit`` bytes of ``col`` (or one row)."""
     _, off = buffers(batch.column(batch.schema.get_field_index(col)))
-    i, n = 0, batch.num_rows
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        yield batch.slice(i, min(j, n) - i)
-        i = j
+    for i, j in runs(off, limit):
+        yield batch.slice(i, j - i)
 
 
 def packed(it):
