@@ -391,6 +391,7 @@ def _assembled(vocabulary: Vocabulary, hot: pa.Table):
                 flat = np.frombuffer(ids.buffers()[2] or b"", "<i4")[: end[-1]]
                 ids = pa.ListArray.from_arrays(pa.array(end[text], pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
+                pa.default_memory_pool().release_unused()  # the worker waits for the next step with what it does not give back
 
     return run
 
@@ -453,6 +454,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, name: str = "decoded") -> Data
                 b = batch.slice(i, j - i)
                 out = text(b.column(b.schema.get_field_index("ids")))
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in own], out], [*own, name])
+                pa.default_memory_pool().release_unused()
 
     df = df.select(*own)
     return df.transform(tx.arrow, run, tx.extended(df.schema, **{name: "string"}))
