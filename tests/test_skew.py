@@ -2,6 +2,7 @@
 ticker over many tasks, while a plain per-ticker window holds it in one."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -149,3 +150,67 @@ def test_suppliers_are_grouped_by_key(spark, tmp_path):
         exchange = x._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1].split(")")[0]
         assert "l_suppkey" in exchange, (name, exchange)
         assert {r.ticker for r in x.collect()} == {"S1", "S12", None}
+
+
+def _structure_exponent(x, max_lag):
+    """The definition, row by row; a missing value takes its pairs with it."""
+    taus, lag = [], min(len(x) // 2, max_lag)
+    while lag > 2:
+        pairs = [(x[j], x[j + lag]) for j in range(len(x) - lag)]
+        squares = [(b - a) ** 2 for a, b in pairs if a is not None and b is not None]
+        levels = [a for a, _ in pairs if a is not None]
+        taus.append((lag, math.sqrt(sum(squares) / len(squares) / (sum(levels) / len(levels)))))
+        lag //= 2
+    if len(taus) < 2:
+        return None
+    (hi, a), (lo, b) = taus[0], taus[-1]
+    return (math.log10(a) - math.log10(b)) / (math.log10(hi) - math.log10(lo))
+
+
+def test_structure_exponent_against_a_loop(spark):
+    """Series of every length around the lags, in thin, thick and mixed blocks, with missing values, times and keys."""
+    import random
+
+    rng = random.Random(4)
+    times = {
+        **{f"n{n}": range(n) for n in (1, 5, 6, 12, 15, 16, 17, 18, 33)},
+        "thick": range(1500), "thin": range(0, 90_000, 60), "cut": range(120, 137), "gaps": [t for t in range(4000) if t // 500 % 2],
+        "thin, thick": [*range(0, 3000, 70), *range(3000, 3700)], "thick, thin": [*range(700), *range(1000, 9000, 70), *range(9000, 9300)],
+    }
+    series = {k: [(t, None if rng.random() < 0.1 and k != "n6" else 50 + 40 * rng.random()) for t in ts] for k, ts in times.items()}
+    series["untimed"] = [(None, 70.0), *series["thick"][:200]]
+    rows = [(k, len(k), t, v) for k, s in series.items() for t, v in s]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, (None, 1, 1, 2.0), ("thin", None, 1, 2.0)], "k string, size int, t long, v double")
+    want = {(k, len(k)): _structure_exponent([v for _, v in s], 8) for k, s in series.items()} | {(None, 1): None, ("thin", None): None}
+    assert sum(v is None for v in want.values()) < len(want) / 2
+    by_day = df.withColumn("t", F.timestamp_seconds(F.col("t") * 720))  # 120 to a block
+    for x, width in ((df, 1), (df, 1000), (df.repartition(9), 10**6), (by_day, 1)):
+        spark.conf.set(blocked.BLOCK_CONF, str(width))
+        try:
+            got = {(r.k, r.size): r.hurst_structure for r in features.hurst_structure(x, "v", ["k", "size"], "t", 8).collect()}
+        finally:
+            spark.conf.unset(blocked.BLOCK_CONF)
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert (got[k] is None) if v is None else abs(got[k] - v) < 1e-9, (k, got[k], v)
+
+
+def test_structure_exponent_deals_its_rows_once(spark):
+    """The rows are read and dealt once, whatever the number of lags: no pair of rows is a row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"T{i % 3}", D0 + dt.timedelta(days=i // 3), float(i * 37 % 101 + 1)) for i in range(3000)]
+    src = spark.createDataFrame(rows, "ticker string, date date, spot double")
+    out = features.hurst_structure(src.mapInArrow(counted, src.schema))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2
+    got = {r.ticker: r.hurst_structure for r in out.collect()}
+    assert seen.value == 3000
+    for k, v in got.items():
+        assert abs(v - _structure_exponent([x for t, _, x in rows if t == k], 300)) < 1e-9

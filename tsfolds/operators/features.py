@@ -10,15 +10,20 @@ Frames are row based: on a gappy ticker a B-row frame spans more dates
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tsfolds.functions import corr_pop, log_lags, ols_weights, safe_div, safe_ln
+from tsfolds.operators import lagged
 from tsfolds.plans import blocked
+from tsfolds.session import ship
 
 DEFAULT_B = 10
 # Fixed defaults of the reference's state frame before the buffer is full.
@@ -219,34 +224,33 @@ def hurst_structure(df: DataFrame, col="spot", by="ticker", order_by="date", max
     Lags start at L0 = min(n // 2, max_lag) and are halved (integer) while > 2;
     for each lag, tau_L = sqrt(mean((x[j+L] - x[j])^2) / mean(x[j])) over
     j < n - L; H = end-point slope of log10 tau on log10 L (first and last
-    lag).  The lagged differences come from an equi-join on (key, row index
-    + L), then one grouped aggregate per (key, lag): no group holds a whole
-    series."""
+    lag).  The rows are dealt once, to the time blocks of their keys, and folded
+    there in order (``lagged``): a block of fewer than 2 max_lag rows gives its
+    values, any other the sums of its pairs and its first and last max_lag values.
+    Each key's blocks are folded the same way: no pair of rows is shuffled and no
+    group holds a whole series."""
     by = _by(by)
-    idx = blocked.rolling(df.select(*by, order_by, col), by, order_by, 0, lambda w: {}, with_step="_i")
-    n = idx.groupBy(*by).agg(F.count(F.lit(1)).alias("_len"))
-    l0 = F.least(F.floor(F.col("_len") / 2), F.lit(max_lag)).cast("long")
-    lags = n.select(
-        *by,
-        F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.floor(l0 / F.pow(F.lit(2), k)).cast("long")), lambda L: L > 2)).alias("_L"),
-    )
-    b = idx.select(*[F.col(k).alias("_b_" + k) for k in by], F.col("_i").alias("_bi"), F.col(col).alias("_bx"))
-    pairs = idx.join(lags, by).join(
-        b, [F.col(k) == F.col("_b_" + k) for k in by] + [F.col("_bi") == F.col("_i") + F.col("_L")]
-    )
-    tau = pairs.groupBy(*by, "_L").agg(
-        F.sqrt(safe_div(F.avg(F.pow(F.col("_bx") - F.col(col), 2)), F.avg(col))).alias("_tau")
-    )
-    ends = tau.groupBy(*by).agg(
-        F.max_by("_tau", "_L").alias("_tau_hi"), F.max("_L").alias("_L_hi"),
-        F.min_by("_tau", "_L").alias("_tau_lo"), F.min("_L").alias("_L_lo"),
-    )
-    value = safe_div(
-        F.log10(F.col("_tau_hi")) - F.log10(F.col("_tau_lo")),
-        F.log10(F.col("_L_hi")) - F.log10(F.col("_L_lo")),
-    )
-    # a series too short for a lag keeps its row, with NULL
-    return blocked.null_safe_join(n, ends, by, "left").select(*by, value.alias("hurst_structure"))
+    timed = isinstance(df.schema[order_by].dataType, (TimestampType, TimestampNTZType))
+    width = blocked.block_width(df, order=order_by)
+    block = blocked.block_expr(df, order_by, width if timed else max(width, 16.0 * max_lag))
+    x = df.select(*by, order_by, col)
+    w = Window.partitionBy(*by, "_blk").orderBy(order_by, blocked.tie_break(x))
+    x = x.repartition(*by, block).withColumn("_blk", block)
+    x = x.select(*by, "_blk", F.col(col).cast("double").alias("_x"), F.row_number().over(w).alias("_rn"))
+    keys, of_block = x.schema.fields[: len(by)], x.schema.fields[: len(by) + 1]
+    ship(df.sparkSession)
+    blocks = StructType([*of_block, StructField("_n", LongType()), StructField("_x", ArrayType(DoubleType())), StructField("_sums", ArrayType(DoubleType()))])
+    x = x.mapInArrow(partial(lagged.block_rows, keys=[*by, "_blk"], max_lag=max_lag), blocks)
+    x = x.select(*by, "_n", "_x", "_sums", F.row_number().over(Window.partitionBy(*by).orderBy("_blk")).alias("_rn"))
+    lag = StructType([StructField("lag", LongType()), StructField("square", DoubleType()), StructField("level", DoubleType())])
+    x = x.mapInArrow(partial(lagged.key_rows, keys=by, max_lag=max_lag), StructType([*keys, StructField("_lags", ArrayType(lag))]))
+    tau = F.transform("_lags", lambda r: F.struct(F.sqrt(safe_div(r["square"], r["level"])).alias("tau"), r["lag"].alias("lag")))
+    x = x.withColumn("_tau", tau)
+    hi, lo = F.get("_tau", F.lit(0)), F.get("_tau", F.size("_tau") - 1)
+    value = safe_div(F.log10(hi["tau"]) - F.log10(lo["tau"]), F.log10(hi["lag"]) - F.log10(lo["lag"]))
+    # a series too short for a lag, or without a key, keeps its row, with NULL
+    known = reduce(and_, [F.col(k).isNotNull() for k in by], F.lit(True))
+    return x.select(*by, F.when(known, value).alias("hurst_structure"))
 
 
 def _causal_stages(spot: str, cols: Sequence[str], B: int):
